@@ -45,3 +45,15 @@ def round_half_up(c: Column, digits: int) -> Column:
 def flag(cond: Column) -> Column:
     """0/1 integer flag; NULL conditions give 0."""
     return F.when(cond, F.lit(1)).otherwise(F.lit(0))
+
+
+def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Round every double column (report/compare form; order of columns kept)."""
+    return df.select(
+        *[
+            round_half_up(F.col(f.name), digits).alias(f.name)
+            if f.dataType.typeName() == "double"
+            else F.col(f.name)
+            for f in df.schema.fields
+        ]
+    )

@@ -194,3 +194,186 @@ select trip_id, {r('supply_baseline')} as supply_baseline,
        {r('case when sd is not null and sd > 0 then (demand_60min - supply_baseline) / sd else 0.0::double end')}
          as demand_zscore
 from lb"""
+
+
+# --- weather / derived / spatial / feature table ------------------------------
+
+SPINE = """
+bounds as (
+  select date_trunc('hour', min(tpep_pickup_datetime)) as lo,
+         date_trunc('hour', max(tpep_pickup_datetime)) as hi
+  from trips
+),
+spine0 as (select unnest(generate_series(lo, hi, interval 1 hour)) as hour_ts from bounds),
+spine as (
+  select hour_ts, cast(hour_ts as date) as date, cast(hour(hour_ts) as integer) as hour,
+         cast(dayofyear(hour_ts) as integer) as day_of_year
+  from spine0
+)"""
+
+
+def cyc(x: str, period: str) -> str:
+    return f"sin(2.0::double * pi() * ({x}) / {period}::double)"
+
+
+TEMP = f"(55.0::double + 22.0::double * {cyc('day_of_year - 80', '365.0')} + 5.0::double * {cyc('hour - 6', '24.0')})"
+PPROB = f"(0.15::double + 0.1::double * {cyc('day_of_year - 100', '365.0')})"
+WIND = f"(8.0::double + 4.0::double * {cyc('day_of_year + 30', '365.0')})"
+
+WEATHER = f"""
+wk as (select *, (day_of_year - 1) * 24 + hour as k from spine),
+wraw as (
+  select date, hour,
+         round({TEMP}, 1) + ((k * 13) % 7 - 3) as temperature_f,
+         case when (k * 37) % 10 < 2 then ((k * 37) % 7 + 1) * 0.05::double else 0.0::double end as precipitation_in,
+         round({WIND}, 1) as wind_speed_mph,
+         case when (k * 37) % 10 < 2 then 6.0::double when k % 97 = 0 then 2.5::double else 9.0::double end
+           as visibility_miles
+  from wk where k % 10 != 7
+),
+weather as (
+  select *,
+         case when visibility_miles < 3.0 and precipitation_in = 0 then 'Fog'
+              when precipitation_in > 0 and temperature_f < 35.0 then 'Snow'
+              when precipitation_in > 0 then 'Rain' else 'Clear' end as weather_condition
+  from wraw
+)"""
+
+WJOIN = """
+wjoined as (
+  select t.*,
+         coalesce(w.temperature_f, 55.0::double) as temperature_f,
+         coalesce(w.precipitation_in, 0.0::double) as precipitation_in,
+         coalesce(w.wind_speed_mph, 8.0::double) as wind_speed_mph,
+         coalesce(w.visibility_miles, 10.0::double) as visibility_miles,
+         w.weather_condition,
+         case when w.weather_condition = 'Clear' then 1 else 0 end as weather_is_clear,
+         case when w.weather_condition = 'Rain' then 1 else 0 end as weather_is_rain,
+         case when w.weather_condition = 'Snow' then 1 else 0 end as weather_is_snow,
+         case when w.weather_condition = 'Fog' then 1 else 0 end as weather_is_fog
+  from SRC t left join weather w on t.pickup_date = w.date and t.hour = w.hour
+)"""
+
+DERIVED = """
+derived as (
+  select *,
+    case when trip_distance > 0 then fare_amount / trip_distance else 0.0::double end as fare_per_mile,
+    case when trip_duration_minutes > 0 then fare_amount / trip_duration_minutes else 0.0::double end
+      as fare_per_minute,
+    least(case when trip_duration_minutes > 0 then trip_distance / (trip_duration_minutes / 60)
+               else 0.0::double end, 100.0::double) as speed_mph,
+    case when demand_60min > 0 then demand_15min / demand_60min else 0.0::double end as demand_acceleration,
+    demand_30min - demand_60min as demand_trend,
+    case when (case when trip_duration_minutes > 0 then trip_distance / (trip_duration_minutes / 60)
+                    else 0.0::double end) > 0
+          and (case when trip_duration_minutes > 0 then trip_distance / (trip_duration_minutes / 60)
+                    else 0.0::double end) < 10.0 then 1 else 0 end as congestion_indicator
+  from SRC
+)"""
+
+
+def frac(x: str) -> str:
+    return f"(({x}) - floor({x}))"
+
+
+def plat(loc: str) -> str:
+    v = f"(40.4774::double + {frac(f'cast({loc} as double) * 0.6180339887::double')} * 0.44019999999999726::double)"
+    return f"case when {loc} is not null and {loc} > 0 then {v} end"
+
+
+def plon(loc: str) -> str:
+    v = f"(-74.2591::double + {frac(f'cast({loc} as double) * 0.3819660113::double')} * 0.5587000000000018::double)"
+    return f"case when {loc} is not null and {loc} > 0 then {v} end"
+
+
+def hexcell(lat: str, lon: str) -> str:
+    x = f"(6371008.8::double * radians(({lon}) - (-74.0::double)) * 0.7581343361976521::double)"
+    y = f"(6371008.8::double * radians(({lat}) - 40.7::double))"
+    qf = f"((0.5773502691896257::double * {x} - {y} / 3.0::double) / 460.0::double)"
+    rf = f"((0.6666666666666666::double * {y}) / 460.0::double)"
+    sf = f"(-{qf} - {rf})"
+    q, rr, ss = f"floor({qf} + 0.5)", f"floor({rf} + 0.5)", f"floor({sf} + 0.5)"
+    dq, dr, ds = f"abs({q} - {qf})", f"abs({rr} - {rf})", f"abs({ss} - {sf})"
+    qx = f"case when {dq} > {dr} and {dq} > {ds} then -{rr} - {ss} else {q} end"
+    rx = f"case when {dq} > {dr} and {dq} > {ds} then {rr} when {dr} > {ds} then -{q} - {ss} else {rr} end"
+    cell = f"'hx_' || cast(cast({qx} as bigint) as varchar) || '_' || cast(cast({rx} as bigint) as varchar)"
+    return f"case when ({lat}) is not null and ({lon}) is not null then {cell} end"
+
+
+SQL["hour_spine"] = with_(TRIPS, SPINE) + "select hour_ts, date, hour, day_of_year from spine"
+
+SQL["climate_baseline"] = with_(TRIPS, SPINE) + f"""
+select date, hour, {r(TEMP)} as base_temperature_f, {r(PPROB)} as precip_probability,
+       {r(WIND)} as base_wind_mph
+from spine"""
+
+SQL["weather_classify"] = with_(TRIPS, SPINE, WEATHER) + f"""
+select date, hour, {r('temperature_f')} as temperature_f, {r('precipitation_in')} as precipitation_in,
+       {r('wind_speed_mph')} as wind_speed_mph, {r('visibility_miles')} as visibility_miles,
+       weather_condition
+from weather"""
+
+SQL["weather_join"] = with_(TRIPS, CLEAN, TEMPORAL, SPINE, WEATHER, WJOIN.replace("SRC", "temporal")) + f"""
+select trip_id, {r('temperature_f')} as temperature_f, {r('precipitation_in')} as precipitation_in,
+       {r('wind_speed_mph')} as wind_speed_mph, {r('visibility_miles')} as visibility_miles,
+       weather_condition
+from wjoined"""
+
+SQL["weather_onehot"] = with_(TRIPS, CLEAN, TEMPORAL, SPINE, WEATHER, WJOIN.replace("SRC", "temporal")) + """
+select trip_id, weather_is_clear, weather_is_rain, weather_is_snow, weather_is_fog from wjoined"""
+
+SQL["derived_features"] = FEATURE_BASE.rstrip() + "," + DERIVED.replace("SRC", "surged").strip() + f"""
+select trip_id, {r('fare_per_mile')} as fare_per_mile, {r('fare_per_minute')} as fare_per_minute,
+       {r('speed_mph')} as speed_mph, {r('demand_acceleration')} as demand_acceleration,
+       demand_trend, congestion_indicator
+from derived"""
+
+SQL["pseudo_coords"] = with_(TRIPS, CLEAN, TEMPORAL) + f"""
+select trip_id,
+       {r(plat('"PULocationID"'), 8)} as pickup_latitude, {r(plon('"PULocationID"'), 8)} as pickup_longitude,
+       {r(plat('"DOLocationID"'), 8)} as dropoff_latitude, {r(plon('"DOLocationID"'), 8)} as dropoff_longitude
+from temporal"""
+
+SQL["spatial_fallback"] = with_(TRIPS, CLEAN, TEMPORAL) + """
+select trip_id, 'loc_' || cast("PULocationID" as varchar) as h3_pickup_index,
+       'loc_' || cast("DOLocationID" as varchar) as h3_dropoff_index
+from temporal"""
+
+SQL["hex_bin"] = with_(TRIPS, CLEAN, TEMPORAL) + f"""
+select trip_id,
+       {hexcell(plat('"PULocationID"'), plon('"PULocationID"'))} as h3_pickup_index,
+       {hexcell(plat('"DOLocationID"'), plon('"DOLocationID"'))} as h3_dropoff_index
+from temporal"""
+
+FEATURE_SELECT = f"""
+select "PULocationID", "DOLocationID",
+       'loc_' || cast("PULocationID" as varchar) as h3_pickup_index,
+       'loc_' || cast("DOLocationID" as varchar) as h3_dropoff_index,
+       pickup_date, hour, day_of_week, day_of_month, month, is_weekend, is_rush_hour,
+       {r('trip_distance')} as trip_distance, {r('trip_duration_minutes')} as trip_duration_minutes,
+       passenger_count, {r('fare_amount')} as fare_amount, {r('total_amount')} as total_amount,
+       demand_15min, demand_30min, demand_60min,
+       {r('supply_baseline')} as supply_baseline, {r('demand_zscore')} as demand_zscore,
+       {r('fare_per_mile')} as fare_per_mile, {r('fare_per_minute')} as fare_per_minute,
+       {r('speed_mph')} as speed_mph, {r('demand_acceleration')} as demand_acceleration,
+       demand_trend, congestion_indicator,
+       {r('temperature_f')} as temperature_f, {r('precipitation_in')} as precipitation_in,
+       {r('wind_speed_mph')} as wind_speed_mph, {r('visibility_miles')} as visibility_miles,
+       weather_is_clear, weather_is_rain, weather_is_snow, weather_is_fog,
+       {r('surge_multiplier')} as surge_multiplier
+from derived"""
+
+FEATURES_CTE = with_(
+    TRIPS, CLEAN, TEMPORAL, DEMAND, SUPPLY, SURGED, SPINE, WEATHER,
+    WJOIN.replace("SRC", "surged"), DERIVED.replace("SRC", "wjoined"),
+)
+
+SQL["feature_table"] = FEATURES_CTE + FEATURE_SELECT
+
+SQL["partition_roundtrip"] = with_(TRIPS, CLEAN, TEMPORAL, ZONES) + f"""
+select t.trip_id, t.pickup_date, t.hour, t."PULocationID", pz."Borough" as pickup_borough,
+       dz."Zone" as dropoff_zone, {r('t.trip_duration_minutes')} as trip_duration_minutes
+from temporal t
+left join zones pz on t."PULocationID" = pz."LocationID"
+left join zones dz on t."DOLocationID" = dz."LocationID"
+"""

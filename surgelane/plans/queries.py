@@ -140,3 +140,108 @@ def q_supply_lookback(spark, sf_dir):
         round_half_up(F.col("surge_multiplier"), 6).alias("surge_multiplier"),
         round_half_up(F.col("demand_zscore"), 6).alias("demand_zscore"),
     )
+
+
+# --- weather / derived / spatial / feature table -----------------------------
+
+from surgelane.config import FEATURE_TABLE_COLUMNS  # noqa: E402
+from surgelane.functions.common import round_doubles  # noqa: E402
+from surgelane.operators.derived import add_derived_features  # noqa: E402
+from surgelane.operators.spatial import add_pseudo_coordinates, add_spatial_index  # noqa: E402
+from surgelane.operators.weather import climate_baseline, hour_spine, integrate_weather  # noqa: E402
+from surgelane.plans.etl import etl_transform  # noqa: E402
+from surgelane.plans.features import feature_table  # noqa: E402
+from surgelane.sinks.tables import output_size, write_partitioned  # noqa: E402
+from surgelane.sources.files import read_partitioned  # noqa: E402
+from surgelane.sources.testdata import weather_from_trips  # noqa: E402
+
+
+def _weather(spark, sf_dir):
+    return weather_from_trips(_trips(spark, sf_dir))
+
+
+@query("hour_spine")
+def q_hour_spine(spark, sf_dir):
+    return hour_spine(_trips(spark, sf_dir))
+
+
+@query("climate_baseline")
+def q_climate_baseline(spark, sf_dir):
+    out = climate_baseline(hour_spine(_trips(spark, sf_dir)))
+    return round_doubles(out.select("date", "hour", "base_temperature_f", "precip_probability", "base_wind_mph"))
+
+
+@query("weather_classify")
+def q_weather_classify(spark, sf_dir):
+    return round_doubles(_weather(spark, sf_dir))
+
+
+@query("weather_join")
+def q_weather_join(spark, sf_dir):
+    out = integrate_weather(_clean(spark, sf_dir), _weather(spark, sf_dir))
+    return round_doubles(
+        out.select("trip_id", "temperature_f", "precipitation_in", "wind_speed_mph",
+                   "visibility_miles", "weather_condition")
+    )
+
+
+@query("weather_onehot")
+def q_weather_onehot(spark, sf_dir):
+    out = integrate_weather(_clean(spark, sf_dir), _weather(spark, sf_dir))
+    return out.select("trip_id", "weather_is_clear", "weather_is_rain", "weather_is_snow", "weather_is_fog")
+
+
+@query("derived_features")
+def q_derived_features(spark, sf_dir):
+    out = add_derived_features(surge_features(_clean(spark, sf_dir)))
+    return round_doubles(
+        out.select("trip_id", "fare_per_mile", "fare_per_minute", "speed_mph",
+                   "demand_acceleration", "demand_trend", "congestion_indicator")
+    )
+
+
+@query("pseudo_coords")
+def q_pseudo_coords(spark, sf_dir):
+    out = add_pseudo_coordinates(_clean(spark, sf_dir))
+    return round_doubles(
+        out.select("trip_id", "pickup_latitude", "pickup_longitude", "dropoff_latitude", "dropoff_longitude"),
+        8,
+    )
+
+
+@query("spatial_fallback")
+def q_spatial_fallback(spark, sf_dir):
+    return add_spatial_index(_clean(spark, sf_dir), "location").select(
+        "trip_id", "h3_pickup_index", "h3_dropoff_index"
+    )
+
+
+@query("hex_bin")
+def q_hex_bin(spark, sf_dir):
+    return add_spatial_index(_clean(spark, sf_dir), "pseudo_hex").select(
+        "trip_id", "h3_pickup_index", "h3_dropoff_index"
+    )
+
+
+@query("feature_table")
+def q_feature_table(spark, sf_dir):
+    return round_doubles(feature_table(_clean(spark, sf_dir), _weather(spark, sf_dir)))
+
+
+def _processed_table(spark, sf_dir) -> str:
+    processed = etl_transform(_trips(spark, sf_dir), zones_from_tables(spark, sf_dir))
+    return write_partitioned(processed, scratch_path(spark, "processed"))
+
+
+@query("partition_roundtrip")
+def q_partition_roundtrip(spark, sf_dir):
+    back = read_partitioned(spark, _processed_table(spark, sf_dir))
+    return round_doubles(
+        back.select("trip_id", "pickup_date", "hour", "PULocationID", "pickup_borough",
+                    "dropoff_zone", "trip_duration_minutes")
+    )
+
+
+@query("output_size")
+def q_output_size(spark, sf_dir):
+    return output_size(read_partitioned(spark, _processed_table(spark, sf_dir)))

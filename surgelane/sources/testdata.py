@@ -53,3 +53,31 @@ def zones_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("Zone"),
         F.lit(SERVICE_ZONE).alias("service_zone"),
     )
+
+
+# Weather stand-in (deterministic): climate baseline plus fixed offsets keyed by
+# k = (day_of_year - 1) * 24 + hour. Hours with k % 10 = 7 have no report, so
+# the default fill is exercised.
+MISSING_REPORT = 7
+
+
+def weather_from_trips(trips: DataFrame) -> DataFrame:
+    """Hourly weather covering the hours spanned by the trips' pickups."""
+    from surgelane.functions.weather import base_wind, seasonal_temperature
+    from surgelane.operators.weather import classify_weather, hour_spine
+
+    spine = hour_spine(trips)
+    doy, hour = F.col("day_of_year"), F.col("hour")
+    k = (doy - 1) * 24 + hour
+    wet = (k * 37) % 10 < 2
+    weather = spine.filter(k % 10 != MISSING_REPORT).select(
+        "date",
+        "hour",
+        (F.round(seasonal_temperature(doy, hour), 1) + ((k * 13) % 7 - 3)).alias("temperature_f"),
+        F.when(wet, ((k * 37) % 7 + 1) * F.lit(0.05)).otherwise(F.lit(0.0)).alias("precipitation_in"),
+        F.round(base_wind(doy), 1).alias("wind_speed_mph"),
+        F.when(wet, F.lit(6.0)).when(k % 97 == 0, F.lit(2.5)).otherwise(F.lit(9.0)).alias(
+            "visibility_miles"
+        ),
+    )
+    return classify_weather(weather)
