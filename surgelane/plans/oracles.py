@@ -377,3 +377,96 @@ from temporal t
 left join zones pz on t."PULocationID" = pz."LocationID"
 left join zones dz on t."DOLocationID" = dz."LocationID"
 """
+
+
+# --- model phase ------------------------------------------------------------------
+
+MODEL_FEATURE_NAMES = (
+    "hour day_of_week day_of_month month is_weekend is_rush_hour PULocationID DOLocationID "
+    "trip_distance trip_duration_minutes passenger_count fare_amount total_amount demand_15min "
+    "demand_30min demand_60min supply_baseline demand_zscore fare_per_mile fare_per_minute speed_mph "
+    "demand_acceleration demand_trend congestion_indicator temperature_f precipitation_in "
+    "wind_speed_mph visibility_miles weather_is_clear weather_is_rain weather_is_snow weather_is_fog"
+).split()
+
+SPLIT = "(cast(('0x' || substr(md5('42:' || cast(trip_id as varchar)), 1, 8)) as bigint) % 100 < 20)"
+
+MODEL_CTE = FEATURES_CTE.rstrip() + f""",
+prepared as (
+  select trip_id, {SPLIT} as is_validation,
+         {", ".join(
+             (f'coalesce(cast(passenger_count as double), (select median(passenger_count) from derived)) as passenger_count'
+              if c == "passenger_count" else f'cast("{c}" as double) as "{c}"')
+             for c in MODEL_FEATURE_NAMES)},
+         surge_multiplier
+  from derived
+),
+scored as (
+  select trip_id, {SPLIT} as is_validation, surge_multiplier,
+         0.5::double + 0.4::double * demand_60min / supply_baseline + 0.1::double * is_rush_hour
+           + 0.05::double * weather_is_rain as prediction
+  from derived
+)
+"""
+
+SQL["median_fill"] = MODEL_CTE + f"select trip_id, {r('passenger_count')} as passenger_count from prepared"
+
+SQL["feature_matrix"] = MODEL_CTE + "select trip_id, " + ", ".join(
+    f'{r(chr(34) + c + chr(34))} as "{c}"' for c in MODEL_FEATURE_NAMES
+) + f", {r('surge_multiplier')} as surge_multiplier from prepared"
+
+SQL["train_val_split"] = MODEL_CTE + "select trip_id, is_validation from prepared"
+
+SQL["asym_grad_hess"] = MODEL_CTE + f"""
+select trip_id, {r('prediction')} as prediction,
+       {r('case when surge_multiplier - prediction > 0 then -4.0 * (surge_multiplier - prediction) else -2.0 * (surge_multiplier - prediction) end')} as grad,
+       {r('case when surge_multiplier - prediction > 0 then 4.0::double else 2.0::double end')} as hess
+from scored"""
+
+WSE = "(case when surge_multiplier - prediction > 0 then 2.0 else 1.0 end) * (surge_multiplier - prediction) * (surge_multiplier - prediction)"
+
+SQL["asym_wmse"] = MODEL_CTE + f"select {r(f'avg({WSE})')} as asymmetric_wmse from scored where is_validation"
+
+SQL["eval_metrics"] = MODEL_CTE + f"""
+select {r('sqrt(avg((surge_multiplier - prediction) * (surge_multiplier - prediction)))')} as rmse,
+       {r('avg(abs(surge_multiplier - prediction))')} as mae,
+       {r('1 - sum((surge_multiplier - prediction) * (surge_multiplier - prediction)) / (var_pop(surge_multiplier) * count(surge_multiplier))')} as r2_score,
+       {r('avg(case when surge_multiplier > 0 then abs((surge_multiplier - prediction) / surge_multiplier) end) * 100')} as mape_percent,
+       {r('avg(case when (surge_multiplier >= 1.2) = (prediction >= 1.2) then 1.0 else 0.0 end) * 100')} as directional_accuracy_percent,
+       {r('coalesce(avg(case when surge_multiplier >= 1.2 then (case when prediction < surge_multiplier then 1.0 else 0.0 end) end) * 100, 0.0)')} as under_estimation_rate_percent,
+       {r(f'avg({WSE})')} as asymmetric_wmse,
+       count(*) as n_rows
+from scored where is_validation"""
+
+SQL["score_scenarios"] = FEATURES_CTE.rstrip() + f""",
+scen as (
+  select trip_id,
+         (demand_60min - 120.0::double) / 40.0::double as demand_zscore,
+         cast(case when day_of_week in (1, 7) then 1 else 0 end as double) as is_weekend,
+         cast(case when hour between 7 and 9 or hour between 16 and 19 then 1 else 0 end as double) as is_rush_hour,
+         cast(case when precipitation_in > 0.1 then 1 else 0 end as double) as weather_is_rain,
+         cast(demand_60min as double) as demand_60min, cast(supply_baseline as double) as supply_baseline
+  from derived
+),
+pred as (
+  select *, greatest(1.0::double, 0.5::double + 0.4::double * demand_60min / supply_baseline
+                     + 0.1::double * is_rush_hour + 0.05::double * weather_is_rain) as predicted_surge
+  from scen
+)
+select trip_id, {r('demand_zscore')} as demand_zscore, is_weekend, is_rush_hour, weather_is_rain,
+       {r('predicted_surge')} as predicted_surge,
+       case when predicted_surge < 1.2 then 'Low' when predicted_surge > 2.0 then 'High' else 'Moderate' end as surge_band,
+       case when predicted_surge >= 1.0 and predicted_surge < 1.5 then 'green'
+            when predicted_surge >= 1.5 and predicted_surge < 2.5 then 'yellow'
+            when predicted_surge >= 2.5 and predicted_surge <= 5.0 then 'red' end as gauge_band,
+       case when predicted_surge >= 4.5 then 1 else 0 end as surge_alert
+from pred"""
+
+SQL["surge_bands"] = FEATURES_CTE + f"""
+select trip_id, {r('surge_multiplier')} as surge_multiplier,
+       case when surge_multiplier < 1.2 then 'Low' when surge_multiplier > 2.0 then 'High' else 'Moderate' end as surge_band,
+       case when surge_multiplier >= 1.0 and surge_multiplier < 1.5 then 'green'
+            when surge_multiplier >= 1.5 and surge_multiplier < 2.5 then 'yellow'
+            when surge_multiplier >= 2.5 and surge_multiplier <= 5.0 then 'red' end as gauge_band,
+       case when surge_multiplier >= 4.5 then 1 else 0 end as surge_alert
+from derived"""

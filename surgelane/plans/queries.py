@@ -245,3 +245,128 @@ def q_partition_roundtrip(spark, sf_dir):
 @query("output_size")
 def q_output_size(spark, sf_dir):
     return output_size(read_partitioned(spark, _processed_table(spark, sf_dir)))
+
+
+# --- model phase -----------------------------------------------------------------
+
+from dataclasses import replace  # noqa: E402
+
+from surgelane.config import BOOST, MODEL_FEATURES, TARGET  # noqa: E402
+from surgelane.functions.loss import gradient, hessian  # noqa: E402
+from surgelane.operators.boost import train_boosted, train_warm_start  # noqa: E402
+from surgelane.operators.evaluate import asymmetric_wmse, evaluate_predictions, top_k  # noqa: E402
+from surgelane.operators.prep import prepare_features, train_val_split  # noqa: E402
+from surgelane.operators.scoring import add_bands, linear_surge, score_scenarios  # noqa: E402
+from surgelane.plans.features import feature_transform  # noqa: E402
+from surgelane.plans.model import evaluate_model, load_importance, save_artifacts  # noqa: E402
+
+# Smoke-sized training run for the registered queries (the full 500-round
+# configuration runs through the job entry point).
+QUERY_BOOST = replace(BOOST, n_rounds=8, learning_rate=0.3, max_depth=5, checkpoint_every=4)
+
+
+def _features_with_id(spark, sf_dir):
+    return feature_transform(_clean(spark, sf_dir), _weather(spark, sf_dir))
+
+
+def _prepared(spark, sf_dir):
+    prepared, names = prepare_features(_features_with_id(spark, sf_dir), keep=["trip_id"])
+    return train_val_split(prepared, key="trip_id"), names
+
+
+@query("median_fill")
+def q_median_fill(spark, sf_dir):
+    prepared, _ = _prepared(spark, sf_dir)
+    return round_doubles(prepared.select("trip_id", "passenger_count"))
+
+
+@query("feature_matrix")
+def q_feature_matrix(spark, sf_dir):
+    prepared, names = _prepared(spark, sf_dir)
+    return round_doubles(prepared.select("trip_id", *names, TARGET))
+
+
+@query("train_val_split")
+def q_train_val_split(spark, sf_dir):
+    prepared, _ = _prepared(spark, sf_dir)
+    return prepared.select("trip_id", "is_validation")
+
+
+def _linear_scored(spark, sf_dir):
+    feats = train_val_split(_features_with_id(spark, sf_dir), key="trip_id")
+    return linear_surge(feats)
+
+
+@query("asym_grad_hess")
+def q_asym_grad_hess(spark, sf_dir):
+    s = _linear_scored(spark, sf_dir)
+    y, p = F.col(TARGET), F.col("prediction")
+    return round_doubles(
+        s.select("trip_id", "prediction", gradient(y, p).alias("grad"), hessian(y, p).alias("hess"))
+    )
+
+
+@query("asym_wmse")
+def q_asym_wmse(spark, sf_dir):
+    s = _linear_scored(spark, sf_dir).filter("is_validation")
+    return round_doubles(asymmetric_wmse(s, TARGET, "prediction"))
+
+
+@query("eval_metrics")
+def q_eval_metrics(spark, sf_dir):
+    s = _linear_scored(spark, sf_dir).filter("is_validation")
+    return round_doubles(evaluate_predictions(s, TARGET, "prediction"))
+
+
+@query("score_scenarios")
+def q_score_scenarios(spark, sf_dir):
+    scen = _features_with_id(spark, sf_dir).select(
+        "trip_id", "hour", "day_of_week", "demand_60min", "supply_baseline",
+        "temperature_f", "precipitation_in",
+    )
+    out = score_scenarios(scen, linear_surge, MODEL_FEATURES, keep=["trip_id"])
+    return round_doubles(
+        out.select("trip_id", "demand_zscore", "is_weekend", "is_rush_hour", "weather_is_rain",
+                   "predicted_surge", "surge_band", "gauge_band", "surge_alert")
+    )
+
+
+@query("surge_bands")
+def q_surge_bands(spark, sf_dir):
+    feats = _features_with_id(spark, sf_dir).select("trip_id", "surge_multiplier")
+    return round_doubles(add_bands(feats, "surge_multiplier"))
+
+
+def _trained(spark, sf_dir):
+    prepared, names = _prepared(spark, sf_dir)
+    return prepared, names, train_boosted(prepared, names, TARGET, "is_validation", QUERY_BOOST)
+
+
+@query("train_boost")
+def q_train_boost(spark, sf_dir):
+    _, _, model = _trained(spark, sf_dir)
+    rows = [(h["round"], h["train"], h["validation"]) for h in model.history]
+    return spark.createDataFrame(rows, "round int, train_wmse double, validation_wmse double")
+
+
+@query("train_warm_start")
+def q_train_warm_start(spark, sf_dir):
+    prepared, names = _prepared(spark, sf_dir)
+    params = replace(QUERY_BOOST, rounds_per_batch=3)
+    model = train_warm_start(prepared, names, TARGET, "is_validation", params, batch_rows=2_000)
+    rows = [(h["round"], h["train"], h["validation"]) for h in model.history]
+    return spark.createDataFrame(rows, "round int, train_wmse double, validation_wmse double")
+
+
+@query("importance_topk")
+def q_importance_topk(spark, sf_dir):
+    prepared, _, model = _trained(spark, sf_dir)
+    return top_k(model.importance(spark), 20, "importance_gain", "feature", digits=4)
+
+
+@query("model_artifacts")
+def q_model_artifacts(spark, sf_dir):
+    prepared, _, model = _trained(spark, sf_dir)
+    result = evaluate_model(model, prepared.filter("is_validation"))
+    path = save_artifacts(spark, result, scratch_path(spark, "model"))
+    return load_importance(spark, path, 10)
