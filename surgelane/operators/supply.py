@@ -126,35 +126,37 @@ def surge_profile(
 ) -> DataFrame:
     """Collapsed (location, second) table with demand, baseline, surge, z-score.
 
-    Trips must already carry hour and day_of_week. The baseline is aggregated
-    from the collapsed rows weighted by their trip count, so the trip table is
-    read once and never shuffled here.
+    Trips must already carry hour and day_of_week. The baseline statistics are
+    window sums over the collapsed rows (weighted by their trip count) in the
+    partition (location, hour, day_of_week): the trip table is scanned once and
+    the only extra shuffle moves collapsed rows, not trips. A partition holds
+    at most one row per second of that weekly hour, whatever the skew.
     """
     loc = keys[0]
-    carry = [k for k in keys[1:]]
-    if lookback_days:
-        carry = carry + ["pickup_date"]
+    carry = list(keys[1:]) + (["pickup_date"] if lookback_days else [])
     prof = demand_profile(trips, rules, loc=loc, carry=carry)
-    n = F.col(TRIPS_AT_SECOND)
-    d60 = F.col(demand_col(60))
+    spec = Window.partitionBy(*keys)
     if lookback_days:
-        base = _lookback_baseline(prof, keys, lookback_days)
-        join_keys = list(keys) + ["pickup_date"]
-    else:
-        base = supply_from_profile(prof, keys)
-        join_keys = list(keys)
-    # USING join: a NULL key never matches, exactly like the per-trip form.
-    out = prof.join(base, on=join_keys, how="left")
+        # Same key, the previous `lookback_days` calendar days only.
+        spec = spec.orderBy(F.unix_date("pickup_date")).rangeBetween(-lookback_days, -1)
+    sums = {name: F.sum(expr).over(spec) for name, expr in _weighted_terms().items()}
+    stats = finish_stats()
+    # A NULL key never matches in the per-trip USING join: no baseline there.
+    all_keys = F.lit(True)
+    for k in keys:
+        all_keys = all_keys & F.col(k).isNotNull()
+    out = prof.withColumns(sums).withColumns(
+        {name: F.when(all_keys, expr) for name, expr in stats.items()}
+    )
+    out = out.drop(*sums.keys())
     return out.withColumn("supply_baseline", repaired_baseline(F.col("supply_baseline"))).withColumns(
         _surge_columns(rules)
     )
 
 
 def supply_from_profile(prof: DataFrame, keys: Sequence[str] = SUPPLY_KEYS) -> DataFrame:
-    """Baseline table from collapsed rows, each weighted by its trip count.
-
-    Equal to ``supply_baseline`` over the trip rows (exact integer sums).
-    """
+    """Baseline table (one row per key) from collapsed rows weighted by their
+    trip count; equal to ``supply_baseline`` over the trip rows."""
     n = F.col(TRIPS_AT_SECOND)
     d60 = F.col(demand_col(60))
     return (
@@ -164,27 +166,15 @@ def supply_from_profile(prof: DataFrame, keys: Sequence[str] = SUPPLY_KEYS) -> D
     )
 
 
-def _lookback_baseline(prof: DataFrame, keys: Sequence[str], days: int) -> DataFrame:
-    """Baseline from the previous ``days`` days only (same key, earlier dates).
-
-    Daily partial sums per key, then a range window over the epoch day.
-    """
+def _weighted_terms() -> dict[str, Column]:
+    """Row terms whose sums give count, sum and square sum of demand_60min."""
     n = F.col(TRIPS_AT_SECOND)
     d60 = F.col(demand_col(60))
-    daily = (
-        prof.groupBy(*keys, "pickup_date")
-        .agg(*aliased(weighted_stats(d60, n)))
-        .withColumn("_day", F.unix_date("pickup_date"))
-    )
-    spec = Window.partitionBy(*keys).orderBy("_day").rangeBetween(-days, -1)
-    rolled = daily.select(
-        *keys,
-        "pickup_date",
-        F.sum("_n").over(spec).alias("_n"),
-        F.sum("_sx").over(spec).alias("_sx"),
-        F.sum("_sxx").over(spec).alias("_sxx"),
-    )
-    return rolled.select(*keys, "pickup_date", *aliased(finish_stats()))
+    return {
+        "_n": n,
+        "_sx": n * d60,
+        "_sxx": n.cast("decimal(20,0)") * d60.cast("decimal(20,0)") * d60,
+    }
 
 
 def surge_features(

@@ -470,3 +470,5 @@ select trip_id, {r('surge_multiplier')} as surge_multiplier,
             when surge_multiplier >= 2.5 and surge_multiplier <= 5.0 then 'red' end as gauge_band,
        case when surge_multiplier >= 4.5 then 1 else 0 end as surge_alert
 from derived"""
+
+SQL["stream_etl"] = SQL["partition_roundtrip"]

@@ -370,3 +370,30 @@ def q_model_artifacts(spark, sf_dir):
     result = evaluate_model(model, prepared.filter("is_validation"))
     path = save_artifacts(spark, result, scratch_path(spark, "model"))
     return load_importance(spark, path, 10)
+
+
+# --- streaming ---------------------------------------------------------------------
+
+from surgelane.sources.testdata import events_to_trips  # noqa: E402
+from surgelane.streaming.etl import start_etl_stream  # noqa: E402
+
+
+@query("stream_etl")
+def q_stream_etl(spark, sf_dir):
+    """The events file replayed as a stream through the ETL phase (availableNow),
+    then the appended partitioned table read back."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    out = scratch_path(spark, "stream_out")
+    q = start_etl_stream(
+        spark, sf_dir, schema, out,
+        zones=zones_from_tables(spark, sf_dir),
+        adapter=events_to_trips,
+        glob="events.parquet",
+        checkpoint=scratch_path(spark, "stream_ckpt"),
+    )
+    q.awaitTermination()
+    back = read_partitioned(spark, out)
+    return round_doubles(
+        back.select("trip_id", "pickup_date", "hour", "PULocationID", "pickup_borough",
+                    "dropoff_zone", "trip_duration_minutes")
+    )

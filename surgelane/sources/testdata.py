@@ -23,6 +23,11 @@ SERVICE_ZONE = "Boro Zone"
 
 def trips_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_parquet(spark, f"{sf_dir}/events.parquet", ["event_id", "ts", "user_id", "value"])
+    return events_to_trips(ev)
+
+
+def events_to_trips(ev: DataFrame) -> DataFrame:
+    """Row-wise mapping (works on batch and streaming frames)."""
     secs = (F.col("event_id") * DURATION_STEP % DURATION_MOD).cast("decimal(18,6)")
     return ev.select(
         F.col("event_id").alias("trip_id"),
