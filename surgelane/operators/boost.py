@@ -178,7 +178,8 @@ def _initial_state(
         "features", F.col(label).cast("double").alias(_Y), val.alias(_VAL), rk.alias(_RK)
     )
     if init_model is not None:
-        state = init_model.predict(base, output=_P)
+        # Score the previous trees over a shallow (checkpointed) plan.
+        state = init_model.predict(cut_lineage(base), output=_P)
         return state, init_model.base_score
     if base_score is None:
         base_score = optimal_constant(base.filter(~F.col(_VAL)), _Y, penalty)
@@ -295,7 +296,10 @@ def train_warm_start(
     n_train = df.filter(~val).count()
     n_batches = max(1, math.ceil(n_train / batch_rows))
     rk = F.xxhash64(*[F.col(c) for c in list(features) + [label]])
-    tagged = df.withColumn("_batch", F.pmod(rk, F.lit(n_batches)))
+    keep = list(features) + [label] + ([valid_col] if valid_col else [])
+    # Materialise once: every batch re-reads it, and batch predicates then act
+    # on a shallow plan instead of the whole feature-preparation lineage.
+    tagged = cut_lineage(df.select(*keep, F.pmod(rk, F.lit(n_batches)).alias("_batch")))
     model = init_model
     for b in range(n_batches):
         part = tagged.filter(val | (F.col("_batch") == b)).drop("_batch")
