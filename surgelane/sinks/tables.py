@@ -15,20 +15,18 @@ def write_partitioned(
     df: DataFrame,
     path: str,
     keys: Sequence[str] = PARTITION_KEYS,
-    files_per_partition: int = 4,
     max_records_per_file: int = 5_000_000,
     mode: str = "overwrite",
 ) -> str:
     """Hive-partitioned snappy Parquet by (pickup_date, hour).
 
-    Rows are hash-shuffled on the partition keys plus a small salt, so each
-    directory gets at most ``files_per_partition`` files and a hot hour is
-    spread over that many writers instead of one task (or one tiny file per
-    upstream task).
+    A REBALANCE on the partition keys lets AQE size the writers from the
+    measured shuffle: small hours are coalesced into one task (one file per
+    directory instead of one per upstream task), and a hot hour is split into
+    several advisory-size tasks instead of landing on a single writer.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_partition))
     (
-        df.repartition(*[F.col(k) for k in keys], salt)
+        df.hint("rebalance", *keys)
         .write.mode(mode)
         .partitionBy(*keys)
         .option("compression", "snappy")
