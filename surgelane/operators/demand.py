@@ -105,10 +105,14 @@ def attach_by_second(
     """Join per-(location, second) columns back to trips (NULL-safe on location).
 
     Every trip has exactly one profile row, so the join preserves row count.
+    The profile grows with the data (no size bound), so it is never broadcast
+    on an estimate: a shuffled hash join builds on the profile side, which is
+    unique per key (no build-side skew); AQE can split a hot key on the trip
+    side.
     """
     right = profile.select(
         F.col(loc).alias("_p_loc"), F.col(UNIX_TS).alias("_p_sec"), *[F.col(c) for c in columns]
-    )
+    ).hint("shuffle_hash")
     left = trips.withColumn(UNIX_TS, epoch_seconds(ts))
     cond = left[loc].eqNullSafe(right["_p_loc"]) & (left[UNIX_TS] == right["_p_sec"])
     return left.join(right, cond, "inner").drop("_p_loc", "_p_sec")

@@ -108,11 +108,12 @@ def compute_supply_and_surge(
     """Trip-level form: baseline per key joined back (USING keys: NULL keys get
     no baseline, then 1.0), then surge and z-score.
 
-    The baseline table is small but not size-bounded in principle, so no
-    broadcast hint: AQE turns the join into a broadcast at run time when the
-    measured side is small.
+    The baseline table has no proven size bound (one row per location, hour
+    and weekday seen), so it is never broadcast on an estimate: a shuffled
+    hash join builds on it (unique per key). ``surge_profile`` avoids this
+    join and the second evaluation of the trip lineage altogether.
     """
-    joined = df.join(supply_baseline(df, keys), on=list(keys), how="left")
+    joined = df.join(supply_baseline(df, keys).hint("shuffle_hash"), on=list(keys), how="left")
     return joined.withColumn("supply_baseline", repaired_baseline(F.col("supply_baseline"))).withColumns(
         _surge_columns(rules)
     )
