@@ -170,7 +170,7 @@ select coalesce(z."Borough", 'Unknown') as borough, s.hour,
        max(s.demand_60min) as max_demand_60,
        {r('max(s.surge_multiplier)')} as max_surge,
        {r('sum(s.demand_zscore)', 4)} as sum_zscore,
-       sum(case when s.surge_multiplier >= 1.2 then 1 else 0 end) as surged_trips
+       cast(sum(case when s.surge_multiplier >= 1.2 then 1 else 0 end) as bigint) as surged_trips
 from surged s left join zones z on s."PULocationID" = z."LocationID"
 group by 1, 2"""
 
