@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
@@ -43,8 +44,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, str]:
             done[phase] = run_features(spark, args.processed, weather, args.features)
         elif phase == "model":
             feats = spark.read.parquet(args.features)
+            params = BOOST
+            if args.rounds is not None:
+                params = replace(params, n_rounds=args.rounds)
+            if args.learning_rate is not None:
+                params = replace(params, learning_rate=args.learning_rate)
             result = train_surge_model(
-                feats, key=args.key, params=BOOST, incremental=args.incremental,
+                feats, key=args.key, params=params, incremental=args.incremental,
                 exclude=tuple(args.exclude.split(",")) if args.exclude else (),
             )
             done[phase] = save_artifacts(spark, result, args.model_dir)
@@ -67,6 +73,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--key", default=None, help="row key column for the split")
     p.add_argument("--exclude", default="", help="comma-separated features to leave out")
     p.add_argument("--incremental", action="store_true", help="warm-start batches")
+    p.add_argument("--rounds", type=int, default=None, help="boosting rounds (default from config)")
+    p.add_argument("--learning-rate", dest="learning_rate", type=float, default=None)
     return p
 
 

@@ -1,0 +1,86 @@
+"""Phase runner, partitioned re-read, streaming ETL and plan-shape checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from conftest import SMOKE, plan_text
+from surgelane.operators.demand import rolling_demand
+from surgelane.plans.etl import etl_transform
+from surgelane.plans.features import feature_table
+from surgelane.plans.flagship import clean_trips
+from surgelane.plans.jobs import parser, run
+from surgelane.session import scratch_path
+from surgelane.sinks.tables import output_size, write_partitioned
+from surgelane.sources.files import read_partitioned
+from surgelane.sources.testdata import (
+    events_to_trips,
+    trips_from_events,
+    weather_from_trips,
+    zones_from_tables,
+)
+from surgelane.streaming.etl import start_etl_stream
+
+
+def test_partition_pruning_on_reread(spark):
+    path = write_partitioned(etl_transform(trips_from_events(spark, SMOKE), zones_from_tables(spark, SMOKE)),
+                             scratch_path(spark, "processed_test"))
+    whole = read_partitioned(spark, path)
+    part = read_partitioned(spark, path, date_from="2024-01-10", date_to="2024-01-12", hours=[8, 9])
+    assert dict(whole.dtypes)["pickup_date"] == "date" and dict(whole.dtypes)["hour"] == "int"
+    plan = plan_text(part)
+    assert "PartitionFilters: [isnotnull(pickup_date" in plan
+    expected = whole.filter(F.col("pickup_date").between("2024-01-10", "2024-01-12") & F.col("hour").isin(8, 9))
+    assert part.count() == expected.count() > 0
+    size = output_size(whole).first()
+    assert size.files >= 1 and size.bytes > 0
+
+
+def test_direct_windows_share_one_exchange(spark):
+    df = rolling_demand(clean_trips(trips_from_events(spark, SMOKE)), method="direct")
+    plan = plan_text(df, "simple")
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Window [") == 1
+
+
+def test_feature_table_stays_in_jvm(spark):
+    t = trips_from_events(spark, SMOKE)
+    df = feature_table(clean_trips(t), weather_from_trips(t))
+    assert len(df.columns) == 36
+    plan = plan_text(df, "simple")
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_streaming_etl(spark):
+    schema = spark.read.parquet(f"{SMOKE}/events.parquet").schema
+    out = scratch_path(spark, "stream_test")
+    q = start_etl_stream(spark, SMOKE, schema, out, zones=zones_from_tables(spark, SMOKE),
+                         adapter=events_to_trips, glob="events.parquet",
+                         checkpoint=scratch_path(spark, "stream_test_ckpt"))
+    q.awaitTermination()
+    streamed = read_partitioned(spark, out)
+    batch = etl_transform(trips_from_events(spark, SMOKE), zones_from_tables(spark, SMOKE))
+    assert streamed.count() == batch.count() > 0
+    assert streamed.select("trip_id").exceptAll(batch.select("trip_id")).count() == 0
+
+
+def test_phase_runner(spark):
+    raw = scratch_path(spark, "raw")
+    trips_from_events(spark, SMOKE).write.parquet(raw)
+    zones_csv = scratch_path(spark, "zones")
+    zones_from_tables(spark, SMOKE).coalesce(1).write.option("header", "true").csv(zones_csv)
+    weather = scratch_path(spark, "weather")
+    weather_from_trips(trips_from_events(spark, SMOKE)).write.parquet(weather)
+    processed, feats, model = (scratch_path(spark, n) for n in ("processed", "features", "model"))
+    args = parser().parse_args([
+        "--raw", raw, "--zones", zones_csv, "--weather", weather, "--processed", processed,
+        "--features", feats, "--model-dir", model, "--rounds", "2", "--learning-rate", "0.3",
+    ])
+    done = run(spark, args)
+    assert list(done) == ["etl", "features", "model"]
+    assert len(spark.read.parquet(feats).columns) == 36
+    metrics = spark.read.json(f"{model}/metrics").first()
+    assert metrics.n_features == 32 and metrics.rmse >= 0
+    only = parser().parse_args(["--only-features", "--processed", processed, "--features", feats,
+                                "--model-dir", model, "--weather", weather])
+    assert list(run(spark, only)) == ["features"]
