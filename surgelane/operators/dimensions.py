@@ -126,6 +126,7 @@ def join_zones(
     endpoints; Spark reuses the broadcast exchange for the second join.
     """
     profile = profile_dimension(zones, ["LocationID"])
+    log.info("zone lookup: %d rows", profile.rows)
     if not profile.unique:
         raise DuplicateDimensionKey(f"LocationID repeats up to {profile.max_dup} times")
     out = trips

@@ -20,6 +20,10 @@ class TrainingResult:
     metrics: DataFrame
     importance: DataFrame
 
+    def top_features(self, k: int = 20) -> DataFrame:
+        """Top-k features by gain (rounded to 4 places, ties by name)."""
+        return top_k(self.importance, k, "importance_gain", "feature", digits=4)
+
 
 def evaluate_model(model: BoostedTrees, validation: DataFrame, label: str = TARGET) -> TrainingResult:
     scored = model.predict(validation)

@@ -125,6 +125,8 @@ def test_boosting_learns(spark, feature_df):
     m = result.metrics.first()
     assert m.n_trees == model.n_trees and m.n_features == 32 and m.rmse > 0
     imp = result.importance
+    top = result.top_features(20).collect()
+    assert [r["rank"] for r in top] == list(range(1, len(top) + 1))
     assert imp.count() > 0 and imp.filter("importance_gain < 0").count() == 0
     out = save_artifacts(spark, result, scratch_path(spark, "artifacts"))
     top = load_importance(spark, out, 10).collect()
