@@ -124,6 +124,7 @@ def surge_profile(
     rules: FeatureRules = FEATURES,
     keys: Sequence[str] = SUPPLY_KEYS,
     lookback_days: int | None = None,
+    since: str | None = None,
 ) -> DataFrame:
     """Collapsed (location, second) table with demand, baseline, surge, z-score.
 
@@ -132,15 +133,24 @@ def surge_profile(
     partition (location, hour, day_of_week): the trip table is scanned once and
     the only extra shuffle moves collapsed rows, not trips. A partition holds
     at most one row per second of that weekly hour, whatever the skew.
+
+    ``since`` (ISO date) marks trips picked up earlier as context: they count in
+    the rolling windows (and as lookback history) but not in the whole-input
+    baseline, and their rows are flagged ``_in_scope = false``.
     """
     loc = keys[0]
-    carry = list(keys[1:]) + (["pickup_date"] if lookback_days else [])
+    carry = list(keys[1:]) + (["pickup_date"] if lookback_days or since else [])
     prof = demand_profile(trips, rules, loc=loc, carry=carry)
+    scope = F.col("pickup_date") >= F.lit(since).cast("date") if since else F.lit(True)
+    prof = prof.withColumn("_in_scope", scope)
     spec = Window.partitionBy(*keys)
+    terms = _weighted_terms()
     if lookback_days:
         # Same key, the previous `lookback_days` calendar days only.
         spec = spec.orderBy(F.unix_date("pickup_date")).rangeBetween(-lookback_days, -1)
-    sums = {name: F.sum(expr).over(spec) for name, expr in _weighted_terms().items()}
+    elif since:
+        terms = {k: F.when(F.col("_in_scope"), v) for k, v in terms.items()}
+    sums = {name: F.sum(expr).over(spec) for name, expr in terms.items()}
     stats = finish_stats()
     # A NULL key never matches in the per-trip USING join: no baseline there.
     all_keys = F.lit(True)
@@ -183,11 +193,18 @@ def surge_features(
     rules: FeatureRules = FEATURES,
     keys: Sequence[str] = SUPPLY_KEYS,
     lookback_days: int | None = None,
+    since: str | None = None,
 ) -> DataFrame:
     """Per-trip demand_*, supply_baseline, supply_stddev, sample_count,
     surge_multiplier(_raw) and demand_zscore via one join on (location, second).
+
+    With ``since``, only trips from that date on are returned; earlier trips
+    serve as rolling-window context (read one extra day before a date range).
     """
-    prof = surge_profile(trips, rules, keys, lookback_days)
+    prof = surge_profile(trips, rules, keys, lookback_days, since)
+    if since:
+        prof = prof.filter(F.col("_in_scope"))
+        trips = trips.filter(F.col("pickup_date") >= F.lit(since).cast("date"))
     cols = [demand_col(m) for m in rules.rolling_minutes] + [
         "supply_baseline",
         "supply_stddev",

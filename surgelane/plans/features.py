@@ -3,6 +3,8 @@ derived -> 36-column feature table."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 
 from surgelane.config import FEATURE_TABLE_COLUMNS, FEATURES, FeatureRules
@@ -20,11 +22,13 @@ def feature_transform(
     rules: FeatureRules = FEATURES,
     spatial: str = "auto",
     lookback_days: int | None = None,
+    since: str | None = None,
 ) -> DataFrame:
     """All feature columns on every trip (the trip table is shuffled once, for
-    the (location, second) join that brings back demand and surge)."""
+    the (location, second) join that brings back demand and surge). Trips before
+    ``since`` are rolling-window context only."""
     df = add_spatial_index(processed, spatial)
-    df = surge_features(df, rules, lookback_days=lookback_days)
+    df = surge_features(df, rules, lookback_days=lookback_days, since=since)
     df = integrate_weather(df, weather)
     return add_derived_features(df, rules)
 
@@ -41,5 +45,13 @@ def run_features(
     date_from: str | None = None,
     date_to: str | None = None,
 ) -> str:
-    processed = read_partitioned(spark, processed_path, date_from, date_to)
-    return write_feature_table(feature_transform(processed, weather), out_path)
+    """Feature table for trips picked up in [date_from, date_to] (inclusive).
+
+    Partition pruning reads only those dates plus the day before, whose trips
+    complete the rolling windows at the start of the range and are then dropped.
+    """
+    read_from = None
+    if date_from:
+        read_from = (dt.date.fromisoformat(date_from) - dt.timedelta(days=1)).isoformat()
+    processed = read_partitioned(spark, processed_path, read_from, date_to)
+    return write_feature_table(feature_transform(processed, weather, since=date_from), out_path)

@@ -84,3 +84,20 @@ def test_phase_runner(spark):
     only = parser().parse_args(["--only-features", "--processed", processed, "--features", feats,
                                 "--model-dir", model, "--weather", weather])
     assert list(run(spark, only)) == ["features"]
+
+
+def test_date_range_features_use_previous_day_as_context(spark):
+    from surgelane.operators.supply import surge_features
+
+    trips = clean_trips(trips_from_events(spark, SMOKE))
+    full = {r.trip_id: (r.demand_15min, r.demand_60min) for r in surge_features(trips).collect()}
+    ranged = surge_features(trips.filter(F.col("pickup_date") >= "2024-01-09"), since="2024-01-10")
+    got = {r.trip_id: (r.demand_15min, r.demand_60min) for r in ranged.collect()}
+    in_range = {k for k, r in ((r.trip_id, r) for r in trips.collect()) if str(r.pickup_date) >= "2024-01-10"}
+    assert set(got) == in_range
+    assert all(got[k] == full[k] for k in got)
+    # The baseline covers only the requested range.
+    only = surge_features(trips.filter(F.col("pickup_date") >= "2024-01-10"))
+    base = {r.trip_id: r.supply_baseline for r in only.collect()}
+    for r in ranged.collect():
+        assert abs(r.supply_baseline - base[r.trip_id]) < 1e-12
