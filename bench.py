@@ -72,8 +72,8 @@ def main() -> None:
         "etl": lambda: etl_transform(trips(), zones()),
         "rolling_demand_preagg": lambda: rolling_demand(clean(), method="preagg"),
         "rolling_demand_direct": lambda: rolling_demand(clean(), method="direct"),
-        "surge_fused": lambda: surge_features(clean()),
-        "surge_joinback": lambda: compute_supply_and_surge(rolling_demand(clean(), method="direct")),
+        "supply_window": lambda: surge_features(clean()),
+        "supply_joinback": lambda: compute_supply_and_surge(rolling_demand(clean(), method="direct")),
         "feature_table": lambda: feature_table(clean(), weather()),
         "model_prep": model_prep,
         "boost_round": boost_round,
