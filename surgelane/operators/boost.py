@@ -11,7 +11,9 @@ least-squares regression tree on the residual. Each round:
 3. adds ``learning_rate * v(leaf)`` to the prediction column.
 
 Only per-leaf sums (at most 2^depth rows) and metric scalars reach the driver.
-The prediction state is cut with a reliable checkpoint every few rounds.
+The prediction state is written as a Parquet table in the shared checkpoint
+folder every few rounds (truncating the lineage); the superseded version is
+deleted, so storage holds one copy of the state, not one per round.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from surgelane.config import BOOST, TARGET, BoostParams
 from surgelane.functions.loss import gradient, hessian, loss_weight, weighted_sq_error
 from surgelane.operators.prep import assemble
-from surgelane.session import cut_lineage
+from surgelane.session import StateTables
 
 log = logging.getLogger(__name__)
 
@@ -71,10 +73,13 @@ class BoostedTrees:
         cur = df if "features" in cols else assemble(df, self.features)
         acc = F.lit(float(self.base_score))
         cur = cur.withColumn(output, acc)
+        # Long ensembles: materialise every `checkpoint_every` trees; only the
+        # latest table is kept (the returned DataFrame reads it).
+        tables = StateTables(df.sparkSession, "predict_state")
         for i, (tree, values) in enumerate(zip(self.trees, self.leaf_values)):
             cur = _apply_tree(cur, tree, values, self.learning_rate, output, i)
             if checkpoint_every and (i + 1) % checkpoint_every == 0 and i + 1 < self.n_trees:
-                cur = cut_lineage(cur)
+                cur = tables.write(cur)
         return cur.select(*cols, output)
 
     # --- importance --------------------------------------------------------
@@ -171,6 +176,7 @@ def _initial_state(
     init_model: BoostedTrees | None,
     base_score: float | None,
     penalty: float,
+    tables: StateTables | None = None,
 ) -> tuple[DataFrame, float]:
     rk = F.xxhash64(*[F.col(c) for c in list(features) + [label]])
     val = F.col(valid_col).cast("boolean") if valid_col else F.lit(False)
@@ -178,8 +184,9 @@ def _initial_state(
         "features", F.col(label).cast("double").alias(_Y), val.alias(_VAL), rk.alias(_RK)
     )
     if init_model is not None:
-        # Score the previous trees over a shallow (checkpointed) plan.
-        state = init_model.predict(cut_lineage(base), output=_P)
+        # Score the previous trees over a shallow (materialised) plan.
+        shallow = (tables or StateTables(df.sparkSession, "boost_base")).write(base)
+        state = init_model.predict(shallow, output=_P)
         return state, init_model.base_score
     if base_score is None:
         base_score = optimal_constant(base.filter(~F.col(_VAL)), _Y, penalty)
@@ -205,8 +212,10 @@ def train_boosted(
     n_rounds = params.n_rounds if n_rounds is None else n_rounds
     penalty, alpha, lam = params.underestimation_penalty, params.reg_alpha, params.reg_lambda
     features = list(features)
-    state, base = _initial_state(df, features, label, valid_col, init_model, base_score, penalty)
-    state = cut_lineage(state).persist()
+    spark = df.sparkSession
+    tables = StateTables(spark, "boost_state")
+    state, base = _initial_state(df, features, label, valid_col, init_model, base_score, penalty, tables)
+    state = tables.write(state).persist()
 
     model = BoostedTrees(features=features, base_score=base, learning_rate=params.learning_rate)
     if init_model is not None:
@@ -256,7 +265,8 @@ def train_boosted(
 
         state = _apply_tree(state, tree, values, params.learning_rate, _P, rnd)
         if (t + 1) % max(1, params.checkpoint_every) == 0:
-            old, state = state, cut_lineage(state).persist()
+            old = state
+            state = tables.write(state).persist()
             old.unpersist()
         model.trees.append(tree)
         model.leaf_values.append(values)
@@ -271,6 +281,7 @@ def train_boosted(
             elif early_stopping and rnd - best_round >= params.early_stopping_rounds:
                 break
     state.unpersist()
+    tables.close()
     if valid_col and early_stopping and best_round >= start - 1:
         keep = best_round + 1
         model.trees, model.leaf_values, model.tree_gains = (
@@ -299,12 +310,13 @@ def train_warm_start(
     keep = list(features) + [label] + ([valid_col] if valid_col else [])
     # Materialise once: every batch re-reads it, and batch predicates then act
     # on a shallow plan instead of the whole feature-preparation lineage.
-    tagged = cut_lineage(df.select(*keep, F.pmod(rk, F.lit(n_batches)).alias("_batch")))
-    model = init_model
-    for b in range(n_batches):
-        part = tagged.filter(val | (F.col("_batch") == b)).drop("_batch")
-        model = train_boosted(
-            part, features, label, valid_col, params,
-            n_rounds=params.rounds_per_batch, init_model=model, early_stopping=False,
-        )
+    with StateTables(df.sparkSession, "warm_start_batches") as tables:
+        tagged = tables.write(df.select(*keep, F.pmod(rk, F.lit(n_batches)).alias("_batch")))
+        model = init_model
+        for b in range(n_batches):
+            part = tagged.filter(val | (F.col("_batch") == b)).drop("_batch")
+            model = train_boosted(
+                part, features, label, valid_col, params,
+                n_rounds=params.rounds_per_batch, init_model=model, early_stopping=False,
+            )
     return model

@@ -87,3 +87,44 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss, truncates the plan."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Recursively delete a folder on the cluster's file system (HDFS, S3, local)."""
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(jpath, True))
+
+
+class StateTables:
+    """Versions of an iterative state written as Parquet tables in the shared
+    checkpoint folder. Writing a new version truncates the lineage (the new
+    DataFrame reads only its own files) and deletes the superseded version,
+    so a long loop keeps one copy on storage instead of one per step.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.name = name
+        self.paths: list[str] = []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, self.name)
+        df.write.mode("overwrite").parquet(path)
+        fresh = self.spark.read.parquet(path)
+        for old in self.paths:
+            delete_path(self.spark, old)
+        self.paths = [path]
+        return fresh
+
+    def close(self) -> None:
+        for old in self.paths:
+            delete_path(self.spark, old)
+        self.paths = []
+
+    def __enter__(self) -> "StateTables":
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()

@@ -164,3 +164,18 @@ def test_top_k_tiebreak(spark):
 
 def test_all_model_features_declared():
     assert len(MODEL_FEATURES) == 32 and TARGET == "surge_multiplier"
+
+
+def test_state_tables_keep_one_copy(spark):
+    import os
+
+    from surgelane.session import StateTables
+
+    with StateTables(spark, "state_test") as tables:
+        a = tables.write(spark.range(10))
+        first = tables.paths[0]
+        b = tables.write(a.selectExpr("id * 2 as id"))
+        assert not os.path.exists(first.replace("file:", "")) and len(tables.paths) == 1
+        assert sorted(r.id for r in b.collect()) == [2 * i for i in range(10)]
+        last = tables.paths[0]
+    assert not os.path.exists(last.replace("file:", ""))
