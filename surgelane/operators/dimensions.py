@@ -13,10 +13,10 @@ from surgelane.config import DO_LOC, PU_LOC
 
 log = logging.getLogger(__name__)
 
-# A dimension is broadcast only when its checked key count is at most this.
-# 250k narrow rows stay well under the usual executor broadcast budget; above
-# it the join is left to Spark (shuffled sort-merge / AQE runtime choice).
+# A dimension is broadcast only when its measured size is within both bounds;
+# above them the join is left to Spark (shuffled join / AQE runtime choice).
 MAX_BROADCAST_ROWS = 250_000
+MAX_BROADCAST_BYTES = 128 * 1024 * 1024
 
 
 class DuplicateDimensionKey(ValueError):
@@ -27,6 +27,7 @@ class DuplicateDimensionKey(ValueError):
 class DimensionProfile:
     rows: int
     max_dup: int
+    bytes: int = 0
 
     @property
     def unique(self) -> bool:
@@ -44,14 +45,36 @@ def profile_dimension(dim: DataFrame, keys: Sequence[str]) -> DimensionProfile:
         not_null = not_null & F.col(k).isNotNull()
     row = (
         dim.groupBy(*[F.col(k) for k in keys])
-        .agg(F.count(F.lit(1)).alias("_n"), F.max(not_null.cast("int")).alias("_nn"))
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.max(not_null.cast("int")).alias("_nn"),
+            F.sum(_row_bytes(dim)).alias("_b"),
+        )
         .agg(
             F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
             F.coalesce(F.max(F.when(F.col("_nn") == 1, F.col("_n"))), F.lit(0)).alias("max_dup"),
+            F.coalesce(F.sum("_b"), F.lit(0)).alias("bytes"),
         )
         .first()
     )
-    return DimensionProfile(int(row["rows"]), int(row["max_dup"]))
+    return DimensionProfile(int(row["rows"]), int(row["max_dup"]), int(row["bytes"]))
+
+
+def _row_bytes(df: DataFrame):
+    """Approximate in-memory row size: fixed widths plus actual string lengths."""
+    size = F.lit(16)  # row header
+    for f in df.schema.fields:
+        if f.dataType.typeName() in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) + F.lit(8)
+        else:
+            size = size + F.lit(_FIXED_WIDTH.get(f.dataType.typeName(), 16))
+    return size
+
+
+_FIXED_WIDTH = {
+    "boolean": 1, "byte": 1, "short": 2, "integer": 4, "float": 4, "date": 4,
+    "long": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8, "decimal": 16,
+}
 
 
 def checked_broadcast(
@@ -59,11 +82,12 @@ def checked_broadcast(
     profile: DimensionProfile,
     max_rows: int = MAX_BROADCAST_ROWS,
     what: str = "dimension",
+    max_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Broadcast hint only behind the measured size; otherwise a plain join side."""
-    if profile.rows <= max_rows:
+    if profile.rows <= max_rows and profile.bytes <= max_bytes:
         return F.broadcast(dim)
-    log.info("%s has %d rows > %d: not broadcast", what, profile.rows, max_rows)
+    log.info("%s has %d rows / %d bytes: not broadcast", what, profile.rows, profile.bytes)
     return dim
 
 

@@ -139,3 +139,12 @@ def test_placeholder_zones(sample_trips):
         "pickup_borough", "pickup_zone", "pickup_service_zone",
         "dropoff_borough", "dropoff_zone", "dropoff_service_zone",
     ]
+
+
+def test_dimension_profile_measures_size(sample_zones):
+    from surgelane.operators.dimensions import checked_broadcast, profile_dimension
+
+    prof = profile_dimension(sample_zones, ["LocationID"])
+    assert prof.rows == 9 and prof.max_dup == 1 and prof.bytes > 9 * 16
+    plain = checked_broadcast(sample_zones, prof, max_bytes=10)
+    assert "broadcast" not in plan_text(plain, "extended").lower()
