@@ -105,3 +105,27 @@ def linear_surge(df: DataFrame) -> DataFrame:
         + F.lit(0.05) * F.col("weather_is_rain")
     )
     return df.withColumn("prediction", pred)
+
+
+def yes_no(c: Column) -> Column:
+    return F.when(c == 1, F.lit("Yes")).otherwise(F.lit("No"))
+
+
+def two_decimals(c: Column) -> Column:
+    """Fixed two-decimal text rounded on the exact binary value (as Python's
+    '{:.2f}' does), without grouping separators."""
+    return F.regexp_replace(F.format_number(c, 2), ",", "")
+
+
+def scenario_report(scored: DataFrame) -> DataFrame:
+    """Display columns of a scored scenario: surge as 'N.NNx', z-score with
+    two decimals, rush/weekend/rain as Yes/No."""
+    return scored.withColumns(
+        {
+            "surge_text": F.concat(two_decimals(F.col("predicted_surge")), F.lit("x")),
+            "zscore_text": two_decimals(F.col("demand_zscore")),
+            "rush_hour_text": yes_no(F.col("is_rush_hour")),
+            "weekend_text": yes_no(F.col("is_weekend")),
+            "raining_text": yes_no(F.col("weather_is_rain")),
+        }
+    )

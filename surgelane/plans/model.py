@@ -75,3 +75,8 @@ def load_importance(spark: SparkSession, path: str, k: int = 10) -> DataFrame:
         f"{path}/feature_importance"
     )
     return top_k(imp, k, "importance_gain", "feature")
+
+
+def load_feature_names(spark: SparkSession, path: str) -> DataFrame:
+    """Ordered feature names saved with the model (ordinal, feature)."""
+    return spark.read.schema("ordinal int, feature string").json(f"{path}/feature_names").orderBy("ordinal")

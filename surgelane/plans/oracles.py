@@ -472,3 +472,14 @@ select trip_id, {r('surge_multiplier')} as surge_multiplier,
 from derived"""
 
 SQL["stream_etl"] = SQL["partition_roundtrip"]
+
+SCENARIO_PRED = SQL["score_scenarios"][: SQL["score_scenarios"].index("select trip_id, ", SQL["score_scenarios"].index("pred as ("))]
+
+SQL["scenario_report"] = SCENARIO_PRED + """
+select trip_id,
+       printf('%.2f', predicted_surge) || 'x' as surge_text,
+       printf('%.2f', demand_zscore) as zscore_text,
+       case when is_rush_hour = 1 then 'Yes' else 'No' end as rush_hour_text,
+       case when is_weekend = 1 then 'Yes' else 'No' end as weekend_text,
+       case when weather_is_rain = 1 then 'Yes' else 'No' end as raining_text
+from pred"""

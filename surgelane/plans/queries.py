@@ -397,3 +397,16 @@ def q_stream_etl(spark, sf_dir):
         back.select("trip_id", "pickup_date", "hour", "PULocationID", "pickup_borough",
                     "dropoff_zone", "trip_duration_minutes")
     )
+
+
+from surgelane.operators.scoring import scenario_report  # noqa: E402
+
+
+@query("scenario_report")
+def q_scenario_report(spark, sf_dir):
+    scen = _features_with_id(spark, sf_dir).select(
+        "trip_id", "hour", "day_of_week", "demand_60min", "supply_baseline",
+        "temperature_f", "precipitation_in",
+    )
+    out = scenario_report(score_scenarios(scen, linear_surge, MODEL_FEATURES, keep=["trip_id"]))
+    return out.select("trip_id", "surge_text", "zscore_text", "rush_hour_text", "weekend_text", "raining_text")

@@ -38,3 +38,21 @@ def test_score_floor(spark):
     out = {r.id: r for r in score_scenarios(df, linear_surge, MODEL_FEATURES, keep=["id"]).collect()}
     assert out[1].predicted_surge == 1.0 and out[1].surge_band == "Low"
     assert abs(out[2].predicted_surge - (0.5 + 0.4 * 6 + 0.1 + 0.05)) < 1e-12 and out[2].surge_band == "High"
+
+
+def test_two_decimals_match_python(spark):
+    from surgelane.operators.scoring import two_decimals
+
+    values = [-2.925, 0.125, 2.945, 1.005, 1234.567, 0.0, -0.004, 2.675, 1.115]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r.t for r in df.select(two_decimals(F.col("v")).alias("t")).collect()]
+    assert got == ["{:.2f}".format(v) for v in values]
+
+
+def test_scenario_report(spark):
+    from surgelane.operators.scoring import scenario_report
+
+    df = spark.createDataFrame([(1.5, 0.75, 1, 0, 1)],
+                               "predicted_surge double, demand_zscore double, is_rush_hour int, is_weekend int, weather_is_rain int")
+    r = scenario_report(df).first()
+    assert (r.surge_text, r.zscore_text, r.rush_hour_text, r.weekend_text, r.raining_text) == ("1.50x", "0.75", "Yes", "No", "Yes")
