@@ -18,7 +18,7 @@ from surgelane.plans.etl import run_etl
 from surgelane.plans.features import run_features
 from surgelane.plans.model import save_artifacts, train_surge_model
 from surgelane.session import build_session
-from surgelane.sources.files import read_parquet, read_zone_csv
+from surgelane.sources.files import read_weather, read_zone_csv
 
 PHASES = ("etl", "features", "model")
 
@@ -40,7 +40,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, str]:
             zones = read_zone_csv(spark, args.zones) if args.zones else None
             done[phase] = run_etl(spark, args.raw, args.processed, zones)
         elif phase == "features":
-            weather = read_parquet(spark, args.weather, None)
+            weather = read_weather(spark, args.weather)
             done[phase] = run_features(spark, args.processed, weather, args.features)
         elif phase == "model":
             feats = spark.read.parquet(args.features)

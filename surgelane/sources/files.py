@@ -87,3 +87,48 @@ def require_not_empty(df: DataFrame, name: str) -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"{name} is empty")
     return df
+
+
+WEATHER_COLUMNS = (
+    "date",
+    "hour",
+    "temperature_f",
+    "precipitation_in",
+    "wind_speed_mph",
+    "visibility_miles",
+    "weather_condition",
+)
+
+
+def normalize_date(c, dtype) -> "F.Column":
+    """DATE from a date, a timestamp, or epoch nanoseconds (pandas-written files)."""
+    name = dtype.typeName()
+    if name == "date":
+        return c
+    if name in ("long", "integer"):
+        return F.to_date(F.timestamp_micros(F.floor(c / 1000)))
+    return F.to_date(c)
+
+
+def read_weather(spark: SparkSession, path: str) -> DataFrame:
+    """Hourly weather with ``date`` as DATE and ``hour`` as INT.
+
+    Files written from pandas store ``date`` as Parquet TIMESTAMP(NANOS), which
+    Spark refuses by default; in that case the reader falls back to Spark's
+    ``spark.sql.legacy.parquet.nanosAsLong`` option (set for the session) and
+    converts the nanoseconds.
+    """
+    try:
+        df = spark.read.parquet(path)
+        df.schema  # noqa: B018 - resolve the footer now
+        df.limit(1).collect()  # type check happens on the first row group read
+    except Exception as e:  # noqa: BLE001
+        if "TIMESTAMP(NANOS" not in str(e):
+            raise
+        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+        df = spark.read.parquet(path)
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    out = df.withColumns(
+        {"date": normalize_date(F.col("date"), fields["date"]), "hour": F.col("hour").cast("int")}
+    )
+    return tolerant_select(out, WEATHER_COLUMNS)

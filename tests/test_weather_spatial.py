@@ -100,3 +100,25 @@ def test_pseudo_coordinates(spark):
     # Quirk kept on purpose: both fractions sum to one, ids fall on one diagonal.
     frac = (rows[0].pickup_latitude - 40.4774) / (40.9176 - 40.4774) + (rows[0].pickup_longitude + 74.2591) / (-73.7004 + 74.2591)
     assert abs(frac - 1.0) < 1e-9
+
+
+def test_pandas_nanos_weather_file(spark, sample_trips):
+    import tempfile
+
+    import pandas as pd
+
+    from surgelane.sources.files import read_weather
+
+    path = tempfile.mkdtemp(prefix="surgelane-weather-", dir="/tmp") + "/w.parquet"
+    pd.DataFrame({
+        "date": pd.to_datetime(["2024-03-15", "2024-03-15"]), "hour": [8, 9],
+        "temperature_f": [41.0, 43.0], "precipitation_in": [0.2, 0.0], "wind_speed_mph": [12.0, 10.0],
+        "visibility_miles": [6.0, 9.5], "weather_condition": ["Rain", "Clear"],
+    }).to_parquet(path, index=False)
+    try:
+        w = read_weather(spark, path)
+        assert dict(w.dtypes)["date"] == "date" and dict(w.dtypes)["hour"] == "int"
+        out = {r.hour: r for r in integrate_weather(clean_trips(sample_trips), w).collect()}
+        assert out[8].weather_is_rain == 1 and out[9].weather_is_clear == 1
+    finally:
+        spark.conf.unset("spark.sql.legacy.parquet.nanosAsLong")
