@@ -1,7 +1,7 @@
 """Headline-query benchmark: prints one JSON line.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_RUNS (default 3, median reported). Every query is executed in full with
+BENCH_RUNS (default 5, median reported). Every query is executed in full with
 a no-op sink (no collect), after one warm-up pass over all of them.
 """
 
@@ -36,7 +36,7 @@ from surgelane.sources.testdata import trips_from_events, weather_from_trips, zo
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
     spark = build_session(
         f"local[{cpus}]",
         app_name="surgelane-bench",

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from surgelane.config import FEATURES, PICKUP_TS, PU_LOC, FeatureRules
 from surgelane.operators.demand import (
     TRIPS_AT_SECOND,
-    UNIX_TS,
     attach_by_second,
     demand_col,
     demand_profile,

@@ -144,7 +144,6 @@ def q_supply_lookback(spark, sf_dir):
 
 # --- weather / derived / spatial / feature table -----------------------------
 
-from surgelane.config import FEATURE_TABLE_COLUMNS  # noqa: E402
 from surgelane.functions.common import round_doubles  # noqa: E402
 from surgelane.operators.derived import add_derived_features  # noqa: E402
 from surgelane.operators.spatial import add_pseudo_coordinates, add_spatial_index  # noqa: E402
