@@ -2,8 +2,12 @@
 
 The baseline is the mean of demand_60min over all trips sharing
 (PULocationID, hour, day_of_week) — over the whole input, as the reference
-computes it — with the sample standard deviation and trip count. The opt-in
-``supply_lookback`` variant uses only the previous N days.
+computes it — with the sample standard deviation and trip count. With
+``lookback_days`` only the previous N days of the same key count.
+
+``surge_profile`` / ``surge_features`` compute it from the collapsed
+(location, second) rows; ``supply_baseline`` / ``compute_supply_and_surge``
+are the per-trip forms kept for comparison.
 """
 
 from __future__ import annotations
