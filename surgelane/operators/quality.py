@@ -41,3 +41,28 @@ def duration_filter(df: DataFrame, rules: QualityRules = QUALITY) -> DataFrame:
     """Strictly between the bounds, on the rounded duration."""
     d = F.col("trip_duration_minutes")
     return df.filter((d > rules.min_duration) & (d < rules.max_duration))
+
+
+def contract_report(df: DataFrame) -> DataFrame:
+    """One-row data-contract check of processed trips in a single aggregation:
+    bounds, pickup-year range, hour range and 0/1 flags (the invariants the
+    filters and calendar features promise)."""
+    flags = ("is_weekend", "is_rush_hour")
+    return df.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.min("trip_distance").alias("min_trip_distance"),
+        F.max("trip_distance").alias("max_trip_distance"),
+        F.min("fare_amount").alias("min_fare_amount"),
+        F.max("fare_amount").alias("max_fare_amount"),
+        F.min("total_amount").alias("min_total_amount"),
+        F.min(F.year(PICKUP_TS)).alias("min_pickup_year"),
+        F.max(F.year(PICKUP_TS)).alias("max_pickup_year"),
+        F.min("hour").alias("min_hour"),
+        F.max("hour").alias("max_hour"),
+        F.min("trip_duration_minutes").alias("min_duration"),
+        F.max("trip_duration_minutes").alias("max_duration"),
+        F.sum(
+            sum((~F.col(c).isin(0, 1)).cast("int") for c in flags)
+        ).alias("bad_flags"),
+        F.sum(F.col("passenger_count").isNull().cast("int")).alias("null_passengers"),
+    )

@@ -483,3 +483,17 @@ select trip_id,
        case when is_weekend = 1 then 'Yes' else 'No' end as weekend_text,
        case when weather_is_rain = 1 then 'Yes' else 'No' end as raining_text
 from pred"""
+
+SQL["contract_report"] = BASE + """
+select count(*) as n_rows,
+       min(trip_distance) as min_trip_distance, max(trip_distance) as max_trip_distance,
+       min(fare_amount) as min_fare_amount, max(fare_amount) as max_fare_amount,
+       min(total_amount) as min_total_amount,
+       cast(min(year(tpep_pickup_datetime)) as integer) as min_pickup_year,
+       cast(max(year(tpep_pickup_datetime)) as integer) as max_pickup_year,
+       min(hour) as min_hour, max(hour) as max_hour,
+       min(trip_duration_minutes) as min_duration, max(trip_duration_minutes) as max_duration,
+       cast(sum(case when is_weekend not in (0, 1) then 1 else 0 end
+              + case when is_rush_hour not in (0, 1) then 1 else 0 end) as bigint) as bad_flags,
+       cast(sum(case when passenger_count is null then 1 else 0 end) as bigint) as null_passengers
+from temporal"""

@@ -409,3 +409,11 @@ def q_scenario_report(spark, sf_dir):
     )
     out = scenario_report(score_scenarios(scen, linear_surge, MODEL_FEATURES, keep=["trip_id"]))
     return out.select("trip_id", "surge_text", "zscore_text", "rush_hour_text", "weekend_text", "raining_text")
+
+
+from surgelane.operators.quality import contract_report  # noqa: E402
+
+
+@query("contract_report")
+def q_contract_report(spark, sf_dir):
+    return contract_report(_clean(spark, sf_dir))

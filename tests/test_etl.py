@@ -148,3 +148,13 @@ def test_dimension_profile_measures_size(sample_zones):
     assert prof.rows == 9 and prof.max_dup == 1 and prof.bytes > 9 * 16
     plain = checked_broadcast(sample_zones, prof, max_bytes=10)
     assert "broadcast" not in plan_text(plain, "extended").lower()
+
+
+def test_contract_report(sample_trips):
+    from surgelane.operators.quality import contract_report
+
+    r = contract_report(clean_trips(sample_trips)).first()
+    assert r.n_rows == 5 and r.bad_flags == 0 and r.null_passengers == 0
+    assert (r.min_pickup_year, r.max_pickup_year) == (2024, 2024)
+    assert r.min_trip_distance >= 0.1 and r.max_fare_amount <= 5000 and r.min_total_amount > 0
+    assert 0 <= r.min_hour and r.max_hour <= 23 and 0.5 < r.min_duration and r.max_duration < 360
