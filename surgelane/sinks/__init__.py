@@ -4,4 +4,5 @@ from surgelane.sinks.tables import (  # noqa: F401
     output_size,
     write_feature_table,
     write_partitioned,
+    write_weather_table,
 )

@@ -51,3 +51,11 @@ def write_feature_table(df: DataFrame, path: str, mode: str = "overwrite") -> st
         "compression", "snappy"
     ).parquet(path)
     return path
+
+
+def write_weather_table(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+    """Hourly weather with ``date`` as DATE and ``hour`` as INT (never a
+    nanosecond timestamp), one small file."""
+    out = df.withColumns({"date": F.to_date("date"), "hour": F.col("hour").cast("int")})
+    out.coalesce(1).write.mode(mode).option("compression", "snappy").parquet(path)
+    return path

@@ -122,3 +122,23 @@ def test_pandas_nanos_weather_file(spark, sample_trips):
         assert out[8].weather_is_rain == 1 and out[9].weather_is_clear == 1
     finally:
         spark.conf.unset("spark.sql.legacy.parquet.nanosAsLong")
+
+
+def test_weather_table_roundtrip(spark):
+    from surgelane.session import scratch_path
+    from surgelane.sinks.tables import write_weather_table
+    from surgelane.sources.files import read_weather
+
+    w = year_spine(spark, 2024).select(F.col("hour_ts").alias("date"), "hour", F.lit(50.0).alias("temperature_f"))
+    path = write_weather_table(w, scratch_path(spark, "weather_out"))
+    back = read_weather(spark, path)
+    assert dict(back.dtypes)["date"] == "date" and back.count() == 8784
+
+
+def test_missing_input_path_fails(spark):
+    from pyspark.errors import AnalysisException
+
+    from surgelane.sources.files import read_parquet
+
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        read_parquet(spark, "/root/testdata/does-not-exist.parquet")
