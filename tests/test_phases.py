@@ -101,3 +101,11 @@ def test_date_range_features_use_previous_day_as_context(spark):
     base = {r.trip_id: r.supply_baseline for r in only.collect()}
     for r in ranged.collect():
         assert abs(r.supply_baseline - base[r.trip_id]) < 1e-12
+
+
+def test_join_back_never_broadcasts_profile(spark):
+    from surgelane.operators.supply import surge_features
+
+    plan = plan_text(surge_features(clean_trips(trips_from_events(spark, SMOKE))), "simple")
+    assert "ShuffledHashJoin" in plan
+    assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
