@@ -109,3 +109,22 @@ def test_join_back_never_broadcasts_profile(spark):
     plan = plan_text(surge_features(clean_trips(trips_from_events(spark, SMOKE))), "simple")
     assert "ShuffledHashJoin" in plan
     assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
+
+
+def test_run_features_date_range(spark):
+    from surgelane.plans.features import run_features
+
+    trips = trips_from_events(spark, SMOKE)
+    processed = write_partitioned(etl_transform(trips, zones_from_tables(spark, SMOKE)),
+                                  scratch_path(spark, "processed_range"))
+    out = run_features(spark, processed, weather_from_trips(trips), scratch_path(spark, "features_range"),
+                       date_from="2024-01-10", date_to="2024-01-12")
+    got = spark.read.parquet(out)
+    assert len(got.columns) == 36
+    days = {str(r.pickup_date) for r in got.select("pickup_date").distinct().collect()}
+    assert days <= {"2024-01-10", "2024-01-11", "2024-01-12"} and days
+    full = feature_table(clean_trips(trips), weather_from_trips(trips)).filter(
+        F.col("pickup_date").between("2024-01-10", "2024-01-12"))
+    cols = ["PULocationID", "hour", "pickup_date", "demand_15min", "demand_30min", "demand_60min"]
+    assert got.select(*cols).exceptAll(full.select(*cols)).count() == 0
+    assert got.count() == full.count()
