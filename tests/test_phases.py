@@ -128,3 +128,17 @@ def test_run_features_date_range(spark):
     cols = ["PULocationID", "hour", "pickup_date", "demand_15min", "demand_30min", "demand_60min"]
     assert got.select(*cols).exceptAll(full.select(*cols)).count() == 0
     assert got.count() == full.count()
+
+
+def test_flagship_shuffles_no_trip_rows(spark):
+    from surgelane.plans.flagship import surge_by_borough_hour
+
+    df = surge_by_borough_hour(trips_from_events(spark, SMOKE), zones_from_tables(spark, SMOKE))
+    plan = plan_text(df, "simple")
+    assert plan.count("events.parquet") == 1
+    lines = [ln.strip() for ln in plan.splitlines()]
+    scan = next(i for i, ln in enumerate(lines) if "events.parquet" in ln)
+    # Walking up from the scan, the first exchange sits above a partial (map-side) aggregate.
+    above = lines[:scan][::-1]
+    first_exchange = next(i for i, ln in enumerate(above) if "Exchange hashpartitioning" in ln)
+    assert any("partial_count" in ln for ln in above[:first_exchange])
