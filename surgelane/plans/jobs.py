@@ -41,7 +41,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, str]:
             done[phase] = run_etl(spark, args.raw, args.processed, zones)
         elif phase == "features":
             weather = read_weather(spark, args.weather)
-            done[phase] = run_features(spark, args.processed, weather, args.features)
+            done[phase] = run_features(
+                spark, args.processed, weather, args.features, args.date_from, args.date_to
+            )
         elif phase == "model":
             feats = spark.read.parquet(args.features)
             params = BOOST
@@ -73,6 +75,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--key", default=None, help="row key column for the split")
     p.add_argument("--exclude", default="", help="comma-separated features to leave out")
     p.add_argument("--incremental", action="store_true", help="warm-start batches")
+    p.add_argument("--date-from", dest="date_from", default=None,
+                   help="features for pickups from this date (partition-pruned; the day before is read as context)")
+    p.add_argument("--date-to", dest="date_to", default=None, help="features for pickups up to this date")
     p.add_argument("--rounds", type=int, default=None, help="boosting rounds (default from config)")
     p.add_argument("--learning-rate", dest="learning_rate", type=float, default=None)
     return p

@@ -82,8 +82,11 @@ def test_phase_runner(spark):
     metrics = spark.read.json(f"{model}/metrics").first()
     assert metrics.n_features == 32 and metrics.rmse >= 0
     only = parser().parse_args(["--only-features", "--processed", processed, "--features", feats,
-                                "--model-dir", model, "--weather", weather])
+                                "--model-dir", model, "--weather", weather,
+                                "--date-from", "2024-01-10", "--date-to", "2024-01-12"])
     assert list(run(spark, only)) == ["features"]
+    days = {str(r.pickup_date) for r in spark.read.parquet(feats).select("pickup_date").distinct().collect()}
+    assert days and days <= {"2024-01-10", "2024-01-11", "2024-01-12"}
 
 
 def test_date_range_features_use_previous_day_as_context(spark):
