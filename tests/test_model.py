@@ -179,3 +179,9 @@ def test_state_tables_keep_one_copy(spark):
         assert sorted(r.id for r in b.collect()) == [2 * i for i in range(10)]
         last = tables.paths[0]
     assert not os.path.exists(last.replace("file:", ""))
+
+
+def test_exclude_leaky_features(feature_df):
+    prepared, names = prepare_features(feature_df, exclude=("demand_60min", "supply_baseline"))
+    assert "demand_60min" not in names and "supply_baseline" not in names and len(names) == 30
+    assert "demand_60min" not in prepared.columns and TARGET in prepared.columns
