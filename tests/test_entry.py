@@ -53,7 +53,8 @@ def test_every_query_has_oracle_or_is_rows_only():
 
 
 @pytest.mark.parametrize("name", ["flagship", "rolling_demand", "surge", "supply_lookback", "feature_table",
-                                  "weather_join", "hex_bin", "eval_metrics", "score_scenarios", "train_val_split"])
+                                  "weather_join", "hex_bin", "eval_metrics", "score_scenarios", "train_val_split",
+                                  "contract_report", "scenario_report"])
 def test_query_matches_oracle(spark, duck, name):
     sdf = E.queries()[name](spark, SMOKE)
     res = duck.execute(E.oracle_sql()[name])
