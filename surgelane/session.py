@@ -7,6 +7,10 @@ shared folder named by ``spark.checkpoint.dir`` (never a local checkpoint).
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,15 +82,48 @@ def checkpoint_root(spark: SparkSession) -> str:
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per context.
+
+    A job submitted with ``--py-files`` or an installed package needs no such
+    call; a session that only has the repository on its own path does.
+    """
+    sc = spark.sparkContext
+    package = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(package)
+    if any(str(f).endswith(f"{name}.zip") for f in sc._python_includes):
+        return
+    # The driver serves the archive as long as the context lives.
+    folder = tempfile.mkdtemp(prefix="ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    stage = os.path.join(folder, "stage")
+    shutil.copytree(package, os.path.join(stage, name), ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, name), "zip", stage))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint root for a written table."""
     return f"{checkpoint_root(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, truncates the plan."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    Cuts lineage reliably (the files survive a lost executor) and lets several
+    consumers read only the columns they need. The table goes when the driver's
+    JVM ends.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    delete_on_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder on the cluster's file system when the driver's JVM ends."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
 
 
 def delete_path(spark: SparkSession, path: str) -> bool:
@@ -118,6 +155,12 @@ class StateTables:
         self.paths = [path]
         return fresh
 
+    def keep(self) -> None:
+        """Leave the last version to its readers; it goes when the driver's JVM ends."""
+        for path in self.paths:
+            delete_on_exit(self.spark, path)
+        self.paths = []
+
     def close(self) -> None:
         for old in self.paths:
             delete_path(self.spark, old)
