@@ -225,8 +225,11 @@ def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
 def identify_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with ``language``, ``posterior`` and ``accepted`` added.
 
-    Their ``lang`` is the declaration, their ``source`` the host.
+    Their ``lang`` is the declaration, their ``source`` the host. Null and empty
+    texts, and texts without letters, are rejected; repeated rows are each judged;
+    columns named like the three are replaced.
     """
+    docs = docs.drop("language", "posterior", "accepted")
     model = fit(docs.select("doc_id", "text", "lang"))
     rows = docs.select(
         F.xxhash64("doc_id", "text", "lang", "source").alias("id"), "text", F.col("source").alias("host"),

@@ -108,8 +108,9 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped`` added.
 
     A text that loses no line stays as it is (null: empty). If all lines go, the
-    kept text is empty.
+    kept text is empty. Columns of these names in ``docs`` are replaced.
     """
+    docs = docs.drop("kept_text", "n_lines", "n_dropped")
     b = bitmaps.select(F.col("doc_id").alias("_line_doc"), F.col("th").alias("_line_th"), F.col("words").alias("_line_words"))
     text = F.coalesce(F.col("text"), F.lit(""))
     marked = docs.withColumn("_line_h", F.xxhash64("text")).join(

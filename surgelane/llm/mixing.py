@@ -73,8 +73,10 @@ def mix(
     ``taken`` is whole epochs of the row plus its part of the cut epoch; the row
     at the cut is taken in part, so a source's sum is its target rounded down.
     Null ids share a key; null sources are one source; empty rows take 0;
-    repeated rows count each. An empty table gives an empty table.
+    repeated rows count each. An empty table gives an empty table. Columns named
+    like the three are replaced.
     """
+    rows = rows.drop("source_size", "target", "taken")
     # Names compare by code point; "~" puts the null source behind all "=" names.
     keyed = rows.withColumns(
         {

@@ -55,3 +55,42 @@ SELECT doc_id, size, source_size, target,
     CAST(full_epochs * size + greatest(0, least(size, budget - full_epochs * source_size - start)) AS BIGINT) AS taken
 FROM epochs
 """
+
+SQL["op8_exact_top_k"] = r"""
+WITH fit AS (
+    SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 64) AS BIGINT)) AS x
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+        CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+    FROM fit q JOIN fit c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+SQL["op2_embedding_near_dedup"] = r"""
+WITH RECURSIVE fit AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND label IS NOT NULL
+        AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0
+        AND len(list_filter(embedding, lambda v: v <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b
+        ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+    SELECT a AS vec_id, a AS other FROM links
+    UNION
+    SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), least AS (
+    SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id
+), degrees AS (
+    SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT e.vec_id, CAST(coalesce(d.n_links, 0) AS BIGINT) AS n_links,
+    coalesce(l.component_id, e.vec_id) AS component_id, coalesce(l.component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN degrees d ON e.vec_id = d.vec_id LEFT JOIN least l ON e.vec_id = l.vec_id
+"""

@@ -181,9 +181,11 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with ``doc_id``, ``piece``, ``length``.
 
     Other columns pass through. Null ids and repeated rows are pieces like any
-    others; an empty table gives an empty table.
+    others; an empty table gives an empty table. Columns named like the two are
+    replaced.
     """
     spark = cut.sparkSession
+    cut = cut.drop("sequence_id", "offset")
     bucketed = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int"))
     cells = materialise(bucketed.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n")), "length-counts")
     # One row a length: no more than the capacity.

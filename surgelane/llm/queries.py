@@ -36,6 +36,20 @@ def op1(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op2_embedding_near_dedup")
+def op2(spark, sf_dir):
+    from surgelane.llm.crosspolytope import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_toxicity")
+def op3(spark, sf_dir):
+    from surgelane.llm.toxicity import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op4_line_dedup")
 def op4(spark, sf_dir):
     from surgelane.llm.linededup import apply_bitmaps, line_bitmaps
@@ -53,6 +67,13 @@ def op5(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query("op6_html_extraction")
+def op6(spark, sf_dir):
+    from surgelane.llm.pagediff import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 @query("op7_sharding")
 def op7(spark, sf_dir):
     from surgelane.llm.sharding import shard_by_bytes, sized
@@ -64,6 +85,13 @@ def op7(spark, sf_dir):
     )
 
 
+@query("op8_exact_top_k")
+def op8(spark, sf_dir):
+    from surgelane.llm.kdtree import scaled, top_k
+
+    return top_k(scaled(table(spark, sf_dir, "embeddings")))
+
+
 @query("op9_language_id")
 def op9(spark, sf_dir):
     from surgelane.llm.langid import identify_pages

@@ -62,9 +62,10 @@ def shard_by_bytes(rows: DataFrame, n_shards: int = 16, tolerance: float = TOLER
 
     Slots count from 0 without gaps in each shard. Other columns pass through.
     Null ids take part like any id; repeated rows each get a slot of their own;
-    an empty table gives an empty table.
+    an empty table gives an empty table. Columns named like the two are replaced.
     """
     spark = rows.sparkSession
+    rows = rows.drop("shard", "slot")
     n_rows, total = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
     total = total or 0
     large = []
