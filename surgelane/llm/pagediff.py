@@ -13,7 +13,9 @@ Rows are range-partitioned by host, path and id, so a hot host is spread over
 many partitions; a task streams its sorted pages and remembers ``REMEMBERED``
 different ones. Pages that would share more than half their text are copies of
 one article and not compared. A partition's first page has its partner after
-it, as a host's first page has.
+it, as a host's first page has. A host's page that stands alone at a partition's
+edge has no partner and keeps its lines; partitions have at least ``LEAST_ROWS``
+rows on average, so these are few.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 REMEMBERED = 4
 # Partners that share more of a page's text than this are copies of it.
 COPY_SHARE = 0.5
+# Rows of a partition on average, at least.
+LEAST_ROWS = 256
 
 # HTML element names by how they lay out text.
 BLOCKS = frozenset(
@@ -179,7 +183,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     or one without article lines, has an empty text. Pages with a null address
     share a host of that name. Repeated rows are copies: each has its text.
     """
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pages.count() // LEAST_ROWS) or 1)
     address = F.coalesce("url", F.lit(""))
     rows = pages.select(
         "page_id", "url", "html",
