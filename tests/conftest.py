@@ -45,7 +45,7 @@ ZONE_ROWS = [
 
 @pytest.fixture(scope="session")
 def spark():
-    from surgelane.session import build_session
+    from surgelane.session import build_session, ship_package
 
     s = build_session(
         "local[*]",
@@ -55,6 +55,7 @@ def spark():
         extra={"spark.ui.enabled": "false", "spark.driver.memory": "4g"},
     )
     s.sparkContext.setLogLevel("ERROR")
+    ship_package(s)
     yield s
     s.stop()
 
