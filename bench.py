@@ -30,7 +30,7 @@ from surgelane.plans.etl import etl_transform  # noqa: E402
 from surgelane.plans.features import feature_table, feature_transform  # noqa: E402
 from surgelane.plans.flagship import clean_trips, surge_by_borough_hour  # noqa: E402
 from surgelane.session import build_session, scratch_path  # noqa: E402
-from surgelane.sources.testdata import trips_from_events, weather_from_trips, zones_from_tables  # noqa: E402
+from surgelane.sources.testdata import trips_from_events, weather_from_events, zones_from_tables  # noqa: E402
 
 
 def main() -> None:
@@ -49,7 +49,7 @@ def main() -> None:
     trips = lambda: trips_from_events(spark, sf_dir)
     zones = lambda: zones_from_tables(spark, sf_dir)
     clean = lambda: clean_trips(trips())
-    weather = lambda: weather_from_trips(trips())
+    weather = lambda: weather_from_events(spark, sf_dir)
 
     # Phase C reads the written feature table (as the pipeline does); write it
     # once, untimed.

@@ -1,16 +1,11 @@
-"""Weather expressions: condition classification (C11) and the deterministic
-climate baseline (C13)."""
+"""Weather expressions: condition classification (C11)."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the climate baseline (NYC): temperature 55 + 22 sin(season)
-# + 5 sin(daily); precipitation probability .15 + .1 sin(season - 100 days);
-# wind 8 + 4 sin(season + 30 days). Snow below 35 F, fog below 3 miles.
+# Snow below 35 F, fog below 3 miles.
 SNOW_BELOW_F = 35.0
 FOG_BELOW_MILES = 3.0
 
@@ -24,23 +19,3 @@ def classify_condition(precip: Column, temp: Column, visibility: Column) -> Colu
         .when(precip > 0, F.lit("Rain"))
         .otherwise(F.lit("Clear"))
     )
-
-
-def _cycle(x: Column, period: float) -> Column:
-    return F.sin(F.lit(2.0) * F.lit(math.pi) * x / F.lit(period))
-
-
-def seasonal_temperature(doy: Column, hour: Column) -> Column:
-    return (
-        F.lit(55.0)
-        + F.lit(22.0) * _cycle(doy - 80, 365.0)
-        + F.lit(5.0) * _cycle(hour - 6, 24.0)
-    )
-
-
-def precipitation_probability(doy: Column) -> Column:
-    return F.lit(0.15) + F.lit(0.1) * _cycle(doy - 100, 365.0)
-
-
-def base_wind(doy: Column) -> Column:
-    return F.lit(8.0) + F.lit(4.0) * _cycle(doy + 30, 365.0)

@@ -24,7 +24,6 @@ from surgelane.operators.supply import (  # noqa: F401
 )
 from surgelane.operators.temporal import extract_temporal_features  # noqa: F401
 from surgelane.operators.weather import (  # noqa: F401
-    climate_baseline,
     hour_spine,
     integrate_weather,
     weather_onehot,

@@ -4,10 +4,14 @@ With grad = -2 w r and hess = 2 w (w = penalty if r > 0 else 1), the Newton
 direction -g/h equals the residual r, so one boosting round is a weighted
 least-squares regression tree on the residual. Each round:
 
-1. fits one Spark ML tree (``RandomForestRegressor`` with one tree, per-node
-   feature subsampling) on label r and weight w over a hashed row subsample;
-2. re-fits the leaf values from per-leaf gradient/hessian sums with L1/L2
-   regularisation: v = -sign(G) max(|G| - alpha, 0) / (H + lambda);
+1. fits one Spark ML tree (``RandomForestRegressor`` with one tree) on label r
+   and weight w over a hashed row subsample and a column sample of its own;
+   a child needs ``min_child_weight`` of hessian;
+2. sums gradients and hessians per leaf, which gives those of all nodes, prunes
+   splits that gain less than ``gamma`` and sets leaf values with L1/L2
+   regularisation: v = -sign(G) max(|G| - alpha, 0) / (H + lambda). The same
+   aggregation measures the losses of the predictions so far, so a round has
+   one pass besides the tree's own;
 3. adds ``learning_rate * v(leaf)`` to the prediction column.
 
 Only per-leaf sums (at most 2^depth rows) and metric scalars reach the driver.
@@ -21,42 +25,61 @@ from __future__ import annotations
 import json
 import logging
 import math
-from collections.abc import Sequence
+import random
+import re
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from surgelane.config import BOOST, TARGET, BoostParams
 from surgelane.functions.loss import gradient, hessian, loss_weight, weighted_sq_error
-from surgelane.operators.prep import assemble
-from surgelane.session import StateTables
+from surgelane.session import StateTables, materialise
 
 log = logging.getLogger(__name__)
 
 _Y, _P, _VAL, _RK = "_y", "_p", "_val", "_rk"
+NODE_SCHEMA = "tree int, node int, feature string, threshold double, left int, right int, value double, gain double"
+
+
+def shrunk(g: float, alpha: float) -> float:
+    return max(abs(g) - alpha, 0.0)
 
 
 def leaf_value(g: float, h: float, alpha: float, lam: float) -> float:
-    shrunk = max(abs(g) - alpha, 0.0)
-    return -math.copysign(shrunk, g) / (h + lam) if shrunk > 0 else 0.0
+    s = shrunk(g, alpha)
+    return -math.copysign(s, g) / (h + lam) if s > 0 else 0.0
 
 
 def structure_score(g: float, h: float, alpha: float, lam: float) -> float:
-    shrunk = max(abs(g) - alpha, 0.0)
-    return shrunk * shrunk / (h + lam)
+    s = shrunk(g, alpha)
+    return s * s / (h + lam)
+
+
+@dataclass
+class Node:
+    """A split (feature, threshold: left if value <= threshold) or a leaf (value, learning rate applied)."""
+
+    feature: str | None = None
+    threshold: float | None = None
+    left: int | None = None
+    right: int | None = None
+    value: float = 0.0
+    gain: float = 0.0
 
 
 @dataclass
 class BoostedTrees:
     features: list[str]
     base_score: float
-    learning_rate: float
-    trees: list = field(default_factory=list)
-    leaf_values: list[list[float]] = field(default_factory=list)
-    tree_gains: list[float] = field(default_factory=list)
+    trees: list[list[Node]] = field(default_factory=list)
     best_iteration: int = -1
     history: list[dict] = field(default_factory=list)
 
@@ -65,132 +88,298 @@ class BoostedTrees:
         return len(self.trees)
 
     # --- scoring -----------------------------------------------------------
-    def predict(
-        self, df: DataFrame, output: str = "prediction", checkpoint_every: int = 50
-    ) -> DataFrame:
-        """Add ``output``: base score plus the learning-rate-scaled leaf values."""
-        cols = df.columns
-        cur = df if "features" in cols else assemble(df, self.features)
-        acc = F.lit(float(self.base_score))
-        cur = cur.withColumn(output, acc)
-        # Long ensembles: materialise every `checkpoint_every` trees; only the
-        # latest table is kept (the returned DataFrame reads it).
-        tables = StateTables(df.sparkSession, "predict_state")
-        for i, (tree, values) in enumerate(zip(self.trees, self.leaf_values)):
-            cur = _apply_tree(cur, tree, values, self.learning_rate, output, i)
-            if checkpoint_every and (i + 1) % checkpoint_every == 0 and i + 1 < self.n_trees:
-                cur = tables.write(cur)
-        return cur.select(*cols, output)
+    def predict(self, df: DataFrame, output: str = "prediction", start: int = 0, base: str | None = None) -> DataFrame:
+        """Add ``output``: base score plus the leaf values of the trees from ``start`` on.
+
+        With ``base``, that column takes the base score's place. One pass over
+        ``df`` applies all trees to Arrow batches.
+        """
+        trees = [_arrays(tree, self.features) for tree in self.trees[start:]]
+        names = [f"_x{i}" for i in range(len(self.features))]
+        first = F.col(base) if base else F.lit(float(self.base_score))
+        keep = [c for c in df.columns if c != output]
+        wide = df.select(*keep, first.cast("double").alias(output), *[F.col(f).cast("double").alias(n) for f, n in zip(self.features, names)])
+        schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(output, T.DoubleType())])
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = np.stack([batch[n].to_numpy(zero_copy_only=False) for n in names], axis=1) if names else np.empty((batch.num_rows, 0))
+                total = batch[output].to_numpy(zero_copy_only=False).copy()
+                for tree in trees:
+                    total += _descend(tree, x)
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(total)], [*keep, output])
+
+        return wide.mapInArrow(score, schema)
 
     # --- importance --------------------------------------------------------
     def importance(self, spark: SparkSession) -> DataFrame:
-        """(feature, importance_gain): per-tree split importances scaled by the
-        tree's total loss reduction, summed over trees (a total-gain measure)."""
-        totals = [0.0] * len(self.features)
-        for tree, gain in zip(self.trees, self.tree_gains):
-            imp = tree.featureImportances.toArray()
-            for j, v in enumerate(imp):
-                totals[j] += float(v) * gain
-        rows = [(f, t) for f, t in zip(self.features, totals) if t > 0]
+        """(feature, importance_gain): average gain of the feature's splits."""
+        gains: dict[str, list[float]] = {}
+        for tree in self.trees:
+            for n in tree:
+                if n.feature is not None:
+                    gains.setdefault(n.feature, []).append(n.gain)
+        rows = [(f, math.fsum(g) / len(g)) for f, g in sorted(gains.items())]
         return spark.createDataFrame(rows, "feature string, importance_gain double")
 
     # --- persistence -------------------------------------------------------
-    def meta(self) -> dict:
-        return {
-            "features": self.features,
-            "base_score": self.base_score,
-            "learning_rate": self.learning_rate,
-            "leaf_values": self.leaf_values,
-            "tree_gains": self.tree_gains,
-            "best_iteration": self.best_iteration,
-            "history": self.history,
-        }
+    def nodes(self, spark: SparkSession) -> DataFrame:
+        rows = [(t, k, n.feature, n.threshold, n.left, n.right, n.value, n.gain) for t, tree in enumerate(self.trees) for k, n in enumerate(tree)]
+        return spark.createDataFrame(rows, NODE_SCHEMA)
 
     def save(self, spark: SparkSession, path: str) -> str:
-        spark.createDataFrame([(json.dumps(self.meta()),)], "meta string").coalesce(1).write.mode(
-            "overwrite"
-        ).text(f"{path}/meta")
-        for i, tree in enumerate(self.trees):
-            tree.write().overwrite().save(f"{path}/trees/{i:05d}")
+        """One table of nodes and one line of JSON."""
+        meta = {"features": self.features, "base_score": self.base_score, "best_iteration": self.best_iteration, "history": self.history}
+        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        self.nodes(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
         return path
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "BoostedTrees":
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-        trees = [
-            RandomForestRegressionModel.load(f"{path}/trees/{i:05d}")
-            for i in range(len(meta["leaf_values"]))
-        ]
-        return cls(trees=trees, **meta)
+        trees: dict[int, list[Node]] = {}
+        for r in sorted(spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes").collect(), key=lambda r: (r["tree"], r["node"])):
+            trees.setdefault(r["tree"], []).append(Node(r["feature"], r["threshold"], r["left"], r["right"], r["value"], r["gain"]))
+        return cls(trees=[trees[t] for t in sorted(trees)], **meta)
 
 
-def _leaf_index(leaf_col: str) -> Column:
-    return vector_to_array(F.col(leaf_col))[0].cast("int")
+def _arrays(tree: Sequence[Node], features: Sequence[str]) -> tuple[np.ndarray, ...]:
+    """Feature numbers (-1: leaf), thresholds, children and values of a tree's nodes."""
+    at = {f: i for i, f in enumerate(features)}
+    own = np.arange(len(tree))
+    feature = np.array([-1 if n.feature is None else at[n.feature] for n in tree])
+    threshold = np.array([0.0 if n.threshold is None else n.threshold for n in tree])
+    left = np.array([k if n.left is None else n.left for k, n in zip(own, tree)])
+    right = np.array([k if n.right is None else n.right for k, n in zip(own, tree)])
+    return feature, threshold, left, right, np.array([n.value for n in tree])
 
 
-def _apply_tree(df: DataFrame, tree, values: Sequence[float], lr: float, pred: str, i: int) -> DataFrame:
-    leaf, tp = f"_leaf_{i}", f"_tp_{i}"
-    scored = tree.copy().setLeafCol(leaf).setPredictionCol(tp).transform(df)
-    lut = F.array(*[F.lit(float(v)) for v in values])
-    step = F.coalesce(F.element_at(lut, _leaf_index(leaf) + 1), F.lit(0.0))
-    return scored.withColumn(pred, F.col(pred) + F.lit(float(lr)) * step).drop(leaf, tp)
+def _descend(tree: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
+    feature, threshold, left, right, value = tree
+    node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+    while (feature[node] >= 0).any():
+        f = feature[node]
+        node = np.where((f < 0) | (x[rows, f] <= threshold[node]), left[node], right[node])
+    return value[node]
 
 
-def optimal_constant(df: DataFrame, label: str, penalty: float, iterations: int = 30) -> float:
-    """Constant minimising the asymmetric loss (an expectile), by fixed-point
-    iteration of the weighted mean; each step is one small aggregation."""
-    m = df.agg(F.avg(label)).first()[0]
-    if m is None:
-        return 0.0
-    for _ in range(iterations):
-        w = F.when(F.col(label) > F.lit(m), F.lit(float(penalty))).otherwise(F.lit(1.0))
-        row = df.agg(F.sum(w * F.col(label)).alias("a"), F.sum(w).alias("b")).first()
-        nxt = row["a"] / row["b"]
-        if abs(nxt - m) < 1e-12:
-            break
-        m = nxt
-    return float(m)
+_IF = re.compile(r"\s*(If|Else) \(feature (\d+) (?:<=|>) (\S+)\)")
 
 
-def _subsample(df: DataFrame, rate: float, seed: int) -> DataFrame:
+def parse_tree(text: str, features: Sequence[str]) -> list[Node]:
+    """Nodes in depth-first order from a Spark ML tree's debug string (root first, leaves left to right)."""
+    lines = iter(text.splitlines()[1:])
+    nodes: list[Node] = []
+
+    def read(line: str) -> int:
+        at = len(nodes)
+        nodes.append(Node())
+        found = _IF.match(line)
+        if found:
+            nodes[at].feature, nodes[at].threshold = features[int(found[2])], float(found[3])
+            nodes[at].left = read(next(lines))
+            next(lines)  # the Else of this split
+            nodes[at].right = read(next(lines))
+        return at
+
+    read(next(lines))
+    return nodes
+
+
+def regularise(nodes: list[Node], sums: dict[int, tuple[float, float]], params: BoostParams) -> list[Node]:
+    """Leaf values, split gains and pruning from the (G, H) of each leaf, numbered left to right.
+
+    Bottom-up, a split between two leaves that gains less than ``gamma`` becomes
+    a leaf. Values have the learning rate applied. Nodes are renumbered.
+    """
+    alpha, lam = params.reg_alpha, params.reg_lambda
+    leaf = iter(range(len(nodes)))
+    out: list[Node] = []
+
+    def grow(at: int) -> tuple[float, float, list[Node]]:
+        n = nodes[at]
+        if n.feature is None:
+            g, h = sums.get(next(leaf), (0.0, 0.0))
+            return g, h, [Node(value=params.learning_rate * leaf_value(g, h, alpha, lam))]
+        gl, hl, left = grow(n.left)
+        gr, hr, right = grow(n.right)
+        g, h = gl + gr, hl + hr
+        gain = 0.5 * (structure_score(gl, hl, alpha, lam) + structure_score(gr, hr, alpha, lam) - structure_score(g, h, alpha, lam))
+        if len(left) == len(right) == 1 and gain < params.gamma:
+            return g, h, [Node(value=params.learning_rate * leaf_value(g, h, alpha, lam))]
+        head = Node(n.feature, n.threshold, 1, 1 + len(left), 0.0, gain)
+        shift = lambda part, by: [Node(x.feature, x.threshold, x.left and x.left + by, x.right and x.right + by, x.value, x.gain) for x in part]
+        return g, h, [head, *shift(left, 1), *shift(right, 1 + len(left))]
+
+    out = grow(0)[2]
+    return out
+
+
+def leaf_values_by_number(nodes: list[Node], pruned: list[Node]) -> list[float]:
+    """For each leaf of the unpruned tree, left to right, the value of the pruned tree there."""
+    values: list[float] = []
+
+    def walk(at: int, kept: int) -> None:
+        n, k = nodes[at], pruned[kept]
+        if n.feature is None:
+            values.append(k.value)
+            return
+        inner = k.feature is not None
+        walk(n.left, k.left if inner else kept)
+        walk(n.right, k.right if inner else kept)
+
+    walk(0, 0)
+    return values
+
+
+def expectile(df: DataFrame, label: str, penalty: float) -> float:
+    """Constant minimising the asymmetric loss, exactly.
+
+    One aggregation counts the values; on that table the weighted mean of the
+    values above and below the last mean is taken until no value changes sides,
+    which ends since the loss is convex and quadratic between values.
+    """
+    counts = materialise(df.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")), "label_counts")
+    v, n = F.col("v"), F.col("n")
+    row = counts.agg(F.sum(v * n).alias("s"), F.sum(n).alias("n")).first()
+    if not row["n"]:
+        return 0.0
+    mean, above = row["s"] / row["n"], None
+    while True:
+        high = v > F.lit(mean)
+        got = counts.agg(
+            F.sum(F.when(high, v * n).otherwise(0.0)).alias("sh"), F.sum(F.when(high, n).otherwise(0)).alias("nh"),
+            F.sum(F.when(high, 0.0).otherwise(v * n)).alias("sl"), F.sum(F.when(high, 0).otherwise(n)).alias("nl"),
+        ).first()
+        mean = (penalty * got["sh"] + got["sl"]) / (penalty * got["nh"] + got["nl"])
+        if got["nh"] == above:
+            return float(mean)
+        above = got["nh"]
+
+
+def _subsample(rate: float, seed: int) -> Column:
     if rate >= 1.0:
-        return df
-    h = F.pmod(F.xxhash64(F.col(_RK), F.lit(seed)), F.lit(10_000))
-    return df.filter(h < int(rate * 10_000))
+        return F.lit(True)
+    return F.pmod(F.xxhash64(F.col(_RK), F.lit(seed)), F.lit(1_000_000)) < round(rate * 1_000_000)
 
 
-def _metrics(state: DataFrame, penalty: float) -> dict:
-    err = weighted_sq_error(F.col(_Y), F.col(_P), penalty)
-    row = state.agg(
-        F.avg(F.when(~F.col(_VAL), err)).alias("train"),
-        F.avg(F.when(F.col(_VAL), err)).alias("validation"),
-    ).first()
-    return {"train": row["train"], "validation": row["validation"]}
+def _leaf_number(leaf_col: str) -> Column:
+    return vector_to_array(F.col(leaf_col))[0].cast("int")
 
 
-def _initial_state(
-    df: DataFrame,
-    features: Sequence[str],
-    label: str,
-    valid_col: str | None,
-    init_model: BoostedTrees | None,
-    base_score: float | None,
-    penalty: float,
-    tables: StateTables | None = None,
-) -> tuple[DataFrame, float]:
+def _prepared(df: DataFrame, features: Sequence[str], label: str, valid_col: str | None, keep: Sequence[str] = ()) -> DataFrame:
     rk = F.xxhash64(*[F.col(c) for c in list(features) + [label]])
     val = F.col(valid_col).cast("boolean") if valid_col else F.lit(False)
-    base = assemble(df, features).select(
-        "features", F.col(label).cast("double").alias(_Y), val.alias(_VAL), rk.alias(_RK)
+    return df.select(
+        *[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias(_Y), val.alias(_VAL), rk.alias(_RK), *keep
     )
-    if init_model is not None:
-        # Score the previous trees over a shallow (materialised) plan.
-        shallow = (tables or StateTables(df.sparkSession, "boost_base")).write(base)
-        state = init_model.predict(shallow, output=_P)
-        return state, init_model.base_score
-    if base_score is None:
-        base_score = optimal_constant(base.filter(~F.col(_VAL)), _Y, penalty)
-    return base.withColumn(_P, F.lit(float(base_score))), float(base_score)
+
+
+def _round(state: DataFrame, features: list[str], params: BoostParams, rnd: int, total_weight: float):
+    """Fit the round's tree on the state's predictions: (tree, assembler, its nodes, pruned nodes, losses before it, weight)."""
+    penalty = params.underestimation_penalty
+    y, p = F.col(_Y), F.col(_P)
+    chosen = sorted(random.Random(params.seed + rnd).sample(range(len(features)), max(1, round(params.colsample * len(features)))))
+    names = [features[i] for i in chosen]
+    assembler = VectorAssembler(inputCols=names, outputCol="_features")
+    picked = _subsample(params.subsample, params.seed + rnd) & ~F.col(_VAL)
+    train = assembler.transform(state.where(picked)).select("_features", (y - p).alias("_r"), loss_weight(y - p, penalty).alias("_w"))
+    # A weight w is half a hessian; the fraction is of the subsample's weight.
+    fraction = min(0.499999, params.min_child_weight / 2.0 / max(total_weight * params.subsample, 1e-12))
+    rf = RandomForestRegressor(
+        featuresCol="_features", labelCol="_r", weightCol="_w", predictionCol="_tp", leafCol="_leaf", numTrees=1,
+        bootstrap=False, subsamplingRate=1.0, featureSubsetStrategy="all", maxDepth=params.max_depth,
+        maxBins=params.max_bins, minInstancesPerNode=1, minWeightFractionPerNode=fraction, seed=params.seed + rnd,
+    )
+    tree = rf.fit(train)
+    loss = weighted_sq_error(y, p, penalty)
+    sums = (
+        tree.transform(assembler.transform(state))
+        .groupBy(_leaf_number("_leaf").alias("leaf"))
+        .agg(
+            F.sum(F.when(picked, gradient(y, p, penalty))).alias("G"), F.sum(F.when(picked, hessian(y, p, penalty))).alias("H"),
+            F.sum(F.when(~F.col(_VAL), loss)).alias("lt"), F.count(F.when(~F.col(_VAL), 1)).alias("nt"),
+            F.sum(F.when(F.col(_VAL), loss)).alias("lv"), F.count(F.when(F.col(_VAL), 1)).alias("nv"),
+            F.sum(F.when(~F.col(_VAL), loss_weight(y - p, penalty))).alias("w"),
+        )
+        .collect()
+    )
+    nodes = parse_tree(tree.trees[0].toDebugString, names)
+    pruned = regularise(nodes, {r["leaf"]: (r["G"] or 0.0, r["H"] or 0.0) for r in sums}, params)
+    return tree, assembler, nodes, pruned, _losses(sums), math.fsum(r["w"] or 0.0 for r in sums)
+
+
+def _losses(sums) -> dict:
+    out = {}
+    for side, total, count in (("train", "lt", "nt"), ("validation", "lv", "nv")):
+        n = sum(r[count] for r in sums)
+        out[side] = math.fsum(r[total] or 0.0 for r in sums) / n if n else None
+    return out
+
+
+def _measure(state: DataFrame, penalty: float) -> tuple[dict, float]:
+    """Losses of the state's predictions, and the training rows' loss weight."""
+    y, p = F.col(_Y), F.col(_P)
+    loss, train = weighted_sq_error(y, p, penalty), ~F.col(_VAL)
+    row = state.agg(
+        F.sum(F.when(train, loss)).alias("lt"), F.count(F.when(train, 1)).alias("nt"),
+        F.sum(F.when(~train, loss)).alias("lv"), F.count(F.when(~train, 1)).alias("nv"),
+        F.sum(F.when(train, loss_weight(y - p, penalty))).alias("w"),
+    ).first()
+    return _losses([row]), row["w"] or 0.0
+
+
+def boost_state(
+    state: DataFrame,
+    model: BoostedTrees,
+    params: BoostParams,
+    n_rounds: int,
+    early_stopping: bool,
+    tables: StateTables,
+) -> BoostedTrees:
+    """Add up to ``n_rounds`` trees to ``model`` from a written state with its predictions in ``_p``."""
+    start = model.n_trees
+    best, best_round, stopped = math.inf, None, False
+    held = state.persist()
+    state = held
+    try:
+        _, weight = _measure(state, params.underestimation_penalty)
+
+        def close(rnd: int, losses: dict) -> bool:
+            """Record the losses after round ``rnd``; whether to stop there."""
+            nonlocal best, best_round
+            model.history.append({"round": rnd, **losses})
+            log.info("round %d train=%s validation=%s", rnd, losses["train"], losses["validation"])
+            if losses["validation"] is None:
+                return False
+            if losses["validation"] < best - 1e-12:
+                best, best_round = losses["validation"], rnd
+            return early_stopping and rnd - best_round >= params.early_stopping_rounds
+
+        for t in range(n_rounds):
+            rnd = start + t
+            tree, assembler, nodes, pruned, before, weight = _round(state, model.features, params, rnd, weight)
+            # This round's sums also tell how the round before ended.
+            if t and close(rnd - 1, before):
+                stopped = True
+                break
+            lut = F.array(*[F.lit(v) for v in leaf_values_by_number(nodes, pruned)])
+            step = F.coalesce(F.get(lut, _leaf_number("_leaf")), F.lit(0.0))
+            columns = state.columns
+            state = tree.transform(assembler.transform(state)).withColumn(_P, F.col(_P) + step).select(*columns)
+            model.trees.append(pruned)
+            if (t + 1) % max(1, params.checkpoint_every) == 0:
+                fresh = tables.write(state).persist()
+                held.unpersist()
+                held = state = fresh
+        if n_rounds and not stopped:
+            close(start + n_rounds - 1, _measure(state, params.underestimation_penalty)[0])
+    finally:
+        held.unpersist()
+    if early_stopping and best_round is not None:
+        model.trees = model.trees[: best_round + 1]
+    model.best_iteration = model.n_trees - 1
+    return model
 
 
 def train_boosted(
@@ -206,89 +395,32 @@ def train_boosted(
 ) -> BoostedTrees:
     """Boost ``n_rounds`` trees (default ``params.n_rounds``) on the rows with
     ``valid_col`` false, tracking the asymmetric weighted MSE on both sides and
-    stopping after ``early_stopping_rounds`` rounds without validation gain.
-    With ``init_model`` boosting continues from its predictions (warm start).
+    stopping after ``early_stopping_rounds`` rounds without validation gain;
+    without validation rows all trees stay. With ``init_model`` boosting
+    continues from its predictions, whatever learning rate it was trained with.
     """
-    n_rounds = params.n_rounds if n_rounds is None else n_rounds
-    penalty, alpha, lam = params.underestimation_penalty, params.reg_alpha, params.reg_lambda
     features = list(features)
-    spark = df.sparkSession
-    tables = StateTables(spark, "boost_state")
-    state, base = _initial_state(df, features, label, valid_col, init_model, base_score, penalty, tables)
-    state = tables.write(state).persist()
-
-    model = BoostedTrees(features=features, base_score=base, learning_rate=params.learning_rate)
-    if init_model is not None:
-        model.trees = list(init_model.trees)
-        model.leaf_values = [list(v) for v in init_model.leaf_values]
-        model.tree_gains = list(init_model.tree_gains)
-        model.history = list(init_model.history)
-    start = model.n_trees
-    best, best_round = math.inf, start - 1
-    min_rows = max(1, math.ceil(params.min_child_weight / 2.0))
-    strategy = "all" if params.colsample >= 1.0 else str(params.colsample)
-    y, p = F.col(_Y), F.col(_P)
-
-    for t in range(n_rounds):
-        rnd = start + t
-        train = _subsample(state.filter(~F.col(_VAL)), params.subsample, params.seed + rnd)
-        fit_df = train.select(
-            "features",
-            (y - p).alias("_r"),
-            loss_weight(y - p, penalty).alias("_w"),
-            gradient(y, p, penalty).alias("_g"),
-            hessian(y, p, penalty).alias("_h"),
-        )
-        rf = RandomForestRegressor(
-            featuresCol="features", labelCol="_r", weightCol="_w", predictionCol="_tp",
-            leafCol="_leaf", numTrees=1, bootstrap=False, subsamplingRate=1.0,
-            featureSubsetStrategy=strategy, maxDepth=params.max_depth, maxBins=params.max_bins,
-            minInstancesPerNode=min_rows, seed=params.seed + rnd,
-        )
-        tree = rf.fit(fit_df)
-        stats = (
-            tree.transform(fit_df)
-            .groupBy(_leaf_index("_leaf").alias("leaf"))
-            .agg(F.sum("_g").alias("G"), F.sum("_h").alias("H"))
-            .collect()
-        )
-        n_leaves = tree.trees[0].numNodes // 2 + 1
-        values = [0.0] * max(n_leaves, 1 + max((r["leaf"] for r in stats), default=0))
-        g_all = h_all = 0.0
-        gain = 0.0
-        for r in stats:
-            values[r["leaf"]] = leaf_value(r["G"], r["H"], alpha, lam)
-            gain += structure_score(r["G"], r["H"], alpha, lam)
-            g_all += r["G"]
-            h_all += r["H"]
-        gain = max(0.5 * (gain - structure_score(g_all, h_all, alpha, lam)), 0.0)
-
-        state = _apply_tree(state, tree, values, params.learning_rate, _P, rnd)
-        if (t + 1) % max(1, params.checkpoint_every) == 0:
-            old = state
-            state = tables.write(state).persist()
-            old.unpersist()
-        model.trees.append(tree)
-        model.leaf_values.append(values)
-        model.tree_gains.append(gain)
-        m = _metrics(state, penalty)
-        m["round"] = rnd
-        model.history.append(m)
-        log.info("round %d train=%.6f validation=%s", rnd, m["train"] or 0.0, m["validation"])
-        if valid_col and m["validation"] is not None:
-            if m["validation"] < best - 1e-12:
-                best, best_round = m["validation"], rnd
-            elif early_stopping and rnd - best_round >= params.early_stopping_rounds:
-                break
-    state.unpersist()
-    tables.close()
-    if valid_col and early_stopping and best_round >= start - 1:
-        keep = best_round + 1
-        model.trees, model.leaf_values, model.tree_gains = (
-            model.trees[:keep], model.leaf_values[:keep], model.tree_gains[:keep]
-        )
-    model.best_iteration = model.n_trees - 1
-    return model
+    n_rounds = params.n_rounds if n_rounds is None else n_rounds
+    with StateTables(df.sparkSession, "boost_state") as tables:
+        state = tables.write(_prepared(df, features, label, valid_col))
+        model = BoostedTrees(features, 0.0)
+        if init_model is not None:
+            model = BoostedTrees(features, init_model.base_score, list(init_model.trees), -1, list(init_model.history))
+            state = tables.write(init_model.predict(state, _P))
+        else:
+            model.base_score = expectile(state.where(~F.col(_VAL)), _Y, params.underestimation_penalty) if base_score is None else float(base_score)
+            state = state.withColumn(_P, F.lit(model.base_score))
+        return boost_state(state, model, params, n_rounds, early_stopping, tables)
+
+
+def warm_start_batches(df: DataFrame, features: Sequence[str], label: str, n_batches: int, key: str | None = None) -> DataFrame:
+    """``df`` with ``_batch``: a hash of the row key (or else of all values) modulo the number of batches."""
+    if key:
+        digest = F.md5(F.concat(F.lit("batch:"), F.col(key).cast("string")))
+        row_hash = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    else:
+        row_hash = F.xxhash64(*[F.col(c) for c in list(features) + [label]])
+    return df.withColumn("_batch", F.pmod(row_hash, F.lit(n_batches)).cast("int"))
 
 
 def train_warm_start(
@@ -297,26 +429,34 @@ def train_warm_start(
     label: str = TARGET,
     valid_col: str | None = "is_validation",
     params: BoostParams = BOOST,
-    batch_rows: int = 500_000,
+    n_batches: int = 10,
     init_model: BoostedTrees | None = None,
+    key: str | None = None,
 ) -> BoostedTrees:
-    """Incremental training: split the training rows into hash batches of about
-    ``batch_rows`` rows and add ``rounds_per_batch`` trees per batch, each batch
-    continuing from the previous model (no early stopping)."""
-    val = F.col(valid_col) if valid_col else F.lit(False)
-    n_train = df.filter(~val).count()
-    n_batches = max(1, math.ceil(n_train / batch_rows))
-    rk = F.xxhash64(*[F.col(c) for c in list(features) + [label]])
-    keep = list(features) + [label] + ([valid_col] if valid_col else [])
-    # Materialise once: every batch re-reads it, and batch predicates then act
-    # on a shallow plan instead of the whole feature-preparation lineage.
-    with StateTables(df.sparkSession, "warm_start_batches") as tables:
-        tagged = tables.write(df.select(*keep, F.pmod(rk, F.lit(n_batches)).alias("_batch")))
-        model = init_model
+    """Incremental training: ``n_batches`` hash batches of the training rows, each
+    adding ``rounds_per_batch`` trees to the model so far (no early stopping).
+
+    The batches are a table partitioned by batch, so each reads its own folder.
+    Validation rows keep a running prediction that only new trees are added to;
+    a batch's rows meet each earlier tree once, when their turn comes.
+    """
+    features = list(features)
+    spark = df.sparkSession
+    with StateTables(spark, "warm_start") as tables, StateTables(spark, "warm_start_validation") as kept, StateTables(spark, "boost_state") as steps:
+        dealt = warm_start_batches(df, features, label, n_batches, key)
+        rows = _prepared(dealt, features, label, valid_col, keep=("_batch",))
+        # Validation rows are a folder of their own, -1.
+        tagged = tables.write(rows.withColumn("_batch", F.when(F.col(_VAL), -1).otherwise(F.col("_batch"))), partition_by="_batch")
+        if init_model is None:
+            base = expectile(tagged.where("_batch >= 0"), _Y, params.underestimation_penalty)
+            model = BoostedTrees(features, base)
+        else:
+            model = BoostedTrees(features, init_model.base_score, list(init_model.trees), -1, list(init_model.history))
+        validation = kept.write(model.predict(tagged.where("_batch = -1").drop("_batch"), _P))
         for b in range(n_batches):
-            part = tagged.filter(val | (F.col("_batch") == b)).drop("_batch")
-            model = train_boosted(
-                part, features, label, valid_col, params,
-                n_rounds=params.rounds_per_batch, init_model=model, early_stopping=False,
-            )
+            scored = model.predict(tagged.where(F.col("_batch") == b).drop("_batch"), _P)
+            before = model.n_trees
+            state = steps.write(scored.unionByName(validation))
+            model = boost_state(state, model, params, params.rounds_per_batch, False, steps)
+            validation = kept.write(model.predict(validation, _P, start=before, base=_P))
     return model

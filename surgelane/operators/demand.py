@@ -1,16 +1,12 @@
 """Rolling demand: trips at the same pickup location in the trailing 15/30/60
 minutes, current second and its peers included (W0-W3).
 
-Two exact implementations:
-
-* ``direct`` — one range window per trip, partitioned by location. One
-  Exchange + one Sort for all three frames, but a hot location is one task.
-* ``preagg`` (default) — collapse trips to (location, second) counts with a
-  map-side partial aggregate, run the range windows over the collapsed rows
-  partitioned by (location, time chunk), and copy the trailing window of each
-  chunk into the next chunk as context rows. A window task then holds at most
-  ``chunk_seconds + max_window`` rows per location whatever the skew, and the
-  per-trip columns come back through one equi-join on (location, second).
+Trips are collapsed to (location, second) counts with a map-side partial
+aggregate; the range windows run over the collapsed rows, partitioned by
+(location, time chunk), with the trailing window of each chunk copied into the
+next chunk as context rows. A window task then holds at most ``chunk_seconds +
+max_window`` rows per location whatever the skew, and the per-trip columns come
+back through one equi-join on (location, second).
 """
 
 from __future__ import annotations
@@ -31,23 +27,6 @@ def demand_col(minutes: int) -> str:
     return f"demand_{minutes}min"
 
 
-def rolling_demand_direct(
-    df: DataFrame,
-    rules: FeatureRules = FEATURES,
-    loc: str = PU_LOC,
-    ts: str = PICKUP_TS,
-) -> DataFrame:
-    """Per-trip range windows (the textbook form, kept for comparison)."""
-    out = df.withColumn(UNIX_TS, epoch_seconds(ts))
-    spec = Window.partitionBy(loc).orderBy(UNIX_TS)
-    return out.withColumns(
-        {
-            demand_col(m): F.count(F.lit(1)).over(spec.rangeBetween(-60 * m, 0))
-            for m in rules.rolling_minutes
-        }
-    )
-
-
 def demand_profile(
     df: DataFrame,
     rules: FeatureRules = FEATURES,
@@ -105,14 +84,13 @@ def attach_by_second(
     """Join per-(location, second) columns back to trips (NULL-safe on location).
 
     Every trip has exactly one profile row, so the join preserves row count.
-    The profile grows with the data (no size bound), so it is never broadcast
-    on an estimate: a shuffled hash join builds on the profile side, which is
-    unique per key (no build-side skew); AQE can split a hot key on the trip
-    side.
+    The profile grows with the data (no size bound): the hint keeps it from
+    being broadcast on an estimate and lets both sides spill. AQE splits a hot
+    key on the trip side.
     """
     right = profile.select(
         F.col(loc).alias("_p_loc"), F.col(UNIX_TS).alias("_p_sec"), *[F.col(c) for c in columns]
-    ).hint("shuffle_hash")
+    ).hint("merge")
     left = trips.withColumn(UNIX_TS, epoch_seconds(ts))
     cond = left[loc].eqNullSafe(right["_p_loc"]) & (left[UNIX_TS] == right["_p_sec"])
     return left.join(right, cond, "inner").drop("_p_loc", "_p_sec")
@@ -121,14 +99,9 @@ def attach_by_second(
 def rolling_demand(
     df: DataFrame,
     rules: FeatureRules = FEATURES,
-    method: str = "preagg",
     loc: str = PU_LOC,
     ts: str = PICKUP_TS,
 ) -> DataFrame:
     """Add pickup_unix_ts and demand_15/30/60min to every trip."""
-    if method == "direct":
-        return rolling_demand_direct(df, rules, loc, ts)
-    if method != "preagg":
-        raise ValueError(f"unknown method {method!r}")
     prof = demand_profile(df, rules, loc, ts)
     return attach_by_second(df, prof, [demand_col(m) for m in rules.rolling_minutes], loc, ts)

@@ -1,4 +1,4 @@
-"""Dimension lookups: checked broadcast joins and the zone enrichment."""
+"""Dimension lookups: joins to tables with checked unique keys, and the zone enrichment."""
 
 from __future__ import annotations
 
@@ -13,12 +13,6 @@ from surgelane.config import DO_LOC, PU_LOC
 
 log = logging.getLogger(__name__)
 
-# A dimension is broadcast only when its measured size is within both bounds;
-# above them the join is left to Spark (shuffled join / AQE runtime choice).
-MAX_BROADCAST_ROWS = 250_000
-MAX_BROADCAST_BYTES = 128 * 1024 * 1024
-
-
 class DuplicateDimensionKey(ValueError):
     """A lookup key occurs twice: a left join would silently multiply rows."""
 
@@ -77,18 +71,22 @@ _FIXED_WIDTH = {
 }
 
 
-def checked_broadcast(
-    dim: DataFrame,
-    profile: DimensionProfile,
-    max_rows: int = MAX_BROADCAST_ROWS,
-    what: str = "dimension",
-    max_bytes: int = MAX_BROADCAST_BYTES,
-) -> DataFrame:
-    """Broadcast hint only behind the measured size; otherwise a plain join side."""
-    if profile.rows <= max_rows and profile.bytes <= max_bytes:
-        return F.broadcast(dim)
-    log.info("%s has %d rows / %d bytes: not broadcast", what, profile.rows, profile.bytes)
-    return dim
+def unique_side(dim: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``dim`` with the promise, checked while the query runs, that no key repeats.
+
+    Rows are grouped by key and counted; reading the first key column of a group
+    of several rows fails the query. Rows with a NULL key part can never match an
+    equi-join and are left out.
+    """
+    keys = list(keys)
+    rest = [c for c in dim.columns if c not in keys]
+    for k in keys:
+        dim = dim.where(F.col(k).isNotNull())
+    grouped = dim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in rest])
+    kind = dict(dim.dtypes)[keys[0]]
+    message = F.concat(F.lit(f"{DuplicateDimensionKey.__name__}: lookup key {keys} repeats "), F.col("_n").cast("string"), F.lit(" times"))
+    checked = F.when(F.col("_n") == 1, F.col(keys[0])).otherwise(F.raise_error(message).cast(kind))
+    return grouped.select(checked.alias(keys[0]), *keys[1:], *rest)
 
 
 def join_dimension(
@@ -97,23 +95,18 @@ def join_dimension(
     left_on: Sequence[str],
     right_on: Sequence[str] | None = None,
     how: str = "left",
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-    require_unique: bool = True,
-    profile: DimensionProfile | None = None,
 ) -> DataFrame:
     """Left (or inner) equi-join to a lookup table that must have unique keys.
 
-    With equal key names this is a USING join (keys appear once); otherwise the
+    No job runs while the plan is built: uniqueness is checked in the plan, and
+    Spark broadcasts the side by its own size threshold, from file sizes or, under
+    adaptive execution, from the size that the side turned out to have. With
+    equal key names this is a USING join (keys appear once); otherwise the
     dimension's key columns are dropped after the join.
     """
     right_on = list(right_on or left_on)
     left_on = list(left_on)
-    profile = profile or profile_dimension(dim, right_on)
-    if require_unique and not profile.unique:
-        raise DuplicateDimensionKey(
-            f"lookup key {right_on} repeats up to {profile.max_dup} times"
-        )
-    side = checked_broadcast(dim, profile, max_broadcast_rows)
+    side = unique_side(dim, right_on)
     if left_on == right_on:
         return fact.join(side, on=left_on, how=how)
     clash = set(right_on) & set(fact.columns)
@@ -139,31 +132,11 @@ def _zone_side(zones: DataFrame, prefix: str, key: str) -> DataFrame:
     )
 
 
-def join_zones(
-    trips: DataFrame,
-    zones: DataFrame,
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
-    """Add pickup_/dropoff_ borough, zone and service_zone (left joins).
-
-    The dimension is profiled once (uniqueness + size) and reused for both
-    endpoints; Spark reuses the broadcast exchange for the second join.
-    """
-    profile = profile_dimension(zones, ["LocationID"])
-    log.info("zone lookup: %d rows", profile.rows)
-    if not profile.unique:
-        raise DuplicateDimensionKey(f"LocationID repeats up to {profile.max_dup} times")
+def join_zones(trips: DataFrame, zones: DataFrame) -> DataFrame:
+    """Add pickup_/dropoff_ borough, zone and service_zone (left joins)."""
     out = trips
     for prefix, loc, key in (("pickup", PU_LOC, "_pu_zone_id"), ("dropoff", DO_LOC, "_do_zone_id")):
-        out = join_dimension(
-            out,
-            _zone_side(zones, prefix, key),
-            left_on=[loc],
-            right_on=[key],
-            how="left",
-            max_broadcast_rows=max_broadcast_rows,
-            profile=profile,
-        )
+        out = join_dimension(out, _zone_side(zones, prefix, key), left_on=[loc], right_on=[key], how="left")
     return out
 
 

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surgelane.config import BOOST, MODEL_FEATURES, TARGET
-
-log = logging.getLogger(__name__)
+from surgelane.session import materialise
+from surgelane.sources.files import tolerant_select
 
 _INF = float("inf")
 
@@ -25,32 +23,38 @@ def _nan_to_null(c: Column) -> Column:
 
 
 def available_features(df: DataFrame, features: Sequence[str] = MODEL_FEATURES, exclude=()) -> list[str]:
-    present = set(df.columns)
-    names = [c for c in features if c in present and c not in set(exclude)]
-    missing = [c for c in features if c not in present]
-    if missing:
-        log.warning("feature columns not found, skipped: %s", missing)
-    return names
-
-
-def column_medians(
-    df: DataFrame, columns: Sequence[str], approx_accuracy: int | None = None
-) -> dict[str, float | None]:
-    """Median per column, NaN ignored (NULL-ed first), +-inf kept as values.
-
-    Exact by default (interpolated, like pandas); ``approx_accuracy`` switches
-    to ``percentile_approx`` whose state is bounded for very large inputs.
-    One aggregation job; only scalars reach the driver.
+    return tolerant_select(df, [c for c in features if c not in set(exclude)]).columns
+
+
+def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """Exact median per column (interpolated), NULL and NaN ignored, +-inf kept as values.
+
+    Values are counted, the counts range-partitioned by (column, value) and
+    written; sums per partition tell which partition holds a column's middle
+    ranks, and only those are summed up value by value. No task holds a column;
+    two values a column reach the driver.
     """
     if not columns:
         return {}
-    aggs = []
-    for c in columns:
-        v = _nan_to_null(F.col(c).cast("double"))
-        m = F.median(v) if approx_accuracy is None else F.percentile_approx(v, 0.5, approx_accuracy)
-        aggs.append(m.alias(c))
-    row = df.agg(*aggs).first()
-    return {c: row[c] for c in columns}
+    spark = df.sparkSession
+    pairs = [F.struct(F.lit(c).alias("c"), _nan_to_null(F.col(c).cast("double")).alias("v")) for c in columns]
+    values = df.select(F.explode(F.array(*pairs)).alias("x")).select("x.*").where("v is not null")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = values.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts.repartitionByRange(n, "c", "v").withColumn("part", F.spark_partition_id()), "value_counts")
+    ahead = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy("c", "part").agg(F.sum("n").alias("size"))
+    parts = parts.withColumns(
+        {"before": F.coalesce(F.sum("size").over(ahead), F.lit(0)), "total": F.sum("size").over(Window.partitionBy("c"))}
+    ).withColumns({"low": F.floor((F.col("total") - 1) / 2), "high": F.floor(F.col("total") / 2)})
+    middle = parts.where((F.col("before") <= F.col("high")) & (F.col("low") < F.col("before") + F.col("size")))
+    upto = Window.partitionBy("c", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(middle, ["c", "part"]).withColumn("end", F.col("before") + F.sum("n").over(upto))
+    start = F.col("end") - F.col("n")
+    holds = lambda rank: (start <= F.col(rank)) & (F.col(rank) < F.col("end"))
+    found = ranked.groupBy("c").agg(F.max(F.when(holds("low"), F.col("v"))).alias("low"), F.max(F.when(holds("high"), F.col("v"))).alias("high"))
+    medians = {r["c"]: r["low"] if r["low"] == r["high"] else (r["low"] + r["high"]) / 2.0 for r in found.collect()}
+    return {c: medians.get(c) for c in columns}
 
 
 def prepare_features(
@@ -59,18 +63,18 @@ def prepare_features(
     target: str = TARGET,
     exclude: Sequence[str] = (),
     keep: Sequence[str] = (),
-    approx_accuracy: int | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Model-ready columns: available features as double, NULL/NaN filled with
     the column median, remaining NaN/+-inf set to 0; target NULL/NaN/+-inf set
     to the target median. Returns (DataFrame[keep..., features..., target], names).
 
-    Two light jobs: a NULL/NaN/inf count per column, then medians only for the
-    columns that need one.
+    The needed columns are written once; a NULL/NaN/inf count, the medians of
+    the columns that need one, and the result all read that table.
     """
     if target not in df.columns:
-        raise ValueError(f"Target column '{target}' not found in data. Available columns: {df.columns}")
+        raise ValueError(f"no target {target!r} among {sorted(df.columns)}")
     names = available_features(df, features, exclude)
+    df = materialise(df.select(*keep, *names, target), "feature_columns")
     counts = df.agg(
         *[F.sum(F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), 1).otherwise(0)).alias(c)
           for c in names],
@@ -80,7 +84,7 @@ def prepare_features(
     ).first()
     need = [c for c in names if (counts[c] or 0) > 0]
     target_bad = (counts["__target__"] or 0) > 0
-    medians = column_medians(df, need + ([target] if target_bad else []), approx_accuracy)
+    medians = column_medians(df, need + ([target] if target_bad else []))
 
     cols = []
     for c in names:
@@ -96,14 +100,18 @@ def prepare_features(
     return df.select(*[F.col(k) for k in keep], *cols, y.alias(target)), names
 
 
-def assemble(df: DataFrame, names: Sequence[str], output: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(names), outputCol=output, handleInvalid="keep").transform(df)
+# Buckets of the split: fractions are exact to a millionth.
+SPLIT_BUCKETS = 1_000_000
 
 
 def split_bucket(key: Column, seed: int = BOOST.seed) -> Column:
-    """Stable bucket 0..99 from the md5 of 'seed:key' (same in any engine)."""
+    """Stable bucket 0..999999 from the md5 of 'seed:key' (same in any engine).
+
+    The hash modulo 100 leads, so a whole-percent fraction takes whole buckets of a hundredth.
+    """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 100
+    word = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    return word % 100 * (SPLIT_BUCKETS // 100) + F.floor(word / 100) % (SPLIT_BUCKETS // 100)
 
 
 def train_val_split(
@@ -125,4 +133,4 @@ def train_val_split(
         k = F.col(key)
     else:
         k = F.concat_ws("|", *[F.col(c).cast("string") for c in key])
-    return df.withColumn(output, split_bucket(k, seed) < int(round(fraction * 100)))
+    return df.withColumn(output, split_bucket(k, seed) < round(fraction * SPLIT_BUCKETS))

@@ -1,4 +1,4 @@
-"""Hourly calendar spine (C12), climate baseline (C13) and the weather join
+"""Hourly calendar spine (C12) and the weather join
 (J4 with the one-hot P5 and default fill P4)."""
 
 from __future__ import annotations
@@ -8,12 +8,7 @@ from pyspark.sql import functions as F
 
 from surgelane.config import PICKUP_TS, WEATHER_CONDITIONS, WEATHER_DEFAULTS
 from surgelane.functions.common import flag
-from surgelane.functions.weather import (
-    base_wind,
-    classify_condition,
-    precipitation_probability,
-    seasonal_temperature,
-)
+from surgelane.functions.weather import classify_condition
 from surgelane.operators.dimensions import join_dimension
 
 WEATHER_COLUMNS = (
@@ -60,18 +55,6 @@ def year_spine(spark: SparkSession, year: int) -> DataFrame:
     return hours.select(*_spine_columns(F.col("hour_ts")))
 
 
-def climate_baseline(spine: DataFrame) -> DataFrame:
-    """Deterministic seasonal/daily temperature, precipitation probability and wind."""
-    doy, hour = F.col("day_of_year"), F.col("hour")
-    return spine.withColumns(
-        {
-            "base_temperature_f": seasonal_temperature(doy, hour),
-            "precip_probability": precipitation_probability(doy),
-            "base_wind_mph": base_wind(doy),
-        }
-    )
-
-
 def classify_weather(weather: DataFrame) -> DataFrame:
     return weather.withColumn(
         "weather_condition",

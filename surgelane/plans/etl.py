@@ -9,7 +9,7 @@ from surgelane.operators.dimensions import enrich_zones
 from surgelane.operators.quality import apply_quality_filters
 from surgelane.operators.temporal import extract_temporal_features
 from surgelane.sinks.tables import write_partitioned
-from surgelane.sources.files import read_parquet
+from surgelane.sources.files import read_parquet, require_not_empty
 
 
 def etl_transform(
@@ -29,5 +29,5 @@ def run_etl(
     zones: DataFrame | None = None,
     columns=RAW_COLUMNS,
 ) -> str:
-    trips = read_parquet(spark, raw_paths, columns)
+    trips = require_not_empty(read_parquet(spark, raw_paths, columns), "raw trips")
     return write_partitioned(etl_transform(trips, zones), out_path)

@@ -8,12 +8,14 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 
 from surgelane.config import FEATURE_TABLE_COLUMNS, FEATURES, FeatureRules
+from surgelane.operators.demand import demand_profile
 from surgelane.operators.derived import add_derived_features
 from surgelane.operators.spatial import add_spatial_index
-from surgelane.operators.supply import surge_features
+from surgelane.operators.supply import SUPPLY_KEYS, supply_from_profile, surge_features
 from surgelane.operators.weather import integrate_weather
+from surgelane.session import materialise
 from surgelane.sinks.tables import write_feature_table
-from surgelane.sources.files import read_partitioned, tolerant_select
+from surgelane.sources.files import read_partitioned, require_not_empty, tolerant_select
 
 
 def feature_transform(
@@ -23,12 +25,14 @@ def feature_transform(
     spatial: str = "auto",
     lookback_days: int | None = None,
     since: str | None = None,
+    baseline: DataFrame | None = None,
 ) -> DataFrame:
     """All feature columns on every trip (the trip table is shuffled once, for
     the (location, second) join that brings back demand and surge). Trips before
-    ``since`` are rolling-window context only."""
+    ``since`` are rolling-window context only; ``baseline`` is then the whole
+    input's supply table."""
     df = add_spatial_index(processed, spatial)
-    df = surge_features(df, rules, lookback_days=lookback_days, since=since)
+    df = surge_features(df, rules, lookback_days=lookback_days, since=since, baseline=baseline)
     df = integrate_weather(df, weather)
     return add_derived_features(df, rules)
 
@@ -37,6 +41,11 @@ def feature_table(processed: DataFrame, weather: DataFrame, **kw) -> DataFrame:
     return tolerant_select(feature_transform(processed, weather, **kw), FEATURE_TABLE_COLUMNS)
 
 
+def baseline_table(processed: DataFrame, rules: FeatureRules = FEATURES) -> DataFrame:
+    """Supply baseline of the whole input, one row per (location, hour, weekday)."""
+    return supply_from_profile(demand_profile(processed, rules, carry=list(SUPPLY_KEYS[1:])))
+
+
 def run_features(
     spark: SparkSession,
     processed_path: str,
@@ -44,14 +53,23 @@ def run_features(
     out_path: str,
     date_from: str | None = None,
     date_to: str | None = None,
+    baseline_path: str | None = None,
 ) -> str:
-    """Feature table for trips picked up in [date_from, date_to] (inclusive).
+    """Feature table of all trips, or of those picked up in [date_from, date_to] (inclusive).
 
-    Partition pruning reads only those dates plus the day before, whose trips
-    complete the rolling windows at the start of the range and are then dropped.
+    A range gives the same values as a full run and replaces those dates only:
+    partition pruning reads them plus the day before, whose trips complete the
+    rolling windows and are then dropped, and the supply baseline comes from the
+    whole processed table (or from ``baseline_path``, where an earlier run left it).
     """
-    read_from = None
-    if date_from:
-        read_from = (dt.date.fromisoformat(date_from) - dt.timedelta(days=1)).isoformat()
-    processed = read_partitioned(spark, processed_path, read_from, date_to)
-    return write_feature_table(feature_transform(processed, weather, since=date_from), out_path)
+    if not (date_from or date_to):
+        processed = require_not_empty(read_partitioned(spark, processed_path), processed_path)
+        return write_feature_table(feature_transform(processed, weather), out_path)
+    if baseline_path:
+        baseline = spark.read.parquet(baseline_path)
+    else:
+        baseline = materialise(baseline_table(read_partitioned(spark, processed_path)), "supply_baseline")
+    read_from = (dt.date.fromisoformat(date_from) - dt.timedelta(days=1)).isoformat() if date_from else None
+    processed = require_not_empty(read_partitioned(spark, processed_path, read_from, date_to), processed_path)
+    ranged = feature_transform(processed, weather, since=date_from or "0001-01-01", baseline=baseline)
+    return write_feature_table(ranged, out_path, only_touched=True)

@@ -58,3 +58,29 @@ def surge_by_borough_hour(
             "surged_trips",
         )
     )
+
+
+# A zone and hour is saturated if at least this share of its trips meets a surge.
+SATURATED_SHARE = 0.5
+
+
+def saturation_zones(
+    trips: DataFrame,
+    zones: DataFrame,
+    quality: QualityRules = QUALITY,
+    rules: FeatureRules = FEATURES,
+) -> DataFrame:
+    """Pickup zones by hour: trips, share of them at a surge, and whether that saturates the zone.
+
+    From the collapsed rows, like the flagship report.
+    """
+    prof = surge_profile(clean_trips(trips, quality, rules), rules)
+    names = zones.select(F.col("LocationID").alias("_zone_id"), F.col("Borough").alias("borough"), F.col("Zone").alias("zone"))
+    n = F.col(TRIPS_AT_SECOND)
+    share = F.col("surged") / F.col("trips")
+    by_zone = prof.groupBy(PU_LOC, "hour").agg(
+        F.sum(n).alias("trips"), F.sum(F.when(F.col("surge_multiplier") >= SURGE_THRESHOLD, n).otherwise(0)).alias("surged")
+    )
+    return join_dimension(by_zone, names, left_on=[PU_LOC], right_on=["_zone_id"]).select(
+        PU_LOC, "borough", "zone", "hour", "trips", share.alias("surged_share"), (share >= SATURATED_SHARE).alias("saturated")
+    )

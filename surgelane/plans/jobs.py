@@ -18,7 +18,8 @@ from surgelane.plans.etl import run_etl
 from surgelane.plans.features import run_features
 from surgelane.plans.model import save_artifacts, train_surge_model
 from surgelane.session import build_session
-from surgelane.sources.files import read_weather, read_zone_csv
+from surgelane.sinks.tables import read_feature_table
+from surgelane.sources.files import read_weather, read_zone_csv, require_not_empty
 
 PHASES = ("etl", "features", "model")
 
@@ -42,10 +43,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, str]:
         elif phase == "features":
             weather = read_weather(spark, args.weather)
             done[phase] = run_features(
-                spark, args.processed, weather, args.features, args.date_from, args.date_to
+                spark, args.processed, weather, args.features, args.date_from, args.date_to, args.baseline
             )
         elif phase == "model":
-            feats = spark.read.parquet(args.features)
+            feats = require_not_empty(read_feature_table(spark, args.features), args.features)
             params = BOOST
             if args.rounds is not None:
                 params = replace(params, n_rounds=args.rounds)
@@ -76,8 +77,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--exclude", default="", help="comma-separated features to leave out")
     p.add_argument("--incremental", action="store_true", help="warm-start batches")
     p.add_argument("--date-from", dest="date_from", default=None,
-                   help="features for pickups from this date (partition-pruned; the day before is read as context)")
+                   help="features for pickups from this date (partition-pruned; other dates of the table stay)")
     p.add_argument("--date-to", dest="date_to", default=None, help="features for pickups up to this date")
+    p.add_argument("--baseline", default=None, help="supply baseline table of the whole input, for a date range (computed if absent)")
     p.add_argument("--rounds", type=int, default=None, help="boosting rounds (default from config)")
     p.add_argument("--learning-rate", dest="learning_rate", type=float, default=None)
     return p

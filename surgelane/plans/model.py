@@ -21,7 +21,7 @@ class TrainingResult:
     importance: DataFrame
 
     def top_features(self, k: int = 20) -> DataFrame:
-        """Top-k features by gain (rounded to 4 places, ties by name)."""
+        """Top-k features by average gain (rounded to 4 places, ties by name)."""
         return top_k(self.importance, k, "importance_gain", "feature", digits=4)
 
 
@@ -31,6 +31,9 @@ def evaluate_model(model: BoostedTrees, validation: DataFrame, label: str = TARG
         {"n_trees": F.lit(model.n_trees), "n_features": F.lit(len(model.features))}
     )
     importance = model.importance(validation.sparkSession)
+    top = top_k(importance, 20, "importance_gain", "feature", digits=4)
+    listed = top.agg(F.sort_array(F.collect_list(F.struct("rank", "feature", "importance_gain"))).alias("feature_importance_top20"))
+    metrics = metrics.crossJoin(F.broadcast(listed))  # one row each
     return TrainingResult(model, metrics, importance)
 
 
@@ -40,13 +43,13 @@ def train_surge_model(
     params: BoostParams = BOOST,
     exclude=(),
     incremental: bool = False,
-    batch_rows: int = 500_000,
+    n_batches: int = 10,
 ) -> TrainingResult:
     keep = [key] if key else []
     prepared, names = prepare_features(features_df, MODEL_FEATURES, TARGET, exclude=exclude, keep=keep)
     split = train_val_split(prepared, key=key, fraction=params.validation_fraction, seed=params.seed)
     if incremental:
-        model = train_warm_start(split, names, TARGET, "is_validation", params, batch_rows)
+        model = train_warm_start(split, names, TARGET, "is_validation", params, n_batches)
     else:
         model = train_boosted(split, names, TARGET, "is_validation", params)
     return evaluate_model(model, split.filter("is_validation"))

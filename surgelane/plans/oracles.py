@@ -212,24 +212,20 @@ spine as (
 )"""
 
 
-def cyc(x: str, period: str) -> str:
-    return f"sin(2.0::double * pi() * ({x}) / {period}::double)"
-
-
-TEMP = f"(55.0::double + 22.0::double * {cyc('day_of_year - 80', '365.0')} + 5.0::double * {cyc('hour - 6', '24.0')})"
-PPROB = f"(0.15::double + 0.1::double * {cyc('day_of_year - 100', '365.0')})"
-WIND = f"(8.0::double + 4.0::double * {cyc('day_of_year + 30', '365.0')})"
-
-WEATHER = f"""
-wk as (select *, (day_of_year - 1) * 24 + hour as k from spine),
+WEATHER = """
+cents as (
+  select cast(ts as date) as date, cast(hour(ts) as integer) as hour, cast(round(value * 100) as bigint) as c from events
+),
+wh as (
+  select date, hour, count(*) as n, cast(sum(c) as bigint) as total, min(c) as least, max(c) as most from cents group by 1, 2
+),
 wraw as (
   select date, hour,
-         round({TEMP}, 1) + ((k * 13) % 7 - 3) as temperature_f,
-         case when (k * 37) % 10 < 2 then ((k * 37) % 7 + 1) * 0.05::double else 0.0::double end as precipitation_in,
-         round({WIND}, 1) as wind_speed_mph,
-         case when (k * 37) % 10 < 2 then 6.0::double when k % 97 = 0 then 2.5::double else 9.0::double end
-           as visibility_miles
-  from wk where k % 10 != 7
+         20.0::double + (total % 700) / 10.0::double as temperature_f,
+         case when n % 4 = 0 then (most % 50 + 1) / 100.0::double else 0.0::double end as precipitation_in,
+         (least % 300) / 10.0::double as wind_speed_mph,
+         1.0::double + (most % 90) / 10.0::double as visibility_miles
+  from wh
 ),
 weather as (
   select *,
@@ -302,24 +298,21 @@ def hexcell(lat: str, lon: str) -> str:
 
 SQL["hour_spine"] = with_(TRIPS, SPINE) + "select hour_ts, date, hour, day_of_year from spine"
 
-SQL["climate_baseline"] = with_(TRIPS, SPINE) + f"""
-select date, hour, {r(TEMP)} as base_temperature_f, {r(PPROB)} as precip_probability,
-       {r(WIND)} as base_wind_mph
-from spine"""
-
-SQL["weather_classify"] = with_(TRIPS, SPINE, WEATHER) + f"""
+SQL["weather_classify"] = with_(WEATHER) + f"""
 select date, hour, {r('temperature_f')} as temperature_f, {r('precipitation_in')} as precipitation_in,
        {r('wind_speed_mph')} as wind_speed_mph, {r('visibility_miles')} as visibility_miles,
        weather_condition
 from weather"""
 
-SQL["weather_join"] = with_(TRIPS, CLEAN, TEMPORAL, SPINE, WEATHER, WJOIN.replace("SRC", "temporal")) + f"""
+SQL["weather_file"] = SQL["weather_classify"]
+
+SQL["weather_join"] = with_(TRIPS, CLEAN, TEMPORAL, WEATHER, WJOIN.replace("SRC", "temporal")) + f"""
 select trip_id, {r('temperature_f')} as temperature_f, {r('precipitation_in')} as precipitation_in,
        {r('wind_speed_mph')} as wind_speed_mph, {r('visibility_miles')} as visibility_miles,
        weather_condition
 from wjoined"""
 
-SQL["weather_onehot"] = with_(TRIPS, CLEAN, TEMPORAL, SPINE, WEATHER, WJOIN.replace("SRC", "temporal")) + """
+SQL["weather_onehot"] = with_(TRIPS, CLEAN, TEMPORAL, WEATHER, WJOIN.replace("SRC", "temporal")) + """
 select trip_id, weather_is_clear, weather_is_rain, weather_is_snow, weather_is_fog from wjoined"""
 
 SQL["derived_features"] = FEATURE_BASE.rstrip() + "," + DERIVED.replace("SRC", "surged").strip() + f"""
@@ -364,12 +357,27 @@ select "PULocationID", "DOLocationID",
 from derived"""
 
 FEATURES_CTE = with_(
-    TRIPS, CLEAN, TEMPORAL, DEMAND, SUPPLY, SURGED, SPINE, WEATHER,
+    TRIPS, CLEAN, TEMPORAL, DEMAND, SUPPLY, SURGED, WEATHER,
     WJOIN.replace("SRC", "surged"), DERIVED.replace("SRC", "wjoined"),
 )
 
 SQL["feature_table"] = FEATURES_CTE + FEATURE_SELECT
 
+SQL["feature_roundtrip"] = SQL["feature_table"]
+
+SQL["features_range"] = SQL["feature_table"] + " where pickup_date between date '2024-01-08' and date '2024-01-14'"
+
+SQL["output_directories"] = BASE + """
+select 'pickup_date=' || cast(pickup_date as varchar) || '/hour=' || cast(hour as varchar) as directory, count(*) as n_rows
+from temporal group by 1"""
+
+SQL["saturation_zones"] = with_(TRIPS, CLEAN, TEMPORAL, DEMAND, SUPPLY, SURGED, ZONES) + f"""
+select s."PULocationID", any_value(z."Borough") as borough, any_value(z."Zone") as zone, s.hour, count(*) as trips,
+       {r('avg(case when s.surge_multiplier >= 1.2 then 1.0::double else 0.0::double end)')} as surged_share,
+       sum(case when s.surge_multiplier >= 1.2 then 1 else 0 end) * 2 >= count(*) as saturated
+from surged s left join zones z on s."PULocationID" = z."LocationID"
+group by s."PULocationID", s.hour"""
+
 SQL["partition_roundtrip"] = with_(TRIPS, CLEAN, TEMPORAL, ZONES) + f"""
 select t.trip_id, t.pickup_date, t.hour, t."PULocationID", pz."Borough" as pickup_borough,
        dz."Zone" as dropoff_zone, {r('t.trip_duration_minutes')} as trip_duration_minutes
@@ -497,3 +505,79 @@ select count(*) as n_rows,
               + case when is_rush_hour not in (0, 1) then 1 else 0 end) as bigint) as bad_flags,
        cast(sum(case when passenger_count is null then 1 else 0 end) as bigint) as null_passengers
 from temporal"""
+
+# --- boosting that SQL can follow ------------------------------------------------
+
+SQL["actual_vs_predicted"] = FEATURES_CTE + f"""
+select pickup_date, hour, count(*) as trips, {r('avg(surge_multiplier)')} as actual_surge,
+       {r('avg(0.5::double + 0.4::double * demand_60min / supply_baseline + 0.1::double * is_rush_hour + 0.05::double * weather_is_rain)')}
+         as predicted_surge
+from derived group by 1, 2"""
+
+# The expectile: the value m between two labels at which twice the labels above
+# and once those below balance.
+EXPECTILE = """,
+label_counts as (select surge_multiplier as v, count(*) as n from prepared where not is_validation group by 1),
+running as (
+  select v, lead(v) over (order by v) as next_v,
+         sum(n) over (order by v) as nl, sum(n * v) over (order by v) as sl,
+         sum(n) over () as n_all, sum(n * v) over () as s_all
+  from label_counts
+),
+base as (
+  select (2.0 * (s_all - sl) + sl) / (2.0 * (n_all - nl) + nl) as m from running
+  where v <= (2.0 * (s_all - sl) + sl) / (2.0 * (n_all - nl) + nl)
+    and (next_v is null or (2.0 * (s_all - sl) + sl) / (2.0 * (n_all - nl) + nl) < next_v)
+  order by v limit 1
+)"""
+
+SQL["base_score"] = MODEL_CTE.rstrip() + EXPECTILE + f"select {r('m')} as base_score from base"
+
+STUMP = """,
+residuals as (select is_rush_hour, surge_multiplier - m as r from prepared, base where not is_validation),
+sides as (
+  select is_rush_hour, sum(case when r > 0 then -4.0 * r else -2.0 * r end) as g, sum(case when r > 0 then 4.0 else 2.0 end) as h
+  from residuals group by 1
+),
+split as (
+  select max(case when is_rush_hour = 0 then g end) as gl, max(case when is_rush_hour = 0 then h end) as hl,
+         max(case when is_rush_hour = 1 then g end) as gr, max(case when is_rush_hour = 1 then h end) as hr
+  from sides
+),
+stump as (
+  select 0.05 * -sign(gl) * greatest(abs(gl) - 0.1, 0) / (hl + 1.0) as left_value,
+         0.05 * -sign(gr) * greatest(abs(gr) - 0.1, 0) / (hr + 1.0) as right_value,
+         0.5 * (pow(greatest(abs(gl) - 0.1, 0), 2) / (hl + 1.0) + pow(greatest(abs(gr) - 0.1, 0), 2) / (hr + 1.0)
+                - pow(greatest(abs(gl + gr) - 0.1, 0), 2) / (hl + hr + 1.0)) as gain
+  from split
+)"""
+
+SQL["boost_stump"] = MODEL_CTE.rstrip() + EXPECTILE + STUMP + f"""
+select 0 as tree, 'is_rush_hour' as feature, 0.5::double as threshold, {r('gain')} as gain,
+       {r('left_value')} as left_value, {r('right_value')} as right_value
+from stump"""
+
+SQL["stump_scenarios"] = MODEL_CTE.rstrip() + EXPECTILE + STUMP + f""",
+pred as (
+  select trip_id, is_rush_hour, m + case when is_rush_hour = 1 then right_value else left_value end as prediction,
+         greatest(1.0::double, m + case when is_rush_hour = 1 then right_value else left_value end) as predicted_surge
+  from prepared, base, stump
+)
+select trip_id, is_rush_hour, {r('prediction')} as prediction, {r('predicted_surge')} as predicted_surge,
+       case when predicted_surge < 1.2 then 'Low' when predicted_surge > 2.0 then 'High' else 'Moderate' end as surge_band,
+       case when predicted_surge >= 1.0 and predicted_surge < 1.5 then 'green'
+            when predicted_surge >= 1.5 and predicted_surge < 2.5 then 'yellow'
+            when predicted_surge >= 2.5 and predicted_surge <= 5.0 then 'red' end as gauge_band,
+       case when predicted_surge >= 4.5 then 1 else 0 end as surge_alert
+from pred"""
+
+SQL["score_topk"] = MODEL_CTE.rstrip() + ",\nmeans as (\n" + "\nunion all\n".join(
+    f"""select '{c}' as feature, round(avg("{c}"), 4) as score from prepared""" for c in MODEL_FEATURE_NAMES
+) + """
+)
+select feature, score, cast(row_number() over (order by score desc, feature) as integer) as rank
+from means order by score desc, feature limit 20"""
+
+SQL["warm_start_batches"] = MODEL_CTE + """
+select trip_id, cast(cast(('0x' || substr(md5('batch:' || cast(trip_id as varchar)), 1, 8)) as bigint) % 4 as integer) as batch
+from prepared"""

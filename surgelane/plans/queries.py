@@ -6,20 +6,34 @@ Inputs are always the driver's tables (through the test-data adapter), whole.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surgelane.config import FEATURES, RAW_COLUMNS
-from surgelane.functions.common import round_half_up
+from surgelane.config import BOOST, FEATURE_TABLE_COLUMNS, FEATURES, MODEL_FEATURES, RAW_COLUMNS, TARGET
+from surgelane.functions.common import round_doubles, round_half_up
+from surgelane.functions.loss import gradient, hessian
+from surgelane.operators.boost import BoostedTrees, expectile, train_boosted, train_warm_start, warm_start_batches
 from surgelane.operators.demand import rolling_demand
+from surgelane.operators.derived import add_derived_features
 from surgelane.operators.dimensions import add_placeholder_zones, join_zones
-from surgelane.operators.quality import apply_quality_filters
-from surgelane.operators.supply import surge_features, surge_profile, supply_from_profile
-from surgelane.plans.flagship import clean_trips, surge_by_borough_hour
-from surgelane.session import scratch_path
-from surgelane.sources.files import read_zone_csv, tolerant_select
-from surgelane.sources.testdata import trips_from_events, zones_from_tables
+from surgelane.operators.evaluate import asymmetric_wmse, evaluate_predictions, top_k
+from surgelane.operators.prep import prepare_features, train_val_split
+from surgelane.operators.quality import apply_quality_filters, contract_report
+from surgelane.operators.scoring import add_bands, linear_surge, scenario_report, score_scenarios
+from surgelane.operators.spatial import add_pseudo_coordinates, add_spatial_index
+from surgelane.operators.supply import supply_from_profile, surge_features, surge_profile
+from surgelane.operators.weather import hour_spine, integrate_weather
+from surgelane.plans.etl import etl_transform
+from surgelane.plans.features import feature_table, feature_transform, run_features
+from surgelane.plans.flagship import clean_trips, saturation_zones, surge_by_borough_hour
+from surgelane.plans.model import evaluate_model, load_importance, save_artifacts
+from surgelane.session import delete_on_exit, scratch_path
+from surgelane.sinks.tables import output_directories, read_feature_table, write_feature_table, write_partitioned, write_weather_table
+from surgelane.sources.files import read_partitioned, read_weather, read_zone_csv, tolerant_select
+from surgelane.sources.testdata import events_to_trips, trips_from_events, weather_from_events, zones_from_tables
+from surgelane.streaming.etl import start_etl_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -36,6 +50,13 @@ def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trips_from_events(spark, sf_dir)
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A path for a table of this session: it goes when the driver's JVM ends."""
+    path = scratch_path(spark, name)
+    delete_on_exit(spark, path)
+    return path
+
+
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_trips(_trips(spark, sf_dir))
 
@@ -63,7 +84,7 @@ def q_temporal_features(spark, sf_dir):
 @query("zone_scan")
 def q_zone_scan(spark, sf_dir):
     """Zones written as a header CSV to the shared folder, read back with the fixed schema."""
-    path = scratch_path(spark, "zones_csv")
+    path = _scratch(spark, "zones_csv")
     zones_from_tables(spark, sf_dir).coalesce(1).write.mode("overwrite").option(
         "header", "true"
     ).csv(path)
@@ -144,19 +165,8 @@ def q_supply_lookback(spark, sf_dir):
 
 # --- weather / derived / spatial / feature table -----------------------------
 
-from surgelane.functions.common import round_doubles  # noqa: E402
-from surgelane.operators.derived import add_derived_features  # noqa: E402
-from surgelane.operators.spatial import add_pseudo_coordinates, add_spatial_index  # noqa: E402
-from surgelane.operators.weather import climate_baseline, hour_spine, integrate_weather  # noqa: E402
-from surgelane.plans.etl import etl_transform  # noqa: E402
-from surgelane.plans.features import feature_table  # noqa: E402
-from surgelane.sinks.tables import output_size, write_partitioned  # noqa: E402
-from surgelane.sources.files import read_partitioned  # noqa: E402
-from surgelane.sources.testdata import weather_from_trips  # noqa: E402
-
-
 def _weather(spark, sf_dir):
-    return weather_from_trips(_trips(spark, sf_dir))
+    return weather_from_events(spark, sf_dir)
 
 
 @query("hour_spine")
@@ -164,17 +174,17 @@ def q_hour_spine(spark, sf_dir):
     return hour_spine(_trips(spark, sf_dir))
 
 
-@query("climate_baseline")
-def q_climate_baseline(spark, sf_dir):
-    out = climate_baseline(hour_spine(_trips(spark, sf_dir)))
-    return round_doubles(out.select("date", "hour", "base_temperature_f", "precip_probability", "base_wind_mph"))
-
-
 @query("weather_classify")
 def q_weather_classify(spark, sf_dir):
     return round_doubles(_weather(spark, sf_dir))
 
 
+@query("weather_file")
+def q_weather_file(spark, sf_dir):
+    """Weather written as the weather table and read back by the file reader."""
+    return round_doubles(read_weather(spark, write_weather_table(_weather(spark, sf_dir), _scratch(spark, "weather"))))
+
+
 @query("weather_join")
 def q_weather_join(spark, sf_dir):
     out = integrate_weather(_clean(spark, sf_dir), _weather(spark, sf_dir))
@@ -229,7 +239,7 @@ def q_feature_table(spark, sf_dir):
 
 def _processed_table(spark, sf_dir) -> str:
     processed = etl_transform(_trips(spark, sf_dir), zones_from_tables(spark, sf_dir))
-    return write_partitioned(processed, scratch_path(spark, "processed"))
+    return write_partitioned(processed, _scratch(spark, "processed"))
 
 
 @query("partition_roundtrip")
@@ -241,28 +251,47 @@ def q_partition_roundtrip(spark, sf_dir):
     )
 
 
-@query("output_size")
-def q_output_size(spark, sf_dir):
-    return output_size(read_partitioned(spark, _processed_table(spark, sf_dir)))
+@query("output_directories")
+def q_output_directories(spark, sf_dir):
+    return output_directories(read_partitioned(spark, _processed_table(spark, sf_dir)))
 
 
-# --- model phase -----------------------------------------------------------------
+@query("feature_roundtrip")
+def q_feature_roundtrip(spark, sf_dir):
+    """The feature table written by date and read back by its reader."""
+    table = feature_table(_clean(spark, sf_dir), _weather(spark, sf_dir))
+    return round_doubles(read_feature_table(spark, write_feature_table(table, _scratch(spark, "features"))))
+
+
+# The dates that the range query replaces.
+RANGE = ("2024-01-08", "2024-01-14")
 
-from dataclasses import replace  # noqa: E402
 
-from surgelane.config import BOOST, MODEL_FEATURES, TARGET  # noqa: E402
-from surgelane.functions.loss import gradient, hessian  # noqa: E402
-from surgelane.operators.boost import train_boosted, train_warm_start  # noqa: E402
-from surgelane.operators.evaluate import asymmetric_wmse, evaluate_predictions, top_k  # noqa: E402
-from surgelane.operators.prep import prepare_features, train_val_split  # noqa: E402
-from surgelane.operators.scoring import add_bands, linear_surge, score_scenarios  # noqa: E402
-from surgelane.plans.features import feature_transform  # noqa: E402
-from surgelane.plans.model import evaluate_model, load_importance, save_artifacts  # noqa: E402
+@query("features_range")
+def q_features_range(spark, sf_dir):
+    """A date range run from the written processed table; equals a full run's rows of those dates."""
+    path = run_features(spark, _processed_table(spark, sf_dir), _weather(spark, sf_dir), _scratch(spark, "features_range"), *RANGE)
+    return round_doubles(read_feature_table(spark, path))
 
-# Smoke-sized training run for the registered queries (the full 500-round
-# configuration runs through the job entry point).
-QUERY_BOOST = replace(BOOST, n_rounds=8, learning_rate=0.3, max_depth=5, checkpoint_every=4)
 
+# --- reports ---------------------------------------------------------------------
+
+@query("saturation_zones")
+def q_saturation_zones(spark, sf_dir):
+    return round_doubles(saturation_zones(_trips(spark, sf_dir), zones_from_tables(spark, sf_dir)))
+
+
+@query("actual_vs_predicted")
+def q_actual_vs_predicted(spark, sf_dir):
+    scored = linear_surge(_features_with_id(spark, sf_dir))
+    return round_doubles(
+        scored.groupBy("pickup_date", "hour").agg(
+            F.count(F.lit(1)).alias("trips"), F.avg(TARGET).alias("actual_surge"), F.avg("prediction").alias("predicted_surge")
+        )
+    )
+
+
+# --- model phase -----------------------------------------------------------------
 
 def _features_with_id(spark, sf_dir):
     return feature_transform(_clean(spark, sf_dir), _weather(spark, sf_dir))
@@ -336,59 +365,115 @@ def q_surge_bands(spark, sf_dir):
     return round_doubles(add_bands(feats, "surge_multiplier"))
 
 
-def _trained(spark, sf_dir):
+@query("base_score")
+def q_base_score(spark, sf_dir):
+    prepared, _ = _prepared(spark, sf_dir)
+    score = expectile(prepared.where("not is_validation"), TARGET, BOOST.underestimation_penalty)
+    return round_doubles(spark.createDataFrame([(score,)], "base_score double"))
+
+
+def _stump(spark, sf_dir) -> BoostedTrees:
+    """One unsampled round with one split of a 0/1 feature, saved and loaded: SQL can follow it."""
+    prepared, _ = _prepared(spark, sf_dir)
+    params = replace(BOOST, n_rounds=1, max_depth=1, subsample=1.0, colsample=1.0, gamma=0.0, min_child_weight=0.0)
+    path = _scratch(spark, "stump")
+    train_boosted(prepared, ["is_rush_hour"], TARGET, "is_validation", params, early_stopping=False).save(spark, path)
+    return BoostedTrees.load(spark, path)
+
+
+@query("boost_stump")
+def q_boost_stump(spark, sf_dir):
+    nodes = _stump(spark, sf_dir).nodes(spark)
+    return round_doubles(
+        nodes.groupBy("tree").agg(
+            F.max("feature").alias("feature"), F.max("threshold").alias("threshold"), F.max("gain").alias("gain"),
+            F.max(F.when(F.col("node") == 1, F.col("value"))).alias("left_value"),
+            F.max(F.when(F.col("node") == 2, F.col("value"))).alias("right_value"),
+        )
+    )
+
+
+@query("stump_scenarios")
+def q_stump_scenarios(spark, sf_dir):
+    """Scenarios scored by a trained, saved and loaded model."""
+    model = _stump(spark, sf_dir)
+    scen = _features_with_id(spark, sf_dir).select("trip_id", "hour", "day_of_week")
+    out = score_scenarios(scen, model.predict, model.features, keep=["trip_id"])
+    return round_doubles(out.select("trip_id", "is_rush_hour", "prediction", "predicted_surge", "surge_band", "gauge_band", "surge_alert"))
+
+
+@query("score_topk")
+def q_score_topk(spark, sf_dir):
+    """The 20 features of largest mean."""
     prepared, names = _prepared(spark, sf_dir)
-    return prepared, names, train_boosted(prepared, names, TARGET, "is_validation", QUERY_BOOST)
+    means = prepared.agg(*[F.round(F.avg(c), 4).alias(c) for c in names])
+    return top_k(means.unpivot([], names, "feature", "score").select("feature", "score"), 20, "score", "feature")
 
 
-@query("train_boost")
-def q_train_boost(spark, sf_dir):
-    _, _, model = _trained(spark, sf_dir)
+# Batches of the warm start; each adds the declared rounds.
+WARM_BATCHES = 4
+
+
+@query("warm_start_batches")
+def q_warm_start_batches(spark, sf_dir):
+    prepared, names = _prepared(spark, sf_dir)
+    return warm_start_batches(prepared, names, TARGET, WARM_BATCHES, key="trip_id").select("trip_id", F.col("_batch").alias("batch"))
+
+
+# Where a session's full training run over a folder was saved: one run serves all queries on its model.
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def _saved_model(spark, sf_dir) -> str:
+    """Artifacts of a training run with the declared parameters."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SAVED:
+        prepared, names = _prepared(spark, sf_dir)
+        model = train_boosted(prepared, names, TARGET, "is_validation", BOOST)
+        _SAVED[key] = save_artifacts(spark, evaluate_model(model, prepared.filter("is_validation")), _scratch(spark, "model"))
+    return _SAVED[key]
+
+
+def _history(spark, model: BoostedTrees) -> DataFrame:
     rows = [(h["round"], h["train"], h["validation"]) for h in model.history]
     return spark.createDataFrame(rows, "round int, train_wmse double, validation_wmse double")
 
 
+@query("train_boost")
+def q_train_boost(spark, sf_dir):
+    return _history(spark, BoostedTrees.load(spark, f"{_saved_model(spark, sf_dir)}/model"))
+
+
 @query("train_warm_start")
 def q_train_warm_start(spark, sf_dir):
     prepared, names = _prepared(spark, sf_dir)
-    params = replace(QUERY_BOOST, rounds_per_batch=3)
-    model = train_warm_start(prepared, names, TARGET, "is_validation", params, batch_rows=2_000)
-    rows = [(h["round"], h["train"], h["validation"]) for h in model.history]
-    return spark.createDataFrame(rows, "round int, train_wmse double, validation_wmse double")
+    return _history(spark, train_warm_start(prepared, names, TARGET, "is_validation", BOOST, WARM_BATCHES, key="trip_id"))
 
 
 @query("importance_topk")
 def q_importance_topk(spark, sf_dir):
-    prepared, _, model = _trained(spark, sf_dir)
+    model = BoostedTrees.load(spark, f"{_saved_model(spark, sf_dir)}/model")
     return top_k(model.importance(spark), 20, "importance_gain", "feature", digits=4)
 
 
 @query("model_artifacts")
 def q_model_artifacts(spark, sf_dir):
-    prepared, _, model = _trained(spark, sf_dir)
-    result = evaluate_model(model, prepared.filter("is_validation"))
-    path = save_artifacts(spark, result, scratch_path(spark, "model"))
-    return load_importance(spark, path, 10)
+    return load_importance(spark, _saved_model(spark, sf_dir), 10)
 
 
 # --- streaming ---------------------------------------------------------------------
 
-from surgelane.sources.testdata import events_to_trips  # noqa: E402
-from surgelane.streaming.etl import start_etl_stream  # noqa: E402
-
-
 @query("stream_etl")
 def q_stream_etl(spark, sf_dir):
     """The events file replayed as a stream through the ETL phase (availableNow),
     then the appended partitioned table read back."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    out = scratch_path(spark, "stream_out")
+    out = _scratch(spark, "stream_out")
     q = start_etl_stream(
-        spark, sf_dir, schema, out,
+        spark, sf_dir, schema, out, _scratch(spark, "stream_ckpt"),
         zones=zones_from_tables(spark, sf_dir),
         adapter=events_to_trips,
         glob="events.parquet",
-        checkpoint=scratch_path(spark, "stream_ckpt"),
     )
     q.awaitTermination()
     back = read_partitioned(spark, out)
@@ -398,9 +483,6 @@ def q_stream_etl(spark, sf_dir):
     )
 
 
-from surgelane.operators.scoring import scenario_report  # noqa: E402
-
-
 @query("scenario_report")
 def q_scenario_report(spark, sf_dir):
     scen = _features_with_id(spark, sf_dir).select(
@@ -411,9 +493,6 @@ def q_scenario_report(spark, sf_dir):
     return out.select("trip_id", "surge_text", "zscore_text", "rush_hour_text", "weekend_text", "raining_text")
 
 
-from surgelane.operators.quality import contract_report  # noqa: E402
-
-
 @query("contract_report")
 def q_contract_report(spark, sf_dir):
     return contract_report(_clean(spark, sf_dir))

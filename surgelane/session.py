@@ -146,10 +146,11 @@ class StateTables:
         self.name = name
         self.paths: list[str] = []
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         path = scratch_path(self.spark, self.name)
-        df.write.mode("overwrite").parquet(path)
-        fresh = self.spark.read.parquet(path)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        fresh = self.spark.read.schema(df.schema).parquet(path)
         for old in self.paths:
             delete_path(self.spark, old)
         self.paths = [path]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surgelane.config import FEATURE_TABLE_COLUMNS, PARTITION_KEYS
@@ -45,14 +45,30 @@ def output_size(df: DataFrame) -> DataFrame:
     )
 
 
-def write_feature_table(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """The 36 feature columns (those present), declared order, snappy Parquet."""
-    tolerant_select(df, FEATURE_TABLE_COLUMNS).write.mode(mode).option(
-        "compression", "snappy"
-    ).parquet(path)
+def output_directories(df: DataFrame) -> DataFrame:
+    """Rows of each directory that a partitioned table has files in."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"(pickup_date=[^/]+/hour=[^/]+)/", 1)
+    return df.groupBy(folder.alias("directory")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def write_feature_table(df: DataFrame, path: str, mode: str = "overwrite", only_touched: bool = False) -> str:
+    """The 36 feature columns (those present) by pickup date, snappy Parquet.
+
+    With ``only_touched`` the dates in ``df`` are replaced and all others stay.
+    """
+    out = tolerant_select(df, FEATURE_TABLE_COLUMNS).hint("rebalance", "pickup_date")
+    writer = out.write.mode(mode).partitionBy("pickup_date").option("compression", "snappy")
+    if only_touched:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.parquet(path)
     return path
 
 
+def read_feature_table(spark: SparkSession, path: str) -> DataFrame:
+    """The written feature table, columns in declared order."""
+    return tolerant_select(spark.read.parquet(path), FEATURE_TABLE_COLUMNS)
+
+
 def write_weather_table(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Hourly weather with ``date`` as DATE and ``hour`` as INT (never a
     nanosecond timestamp), one small file."""

@@ -110,22 +110,17 @@ def normalize_date(c, dtype) -> "F.Column":
     return F.to_date(c)
 
 
-def read_weather(spark: SparkSession, path: str) -> DataFrame:
+def read_weather(spark: SparkSession, path: str, nanos_date: bool = False) -> DataFrame:
     """Hourly weather with ``date`` as DATE and ``hour`` as INT.
 
     Files written from pandas store ``date`` as Parquet TIMESTAMP(NANOS), which
-    Spark refuses by default; in that case the reader falls back to Spark's
-    ``spark.sql.legacy.parquet.nanosAsLong`` option (set for the session) and
-    converts the nanoseconds.
+    Spark refuses; with ``nanos_date`` the caller says so, and the column is read
+    as a number by an explicit schema (no probe, no session-wide setting).
     """
-    try:
-        df = spark.read.parquet(path)
-        df.schema  # noqa: B018 - resolve the footer now
-        df.limit(1).collect()  # type check happens on the first row group read
-    except Exception as e:  # noqa: BLE001
-        if "TIMESTAMP(NANOS" not in str(e):
-            raise
-        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    if nanos_date:
+        fields = ["date long", "hour int", *(f"{c} double" for c in WEATHER_COLUMNS[2:-1]), "weather_condition string"]
+        df = spark.read.schema(", ".join(fields)).parquet(path)
+    else:
         df = spark.read.parquet(path)
     fields = {f.name: f.dataType for f in df.schema.fields}
     out = df.withColumns(

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surgelane.operators.dimensions import join_dimension
 from surgelane.sources.files import read_parquet
 
 # Fixed values of the adapter contract.
@@ -47,11 +46,10 @@ def events_to_trips(ev: DataFrame) -> DataFrame:
 
 
 def zones_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = read_parquet(spark, f"{sf_dir}/nation.parquet", ["n_nationkey", "n_name", "n_regionkey"])
-    region = read_parquet(spark, f"{sf_dir}/region.parquet", ["r_regionkey", "r_name"])
-    joined = join_dimension(
-        nation, region, left_on=["n_regionkey"], right_on=["r_regionkey"], how="left"
-    )
+    # Declared schemas: no job reads footers while the plan is built.
+    nation = spark.read.schema("n_nationkey int, n_name string, n_regionkey int").parquet(f"{sf_dir}/nation.parquet")
+    region = spark.read.schema("r_regionkey int, r_name string").parquet(f"{sf_dir}/region.parquet")
+    joined = nation.join(region, nation["n_regionkey"] == region["r_regionkey"], "left")
     return joined.select(
         (F.col("n_nationkey") + 1).cast("int").alias("LocationID"),
         F.col("r_name").alias("Borough"),
@@ -60,29 +58,28 @@ def zones_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Weather stand-in (deterministic): climate baseline plus fixed offsets keyed by
-# k = (day_of_year - 1) * 24 + hour. Hours with k % 10 = 7 have no report, so
-# the default fill is exercised.
-MISSING_REPORT = 7
-
+def weather_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly weather stand-in: one row per hour that has events, from their values.
 
-def weather_from_trips(trips: DataFrame) -> DataFrame:
-    """Hourly weather covering the hours spanned by the trips' pickups."""
-    from surgelane.functions.weather import base_wind, seasonal_temperature
-    from surgelane.operators.weather import classify_weather, hour_spine
+    Sums, extremes and counts of the values in cents (whole numbers, so that any
+    order of summation gives the same) are folded into the ranges of the four
+    measurements; hours without events have no report.
+    """
+    from surgelane.operators.weather import classify_weather
 
-    spine = hour_spine(trips)
-    doy, hour = F.col("day_of_year"), F.col("hour")
-    k = (doy - 1) * 24 + hour
-    wet = (k * 37) % 10 < 2
-    weather = spine.filter(k % 10 != MISSING_REPORT).select(
-        "date",
-        "hour",
-        (F.round(seasonal_temperature(doy, hour), 1) + ((k * 13) % 7 - 3)).alias("temperature_f"),
-        F.when(wet, ((k * 37) % 7 + 1) * F.lit(0.05)).otherwise(F.lit(0.0)).alias("precipitation_in"),
-        F.round(base_wind(doy), 1).alias("wind_speed_mph"),
-        F.when(wet, F.lit(6.0)).when(k % 97 == 0, F.lit(2.5)).otherwise(F.lit(9.0)).alias(
-            "visibility_miles"
-        ),
+    ev = read_parquet(spark, f"{sf_dir}/events.parquet", ["ts", "value"])
+    cents = F.round(F.col("value") * 100).cast("long")
+    hours = ev.groupBy(F.to_date("ts").alias("date"), F.hour("ts").alias("hour")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(cents).alias("total"), F.min(cents).alias("least"), F.max(cents).alias("most")
+    )
+    wet = F.col("n") % 4 == 0
+    return classify_weather(
+        hours.select(
+            "date",
+            "hour",
+            (F.lit(20.0) + F.col("total") % 700 / 10.0).alias("temperature_f"),
+            F.when(wet, (F.col("most") % 50 + 1) / 100.0).otherwise(F.lit(0.0)).alias("precipitation_in"),
+            (F.col("least") % 300 / 10.0).alias("wind_speed_mph"),
+            (F.lit(1.0) + F.col("most") % 90 / 10.0).alias("visibility_miles"),
+        )
     )
-    return classify_weather(weather)

@@ -12,12 +12,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from surgelane.config import PARTITION_KEYS
+from surgelane.config import PARTITION_KEYS, PU_LOC
 from surgelane.plans.etl import etl_transform
-from surgelane.session import checkpoint_root
 
 
 def stream_etl_transform(stream: DataFrame, zones: DataFrame | None) -> DataFrame:
@@ -34,16 +34,16 @@ def start_etl_stream(
     source_dir: str,
     schema: StructType,
     out_path: str,
+    checkpoint: str,
     zones: DataFrame | None = None,
     adapter: Callable[[DataFrame], DataFrame] | None = None,
     glob: str | None = None,
-    checkpoint: str | None = None,
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
     """Start the streaming ETL; ``adapter`` maps source rows to trip columns.
 
-    ``available_now`` processes everything present and stops (batch-like
+    ``checkpoint`` belongs to this stream alone. ``available_now`` processes everything present and stops (batch-like
     backfill with streaming bookkeeping); otherwise it runs continuously.
     """
     reader = spark.readStream.schema(schema)
@@ -54,11 +54,13 @@ def start_etl_stream(
     raw = reader.parquet(source_dir)
     trips = adapter(raw) if adapter else raw
     out = stream_etl_transform(trips, zones)
-    ckpt = checkpoint or f"{checkpoint_root(spark).rstrip('/')}/streams/etl"
+    # A shuffle by partition and a quarter of the locations: at most four files per
+    # directory and trigger, and a hot hour has four writers.
     writer = (
-        out.writeStream.format("parquet")
+        out.repartition(*PARTITION_KEYS, F.pmod(F.xxhash64(PU_LOC), F.lit(4)))
+        .writeStream.format("parquet")
         .option("path", out_path)
-        .option("checkpointLocation", ckpt)
+        .option("checkpointLocation", checkpoint)
         .partitionBy(*PARTITION_KEYS)
         .outputMode("append")
     )

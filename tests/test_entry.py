@@ -8,14 +8,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SMOKE
+from conftest import SMALL
 from surgelane.sources.files import require_not_empty
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
-# Queries without SQL (iterative training, file sizes): rows-only.
-ROWS_ONLY = {"train_boost", "train_warm_start", "importance_topk", "model_artifacts", "output_size"}
+# Queries without SQL (iterative training): rows-only.
+ROWS_ONLY = {"train_boost", "train_warm_start", "importance_topk", "model_artifacts"}
 
 
 def _canon(cols, rows):
@@ -35,7 +35,7 @@ def _canon(cols, rows):
 def duck():
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"create view {t} as select * from read_parquet('{SMOKE}/{t}.parquet')")
+        con.execute(f"create view {t} as select * from read_parquet('{SMALL}/{t}.parquet')")
     return con
 
 
@@ -49,14 +49,43 @@ def test_entry(spark):
 def test_every_query_has_oracle_or_is_rows_only():
     q, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(q)
-    assert set(q) - set(sql) == ROWS_ONLY
+    from surgelane.plans.queries import QUERIES
 
+    assert set(QUERIES) - set(sql) == ROWS_ONLY
 
-@pytest.mark.parametrize("name", ["flagship", "rolling_demand", "surge", "supply_lookback", "feature_table",
-                                  "weather_join", "hex_bin", "eval_metrics", "score_scenarios", "train_val_split",
-                                  "contract_report", "scenario_report"])
+
+def test_only_a_local_master_falls_back_to_a_folder_of_its_own(monkeypatch):
+    import types
+
+    import surgelane.session as session
+
+    def missing(spark):
+        raise RuntimeError("spark.checkpoint.dir is not set")
+
+    made = []
+    context = types.SimpleNamespace(master="spark://host:7077", setCheckpointDir=made.append)
+    spark = types.SimpleNamespace(conf={}, sparkContext=context)
+    spark.conf = types.SimpleNamespace(set=lambda *a: None)
+    monkeypatch.setattr(session, "checkpoint_root", missing)
+    monkeypatch.setattr(session, "ship_package", lambda spark: None)
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"):
+        context.master = master
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            E._prepare(spark)
+    context.master = "local[4]"
+    E._prepare(spark)
+    assert len(made) == 1
+
+
+def _with_oracle():
+    from surgelane.plans.oracles import SQL
+
+    return sorted(SQL)
+
+
+@pytest.mark.parametrize("name", _with_oracle())
 def test_query_matches_oracle(spark, duck, name):
-    sdf = E.queries()[name](spark, SMOKE)
+    sdf = E.queries()[name](spark, SMALL)
     res = duck.execute(E.oracle_sql()[name])
     s_cols, s_rows = _canon(sdf.columns, [tuple(r) for r in sdf.collect()])
     d_cols, d_rows = _canon([d[0] for d in res.description], res.fetchall())

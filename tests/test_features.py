@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL, SMOKE, edge_trips, plan_text, trip
+from conftest import SMALL, SMOKE, direct_demand, edge_trips, plan_text, trip
 from surgelane.config import FEATURES, FeatureRules
 from surgelane.operators.demand import demand_profile, rolling_demand
 from surgelane.operators.supply import compute_supply_and_surge, surge_features, surge_profile
@@ -27,8 +27,8 @@ def test_window_edges(spark):
     rows = [trip(f"2024-05-01 {t}", "2024-05-01 13:30:00", pu=5, trip_id=i) for i, t in times.items()]
     rows.append(trip("2024-05-01 12:00:00", "2024-05-01 13:30:00", pu=6, trip_id=8))  # other location
     df = clean_trips(edge_trips(spark, rows))
-    for method in ("direct", "preagg"):
-        got = _by_id(rolling_demand(df, method=method), DEMAND)
+    for demand in (direct_demand, rolling_demand):
+        got = _by_id(demand(df), DEMAND)
         assert got[1] == got[2] == (3, 5, 6)
         assert got[3] == (3, 3, 5)
         assert got[7] == (1, 1, 1)
@@ -39,8 +39,8 @@ def test_window_edges(spark):
 def test_preagg_equals_direct(spark, chunk):
     df = clean_trips(trips_from_events(spark, SMALL))
     rules = FeatureRules(demand_chunk_seconds=chunk)
-    direct = rolling_demand(df, rules, method="direct").select("trip_id", *DEMAND)
-    pre = rolling_demand(df, rules, method="preagg").select("trip_id", *DEMAND)
+    direct = direct_demand(df, rules).select("trip_id", *DEMAND)
+    pre = rolling_demand(df, rules).select("trip_id", *DEMAND)
     assert direct.count() == pre.count() == df.count()
     assert direct.exceptAll(pre).count() == 0 and pre.exceptAll(direct).count() == 0
 
@@ -52,8 +52,8 @@ def test_hot_location(spark):
     hot = base.withColumn(
         "PULocationID", F.when(F.col("trip_id") % 3 == 0, F.lit(1)).otherwise(F.col("PULocationID"))
     )
-    direct = rolling_demand(hot, method="direct").select("trip_id", *DEMAND)
-    pre = rolling_demand(hot, method="preagg").select("trip_id", *DEMAND)
+    direct = direct_demand(hot).select("trip_id", *DEMAND)
+    pre = rolling_demand(hot).select("trip_id", *DEMAND)
     assert direct.exceptAll(pre).count() == 0
     plan = plan_text(demand_profile(hot), "simple")
     assert "hashpartitioning(PULocationID" in plan and "_chunk" in plan
@@ -79,7 +79,7 @@ def test_surge_above_one(spark):
 
 def test_fixture_surge_defaults(sample_trips):
     out = surge_features(clean_trips(sample_trips)).collect()
-    assert len(out) == 5
+    assert len(out) == 4
     for r in out:
         assert (r.demand_15min, r.demand_30min, r.demand_60min) == (1, 1, 1)
         assert r.supply_baseline == 1.0 and r.supply_stddev is None
@@ -92,7 +92,7 @@ def test_null_location_gets_default_baseline(spark):
     assert [r.demand_60min for r in out] == [1, 2, 3]          # NULL location is still one window group
     assert all(r.supply_baseline == 1.0 and r.demand_zscore == 0.0 for r in out)
     assert [r.surge_multiplier for r in out] == [1.0, 2.0, 3.0]
-    ref = compute_supply_and_surge(rolling_demand(clean_trips(edge_trips(spark, rows)), method="direct"))
+    ref = compute_supply_and_surge(direct_demand(clean_trips(edge_trips(spark, rows))))
     assert sorted(r.surge_multiplier for r in ref.collect()) == [1.0, 2.0, 3.0]
 
 
@@ -100,7 +100,7 @@ def test_fused_equals_join_back(spark):
     df = clean_trips(trips_from_events(spark, SMALL))
     cols = ["demand_60min", "supply_baseline", "supply_stddev", "sample_count", "surge_multiplier", "demand_zscore"]
     fused = _by_id(surge_features(df), cols)
-    ref = _by_id(compute_supply_and_surge(rolling_demand(df, method="direct")), cols)
+    ref = _by_id(compute_supply_and_surge(direct_demand(df)), cols)
     assert fused.keys() == ref.keys()
     for k, a in fused.items():
         b = ref[k]

@@ -6,47 +6,48 @@ import math
 from dataclasses import replace
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMOKE
 from surgelane.config import BOOST, MODEL_FEATURES, TARGET
 from surgelane.functions.loss import gradient, hessian
-from surgelane.operators.boost import BoostedTrees, leaf_value, train_boosted, train_warm_start
+from surgelane.operators.boost import (
+    BoostedTrees,
+    Node,
+    expectile,
+    leaf_value,
+    leaf_values_by_number,
+    regularise,
+    train_boosted,
+    train_warm_start,
+)
 from surgelane.operators.evaluate import asymmetric_wmse, evaluate_predictions, top_k
-from surgelane.operators.prep import prepare_features, train_val_split
+from surgelane.operators.prep import column_medians, prepare_features, train_val_split
+from surgelane.plans.features import feature_transform
+from surgelane.plans.flagship import clean_trips
 from surgelane.plans.model import evaluate_model, load_importance, save_artifacts
-from surgelane.session import scratch_path
+from surgelane.session import materialise, scratch_path
+from surgelane.sources.testdata import trips_from_events, weather_from_events
 
 FAST = replace(BOOST, n_rounds=6, learning_rate=0.3, max_depth=4, checkpoint_every=3, early_stopping_rounds=50)
 
 
 @pytest.fixture(scope="module")
 def feature_df(spark):
-    rng = np.random.RandomState(42)
-    n = 1000
-    pdf = pd.DataFrame({
-        "hour": rng.randint(0, 24, n), "day_of_week": rng.randint(1, 8, n), "day_of_month": rng.randint(1, 32, n),
-        "month": rng.randint(1, 13, n), "is_weekend": rng.randint(0, 2, n), "is_rush_hour": rng.randint(0, 2, n),
-        "PULocationID": rng.randint(1, 265, n), "DOLocationID": rng.randint(1, 265, n),
-        "trip_distance": rng.exponential(3, n) + 0.5, "trip_duration_minutes": rng.exponential(15, n) + 1,
-        "passenger_count": rng.randint(1, 5, n), "fare_amount": rng.exponential(15, n) + 2.5,
-        "total_amount": rng.exponential(20, n) + 3, "demand_15min": rng.poisson(10, n),
-        "demand_30min": rng.poisson(20, n), "demand_60min": rng.poisson(40, n),
-        "supply_baseline": rng.exponential(35, n) + 5, "demand_zscore": rng.normal(0, 1, n),
-        "fare_per_mile": rng.exponential(5, n), "fare_per_minute": rng.exponential(1, n),
-        "speed_mph": rng.exponential(15, n) + 2, "demand_acceleration": np.abs(rng.normal(0.25, 0.1, n)),
-        "demand_trend": rng.normal(-5, 10, n), "congestion_indicator": rng.randint(0, 2, n),
-        "temperature_f": rng.normal(55, 15, n), "precipitation_in": rng.exponential(0.1, n),
-        "wind_speed_mph": rng.exponential(8, n) + 2, "visibility_miles": rng.uniform(1, 10, n),
-        "weather_is_clear": rng.randint(0, 2, n), "weather_is_rain": rng.randint(0, 2, n),
-        "weather_is_snow": rng.randint(0, 2, n), "weather_is_fog": rng.randint(0, 2, n),
-    })
-    surge = 1.0 + 0.3 * pdf.demand_60min / pdf.supply_baseline + 0.2 * pdf.is_rush_hour \
-        + 0.15 * pdf.weather_is_rain + 0.25 * pdf.weather_is_snow + rng.normal(0, 0.1, n)
-    pdf["surge_multiplier"] = np.clip(surge, 1.0, 5.0)
-    pdf["row_id"] = np.arange(n)
-    return spark.createDataFrame(pdf)
+    """The features of the smallest test table, written once."""
+    trips = clean_trips(trips_from_events(spark, SMOKE))
+    return materialise(feature_transform(trips, weather_from_events(spark, SMOKE)), "test_features")
+
+
+@pytest.fixture(scope="module")
+def split(spark, feature_df):
+    prepared, names = prepare_features(feature_df, keep=["trip_id"])
+    return train_val_split(prepared, key="trip_id"), names
+
+
+def persisted(spark):
+    return spark.sparkContext._jsc.getPersistentRDDs().size()
 
 
 def test_grad_hess_cases(spark):
@@ -77,7 +78,7 @@ def test_medians_and_non_finite(spark):
 
 
 def test_missing_target(spark):
-    with pytest.raises(ValueError, match="Target column"):
+    with pytest.raises(ValueError, match="no target"):
         prepare_features(spark.createDataFrame([(1.0,)], "hour double"))
 
 
@@ -87,59 +88,144 @@ def test_inf_features_become_zero(spark):
     assert sorted(r.hour for r in out.collect()) == [0.0, 2.0]
 
 
+def test_medians_are_exact_over_many_partitions(spark):
+    rng = np.random.default_rng(1)
+    cols = {"a": rng.integers(0, 9, 2001).astype(float), "b": rng.normal(size=2001), "c": np.full(2001, 3.0)}
+    cols["b"][::7] = np.nan
+    rows = [tuple(None if k == "c" and i % 2 else float(v[i]) for k, v in cols.items()) for i in range(2001)]
+    got = column_medians(spark.createDataFrame(rows, "a double, b double, c double").repartition(9), ["a", "b", "c"])
+    assert got["a"] == np.median(cols["a"]) and got["c"] == 3.0
+    assert got["b"] == np.median(cols["b"][~np.isnan(cols["b"])])
+    assert column_medians(spark.createDataFrame([(None,)], "a double"), ["a"]) == {"a": None}
+
+
 def test_split(feature_df):
-    a = train_val_split(feature_df, key="row_id")
-    b = train_val_split(feature_df.repartition(7), key="row_id")
-    n_val = a.filter("is_validation").count()
-    assert abs(n_val - 200) <= 50 and a.count() == 1000
-    sa = {r.row_id for r in a.filter("is_validation").collect()}
-    sb = {r.row_id for r in b.filter("is_validation").collect()}
+    a = train_val_split(feature_df, key="trip_id")
+    b = train_val_split(feature_df.repartition(7), key="trip_id")
+    n, n_val = a.count(), a.filter("is_validation").count()
+    assert abs(n_val - 0.2 * n) <= 0.05 * n
+    sa = {r.trip_id for r in a.filter("is_validation").collect()}
+    sb = {r.trip_id for r in b.filter("is_validation").collect()}
     assert sa == sb
 
 
+def test_split_fraction_below_a_percent(spark):
+    n = train_val_split(spark.range(50_000), key="id", fraction=0.004).filter("is_validation").count()
+    assert 140 <= n <= 260
+
+
 def test_leaf_value():
     assert leaf_value(-10.0, 4.0, 0.1, 1.0) == pytest.approx(9.9 / 5.0)
     assert leaf_value(0.05, 4.0, 0.1, 1.0) == 0.0
 
 
-def test_boosting_learns(spark, feature_df):
-    prepared, names = prepare_features(feature_df, keep=["row_id"])
-    split = train_val_split(prepared, key="row_id")
-    model = train_boosted(split, names, TARGET, "is_validation", FAST)
-    val = [h["validation"] for h in model.history]
-    train = [h["train"] for h in model.history]
-    assert all(b <= a + 1e-12 for a, b in zip(train, train[1:]))
-    assert val[-1] < val[0]
-    const = train_boosted(split, names, TARGET, "is_validation", FAST, n_rounds=0)
-    assert model.history[-1]["validation"] < evaluate_predictions(
-        const.predict(split.filter("is_validation")), TARGET).first().asymmetric_wmse
+def test_expectile_minimises_the_loss(spark):
+    rng = np.random.default_rng(2)
+    y = np.round(rng.exponential(size=500), 2)
+    got = expectile(spark.createDataFrame([(float(v),) for v in y], "y double"), "y", 2.0)
+    balance = 2.0 * np.sum((y - got)[y > got]) - np.sum((got - y)[y <= got])
+    assert abs(balance) < 1e-8
+    assert expectile(spark.createDataFrame([], "y double"), "y", 2.0) == 0.0
+
+
+def two_level_tree():
+    return [Node("a", 0.5, 1, 4), Node("b", 1.0, 2, 3), Node(), Node(), Node()]
+
+
+def test_gamma_prunes_and_gains_follow_the_sums():
+    params = replace(BOOST, learning_rate=1.0, reg_alpha=0.0, reg_lambda=0.0, gamma=0.0)
+    sums = {0: (-4.0, 4.0), 1: (-4.2, 4.0), 2: (8.0, 4.0)}
+    full = regularise(two_level_tree(), sums, params)
+    assert [n.feature for n in full] == ["a", "b", None, None, None]
+    low = 0.5 * (16 / 4 + 4.2**2 / 4 - 8.2**2 / 8)
+    assert full[1].gain == pytest.approx(low)
+    assert full[0].gain == pytest.approx(0.5 * (8.2**2 / 8 + 64 / 4 - 0.2**2 / 12))
+    pruned = regularise(two_level_tree(), sums, replace(params, gamma=0.1))
+    assert [n.feature for n in pruned] == ["a", None, None] and pruned[1].value == pytest.approx(8.2 / 8)
+    assert leaf_values_by_number(two_level_tree(), pruned) == pytest.approx([8.2 / 8, 8.2 / 8, -2.0])
+    assert [n.feature for n in regularise(two_level_tree(), sums, replace(params, gamma=100.0))] == [None]
+
+
+def test_boosting_learns(spark, split):
+    df, names = split
+    before = persisted(spark)
+    model = train_boosted(df, names, TARGET, "is_validation", FAST)
+    assert persisted(spark) == before
+    val, train = [h["validation"] for h in model.history], [h["train"] for h in model.history]
+    assert [h["round"] for h in model.history] == list(range(FAST.n_rounds))
+    assert train[-1] < train[0] and val[-1] < val[0]
+    v = df.filter("is_validation")
+    # The trees score what the training measured.
+    kept = asymmetric_wmse(model.predict(v), TARGET, "prediction").first()[0]
+    assert kept == pytest.approx(model.history[model.best_iteration]["validation"], rel=1e-9)
+    const = train_boosted(df, names, TARGET, "is_validation", FAST, n_rounds=0)
+    assert const.n_trees == 0 and kept < asymmetric_wmse(const.predict(v), TARGET, "prediction").first()[0]
     # Persist, reload, score identically.
     path = scratch_path(spark, "model_test")
     model.save(spark, path)
     again = BoostedTrees.load(spark, path)
-    v = split.filter("is_validation")
-    p1 = {r.row_id: r.prediction for r in model.predict(v).collect()}
-    p2 = {r.row_id: r.prediction for r in again.predict(v).collect()}
-    assert p1 == p2
+    p1 = {r.trip_id: r.prediction for r in model.predict(v).collect()}
+    p2 = {r.trip_id: r.prediction for r in again.predict(v).collect()}
+    assert p1 == p2 and again.trees == model.trees
     result = evaluate_model(model, v)
     m = result.metrics.first()
     assert m.n_trees == model.n_trees and m.n_features == 32 and m.rmse > 0
-    imp = result.importance
     top = result.top_features(20).collect()
     assert [r["rank"] for r in top] == list(range(1, len(top) + 1))
-    assert imp.count() > 0 and imp.filter("importance_gain < 0").count() == 0
+    assert [r.feature for r in m.feature_importance_top20] == [r.feature for r in top]
+    gains = {}
+    for tree in model.trees:
+        for n in tree:
+            if n.feature:
+                gains.setdefault(n.feature, []).append(n.gain)
+    assert {r.feature: r.importance_gain for r in result.importance.collect()} == pytest.approx({f: np.mean(g) for f, g in gains.items()})
     out = save_artifacts(spark, result, scratch_path(spark, "artifacts"))
     top = load_importance(spark, out, 10).collect()
     assert 0 < len(top) <= 10 and top[0]["rank"] == 1
     assert [r.importance_gain for r in top] == sorted((r.importance_gain for r in top), reverse=True)
 
 
-def test_warm_start_adds_trees(spark, feature_df):
-    prepared, names = prepare_features(feature_df, keep=["row_id"])
-    split = train_val_split(prepared, key="row_id")
+def test_without_validation_rows_all_trees_stay(spark, split):
+    df, names = split
+    model = train_boosted(df.withColumn("is_validation", F.lit(False)), names, TARGET, "is_validation", FAST, n_rounds=2)
+    assert model.n_trees == len(model.history) == 2 and model.history[-1]["validation"] is None
+
+
+def test_continuing_with_another_rate_keeps_the_old_trees(spark, split):
+    df, names = split
+    first = train_boosted(df, names, TARGET, "is_validation", FAST, n_rounds=2, early_stopping=False)
+    more = train_boosted(df, names, TARGET, "is_validation", replace(FAST, learning_rate=0.05), n_rounds=2,
+                         init_model=first, early_stopping=False)
+    assert more.n_trees == 4 and more.trees[:2] == first.trees and len(more.history) == 4
+    scored = more.predict(df.filter("is_validation"))
+    assert asymmetric_wmse(scored, TARGET, "prediction").first()[0] == pytest.approx(more.history[-1]["validation"], rel=1e-9)
+
+
+def test_stopping_early_drops_the_rounds_after_the_best(spark, split):
+    df, names = split
+    noisy = df.withColumn(TARGET, F.when(F.col("is_validation"), F.lit(1.0)).otherwise(F.col(TARGET)))
+    model = train_boosted(noisy, names, TARGET, "is_validation", replace(FAST, n_rounds=12, early_stopping_rounds=3))
+    losses = [h["validation"] for h in model.history]
+    assert model.n_trees == model.best_iteration + 1 == losses.index(min(losses)) + 1
+    assert len(losses) <= model.n_trees + 3
+
+
+def test_column_sample_and_child_weight(spark, split):
+    df, names = split
+    model = train_boosted(df, names, TARGET, "is_validation", replace(FAST, colsample=0.1), n_rounds=2, early_stopping=False)
+    assert all(len({n.feature for n in tree if n.feature}) <= 3 for tree in model.trees)
+    heavy = train_boosted(df, names, TARGET, "is_validation", replace(FAST, min_child_weight=1e9), n_rounds=1, early_stopping=False)
+    assert len(heavy.trees[0]) <= 3
+
+
+def test_warm_start_adds_trees_per_batch(spark, split):
+    df, names = split
     params = replace(FAST, rounds_per_batch=2)
-    model = train_warm_start(split, names, TARGET, "is_validation", params, batch_rows=300)
-    assert model.n_trees == 2 * 3  # 800 training rows / 300 -> 3 batches
+    before = persisted(spark)
+    model = train_warm_start(df, names, TARGET, "is_validation", params, n_batches=3, key="trip_id")
+    assert model.n_trees == len(model.history) == 6 and persisted(spark) == before
+    scored = model.predict(df.filter("is_validation"))
+    assert asymmetric_wmse(scored, TARGET, "prediction").first()[0] == pytest.approx(model.history[-1]["validation"], rel=1e-9)
 
 
 def test_metrics_match_numpy(spark):

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMOKE, plan_text
-from surgelane.operators.demand import rolling_demand
 from surgelane.plans.etl import etl_transform
 from surgelane.plans.features import feature_table
 from surgelane.plans.flagship import clean_trips
@@ -16,7 +16,7 @@ from surgelane.sources.files import read_partitioned
 from surgelane.sources.testdata import (
     events_to_trips,
     trips_from_events,
-    weather_from_trips,
+    weather_from_events,
     zones_from_tables,
 )
 from surgelane.streaming.etl import start_etl_stream
@@ -36,15 +36,9 @@ def test_partition_pruning_on_reread(spark):
     assert size.files >= 1 and size.bytes > 0
 
 
-def test_direct_windows_share_one_exchange(spark):
-    df = rolling_demand(clean_trips(trips_from_events(spark, SMOKE)), method="direct")
-    plan = plan_text(df, "simple")
-    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Window [") == 1
-
-
 def test_feature_table_stays_in_jvm(spark):
     t = trips_from_events(spark, SMOKE)
-    df = feature_table(clean_trips(t), weather_from_trips(t))
+    df = feature_table(clean_trips(t), weather_from_events(spark, SMOKE))
     assert len(df.columns) == 36
     plan = plan_text(df, "simple")
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
@@ -54,9 +48,8 @@ def test_feature_table_stays_in_jvm(spark):
 def test_streaming_etl(spark):
     schema = spark.read.parquet(f"{SMOKE}/events.parquet").schema
     out = scratch_path(spark, "stream_test")
-    q = start_etl_stream(spark, SMOKE, schema, out, zones=zones_from_tables(spark, SMOKE),
-                         adapter=events_to_trips, glob="events.parquet",
-                         checkpoint=scratch_path(spark, "stream_test_ckpt"))
+    q = start_etl_stream(spark, SMOKE, schema, out, scratch_path(spark, "stream_test_ckpt"),
+                         zones=zones_from_tables(spark, SMOKE), adapter=events_to_trips, glob="events.parquet")
     q.awaitTermination()
     streamed = read_partitioned(spark, out)
     batch = etl_transform(trips_from_events(spark, SMOKE), zones_from_tables(spark, SMOKE))
@@ -70,7 +63,7 @@ def test_phase_runner(spark):
     zones_csv = scratch_path(spark, "zones")
     zones_from_tables(spark, SMOKE).coalesce(1).write.option("header", "true").csv(zones_csv)
     weather = scratch_path(spark, "weather")
-    weather_from_trips(trips_from_events(spark, SMOKE)).write.parquet(weather)
+    weather_from_events(spark, SMOKE).write.parquet(weather)
     processed, feats, model = (scratch_path(spark, n) for n in ("processed", "features", "model"))
     args = parser().parse_args([
         "--raw", raw, "--zones", zones_csv, "--weather", weather, "--processed", processed,
@@ -81,56 +74,70 @@ def test_phase_runner(spark):
     assert len(spark.read.parquet(feats).columns) == 36
     metrics = spark.read.json(f"{model}/metrics").first()
     assert metrics.n_features == 32 and metrics.rmse >= 0
+    before_range = spark.read.parquet(feats).count()
     only = parser().parse_args(["--only-features", "--processed", processed, "--features", feats,
                                 "--model-dir", model, "--weather", weather,
                                 "--date-from", "2024-01-10", "--date-to", "2024-01-12"])
     assert list(run(spark, only)) == ["features"]
-    days = {str(r.pickup_date) for r in spark.read.parquet(feats).select("pickup_date").distinct().collect()}
-    assert days and days <= {"2024-01-10", "2024-01-11", "2024-01-12"}
+    after = spark.read.parquet(feats)
+    assert after.count() == before_range
 
 
-def test_date_range_features_use_previous_day_as_context(spark):
+def test_date_range_equals_a_full_run_and_keeps_other_days(spark):
+    from surgelane.plans.features import run_features
+    from surgelane.sinks.tables import read_feature_table
+
+    trips = trips_from_events(spark, SMOKE)
+    weather = weather_from_events(spark, SMOKE)
+    processed = write_partitioned(etl_transform(trips, zones_from_tables(spark, SMOKE)), scratch_path(spark, "processed_range"))
+    out = run_features(spark, processed, weather, scratch_path(spark, "features_range"))
+    full = [tuple(r) for r in read_feature_table(spark, out).collect()]
+    assert len(read_feature_table(spark, out).columns) == 36
+    run_features(spark, processed, weather, out, date_from="2024-01-10", date_to="2024-01-12")
+    again = [tuple(r) for r in read_feature_table(spark, out).collect()]
+    assert sorted(again, key=repr) == sorted(full, key=repr)
+    only = run_features(spark, processed, weather, scratch_path(spark, "features_days"), "2024-01-10", "2024-01-12")
+    days = read_feature_table(spark, only)
+    assert {str(r.pickup_date) for r in days.select("pickup_date").distinct().collect()} <= {"2024-01-10", "2024-01-11", "2024-01-12"}
+    at = days.columns.index("pickup_date")
+    want = [r for r in full if "2024-01-10" <= str(r[at]) <= "2024-01-12"]
+    assert sorted((tuple(r) for r in days.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_date_range_needs_the_whole_baseline(spark):
     from surgelane.operators.supply import surge_features
 
     trips = clean_trips(trips_from_events(spark, SMOKE))
-    full = {r.trip_id: (r.demand_15min, r.demand_60min) for r in surge_features(trips).collect()}
-    ranged = surge_features(trips.filter(F.col("pickup_date") >= "2024-01-09"), since="2024-01-10")
-    got = {r.trip_id: (r.demand_15min, r.demand_60min) for r in ranged.collect()}
-    in_range = {k for k, r in ((r.trip_id, r) for r in trips.collect()) if str(r.pickup_date) >= "2024-01-10"}
-    assert set(got) == in_range
-    assert all(got[k] == full[k] for k in got)
-    # The baseline covers only the requested range.
-    only = surge_features(trips.filter(F.col("pickup_date") >= "2024-01-10"))
-    base = {r.trip_id: r.supply_baseline for r in only.collect()}
-    for r in ranged.collect():
-        assert abs(r.supply_baseline - base[r.trip_id]) < 1e-12
+    with pytest.raises(ValueError, match="baseline"):
+        surge_features(trips, since="2024-01-10")
+
+
+def test_empty_input_is_refused(spark):
+    from surgelane.plans.etl import run_etl
+
+    raw = scratch_path(spark, "empty_raw")
+    trips_from_events(spark, SMOKE).limit(0).write.parquet(raw)
+    with pytest.raises(ValueError, match="empty"):
+        run_etl(spark, raw, scratch_path(spark, "never"))
 
 
 def test_join_back_never_broadcasts_profile(spark):
     from surgelane.operators.supply import surge_features
 
     plan = plan_text(surge_features(clean_trips(trips_from_events(spark, SMOKE))), "simple")
-    assert "ShuffledHashJoin" in plan
-    assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
+    assert "SortMergeJoin" in plan
+    assert "ShuffledHashJoin" not in plan and "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
 
 
-def test_run_features_date_range(spark):
-    from surgelane.plans.features import run_features
+def test_flagship_plan_needs_no_jobs_beyond_the_footer(spark):
+    from surgelane.plans.flagship import surge_by_borough_hour
 
-    trips = trips_from_events(spark, SMOKE)
-    processed = write_partitioned(etl_transform(trips, zones_from_tables(spark, SMOKE)),
-                                  scratch_path(spark, "processed_range"))
-    out = run_features(spark, processed, weather_from_trips(trips), scratch_path(spark, "features_range"),
-                       date_from="2024-01-10", date_to="2024-01-12")
-    got = spark.read.parquet(out)
-    assert len(got.columns) == 36
-    days = {str(r.pickup_date) for r in got.select("pickup_date").distinct().collect()}
-    assert days <= {"2024-01-10", "2024-01-11", "2024-01-12"} and days
-    full = feature_table(clean_trips(trips), weather_from_trips(trips)).filter(
-        F.col("pickup_date").between("2024-01-10", "2024-01-12"))
-    cols = ["PULocationID", "hour", "pickup_date", "demand_15min", "demand_30min", "demand_60min"]
-    assert got.select(*cols).exceptAll(full.select(*cols)).count() == 0
-    assert got.count() == full.count()
+    spark.sparkContext.setJobGroup("flagship", "plan building")
+    try:
+        surge_by_borough_hour(trips_from_events(spark, SMOKE), zones_from_tables(spark, SMOKE))
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("flagship")) <= 2
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_flagship_shuffles_no_trip_rows(spark):

@@ -9,7 +9,7 @@ import datetime as dt
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from conftest import edge_trips
+from conftest import direct_demand, edge_trips
 from surgelane.config import FeatureRules
 from surgelane.operators.demand import rolling_demand
 from surgelane.operators.supply import compute_supply_and_surge, surge_features
@@ -39,8 +39,8 @@ def _rows(events):
 def test_preagg_matches_direct(spark, events, chunk):
     df = clean_trips(edge_trips(spark, _rows(events)))
     rules = FeatureRules(demand_chunk_seconds=chunk)
-    a = {r.trip_id: tuple(r[c] for c in COLS) for r in rolling_demand(df, rules, method="direct").collect()}
-    b = {r.trip_id: tuple(r[c] for c in COLS) for r in rolling_demand(df, rules, method="preagg").collect()}
+    a = {r.trip_id: tuple(r[c] for c in COLS) for r in direct_demand(df, rules).collect()}
+    b = {r.trip_id: tuple(r[c] for c in COLS) for r in rolling_demand(df, rules).collect()}
     assert a == b
 
 
@@ -51,7 +51,7 @@ def test_fused_matches_join_back(spark, events):
     cols = ["demand_60min", "supply_baseline", "surge_multiplier", "demand_zscore"]
     a = {r.trip_id: tuple(r[c] for c in cols) for r in surge_features(df).collect()}
     b = {r.trip_id: tuple(r[c] for c in cols)
-         for r in compute_supply_and_surge(rolling_demand(df, method="direct")).collect()}
+         for r in compute_supply_and_surge(direct_demand(df)).collect()}
     assert a.keys() == b.keys()
     for k in a:
         assert a[k][0] == b[k][0]

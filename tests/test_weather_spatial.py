@@ -32,7 +32,7 @@ def test_classification(spark, precip, temp, vis, expected):
 
 def _weather(spark):
     return spark.createDataFrame(
-        [("2024-03-15", 8, 41.0, 0.2, 12.0, 6.0, "Rain"), ("2024-03-15", 9, 43.0, 0.0, 10.0, 9.5, "Clear")],
+        [("2024-02-05", 7, 41.0, 0.2, 12.0, 6.0, "Rain"), ("2024-02-05", 19, 43.0, 0.0, 10.0, 9.5, "Clear")],
         "date string, hour int, temperature_f double, precipitation_in double, wind_speed_mph double, "
         "visibility_miles double, weather_condition string",
     ).withColumn("date", F.col("date").cast("timestamp"))  # a timestamp-typed date still joins
@@ -41,15 +41,14 @@ def _weather(spark):
 def test_weather_join_defaults_and_onehot(spark, sample_trips):
     out = integrate_weather(clean_trips(sample_trips), _weather(spark))
     rows = {r.hour: r for r in out.collect()}
-    assert (rows[8].temperature_f, rows[8].weather_is_rain, rows[8].weather_is_clear) == (41.0, 1, 0)
-    assert (rows[9].weather_is_clear, rows[9].weather_is_rain) == (1, 0)
-    unmatched = rows[12]
+    assert (rows[7].temperature_f, rows[7].weather_is_rain, rows[7].weather_is_clear) == (41.0, 1, 0)
+    assert (rows[19].weather_is_clear, rows[19].weather_is_rain) == (1, 0)
+    unmatched = rows[16]
     assert (unmatched.temperature_f, unmatched.precipitation_in, unmatched.wind_speed_mph,
             unmatched.visibility_miles) == (55.0, 0.0, 8.0, 10.0)
     assert (unmatched.weather_is_clear, unmatched.weather_is_rain, unmatched.weather_is_snow,
             unmatched.weather_is_fog) == (0, 0, 0, 0)
-    assert "BroadcastHashJoin" in plan_text(out, "simple")
-    assert out.count() == 5
+    assert out.count() == 4
 
 
 def test_derived_goldens(sample_trips):
@@ -57,11 +56,10 @@ def test_derived_goldens(sample_trips):
     got = [(round(r.fare_per_mile, 6), round(r.fare_per_minute, 6), round(r.speed_mph, 2), r.congestion_indicator,
             r.demand_acceleration, r.demand_trend) for r in out]
     assert got == [
-        (4.285714, 1.0, 14.0, 0, 1.0, 0),
-        (4.230769, 1.1, 15.6, 0, 1.0, 0),
-        (4.320988, 1.166667, 16.2, 0, 1.0, 0),
-        (7.083333, 0.85, 7.2, 1, 1.0, 0),
-        (4.179104, 1.12, 16.08, 0, 1.0, 0),
+        (4.5, 0.75, 10.0, 0, 1.0, 0),
+        (4.0, 0.4, 6.0, 1, 1.0, 0),
+        (3.0, 2.25, 45.0, 0, 1.0, 0),
+        (5.625, 0.75, 8.0, 1, 1.0, 0),
     ]
 
 
@@ -102,26 +100,22 @@ def test_pseudo_coordinates(spark):
     assert abs(frac - 1.0) < 1e-9
 
 
-def test_pandas_nanos_weather_file(spark, sample_trips):
-    import tempfile
-
+def test_pandas_nanos_weather_file(spark, sample_trips, tmp_path):
     import pandas as pd
 
     from surgelane.sources.files import read_weather
 
-    path = tempfile.mkdtemp(prefix="surgelane-weather-", dir="/tmp") + "/w.parquet"
+    path = str(tmp_path / "w.parquet")
     pd.DataFrame({
-        "date": pd.to_datetime(["2024-03-15", "2024-03-15"]), "hour": [8, 9],
+        "date": pd.to_datetime(["2024-02-05", "2024-02-05"]).astype("datetime64[ns]"), "hour": [7, 19],
         "temperature_f": [41.0, 43.0], "precipitation_in": [0.2, 0.0], "wind_speed_mph": [12.0, 10.0],
         "visibility_miles": [6.0, 9.5], "weather_condition": ["Rain", "Clear"],
-    }).to_parquet(path, index=False)
-    try:
-        w = read_weather(spark, path)
-        assert dict(w.dtypes)["date"] == "date" and dict(w.dtypes)["hour"] == "int"
-        out = {r.hour: r for r in integrate_weather(clean_trips(sample_trips), w).collect()}
-        assert out[8].weather_is_rain == 1 and out[9].weather_is_clear == 1
-    finally:
-        spark.conf.unset("spark.sql.legacy.parquet.nanosAsLong")
+    }).astype({"hour": "int32"}).to_parquet(path, index=False)
+    w = read_weather(spark, path, nanos_date=True)
+    assert dict(w.dtypes)["date"] == "date" and dict(w.dtypes)["hour"] == "int"
+    out = {r.hour: r for r in integrate_weather(clean_trips(sample_trips), w).collect()}
+    assert out[7].weather_is_rain == 1 and out[19].weather_is_clear == 1
+    assert spark.conf.get("spark.sql.legacy.parquet.nanosAsLong") == "false"
 
 
 def test_weather_table_roundtrip(spark):

@@ -18,7 +18,7 @@ from surgelane.plans.features import feature_table  # noqa: E402
 from surgelane.plans.flagship import clean_trips, surge_by_borough_hour  # noqa: E402
 from surgelane.operators.supply import surge_features  # noqa: E402
 from surgelane.session import build_session  # noqa: E402
-from surgelane.sources.testdata import trips_from_events, weather_from_trips, zones_from_tables  # noqa: E402
+from surgelane.sources.testdata import trips_from_events, weather_from_events, zones_from_tables  # noqa: E402
 
 
 def main() -> None:
@@ -33,7 +33,7 @@ def main() -> None:
     plans = {
         "flagship": lambda: surge_by_borough_hour(trips, zones_from_tables(spark, sf_dir)),
         "surge_features": lambda: surge_features(clean_trips(trips)),
-        "feature_table": lambda: feature_table(clean_trips(trips), weather_from_trips(trips)),
+        "feature_table": lambda: feature_table(clean_trips(trips), weather_from_events(spark, sf_dir)),
     }
     for name, build in plans.items():
         if names and name not in names:
