@@ -5,8 +5,9 @@ All that the packing depends on is how many pieces there are of each length, a
 histogram of at most ``capacity`` entries whatever the input. Over it, bin by
 bin, a bitset subset-sum finds the fullest combination of available lengths
 that holds the longest one; the combination is used as often as its lengths
-last and removed. Each use exhausts a length, so the plan has at most
-``capacity`` combinations. Pieces then take their places by rank within their
+last and removed. One of its lengths then has fewer pieces left than the
+combination takes, so the plan has at most ``capacity * ln(capacity)`` entries.
+Pieces then take their places by rank within their
 length, from prefix sums over hash buckets, so one common length is spread
 over all of them.
 """
@@ -27,7 +28,14 @@ CAPACITY = 2048
 # Pieces of a length are ranked in this many buckets.
 BUCKETS = 1024
 # Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The byte-level BPE's letters: printable Latin-1 bytes stand for themselves, the others for 256 and up."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class WordIds(dict):
@@ -36,13 +44,17 @@ class WordIds(dict):
     A chunk of plain letters and ASCII signs is cut further where the tokenizer
     cuts by its pattern anyway, between letters and signs, so that fewer
     different strings have to be encoded. The apostrophe, whose contractions the
-    pattern treats on its own, and any other character leave the chunk whole.
+    pattern treats on its own, and any other character leave the chunk whole. A
+    run of plain lower-case letters is one word of the model, which encodes it
+    without the passes that find words.
     """
 
     import re as _re
 
-    _plain = _re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ!-&(-;=-@\[-`{-~]+")
-    _runs = _re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[^A-Za-zÀ-ÖØ-öø-ɏ]+")
+    _plain = _re.compile(r"[a-zß-öø-ɏ!-&(-;=-@\[-`{-~]+")
+    _runs = _re.compile(r"[a-zß-öø-ɏ]+|[^a-zß-öø-ɏ]+")
+    _letters = _re.compile(r"[a-zß-öø-ɏ]+")
+    _alphabet = byte_alphabet()
     # Python's split() takes these for white space, the tokenizer doesn't.
     _odd = _re.compile(r"[\x1c-\x1f]")
 
@@ -52,12 +64,17 @@ class WordIds(dict):
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def word(self, text: str) -> bytes:
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self._alphabet)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(text)])
+
     def run(self, text: str) -> bytes:
         ids = self.runs.get(text)
         if ids is None:
             ids = self.old_runs.get(text)
             if ids is None:
-                ids = self.encode(text)
+                ids = self.word(text) if self._letters.fullmatch(text) else self.encode(text)
             if len(self.runs) >= REMEMBERED:
                 self.old_runs, self.runs = self.runs, {}
             self.runs[text] = ids
@@ -66,7 +83,13 @@ class WordIds(dict):
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
-            ids = b"".join(map(self.run, self._runs.findall(chunk.lower()))) if self._plain.fullmatch(chunk) else self.encode(chunk)
+            low = chunk.lower()
+            if self._letters.fullmatch(low):
+                ids = self.run(low)
+            elif self._plain.fullmatch(low):  # some capitals of the range have their small letter elsewhere
+                ids = b"".join(map(self.run, self._runs.findall(low)))
+            else:
+                ids = self.encode(chunk)
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()
@@ -144,7 +167,7 @@ def fullest(lengths: list[int], counts: dict[int, int], capacity: int) -> list[i
 
 
 def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """(lengths, number of bins) until no piece is left, at most one entry a length."""
+    """(lengths, number of bins) until no piece is left."""
     counts = {n: c for n, c in histogram.items() if c > 0}
     plan = []
     while counts:
