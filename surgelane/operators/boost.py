@@ -12,7 +12,7 @@ least-squares regression tree on the residual. Each round:
    regularisation: v = -sign(G) max(|G| - alpha, 0) / (H + lambda). The same
    aggregation measures the losses of the predictions so far, so a round has
    one pass besides the tree's own;
-3. adds ``learning_rate * v(leaf)`` to the prediction column.
+3. adds ``learning_rate * v(leaf)`` to the prediction column, over Arrow batches.
 
 Only per-leaf sums (at most 2^depth rows) and metric scalars reach the driver.
 The prediction state is written as a Parquet table in the shared checkpoint
@@ -215,23 +215,6 @@ def regularise(nodes: list[Node], sums: dict[int, tuple[float, float]], params:
     return out
 
 
-def leaf_values_by_number(nodes: list[Node], pruned: list[Node]) -> list[float]:
-    """For each leaf of the unpruned tree, left to right, the value of the pruned tree there."""
-    values: list[float] = []
-
-    def walk(at: int, kept: int) -> None:
-        n, k = nodes[at], pruned[kept]
-        if n.feature is None:
-            values.append(k.value)
-            return
-        inner = k.feature is not None
-        walk(n.left, k.left if inner else kept)
-        walk(n.right, k.right if inner else kept)
-
-    walk(0, 0)
-    return values
-
-
 def expectile(df: DataFrame, label: str, penalty: float) -> float:
     """Constant minimising the asymmetric loss, exactly.
 
@@ -244,7 +227,7 @@ def expectile(df: DataFrame, label: str, penalty: float) -> float:
     row = counts.agg(F.sum(v * n).alias("s"), F.sum(n).alias("n")).first()
     if not row["n"]:
         return 0.0
-    mean, above = row["s"] / row["n"], None
+    mean, seen = row["s"] / row["n"], set()
     while True:
         high = v > F.lit(mean)
         got = counts.agg(
@@ -252,9 +235,10 @@ def expectile(df: DataFrame, label: str, penalty: float) -> float:
             F.sum(F.when(high, 0.0).otherwise(v * n)).alias("sl"), F.sum(F.when(high, 0).otherwise(n)).alias("nl"),
         ).first()
         mean = (penalty * got["sh"] + got["sl"]) / (penalty * got["nh"] + got["nl"])
-        if got["nh"] == above:
+        # A side seen before: a value equal to the mean may change sides by rounding.
+        if got["nh"] in seen:
             return float(mean)
-        above = got["nh"]
+        seen.add(got["nh"])
 
 
 def _subsample(rate: float, seed: int) -> Column:
@@ -276,7 +260,7 @@ def _prepared(df: DataFrame, features: Sequence[str], label: str, valid_col: str
 
 
 def _round(state: DataFrame, features: list[str], params: BoostParams, rnd: int, total_weight: float):
-    """Fit the round's tree on the state's predictions: (tree, assembler, its nodes, pruned nodes, losses before it, weight)."""
+    """Fit the round's tree on the state's predictions: (its pruned nodes, the losses before it, the training weight)."""
     penalty = params.underestimation_penalty
     y, p = F.col(_Y), F.col(_P)
     chosen = sorted(random.Random(params.seed + rnd).sample(range(len(features)), max(1, round(params.colsample * len(features)))))
@@ -304,9 +288,8 @@ def _round(state: DataFrame, features: list[str], params: BoostParams, rnd: int,
         )
         .collect()
     )
-    nodes = parse_tree(tree.trees[0].toDebugString, names)
-    pruned = regularise(nodes, {r["leaf"]: (r["G"] or 0.0, r["H"] or 0.0) for r in sums}, params)
-    return tree, assembler, nodes, pruned, _losses(sums), math.fsum(r["w"] or 0.0 for r in sums)
+    pruned = regularise(parse_tree(tree.trees[0].toDebugString, names), {r["leaf"]: (r["G"] or 0.0, r["H"] or 0.0) for r in sums}, params)
+    return pruned, _losses(sums), math.fsum(r["w"] or 0.0 for r in sums)
 
 
 def _losses(sums) -> dict:
@@ -340,8 +323,9 @@ def boost_state(
     """Add up to ``n_rounds`` trees to ``model`` from a written state with its predictions in ``_p``."""
     start = model.n_trees
     best, best_round, stopped = math.inf, None, False
-    held = state.persist()
-    state = held
+    # Predictions of the current state; a state is let go once the next one is filled.
+    state = state.persist()
+    held = [state]
     try:
         _, weight = _measure(state, params.underestimation_penalty)
 
@@ -358,24 +342,25 @@ def boost_state(
 
         for t in range(n_rounds):
             rnd = start + t
-            tree, assembler, nodes, pruned, before, weight = _round(state, model.features, params, rnd, weight)
+            pruned, before, weight = _round(state, model.features, params, rnd, weight)
+            while len(held) > 1:
+                held.pop(0).unpersist()
             # This round's sums also tell how the round before ended.
             if t and close(rnd - 1, before):
                 stopped = True
                 break
-            lut = F.array(*[F.lit(v) for v in leaf_values_by_number(nodes, pruned)])
-            step = F.coalesce(F.get(lut, _leaf_number("_leaf")), F.lit(0.0))
-            columns = state.columns
-            state = tree.transform(assembler.transform(state)).withColumn(_P, F.col(_P) + step).select(*columns)
             model.trees.append(pruned)
+            columns = state.columns
+            state = model.predict(state, _P, start=len(model.trees) - 1, base=_P).select(*columns)
             if (t + 1) % max(1, params.checkpoint_every) == 0:
-                fresh = tables.write(state).persist()
-                held.unpersist()
-                held = state = fresh
+                state = tables.write(state)
+            state = state.persist()
+            held.append(state)
         if n_rounds and not stopped:
             close(start + n_rounds - 1, _measure(state, params.underestimation_penalty)[0])
     finally:
-        held.unpersist()
+        for old in held:
+            old.unpersist()
     if early_stopping and best_round is not None:
         model.trees = model.trees[: best_round + 1]
     model.best_iteration = model.n_trees - 1
