@@ -173,6 +173,14 @@ def stars(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return member, label[member]
 
 
+def spanning(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning stars (member id, least id) of links given as pairs of id arrays."""
+    a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.empty(0, np.int64) for k in (0, 1))
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    member, centre = stars(len(ids), at[: len(a)], at[len(a) :])
+    return ids[member], ids[centre]
+
+
 def index_entries(distinct: DataFrame, max_bits: int, both: bool) -> DataFrame:
     """(t, g, id, other): each distinct (``id``, ``fp``, ``fp2``) in all tables, g its Gray rank as a signed long.
 
@@ -242,6 +250,7 @@ def partition_links(entries: DataFrame, max_bits: int, max_total: int) -> DataFr
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
+        links: list[tuple[np.ndarray, np.ndarray]] = []  # of all tables so far, as spanning stars
         for t, top, rank, ids, others in _pieces(batches, max_bits, 16 * RUN):
             bits = gray_pattern(rank)
             node = rank >> np.uint64(64 - top)
@@ -277,11 +286,12 @@ def partition_links(entries: DataFrame, max_bits: int, max_total: int) -> DataFr
                         seq += 1
             good = _total(bits[left[0]], bits[right[0]], others[left[0]], others[right[0]]) <= max_total
             left[0], right[0] = left[0][good], right[0][good]
-            a, b = (ids[np.concatenate(side)].view(np.int64) for side in (left, right))
-            yield pa.RecordBatch.from_pydict({"a": a, "b": b} | {c: pa.nulls(len(a), _FOUND_SCHEMA.field(c).type) for c in _FOUND_SCHEMA.names[2:]}, _FOUND_SCHEMA)
+            links = [spanning([*links, tuple(ids[np.concatenate(side)].view(np.int64) for side in (left, right))])]
             if rows:
                 columns = dict(zip(_FOUND_SCHEMA.names[2:], map(list, zip(*rows))))
                 yield pa.RecordBatch.from_pydict({"a": [None] * len(rows), "b": [None] * len(rows)} | columns, _FOUND_SCHEMA)
+        for a, b in links:
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b} | {c: pa.nulls(len(a), _FOUND_SCHEMA.field(c).type) for c in _FOUND_SCHEMA.names[2:]}, _FOUND_SCHEMA)
 
     return entries.mapInArrow(run, _FOUND)
 
@@ -300,13 +310,16 @@ def run_links(runs: DataFrame, max_bits: int, max_total: int) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            links = []
             for row in zip(*batch.columns):
                 x, idx, ox, y, idy, oy = (np.frombuffer(v.as_py(), np.uint64) for v in row)
                 i, j = close_pairs(x, y, max_bits)
                 good = _total(x[i], y[j], ox[i], oy[j]) <= max_total
-                ids = np.concatenate([idx, idy]).view(np.int64)
-                member, centre = stars(len(ids), i[good], j[good] + len(x))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[member]), pa.array(ids[centre])], ["a", "b"])
+                links.append((idx.view(np.int64)[i[good]], idy.view(np.int64)[j[good]]))
+                if len(links) == 64:
+                    links = [spanning(links)]
+            a, b = spanning(links)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return met.where(apart <= max_bits).select(*sides).mapInArrow(verify, "a long, b long")
 
