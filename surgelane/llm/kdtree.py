@@ -8,8 +8,9 @@ stops when no box can reach the k-th score found so far.
 The first pass searches each query's own shard, which needs no copy of queries,
 and gives every query a k-th score that holds for all shards. That bound goes
 with the query to the other shards in the second pass, where most boxes fall
-below it at once. Queries travel in blocks packed into one row, vectors don't
-travel again: each block meets a shard's packed vectors in one task.
+below it at once. Queries travel in packed blocks, one copy for every shard;
+a shard's vectors are one packed row that its task joins with the blocks one
+after the other, so a task holds one shard and one block.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from surgelane.session import materialise
 
 LEAF = 256
 # Vectors of a shard at most, on average, and queries of a block.
-SHARD_ROWS = 8192
+SHARD_ROWS = 4096
 BLOCK = 512
 #: Lowest score; stands for "no bound yet".
 NONE = float("-inf")
@@ -106,25 +107,25 @@ def _answers(tree: Tree, ids: np.ndarray, q: np.ndarray, kth: np.ndarray, k: int
         yield _found(rows)
 
 
-def packed_shards(vectors: DataFrame, shard_rows: int = SHARD_ROWS, is_query: str = "vec_id % 20 = 0") -> DataFrame:
-    """(dim, shard, ids, x, queries): each shard's vectors as packed arrays, one row a shard.
+_PACKED = pa.schema([("dim", pa.int32()), ("part", pa.int32()), ("ids", pa.binary()), ("x", pa.binary()), ("more", pa.binary())])
 
-    ``vectors`` has ``vec_id`` and integer components ``x``. The number of shards
-    follows the number of vectors, so a shard stays near ``shard_rows``.
-    """
-    n = vectors.count()
-    shards = max(1, -(-n // shard_rows))
-    rows = vectors.select(
-        "vec_id", "x", F.size("x").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.expr(is_query).alias("is_query")
-    )
-    schema = pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("ids", pa.binary()), ("x", pa.binary()), ("queries", pa.binary())])
+
+def packed(rows: DataFrame, parts: int) -> DataFrame:
+    """(dim, part, ids, x, more): rows of ``vec_id``, ``x``, ``more`` (double) dealt by id hash, one packed row a part."""
+    dealt = rows.select(F.size("x").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), "vec_id", "x", "more")
 
     def pack(tab: pa.Table) -> pa.Table:
-        x = np.array(tab["x"].to_pylist(), dtype=np.int64).reshape(tab.num_rows, -1)
-        row = {"dim": [tab["dim"][0].as_py()], "shard": [tab["shard"][0].as_py()], "ids": [tab["vec_id"].to_numpy().tobytes()], "x": [x.tobytes()], "queries": [tab["is_query"].to_numpy().astype(bool).tobytes()]}
-        return pa.Table.from_pydict(row, schema)
+        flat = tab["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        columns = {"ids": tab["vec_id"].to_numpy(), "x": flat, "more": tab["more"].to_numpy()}
+        row = {c: [tab[c][0].as_py()] for c in ("dim", "part")} | {c: [np.ascontiguousarray(v).tobytes()] for c, v in columns.items()}
+        return pa.Table.from_pydict(row, _PACKED)
+
+    return dealt.groupBy("dim", "part").applyInArrow(pack, "dim int, part int, ids binary, x binary, more binary")
+
 
-    return rows.groupBy("dim", "shard").applyInArrow(pack, "dim int, shard int, ids binary, x binary, queries binary")
+def _unpack(ids, x, more) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids.as_buffer(), np.int64)
+    return ids, np.frombuffer(x.as_buffer(), np.int64).reshape(len(ids), -1).astype(np.float64), np.frombuffer(more.as_buffer(), np.float64)
 
 
 def top_k(vectors: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS, is_query: str = "vec_id % 20 = 0") -> DataFrame:
@@ -135,53 +136,48 @@ def top_k(vectors: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS, is_quer
     Ties go to the smaller id; fewer candidates give fewer rows; no query or no
     candidate gives none.
     """
-    shards = materialise(packed_shards(vectors, shard_rows, is_query), "kd-shards")
-
-    def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids = np.frombuffer(row["ids"], np.int64)
-        return ids, np.frombuffer(row["x"], np.int64).reshape(len(ids), -1), np.frombuffer(row["queries"], bool)
+    n_vectors, n_queries = vectors.agg(F.count(F.lit(1)), F.count_if(F.expr(is_query))).first()
+    n_shards = max(1, -(-n_vectors // shard_rows))
+    n_blocks = max(1, -(-n_queries // BLOCK))
+    asked = F.expr(is_query).cast("double")
+    shards = materialise(packed(vectors.withColumn("more", asked), n_shards), "kd-shards")
 
     def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n in range(batch.num_rows):
-                row = batch.slice(n, 1).to_pylist()[0]
-                ids, x, asked = unpack(row)
-                if not asked.any():
-                    continue
-                x = x.astype(np.float64)
-                tree = Tree(ids, x)
-                yield from _answers(tree, ids[asked], x[asked], np.full(int(asked.sum()), NONE), k)
-
-    spread = shards.repartition(max(1, shards.count()), "dim", "shard")
+            for row in zip(batch["ids"], batch["x"], batch["more"]):
+                ids, x, is_asked = _unpack(*row)
+                own = is_asked > 0
+                if own.any():
+                    yield from _answers(Tree(ids, x), ids[own], x[own], np.full(int(own.sum()), NONE), k)
+
+    spread = shards.repartition(n_shards, "dim", "part")
     home = materialise(spread.mapInArrow(at_home, "query_id long, vec_id long, score long"), "kd-home")
+    # The k-th score in the home shard, where that has k others, holds everywhere.
     kth = home.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
-
-    queries = vectors.where(F.expr(is_query)).select(F.col("vec_id").alias("query_id"), "x", F.size("x").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)).alias("h"))
-    blocks = max(1, -(-queries.count() // BLOCK))
-    bounded = queries.join(kth, "query_id", "left").withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
-    packed = materialise(
-        bounded.groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "x", "kth")).alias("asked")), "kd-queries"
+    bounded = vectors.where(F.expr(is_query)).join(kth, F.col("vec_id") == F.col("query_id"), "left")
+    blocks = packed(bounded.withColumn("more", F.coalesce(F.col("kth").cast("double"), F.lit(NONE))), n_blocks)
+    # Every block goes to every shard: a stated query set against all rows, in blocks.
+    copies = blocks.select(
+        F.col("dim").alias("q_dim"), F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("q_part"),
+        F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.col("more").alias("q_kth"),
     )
-    # Every block against every shard of its dimension: a stated query set against all rows, in blocks.
-    met = shards.drop("queries").join(packed, "dim").repartition(max(1, shards.count()) * 2, "dim", "shard", "block")
+    met = copies.join(shards.drop("more").hint("merge"), (F.col("dim") == F.col("q_dim")) & (F.col("part") == F.col("q_part")))
 
     def elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, tree, here = None, None, set()
+        held, tree, here = None, None, None
         for batch in batches:
             for n in range(batch.num_rows):
-                row = batch.slice(n, 1).to_pylist()[0]
-                if held != (row["dim"], row["shard"]):
-                    held = (row["dim"], row["shard"])
-                    ids = np.frombuffer(row["ids"], np.int64)
-                    tree = Tree(ids, np.frombuffer(row["x"], np.int64).reshape(len(ids), -1).astype(np.float64))
-                    here = set(ids.tolist())
-                asked = [a for a in row["asked"] if a["query_id"] not in here]
-                if asked:
-                    q = np.array([a["x"] for a in asked], dtype=np.float64)
-                    kth = np.array([NONE if a["kth"] is None else a["kth"] for a in asked], dtype=np.float64)
-                    yield from _answers(tree, np.array([a["query_id"] for a in asked]), q, kth, k)
-
-    away = met.sortWithinPartitions("dim", "shard").mapInArrow(elsewhere, "query_id long, vec_id long, score long")
+                dim, part, ids, x, q_ids, q_x, q_kth = (batch[c][n] for c in ("dim", "part", "ids", "x", "q_ids", "q_x", "q_kth"))
+                if held != (dim.as_py(), part.as_py()):
+                    held = (dim.as_py(), part.as_py())
+                    here = np.frombuffer(ids.as_buffer(), np.int64)
+                    tree = Tree(here, np.frombuffer(x.as_buffer(), np.int64).reshape(len(here), -1).astype(np.float64))
+                query_ids, q, bound = _unpack(q_ids, q_x, q_kth)
+                away = ~np.isin(query_ids, here)
+                if away.any():
+                    yield from _answers(tree, query_ids[away], q[away], bound[away], k)
+
+    away = met.mapInArrow(elsewhere, "query_id long, vec_id long, score long")
     every = home.union(away)
     # At most k rows of a shard for a query; the best k of them all.
     best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("low"), "vec_id"))), 1, k)
