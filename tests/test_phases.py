@@ -59,7 +59,8 @@ def test_streaming_etl(spark):
 
 def test_phase_runner(spark):
     raw = scratch_path(spark, "raw")
-    trips_from_events(spark, SMOKE).write.parquet(raw)
+    days = trips_from_events(spark, SMOKE).where("tpep_pickup_datetime >= '2024-01-09' and tpep_pickup_datetime < '2024-01-13'")
+    days.coalesce(1).write.parquet(raw)
     zones_csv = scratch_path(spark, "zones")
     zones_from_tables(spark, SMOKE).coalesce(1).write.option("header", "true").csv(zones_csv)
     weather = scratch_path(spark, "weather")
