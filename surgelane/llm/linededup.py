@@ -101,7 +101,8 @@ def line_bitmaps(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int =
     count as one document and lose the same lines; an empty table has no bitmap.
     """
     occ = materialise(occurrences(docs, min_length), "line-hashes")
-    return drop_bitmaps(occ, repeated_keys(occ, min_docs))
+    # Written, so that adaptive execution can split a hot key of the join with it.
+    return drop_bitmaps(occ, materialise(repeated_keys(occ, min_docs), "repeated-lines"))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
