@@ -8,7 +8,7 @@ near-dedup, mixing sources, packing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surgelane.llm.langid import identify_documents
@@ -44,16 +44,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Two SimHashes of five-word shingles: documents of similarity 0.8 differ in 19
     of the 128 bits on average, unrelated ones in 64.
+
+    A document is an id with a text. Rows that repeat both are one; an id that
+    comes with several texts is a document for each, linked by its text alone.
+    Rows without an id link with nothing and all stay.
     """
-    classes = near_duplicates(docs, shingle=5, max_bits=8, max_total=24)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    once = Window.partitionBy("doc_id").orderBy("text", "source")
-    return (
-        docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")))
-        .withColumn("_nth", F.row_number().over(once))
-        .where("_nth = 1")
-        .select(*COLUMNS)
+    text_key = F.xxhash64("text")
+    # Nodes of the index are texts, so that an id of two texts doesn't join their groups.
+    texts = docs.where("doc_id is not null").select("doc_id", text_key.alias("_text"), "text")
+    classes = near_duplicates(texts.select(F.col("_text").alias("doc_id"), "text"), shingle=5, max_bits=8, max_total=24)
+    groups = classes.groupBy(F.col("doc_id").alias("_node")).agg(F.first("component_id").alias("_group"))
+    rows = texts.select("doc_id", "_text").distinct().join(groups, F.col("_text") == F.col("_node"))
+    kept = rows.groupBy("_group").agg(F.min(F.struct("doc_id", "_text")).alias("_kept")).select("_kept.*").select(
+        F.col("doc_id").alias("_kept_id"), F.col("_text").alias("_kept_text")
     )
+    chosen = docs.join(kept, (F.col("doc_id") == F.col("_kept_id")) & (text_key == F.col("_kept_text")))
+    # Least of the repeated rows by a grouped minimum, which is combined before its shuffle.
+    once = chosen.groupBy("_kept_id", "_kept_text").agg(F.min(F.struct("text", "source", *(c for c in COLUMNS if c not in ("text", "source")))).alias("_row"))
+    return once.select("_row.*").select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
