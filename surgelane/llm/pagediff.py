@@ -2,7 +2,7 @@
 
 A page becomes text lines, one per block, with the chain of elements around
 them. Elements that HTML names for other things than the article (navigation,
-forms, adverts by class, ...) lose their lines at once. The pages of a host are
+forms, adverts by whole class names, ...) lose their lines at once. The pages of a host are
 then sorted by URL path; each is aligned with the nearest different page before
 it (the first ones: after it) by a longest common subsequence of lines, and the
 lines that both share are the site's, not the article's: they go. Paragraphs
@@ -56,75 +56,154 @@ OTHER = frozenset(
     "overlay pagination pager widget toolbar search copyright legal contentinfo complementary".split()
 )
 ARTICLE = frozenset("article main content post entry story".split())
+# Words that say nothing on their own beside one of these in the same class name.
+NEUTRAL = frozenset(
+    "area bar block body bottom box button buttons container footer global header inner item items left link links list outer page pages "
+    "panel posts primary right secondary section site text top wrap wrapper".split()
+)
+# Elements whose class can name the article where no element is called so.
+HOLDERS = frozenset("div section td center dd".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)\b.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-_HINTS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRS = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
+def attributes(attrs: str) -> dict[str, str]:
+    """Names and values of a start tag's attributes; the first of a name counts."""
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTRS.findall(attrs):
+        found.setdefault(name.lower(), a or b or c)
+    return found
+
+
+def names(token: str, words: frozenset[str]) -> bool:
+    """Whether a whole class name is made of ``words``, of neutral ones beside them, and of numbers."""
+    parts = _WORDS.findall(token)
+    return any(w in words for w in parts) and all(w in words or w in NEUTRAL or w in ARTICLE or w.isdigit() for w in parts)
+
+
+class Element:
+    """An open or closed element: what its tag says, and the text below it."""
+
+    __slots__ = ("name", "path", "parent", "never", "other", "holder", "prose", "size", "gone", "inside")
+
+    def __init__(self, name: str, path: str, parent: Element | None, never: bool, other: bool, holder: bool):
+        self.name, self.path, self.parent = name, path, parent
+        self.never, self.other, self.holder = never, other, holder  # unseen or named for other things; by class; an article by class
+        self.prose = self.size = 0  # characters in prose, and in all
+        self.gone = self.inside = False
+
+    def above(self) -> Iterator[Element]:
+        """The element and those around it."""
+        e: Element | None = self
+        while e is not None:
+            yield e
+            e = e.parent
+
+
+def mark(elements: list[Element]) -> None:
+    """Sets which elements are not the article's, and which are in one. Parents come before children.
+
+    The article or main element with most prose is never lost by a class name, nor
+    are those around it. Class names make an article only where no element is
+    called so, and where they hold at least half of the page's prose.
+    """
+    for e in elements:
+        e.gone = e.parent is not None and e.parent.gone or e.never
+    for e in reversed(elements):
+        if e.parent is not None and not e.gone:
+            e.parent.prose += e.prose
+            e.parent.size += e.size
+    real = [e for e in elements if e.name in ("article", "main") and not e.gone]
+    articles: set[Element] = set(real)
+    if not real:
+        held = [e for e in elements if e.holder and not e.gone]
+        outer = [e for e in held if not any(x.holder for x in e.above() if x is not e)]
+        if 2 * sum(e.prose for e in outer) >= elements[0].prose > 0:
+            articles = set(held)
+    plain = [e for e in real if not any(x.other for x in e.above())] or real or [e for e in articles if 2 * e.prose >= elements[0].prose]
+    kept = set(max(plain, key=lambda e: (e.prose, e.size)).above()) if plain else set()
+    for e in elements:
+        up = e.parent
+        e.gone = up is not None and up.gone or e.never or (e.other and e not in kept) or (e.name == "header" and e not in kept and not (up and up.inside))
+        e.inside = bool(up and up.inside) or e in articles
+
+
 def lines_of(page: str) -> list[tuple[str, str, bool, bool]]:
     """(elements around it, text, in an article element, prose) of each line in page order."""
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path, not the article, in an article
-    lines: list[tuple[str, str, bool, bool]] = []
-    held: list[str] = []
-    at: tuple[str, bool, bool] | None = None  # of the held text: path, in an article, prose
+    root = Element("", "", None, False, False, False)
+    elements, stack = [root], [root]
+    runs: list[list[tuple[Element, Element, str]]] = [[]]  # of each line: element, block and text
 
     def flush() -> None:
-        nonlocal at
-        text = " ".join(html.unescape("".join(held)).split()) if at is not None else ""
-        if text:
-            lines.append((at[0], text, at[1], at[2]))
-        held.clear()
-        at = None
+        if runs[-1]:
+            runs.append([])
 
     for m in _TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
-            if stack[-1][2]:
-                continue
-            if at is None and not text.isspace():
-                block = next((s for s in reversed(stack) if s[0] in BLOCKS), stack[0])
-                at = (block[1], stack[-1][3], block[0] in PROSE)
-            held.append(text)
+            top = stack[-1]
+            if not top.never:
+                block = next((e for e in reversed(stack) if e.name in BLOCKS), root)
+                n = len(text) if not text.isspace() else 0
+                top.size += n
+                if block.name in PROSE:
+                    top.prose += n
+                runs[-1].append((top, block, text))
             continue
         name = m["name"]
         if name is None:
             continue
         name = name.lower()
         if name == "br":
-            held.append(" ")
+            runs[-1].append((stack[-1], root, " "))
             continue
         if m["end"]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
+            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
             if depth:
-                if any(s[0] in BLOCKS for s in stack[depth:]):
+                if any(e.name in BLOCKS for e in stack[depth:]):
                     flush()
                 del stack[depth:]
             continue
         attrs = m["attrs"]
         if name in BLOCKS:
             flush()
-            opened = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in BLOCKS), 0)
-            if opened and (stack[opened][0] == "p" or (name == stack[opened][0] and name in ("li", "dt", "dd", "tr", "td", "th", "option"))):
+            opened = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name in BLOCKS), 0)
+            if opened and (stack[opened].name == "p" or (name == stack[opened].name and name in ("li", "dt", "dd", "tr", "td", "th", "option"))):
                 del stack[opened:]
         if name in VOID:
             continue
-        hints = " ".join(a or b or c for a, b, c in _HINTS.findall(attrs)) if attrs and "=" in attrs else ""
-        words = set(_WORDS.findall(hints.lower())) if hints else set()
-        _, path, other, inside = stack[-1]
-        named = name in NOT_TEXT or bool(words & OTHER) or (name == "header" and not inside)
-        hidden = bool(attrs) and bool(_HIDDEN.search(attrs))
-        now = other or ((named or hidden) and name not in ("html", "body"))
-        article = inside or name in ("article", "main") or (name not in ("html", "body") and bool(words & ARTICLE))
-        stack.append((name, f"{path}/{name}.{'.'.join(sorted(words))}", now, article))
+        up = stack[-1]
+        hints, hidden = "", False
+        if attrs and not attrs.isspace():
+            said = attributes(attrs)
+            hints = " ".join(said[k] for k in ("class", "id", "role") if k in said).lower()
+            hidden = "hidden" in said or said.get("aria-hidden", "").strip().lower() == "true" or bool(_UNSEEN.search(said.get("style", "")))
+        tokens = hints.split()
+        words = sorted(set(_WORDS.findall(hints))) if hints else ()
+        whole = name not in ("html", "body")
+        e = Element(
+            name, f"{up.path}/{name}.{'.'.join(words)}", up, up.never or (whole and (name in NOT_TEXT or hidden)),
+            whole and any(names(t, OTHER) for t in tokens), name in HOLDERS and any(names(t, ARTICLE) for t in tokens),
+        )
+        elements.append(e)
+        stack.append(e)
         if attrs.endswith("/") and name not in BLOCKS:
             stack.pop()
-    flush()
+    mark(elements)
+    lines: list[tuple[str, str, bool, bool]] = []
+    for run in runs:
+        seen = [x for x in run if not x[0].gone]
+        first = next((x for x in seen if not x[2].isspace()), None)
+        text = " ".join(html.unescape("".join(x[2] for x in seen)).split()) if first else ""
+        if text:
+            lines.append((first[1].path, text, first[0].inside, first[1].name in PROSE))
     return lines
 
 

@@ -210,3 +210,19 @@ def test_awkward_pages(spark):
     assert by[1].text == "" and by[1].n_chars == 0 and by[4].text == "x"
     assert by[3].n_chars == len(by[3].text) == 30_000 * 6 + 2 * 29_999
     assert pagediff.main_texts(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<article class="post comments-open"><p>a</p></article>', ["a"]), ('<div class="layout has-sidebar"><p>a</p></div>', ["a"]),
+    ('<main class="content share-enabled"><p>a</p></main>', ["a"]), ('<div class="comments"><article><p>a</p></article></div>', ["a"]),
+    ('<article class="share"><p>a</p></article>', ["a"]),
+    ('<h1 class="post-title">T</h1><div class="body"><p>the text</p></div>', ["T", "the text"]),
+    ('<div class="post-meta">m</div><div><p>the text</p></div>', ["m", "the text"]),
+    ('<div class="entry-content"><p>the text</p></div><div>site</div>', ["the text"]),
+    ('<p title="the hidden truth">a</p><p data-x="display:none" data-class="ad">b</p>', ["a", "b"]),
+    ("<p hidden>a</p><p hidden='until-found'>b</p><p aria-hidden=true>c</p><p style='color:red;display: none'>d</p><p>e</p>", ["e"]),
+    ('<article><p>the text</p></article><div class="comments"><article class="comment"><p>a longer answer to it</p></article></div>', ["the text"]),
+    ('<div class="site-footer">f</div><div id="comments-list"><p>c</p></div><div class="ad-box">x</div><p>yes</p>', ["yes"]),
+])
+def test_words_of_attributes_lose_no_article(page, want):
+    assert text_of(page) == want
