@@ -3,19 +3,22 @@
 A page becomes text lines, one per block, with the chain of elements around
 them. Elements that HTML names for other things than the article (navigation,
 forms, adverts by whole class names, ...) lose their lines at once. The pages of a host are
-then sorted by URL path; each is aligned with the nearest different page before
-it (the first ones: after it) by a longest common subsequence of lines, and the
-lines that both share are the site's, not the article's: they go. Paragraphs
-inside an explicit article element stay even so, since two articles may quote
-the same passage.
+then sorted by URL path; each is aligned with the nearest different page by a
+longest common subsequence of lines, and the lines that both share are the
+site's, not the article's: they go. Two articles may quote the same passage, so
+prose of an explicit article element goes only if ``SUPPORT`` different pages of
+the host or more, and three quarters of those compared, share it.
 
 Rows are range-partitioned by host, path and id, so a hot host is spread over
 many partitions; a task streams its sorted pages and remembers ``REMEMBERED``
-different ones. Pages that would share more than half their text are copies of
-one article and not compared. A partition's first page has its partner after
-it, as a host's first page has. A host's page that stands alone at a partition's
-edge has no partner and keeps its lines; partitions have at least ``LEAST_ROWS``
-rows on average, so these are few.
+different ones. Pages that share more than half the larger one's text with
+a remembered one are its copies: they are not remembered beside it, however many follow, nor
+compared with it. Where a host has nothing but such pages, a line goes if
+``SUPPORT`` neighbours share the same lines with the page and their rests have
+little in common, as with short articles in much site text. The first pages of a
+host or partition wait for those after them, up to ``WAITING`` characters. A
+host's page that stands alone at a partition's edge has no partner and keeps its
+lines; partitions have at least ``LEAST_ROWS`` rows on average, so these are few.
 """
 
 from __future__ import annotations
@@ -23,17 +26,26 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
-from collections import deque
-from collections.abc import Iterator
+from collections import Counter, deque
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Different pages before the current one that a partner is chosen from.
-REMEMBERED = 4
-# Partners that share more of a page's text than this are copies of it.
+# Different pages of a host that partners are chosen from.
+REMEMBERED = 12
+# Pages that share more of the larger one's text than this are copies, or have the same site text around short articles.
 COPY_SHARE = 0.5
+# A page that shares so much of its own text is a part of the other one.
+PART_SHARE = 0.9
+# Partners that must share a line of an article's prose, or the lines of pages that are alike, and their part of all compared.
+SUPPORT, SUPPORT_SHARE = 5, 0.75
+# Rests of two pages with more of the smaller one's words in common are edits of one text.
+REST_SHARE = 0.5
+# Characters of a host's first pages that wait for partners after them.
+WAITING = 1 << 25
 # Rows of a partition on average, at least.
 LEAST_ROWS = 256
 
@@ -208,10 +220,7 @@ def lines_of(page: str) -> list[tuple[str, str, bool, bool]]:
 
 
 def candidates(page: str) -> list[tuple[str, str, bool]]:
-    """(path, text, stays): the lines of the article elements, or of the whole page if it has none.
-
-    Prose of an article element stays whatever other pages say.
-    """
+    """(path, text, prose of an article): the lines of the article elements, or of the whole page if it has none."""
     lines = lines_of(page)
     if any(inside for _, _, inside, _ in lines):
         lines = [x for x in lines if x[2]]
@@ -219,7 +228,13 @@ def candidates(page: str) -> list[tuple[str, str, bool]]:
 
 
 def common(a: list, b: list) -> list[int]:
-    """Positions in a of a longest common subsequence of a and b (Hunt-Szymanski)."""
+    """Positions in a of a longest common subsequence of a and b (Hunt-Szymanski between their equal ends)."""
+    n = min(len(a), len(b))
+    head = next((k for k in range(n) if a[k] != b[k]), n)
+    tail = next((k for k in range(n - head) if a[-1 - k] != b[-1 - k]), n - head)
+    if head or tail:
+        middle = common(a[head : len(a) - tail], b[head : len(b) - tail]) if n > head + tail else []
+        return [*range(head), *(head + k for k in middle), *range(len(a) - tail, len(a))]
     where: dict = {}
     for j, y in enumerate(b):
         where.setdefault(y, []).append(j)
@@ -241,18 +256,108 @@ def common(a: list, b: list) -> list[int]:
     return out[::-1]
 
 
-def without_shared(page: list[tuple[str, str, bool]], partners) -> list[str]:
-    """The page's lines that the first partner that is no copy of it doesn't share."""
-    open_lines = [k for k, line in enumerate(page) if not line[2]]
-    if open_lines:
-        size = sum(len(text) for _, text, _ in page)
-        keys = [page[k][:2] for k in open_lines]
-        for partner in partners:
-            shared = common(keys, [line[:2] for line in partner])
-            if sum(len(keys[k][1]) for k in shared) <= COPY_SHARE * size:
-                gone = {open_lines[k] for k in shared}
-                return [text for k, (_, text, _) in enumerate(page) if k not in gone]
-    return [text for _, text, _ in page]
+class Page:
+    """A page's lines, and what it takes to compare them with another's."""
+
+    def __init__(self, at: int, lines: list[tuple[str, str, bool]]):
+        self.at, self.lines = at, lines
+        self.keys = [line[:2] for line in lines]
+        self.counts = Counter(self.keys)
+        self.size = sum(len(text) for _, text in self.keys)
+
+    def shared(self, other: Page) -> int:
+        """Characters of lines that both have, in any order."""
+        a, b = self.counts, other.counts
+        return sum(min(n, b[key]) * len(key[1]) for key, n in a.items() if key in b)
+
+    def copies(self, other: Page) -> bool:
+        shared = self.shared(other)
+        return shared > COPY_SHARE * max(self.size, other.size) or shared >= PART_SHARE * min(self.size, other.size)
+
+    def rest(self, other: Page) -> set[str]:
+        return {w for _, text in self.counts - other.counts for w in text.lower().split()}
+
+    def text(self, gone=frozenset()) -> str:
+        return "\n\n".join(text for k, (_, text) in enumerate(self.keys) if k not in gone)
+
+
+def unlike(page: Page, other: Page) -> bool:
+    """Whether what two pages don't share is two texts, rather than edits of one."""
+    a, b = page.rest(other), other.rest(page)
+    return bool(a and b) and len(a & b) <= REST_SHARE * min(len(a), len(b))
+
+
+def without_shared(page: Page, remembered: Iterable[Page], alike: Iterable[Page]) -> str:
+    """The page's text without the site's lines.
+
+    ``remembered`` are different pages of the host, ``alike`` the neighbours that
+    share more than half of its text, which decide where no other page does.
+    """
+    partners = sorted((p for p in remembered if p is not page and not page.copies(p)), key=lambda p: (abs(p.at - page.at), p.at))
+    if partners:
+        shared = [common(page.keys, p.keys) for p in partners]
+        gone = {k for k in shared[0] if not page.lines[k][2]}
+        votes = Counter(chain.from_iterable(shared))
+        need = max(SUPPORT, SUPPORT_SHARE * len(partners))
+        return page.text(gone | {k for k, n in votes.items() if n >= need})
+    near = sorted((p for p in alike if p.counts != page.counts), key=lambda p: (abs(p.at - page.at), p.at))
+    if any(prose for _, _, prose in page.lines):
+        # Prose aside, copies of an article have the site's lines in common as other pages do.
+        for p in near:
+            gone = {k for k in common(page.keys, p.keys) if not page.lines[k][2]}
+            if sum(len(page.keys[k][1]) for k in gone) <= COPY_SHARE * page.size:
+                return page.text(gone)
+        return page.text()
+    if len(near) >= SUPPORT and all(unlike(page, p) for p in near):
+        shared = [common(page.keys, p.keys) for p in near]
+        if all(x == shared[0] for x in shared):
+            return page.text(set(shared[0]))
+    return page.text()
+
+
+class Host:
+    """A host's sorted pages, seen one by one: their texts, as soon as partners are there."""
+
+    def __init__(self):
+        self.seen = 0
+        self.remembered: deque[Page] = deque(maxlen=REMEMBERED)
+        self.alike: deque[Page] = deque(maxlen=REMEMBERED)  # the last different contents
+        self.held: dict[tuple, tuple[Page, list]] | None = {}  # by content: pages that wait and their rows
+        self.size = 0
+        self.last: tuple[Page, str] | None = None
+
+    def add(self, row: tuple, lines: list[tuple[str, str, bool]]) -> Iterator[tuple[tuple, str]]:
+        """(row, text) of the rows that are decided now."""
+        if self.held is not None and tuple(lines) in self.held:
+            self.held[tuple(lines)][1].append(row)
+            return
+        if self.held is None and self.last and self.last[0].lines == lines:
+            yield row, self.last[1]
+            return
+        page = Page(self.seen, lines)
+        self.seen += 1
+        original = next((p for p in self.remembered if p.copies(page)), None)
+        if original is not None:
+            self.remembered.remove(original)  # seen again: it is the last one to be forgotten
+        if lines:
+            self.remembered.append(original or page)
+            if all(p.counts != page.counts for p in self.alike):
+                self.alike.append(page)
+        if self.held is None:
+            self.last = page, without_shared(page, self.remembered, self.alike)
+            yield row, self.last[1]
+            return
+        self.held[tuple(lines)] = page, [row]
+        self.size += page.size
+        if len(self.remembered) == REMEMBERED or self.size > WAITING:
+            yield from self.close()
+
+    def close(self) -> Iterator[tuple[tuple, str]]:
+        """The rows that still wait."""
+        held, self.held = self.held or {}, None
+        for page, rows in held.values():
+            text = without_shared(page, self.remembered, self.alike)
+            yield from ((row, text) for row in rows)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -279,33 +384,16 @@ def main_texts(pages: DataFrame) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, before = None, deque(maxlen=REMEMBERED)
-        first, waiting = None, []  # the host's first page and the rows that equal it, until another page comes
+        host, pages_of = None, Host()
         for batch in batches:
             done: list[tuple] = []
             ids, urls, hosts = (batch[c].to_pylist() for c in ("page_id", "url", "host"))
             for k, raw in enumerate(batch["html"]):
-                page = candidates(raw.as_py() or "")
                 if hosts[k] != host:
-                    done += [(i, u, t) for t in ["\n\n".join(without_shared(first or [], ()))] for i, u in waiting]
-                    host, first, waiting = hosts[k], page, []
-                    before.clear()
-                if not before or page == before[-1]:
-                    if not before:
-                        before.append(page)
-                    if len(before) == 1:
-                        waiting.append((ids[k], urls[k]))
-                        continue
-                elif len(before) == 1 and waiting:
-                    text = "\n\n".join(without_shared(first, (page,)))
-                    done += [(i, u, text) for i, u in waiting]
-                    waiting = []
-                partners = [p for p in reversed(before) if p != page]
-                done.append((ids[k], urls[k], "\n\n".join(without_shared(page, partners))))
-                if page != before[-1]:
-                    before.append(page)
+                    done += [(*row, text) for row, text in pages_of.close()]
+                    host, pages_of = hosts[k], Host()
+                done += [(*row, text) for row, text in pages_of.add((ids[k], urls[k]), candidates(raw.as_py() or ""))]
             yield result(done)
-        if waiting:
-            yield result([(i, u, t) for t in ["\n\n".join(without_shared(first, ()))] for i, u in waiting])
+        yield result([(*row, text) for row, text in pages_of.close()])
 
     return near.select(F.col("page_id").cast("long"), "url", "html", "host").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -226,3 +226,37 @@ def test_awkward_pages(spark):
 ])
 def test_words_of_attributes_lose_no_article(page, want):
     assert text_of(page) == want
+
+
+def own(rng, n=30):
+    return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+
+def test_site_text_goes_from_inside_articles(spark):
+    rng = random.Random(4)
+    page = "<body><article><h1>{}</h1><p>{}</p><p>Subscribe to our letter today</p></article></body>"
+    rows = [(i, f"http://h.example/{i:02d}", page.format(own(rng, 4), own(rng))) for i in range(20)]
+    got = extract(spark, rows)
+    assert all("Subscribe" not in text and text.count("w") == 34 for text, _ in got.values())
+    # A passage that a few articles quote stays, however many others the host has.
+    rows = [(i, f"http://h.example/{i:02d}", page.format(own(rng, 4), own(rng)).replace("Subscribe", "Subscribe" if i in (8, 9, 10) else f"Own{i}")) for i in range(20)]
+    got = extract(spark, rows)
+    assert sum("Subscribe to our letter today" in text for text, _ in got.values()) == 3
+
+
+def test_long_runs_of_near_copies_lose_only_the_site(spark):
+    rng = random.Random(5)
+    page = "<body><div>Welcome to the site</div>{}<div>Contact us today</div></body>"
+    paragraphs = [own(rng) for _ in range(6)]
+    rows = [(i, f"http://h.example/a/{i:03d}", page.format("".join(f"<p>{x}</p>" for x in [*paragraphs, f"edit {i} {own(rng, 3)}"]))) for i in range(40)]
+    rows.append((100, "http://h.example/b", page.format(f"<p>{own(rng)}</p>")))
+    got = extract(spark, rows)
+    assert all("Welcome" not in text and "Contact" not in text for text, _ in got.values())
+    assert all(all(x in got[(i, f"http://h.example/a/{i:03d}")][0] for x in paragraphs) for i in range(40))
+
+
+def test_short_pages_in_much_site_text(spark):
+    rng = random.Random(6)
+    page = "<body><div>Welcome to the site, which has a long greeting for all who come to it, and then some more</div><p>{}</p></body>"
+    rows = [(i, f"http://h.example/{i:02d}", page.format(own(rng, 5))) for i in range(9)]
+    assert all("Welcome" not in text for text, _ in extract(spark, rows).values())
