@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surgelane.llm.jaccard import near_groups
 from surgelane.llm.langid import identify_documents
 from surgelane.llm.linededup import apply_bitmaps, line_bitmaps
 from surgelane.llm.mixing import mix, take_words, word_count
 from surgelane.llm.packing import pack_documents
 from surgelane.llm.queries import tokenizer_path
-from surgelane.llm.simhash import near_duplicates
 from surgelane.session import delete_on_exit, scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -42,19 +42,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least id.
 
-    Two SimHashes of five-word shingles: documents of similarity 0.8 differ in 19
-    of the 128 bits on average, unrelated ones in 64.
+    Copies have a Jaccard similarity of five-word shingles of 0.8 or more; SimHashes
+    and MinHashes only find the candidates.
 
     A document is an id with a text. Rows that repeat both are one; an id that
     comes with several texts is a document for each, linked by its text alone.
     Rows without an id link with nothing and all stay.
     """
     text_key = F.xxhash64("text")
-    # Nodes of the index are texts, so that an id of two texts doesn't join their groups.
     texts = docs.where("doc_id is not null").select("doc_id", text_key.alias("_text"), "text")
-    classes = near_duplicates(texts.select(F.col("_text").alias("doc_id"), "text"), shingle=5, max_bits=8, max_total=24)
-    groups = classes.groupBy(F.col("doc_id").alias("_node")).agg(F.first("component_id").alias("_group"))
-    rows = texts.select("doc_id", "_text").distinct().join(groups, F.col("_text") == F.col("_node"))
+    # Groups are of texts, so that an id of two texts doesn't join their groups.
+    groups = near_groups(texts.select(F.col("_text").alias("key"), "text"), shingle=5, least=0.8)
+    groups = groups.groupBy(F.col("key").alias("_key")).agg(F.first("group").alias("_group"))
+    rows = texts.select("doc_id", "_text").distinct().join(groups, F.col("_text") == F.col("_key"))
     kept = rows.groupBy("_group").agg(F.min(F.struct("doc_id", "_text")).alias("_kept")).select("_kept.*").select(
         F.col("doc_id").alias("_kept_id"), F.col("_text").alias("_kept_text")
     )

@@ -1,0 +1,217 @@
+"""Groups of texts whose sets of word shingles have a Jaccard similarity of ``least`` or more.
+
+Candidates are the links of the SimHash index and, since at 0.8 a pair often
+differs in more bits than an index of 64 can search, the texts that agree in
+one of ``BANDS`` bands of ``ROWS`` MinHashes each: at 0.8 a pair misses all of
+them with probability 0.0004. Candidates' components are then taken apart by the
+exact similarity of their members, so that a link never comes from a sketch.
+
+A component of any size is dealt over chunks of ``CHUNK`` members; a task links
+the members of a chunk, another one those of two chunks, which travel packed, a
+row a chunk. Equal sets are one member.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from surgelane.llm.graph import components
+from surgelane.llm.simhash import fingerprint, index_links, shingle_hashes, stars
+from surgelane.session import materialise
+
+BANDS, ROWS = 20, 5
+CHUNK = 512
+# Distinct shingles whose incidence is held at once.
+COLUMNS = 4096
+
+_RANDOM = np.random.default_rng(7).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64)
+_XOR, _ODD = _RANDOM[0], _RANDOM[1] * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order; none for a text without words."""
+    parts = [np.unique(h) for h in shingle_hashes(text, shingle)]
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
+def bands_of(hashes: np.ndarray) -> np.ndarray:
+    """A value for each band: equal where all of its MinHashes are."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), 4096):
+        np.minimum(least, ((hashes[at : at + 4096, None] ^ _XOR) * _ODD).min(axis=0), out=least)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def similar(a: list[np.ndarray], b: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of sets of a and of b with a Jaccard similarity of ``least`` or more."""
+    la, lb = (np.array([len(x) for x in s], dtype=np.int64) for s in (a, b))
+    if len(a) * len(b) <= 64:
+        common = np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in b] for x in a], dtype=np.int64).reshape(len(a), len(b))
+    else:
+        ha, hb = np.concatenate(a), np.concatenate(b)
+        both = np.intersect1d(ha, hb)
+        common = np.zeros((len(a), len(b)), np.int64)
+        sides = []
+        for h, lengths in ((ha, la), (hb, lb)):
+            column = np.searchsorted(both, h)
+            found = np.flatnonzero(both[np.minimum(column, len(both) - 1)] == h) if len(both) else np.empty(0, np.int64)
+            sides.append((np.repeat(np.arange(len(lengths)), lengths)[found], column[found]))
+        for at in range(0, len(both), COLUMNS):
+            x, y = (np.zeros((n, COLUMNS), np.float32) for n in (len(a), len(b)))
+            for m, (row, column) in zip((x, y), sides):
+                here = (column >= at) & (column < at + COLUMNS)
+                m[row[here], column[here] - at] = 1.0
+            common += (x @ y.T).astype(np.int64)
+    union = la[:, None] + lb[None, :] - common
+    return np.nonzero(common >= least * union - 1e-9)
+
+
+def within(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """The first member of each one's component among the sets."""
+    label = np.arange(len(sets))
+    if len(sets) > 1:
+        near = similar(sets[:1], sets, least)[1]
+        if len(near) == len(sets):
+            return np.zeros(len(sets), np.int64)
+        i, j = similar(sets, sets, least)
+        member, centre = stars(len(sets), i, j)
+        label[member] = centre
+    return label
+
+
+def across(a: list[np.ndarray], la: np.ndarray, b: list[np.ndarray], lb: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between members of two chunks with known components: first those of their firsts, all if they don't join everything."""
+    fa, fb = np.unique(la), np.unique(lb)
+    i, j = similar([a[k] for k in fa], [b[k] for k in fb], least)
+    member, _ = stars(len(fa) + len(fb), i, j + len(fa))
+    if len(member) == len(fa) + len(fb) - 1:
+        return fa[i], fb[j]
+    i, j = similar(a, b, least)
+    # A link for each two components that meet.
+    pair = np.unique(np.stack([la[i], lb[j]], axis=1), axis=0)
+    return pair[:, 0], pair[:, 1]
+
+
+def sketches(texts: DataFrame, shingle: int) -> DataFrame:
+    """(key, k, fp, fp2, bands) of every row of ``key``, ``text``: k stands for the set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            ks, fps, bands = [], [], []
+            for text in batch["text"]:
+                text = text.as_py()
+                hashes = shingle_set(text, shingle)
+                ks.append(xxhash.xxh64_intdigest(hashes.tobytes()))
+                fps.append(fingerprint(text, shingle, True))
+                bands.append(bands_of(hashes).view(np.int64))
+            fps = np.array(fps, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch["key"], pa.array(np.array(ks, np.uint64).view(np.int64)), pa.array(fps[:, 0]), pa.array(fps[:, 1]), pa.array(bands, pa.list_(pa.int64()))],
+                ["key", "k", "fp", "fp2", "bands"],
+            )
+
+    return texts.select(F.col("key").cast("long"), "text").mapInArrow(run, "key long, k long, fp long, fp2 long, bands array<long>")
+
+
+def band_links(distinct: DataFrame) -> DataFrame:
+    """(a, b): for every value of a band that several sets have, each of them with the least one."""
+    entries = distinct.select("k", F.explode("bands").alias("h"))
+    least = entries.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo != hi").select(F.col("h").alias("_h"), "lo")
+    return entries.join(least, F.col("h") == F.col("_h")).where("k != lo").select(F.col("k").alias("a"), F.col("lo").alias("b")).distinct()
+
+
+_FOUND = pa.schema(
+    [("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("chunk", pa.int64())] + [(n, pa.binary()) for n in ("ks", "labels", "lengths", "hashes")]
+)
+
+
+def chunk_links(members: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links (a, b) inside each chunk, and the chunks that must meet others, packed (a null).
+
+    ``members`` (c, chunk, chunks, k, text) are sorted by c and chunk in their partitions.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for *head, text in zip(*(batch[n].to_pylist() for n in ("c", "chunk", "chunks", "k")), batch["text"]):
+                yield *head, shingle_set(text.as_py(), shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for (c, chunk, chunks), group in groupby(rows(batches), key=lambda r: r[:3]):
+            group = list(group)
+            ks, sets = np.array([r[3] for r in group], np.int64), [r[4] for r in group]
+            label = within(sets, least)
+            linked = np.flatnonzero(label != np.arange(len(label)))
+            a.append(ks[linked])
+            b.append(ks[label[linked]])
+            if chunks > 1:
+                packed = [x.tobytes() for x in (ks, label.astype(np.int64), np.array([len(s) for s in sets], np.int64), np.concatenate(sets))]
+                yield pa.RecordBatch.from_pydict(dict(zip(_FOUND.names, [[x] for x in (None, None, c, chunk, *packed)])), _FOUND)
+        if a:
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b} | {f.name: pa.nulls(len(a), f.type) for f in list(_FOUND)[2:]}, _FOUND)
+
+    return members.mapInArrow(run, "a long, b long, c long, chunk long, ks binary, labels binary, lengths binary, hashes binary")
+
+
+def met_links(chunks: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between the chunks of a component."""
+    sides = [F.col(f"{s}.{n}").alias(f"{s}_{n}") for s in "rs" for n in ("ks", "labels", "lengths", "hashes")]
+    r, s = chunks.alias("r"), chunks.alias("s")
+    met = r.join(s, (F.col("r.c") == F.col("s.c")) & (F.col("r.chunk") < F.col("s.chunk"))).select(*sides)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*batch.columns):
+                side = []
+                for k in (0, 4):
+                    ks, label, lengths = (np.frombuffer(v.as_buffer(), np.int64) for v in row[k : k + 3])
+                    side.append((ks, label, np.split(np.frombuffer(row[k + 3].as_buffer(), np.uint64), np.cumsum(lengths)[:-1])))
+                (ka, la, a), (kb, lb, b) = side
+                i, j = across(a, la, b, lb, least)
+                yield pa.RecordBatch.from_arrays([pa.array(ka[i]), pa.array(kb[j])], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
+
+
+def near_groups(texts: DataFrame, shingle: int = 5, least: float = 0.8, max_bits: int = 8, max_total: int = 24, chunk: int = CHUNK) -> DataFrame:
+    """(key, group) of every row of ``texts`` (``key``, ``text``): the group is the same for texts joined by links.
+
+    Texts without words are one group; equal keys must have equal texts. ``max_bits``
+    and ``max_total`` limit candidates of the SimHash index alone.
+    """
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sketched = materialise(sketches(texts, shingle), "sketches")
+    distinct = sketched.groupBy("k").agg(F.min(F.struct("key", "fp", "fp2", "bands")).alias("s")).select("k", "s.*")
+    distinct = materialise(distinct, "distinct-shingle-sets")
+    index = index_links(distinct.select(F.col("k").alias("id"), "fp", "fp2"), max_bits, max_total)
+    coarse = materialise(components(index.union(band_links(distinct))), "candidate-groups")
+
+    sizes = coarse.groupBy(F.col("label").alias("_c")).count().where(F.col("count") > chunk)
+    chunks = F.coalesce(F.ceil(F.col("count") / chunk), F.lit(1)).cast("long")
+    dealt = (
+        coarse.join(sizes, F.col("label") == F.col("_c"), "left")
+        .select(F.col("node").alias("k"), F.col("label").alias("c"), chunks.alias("chunks"))
+        .withColumn("chunk", F.pmod(F.xxhash64("k"), F.col("chunks")))
+        .join(distinct.select(F.col("k").alias("_k"), F.col("key").alias("_key")), F.col("k") == F.col("_k"))
+    )
+    members = dealt.join(texts.select("key", "text"), F.col("_key") == F.col("key")).dropDuplicates(["k"]).select("c", "chunk", "chunks", "k", "text")
+    members = members.repartition(n, "c", "chunk").sortWithinPartitions("c", "chunk", "k")
+    found = materialise(chunk_links(members, shingle, least), "chunk-links")
+    met = met_links(found.where("a is null").drop("a", "b"), least)
+    linked = materialise(components(found.where("a is not null").select("a", "b").union(met)), "near-groups")
+    named = linked.select(F.col("node").alias("_k"), "label")
+    return sketched.select("key", "k").join(named, F.col("k") == F.col("_k"), "left").select("key", F.coalesce("label", "k").alias("group"))

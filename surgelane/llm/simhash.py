@@ -52,27 +52,33 @@ def _second(hashes: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def fingerprint(text: str | None, shingle: int, both: bool = False) -> tuple[int, int]:
-    """SimHashes of a text: majority bits of XXH64 over its word shingles, and of second hashes (else 0).
-
-    A text of fewer words is one shingle; a text without words has 0 and 0.
-    """
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of a text's word shingles, in blocks; a text of fewer words is one shingle, one without words has none."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0, 0
+        return
     k = min(shingle, len(words))
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
-    digest, m = xxhash.xxh64_intdigest, len(words) - k + 1
-    count, step = np.zeros((2, 64), np.int64), 1 << 16  # bounded memory for very long texts
+    digest, m, step = xxhash.xxh64_intdigest, len(words) - k + 1, 1 << 16  # bounded memory for very long texts
     for at in range(0, m, step):
         n = min(step, m - at)
         spans = zip(starts[at : at + n].tolist(), ends[at + k - 1 : at + k - 1 + n].tolist())
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
+        yield np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int, both: bool = False) -> tuple[int, int]:
+    """SimHashes of a text: majority bits of XXH64 over its word shingles, and of second hashes (else 0).
+
+    A text of fewer words is one shingle; a text without words has 0 and 0.
+    """
+    count, m = np.zeros((2, 64), np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
+        m += len(hashes)
         count[0] += _majority(hashes)
         if both:
             count[1] += _majority(_second(hashes))
@@ -324,6 +330,16 @@ def run_links(runs: DataFrame, max_bits: int, max_total: int) -> DataFrame:
     return met.where(apart <= max_bits).select(*sides).mapInArrow(verify, "a long, b long")
 
 
+def index_links(distinct: DataFrame, max_bits: int, max_total: int | None = None) -> DataFrame:
+    """Links (a, b) that join all fingerprints (``id``, ``fp``, ``fp2``) within the limits."""
+    both = max_total is not None
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = index_entries(distinct, max_bits, both).repartitionByRange(n, "t", "g").sortWithinPartitions("t", "g")
+    found = materialise(partition_links(entries, max_bits, max_total if both else max_bits), "index-runs")
+    met = run_links(found.where("a is null").drop("a", "b"), max_bits, max_total if both else max_bits)
+    return found.where("a is not null").select("a", "b").union(met)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = 4, max_total: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs`` (``doc_id``, ``text``).
 
@@ -335,16 +351,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = 4,
     null id are listed, link with nothing and have a null component; repeated
     rows are listed each; an empty table gives an empty table.
     """
-    spark = docs.sparkSession
     both = max_total is not None
     fps = materialise(fingerprints(docs, shingle, both), "fingerprints")
     distinct = fps.where("doc_id is not null").groupBy("fp", "fp2").agg(F.min("doc_id").alias("id"))
     distinct = materialise(distinct, "distinct-fingerprints")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = index_entries(distinct, max_bits, both).repartitionByRange(n, "t", "g").sortWithinPartitions("t", "g")
-    found = materialise(partition_links(entries, max_bits, max_total if both else max_bits), "index-runs")
-    met = run_links(found.where("a is null").drop("a", "b"), max_bits, max_total if both else max_bits)
-    linked = materialise(components(found.where("a is not null").select("a", "b").union(met)), "components")
+    linked = materialise(components(index_links(distinct, max_bits, max_total)), "components")
     classes = distinct.join(linked, F.col("id") == F.col("node"), "left").select(
         F.col("fp").alias("_fp"), F.col("fp2").alias("_fp2"), F.coalesce("label", "id").alias("_component")
     )
