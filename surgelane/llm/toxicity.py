@@ -32,8 +32,10 @@ from surgelane.session import materialise
 
 # Labelled rows of each class that the model is fitted on at most.
 SAMPLE = 4096
-# Terms of the vocabulary at most; least standard score and log odds of a term.
+# Terms of the vocabulary at most; least standard score (root of the log likelihood ratio) and log odds of a term.
 TERMS, MIN_Z, MIN_LOG_ODDS = 2048, 4.0, 1.1
+# Toxic examples that a term occurs in at least: the ratio is too sure of fewer.
+MIN_TOXIC = 5
 NEAREST = 15
 BLOCK = 64
 # Closeness 1 / (SOFT + distance): how fast a vote fades.
@@ -173,8 +175,12 @@ def vocabulary(chosen: DataFrame, docs: DataFrame) -> list[str]:
     odds = F.log((F.col("t") + half) / (F.lit(n_t) - F.col("t") + half)) - F.log((F.col("c") + half) / (F.lit(n_c) - F.col("c") + half))
     counted = texts.mapInArrow(count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     scored = counted.where((F.col("t") <= n_t) & (F.col("c") <= n_c)).withColumn("odds", odds)
-    scored = scored.withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("t") + half) + 1 / (F.col("c") + half)))
-    kept = scored.where((F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_LOG_ODDS)).orderBy(F.col("z").desc(), "term").limit(TERMS)
+    # Observed against expected counts of the four cells; unlike the odds' standard error, it doesn't punish terms of no clean example.
+    seen, n = F.col("t") + F.col("c"), float(max(1, n_t + n_c))
+    cells = [(F.col("t"), seen * (n_t / n)), (F.col("c"), seen * (n_c / n)), (n_t - F.col("t"), (n - seen) * (n_t / n)), (n_c - F.col("c"), (n - seen) * (n_c / n))]
+    ratio = sum((F.when(x > 0, x * F.log(x / e)).otherwise(0.0) for x, e in cells), F.lit(0.0))
+    scored = scored.withColumn("z", F.sqrt(F.greatest(F.lit(0.0), 2 * ratio)))
+    kept = scored.where((F.col("t") >= MIN_TOXIC) & (F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_LOG_ODDS)).orderBy(F.col("z").desc(), "term").limit(TERMS)
     return [r["term"] for r in kept.select("term").collect()]
 
 

@@ -138,6 +138,22 @@ def test_toxicity_awkward_documents(spark):
     assert toxicity.score_documents(documents(spark, []), table).count() == 0
 
 
+def test_toxic_words_of_no_clean_example_count(spark):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(1200):
+        words = [f"w{rng.randrange(300)}x" for _ in range(20)]
+        toxic = i % 2
+        if toxic:
+            words[rng.randrange(20)] = f"{rng.choice('qzjvk')}{rng.choice('qzjvk')}grr"  # each in about 24 documents
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic, 1))
+    table = spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    got = toxicity.score_documents(documents(spark, rows), table).collect()
+    held = [(r.predicted, r.doc_id % 2) for r in got if r.held_out]
+    assert sum(p == t for p, t in held) >= 0.95 * len(held)
+
+
 # --- HTML extraction --------------------------------------------------------------
 
 def text_of(page):
