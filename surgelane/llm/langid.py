@@ -17,15 +17,16 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surgelane.session import materialise
 
-# Documents the trigram model is fitted on at most, and hashed trigrams it has.
+# Documents the trigram model is fitted on at most (one of each language at least), and hashed trigrams it has.
 SAMPLE = 4000
 TRIGRAMS = 1 << 15
 # Overlapping trigrams are not independent: their log likelihoods count a third.
@@ -34,6 +35,10 @@ TEMPER = 1 / 3
 SMOOTH = 5.0
 # Rows whose best language is less likely, or whose text has no letter, are rejected.
 MIN_POSTERIOR = 0.5
+# A text is of a known language if its trigrams are likelier than in a model that has seen
+# nothing, by this part of what texts of the language are, short of some standard errors.
+KNOWN_SHARE = 0.25
+KNOWN_ERRORS = 2.0
 
 _TAGS = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[^<>]*>", re.S | re.I)
 _DECLARED = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
@@ -60,20 +65,45 @@ def visible(page: str) -> str:
     return html.unescape(_TAGS.sub(" ", page))
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and log P(trigram | language) from ``doc_id``, ``text``, ``lang``.
+class Model(NamedTuple):
+    """Languages, log P(trigram | language), and how texts of a language score that the model hasn't seen.
 
-    Takes the ``sample`` rows with the least id hashes; rows without id, text or
-    language teach nothing. Counting is done in tasks; the model is all that returns.
+    ``floors`` are the least mean log likelihoods of a text of each language,
+    ``spreads`` the standard deviations of a trigram's.
     """
-    chosen = (
-        labelled.where("doc_id is not null and lang is not null and text is not null")
-        .select("doc_id", F.xxhash64("doc_id").alias("_h"))
-        .orderBy("_h", "doc_id")
-        .limit(sample)
-        .select(F.col("doc_id").alias("_id"))
-    )
-    rows = labelled.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.lower("lang").alias("lang"), "text")
+
+    languages: list[str]
+    table: np.ndarray
+    floors: list[float]
+    spreads: list[float]
+
+
+def chosen_rows(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(lang, text) that the model is fitted on: of every language the rows with the least id hashes.
+
+    Languages are counted over all rows; each gets an equal part of ``sample``, one
+    row at least. Rows without id, text or language teach nothing.
+    """
+    usable = labelled.where("doc_id is not null and lang is not null and text is not null").withColumn("lang", F.lower("lang"))
+    sizes = usable.groupBy("lang").count().collect()  # a row a language
+    part = max(1, sample // max(1, len(sizes)))
+    # Twice the part and some are expected under the limit, so that only these few are ranked.
+    limits = [(r["lang"], 1.0 if r["count"] <= 4 * part + 100 else (2 * part + 50) / r["count"]) for r in sizes]
+    limits = labelled.sparkSession.createDataFrame(limits, "_lang string, _limit double")
+    hashed = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
+    few = hashed.join(F.broadcast(limits), F.col("lang") == F.col("_lang")).where(F.pmod("_h", F.lit(1 << 32)) < F.col("_limit") * (1 << 32))
+    order = Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 32)), "_h", "doc_id")
+    ranked = few.dropDuplicates(["lang", "doc_id"]).withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= part)
+    ids = ranked.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
+    return usable.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")
+
+
+def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
+    """The model of ``doc_id``, ``text``, ``lang`` (see ``chosen_rows``).
+
+    Counting is done in tasks; the model is all that returns.
+    """
+    rows = materialise(chosen_rows(labelled, sample), "language-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -88,20 +118,45 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
 
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
-    table = np.full((TRIGRAMS, len(languages)), 0.5)
+    table = np.full((TRIGRAMS, len(languages)), 0.5, np.float32)
     for k, lang in enumerate(languages):
         own = counts[counts["lang"] == lang]
         table[own["gram"].to_numpy(), k] += own["n"].to_numpy()
-    return languages, np.log(table / table.sum(axis=0)).astype(np.float32) if languages else table.astype(np.float32)
-
+    if not languages:
+        return Model([], table, [], [])
+    sizes, place = table.sum(axis=0, dtype=np.float64), {lang: k for k, lang in enumerate(languages)}
 
-def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray], markup: bool) -> DataFrame:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Trigrams, and sums of their log likelihoods and squares, each text by what the others teach."""
+        for batch in batches:
+            out = []
+            for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
+                own = np.zeros(TRIGRAMS, np.int64)
+                for grams in _trigrams(text.as_py()):
+                    own += np.bincount(grams, minlength=TRIGRAMS)
+                at, n = np.flatnonzero(own), int(own.sum())
+                if n:
+                    k = place[lang]
+                    ll = np.log((table[at, k] - own[at]).clip(0.5) / (sizes[k] - n))
+                    out.append((lang, n, float(own[at] @ ll), float(own[at] @ (ll * ll))))
+            lang, n, s, q = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(n, pa.int64()), pa.array(s, pa.float64()), pa.array(q, pa.float64())], ["lang", "n", "s", "q"])
+
+    scored = rows.mapInArrow(score, "lang string, n long, s double, q double").groupBy("lang").agg(*[F.sum(c).alias(c) for c in "nsq"]).collect()
+    means = {r["lang"]: (r["s"] / r["n"], r["q"] / r["n"]) for r in scored}
+    unseen = -float(np.log(TRIGRAMS))
+    floors = [min(means[x][0], unseen + KNOWN_SHARE * (means[x][0] - unseen)) for x in languages]
+    spreads = [max(0.0, means[x][1] - means[x][0] ** 2) ** 0.5 for x in languages]
+    return Model(languages, np.log(table / sizes).astype(np.float32), floors, spreads)
+
+
+def text_evidence(rows: DataFrame, model: Model, markup: bool) -> DataFrame:
     """(id, host, suffix, declared, grams, ll): ``ll`` has a tempered log likelihood per language.
 
     ``rows`` has id, text, host, suffix, declared. With ``markup`` the text is a
     page: its language attribute is the declaration and its visible text counts.
     """
-    languages, table = model
+    languages, table = model.languages, model.table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,12 +191,14 @@ def _normal(logs: Column) -> Column:
     return F.transform(raised, lambda x: x / total)
 
 
-def fuse(evidence: DataFrame, languages: list[str], smooth: float = SMOOTH, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
+def fuse(evidence: DataFrame, model: Model, smooth: float = SMOOTH, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
     """(id, host, declared, language, posterior, text_language, accepted) for every row of evidence.
 
-    Rows without trigrams have the prior alone and are rejected; null hosts,
-    suffixes and declarations are values of their own.
+    Rows without trigrams have the prior alone and are rejected, as are texts whose
+    trigrams no language makes likely; null hosts, suffixes and declarations are
+    values of their own.
     """
+    languages = model.languages
     width = len(languages)
     names = F.array(*[F.lit(x) for x in languages]) if width else F.array().cast("array<string>")
     if not width:
@@ -192,6 +249,8 @@ def fuse(evidence: DataFrame, languages: list[str], smooth: float = SMOOTH, min_
         .withColumn("declares", declares)
         .withColumn("q", _normal(F.zip_with("ll", F.zip_with("prior", "declares", lambda a, b: F.log(a * b)), lambda x, y: x + y)))
     )
+    doubt = KNOWN_ERRORS / F.sqrt(F.col("grams"))
+    known = F.greatest(F.lit(float("-inf")), *[F.col("ll")[i] / (TEMPER * F.col("grams")) + model.spreads[i] * doubt - model.floors[i] for i in range(width)]) >= 0
     best = lambda c: F.get(names, (F.array_position(c, F.array_max(c)) - 1).cast("int"))
     return fused.select(
         "id",
@@ -200,14 +259,15 @@ def fuse(evidence: DataFrame, languages: list[str], smooth: float = SMOOTH, min_
         best(F.col("q")).alias("language"),
         F.round(F.array_max("q"), 6).alias("posterior"),
         F.when(F.col("grams") > 0, best(F.col("p"))).alias("text_language"),
-        ((F.col("grams") > 0) & (F.array_max("q") >= min_posterior)).alias("accepted"),
+        F.when(F.col("grams") > 0, known & (F.array_max("q") >= min_posterior)).otherwise(False).alias("accepted"),
     )
 
 
 def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     """(page_id, url, host, declared, language, posterior, text_language, accepted) of every page.
 
-    A null page or one without letters has its priors' language and is rejected;
+    A null page or one without letters has its priors' language and is rejected, and
+    so is one whose text is in no language of the labelled documents;
     a null address has neither host nor suffix; repeated rows are each judged.
     """
     model = fit(labelled)
@@ -217,7 +277,7 @@ def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
         host.alias("host"), F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"), F.lit(None).cast("string").alias("declared"),
     )
     evidence = materialise(text_evidence(rows, model, markup=True), "page-evidence")
-    judged = fuse(evidence, model[0]).dropDuplicates(["id"]).withColumnRenamed("id", "_id")
+    judged = fuse(evidence, model).dropDuplicates(["id"]).withColumnRenamed("id", "_id")
     named = rows.select("id", "row.page_id", "row.url")
     return named.join(judged, F.col("id") == F.col("_id")).drop("id", "_id")
 
@@ -226,7 +286,8 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with ``language``, ``posterior`` and ``accepted`` added.
 
     Their ``lang`` is the declaration, their ``source`` the host. Null and empty
-    texts, and texts without letters, are rejected; repeated rows are each judged;
+    texts, texts without letters and texts in none of the languages declared are
+    rejected; repeated rows are each judged;
     columns named like the three are replaced.
     """
     docs = docs.drop("language", "posterior", "accepted")
@@ -236,6 +297,6 @@ def identify_documents(docs: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("suffix"), F.lower("lang").alias("declared"),
     )
     evidence = materialise(text_evidence(rows, model, markup=False), "document-evidence")
-    judged = fuse(evidence, model[0]).dropDuplicates(["id"]).select(F.col("id").alias("_lang_id"), "language", "posterior", "accepted")
+    judged = fuse(evidence, model).dropDuplicates(["id"]).select(F.col("id").alias("_lang_id"), "language", "posterior", "accepted")
     keyed = docs.withColumn("_lang_key", F.xxhash64("doc_id", "text", "lang", "source"))
     return keyed.join(judged, F.col("_lang_key") == F.col("_lang_id")).drop("_lang_key", "_lang_id")

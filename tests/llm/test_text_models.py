@@ -65,6 +65,30 @@ def test_trigram_blocks_do_not_change_counts(monkeypatch):
     assert whole.sum() == sum(1 for i in range(len(padded) - 2) if padded[i + 1] != " " or padded[i] != " " != padded[i + 2])
 
 
+RUSSIAN = "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему. Все смешалось в доме. "
+POLISH = "Litwo, ojczyzno moja, ty jesteś jak zdrowie; ile cię trzeba cenić, ten tylko się dowie, kto cię stracił. Dziś piękność twą. "
+
+
+def test_texts_of_no_known_language_are_rejected(spark, corpus):
+    rng = random.Random(6)
+    odd = [RUSSIAN * 3, POLISH * 3, "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(300)),
+           " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(60))]
+    known = corpus.limit(400).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = known.union(documents(spark, [(10**6 + i, t, None, "src0") for i, t in enumerate(odd)]))
+    got = {r.doc_id: r.accepted for r in langid.identify_documents(docs).collect()}
+    assert not any(got[10**6 + i] for i in range(len(odd)))
+    assert sum(got.values()) == len(got) - len(odd)
+
+
+def test_rare_languages_are_classes(spark, corpus):
+    known = corpus.where("lang = 'en'").limit(300).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = known.union(documents(spark, [(10**6 + i, RUSSIAN * 2, "RU", "src0") for i in range(2)]))
+    model = langid.fit(docs, sample=20)
+    assert model.languages == ["en", "ru"]
+    taught = langid.chosen_rows(docs, 20).groupBy("lang").count().collect()
+    assert {r[0]: r[1] for r in taught} == {"en": 10, "ru": 2}
+
+
 # --- toxicity -------------------------------------------------------------------
 
 def slow_nearest(vectors, query, k):
