@@ -94,3 +94,103 @@ SELECT e.vec_id, CAST(coalesce(d.n_links, 0) AS BIGINT) AS n_links,
     coalesce(l.component_id, e.vec_id) AS component_id, coalesce(l.component_id, e.vec_id) = e.vec_id AS kept
 FROM embeddings e LEFT JOIN degrees d ON e.vec_id = d.vec_id LEFT JOIN least l ON e.vec_id = l.vec_id
 """
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a string expression whose code points are below 2048, bit by bit over its UTF-8 bytes."""
+    points = f"list_transform(string_split({text}, ''), lambda c: unicode(c))"
+    utf8 = f"flatten(list_transform({points}, lambda u: CASE WHEN u < 128 THEN [u] ELSE [192 + (u >> 6), 128 + (u & 63)] END))"
+    step = "lambda v, z: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    byte = f"lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], {step})"
+    return f"xor(list_reduce(list_prepend(4294967295, ({utf8})::BIGINT[]), {byte}), 4294967295)"
+
+
+SQL["op11_spelling_variants"] = rf"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{_UPPER}', '{_LOWER}') AS run FROM documents
+), counted AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL
+), hashed AS (
+    SELECT run, n, {crc32_sql("id || ':' || run")} AS h FROM counted
+), vocabulary AS (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word,
+        CAST(sum(n) AS BIGINT) AS n
+    FROM hashed GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2
+), gaps AS (
+    SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest
+    FROM (SELECT word, n, unnest(range(length(word))) AS i FROM vocabulary)
+), near AS (
+    SELECT a.word, b.word AS other FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, b.word FROM gaps a JOIN vocabulary b ON a.rest = b.word
+    UNION SELECT b.word, a.word FROM gaps a JOIN vocabulary b ON a.rest = b.word
+), best AS (
+    SELECT near.word, any_value(v.n) AS n, CAST(count(*) AS BIGINT) AS n_near, max(o.n) AS best_n, min(struct_pack(m := -o.n, w := near.other)).w AS best
+    FROM near JOIN vocabulary v ON near.word = v.word JOIN vocabulary o ON near.other = o.word GROUP BY near.word
+), forms AS (
+    SELECT word, best AS form, best_n AS form_n FROM best WHERE best_n >= 10 * n
+), ways AS (
+    SELECT word, form AS root FROM forms
+    UNION ALL SELECT ways.word, forms.form FROM ways JOIN forms ON ways.root = forms.word
+), roots AS (
+    SELECT word, root FROM ways WHERE root NOT IN (SELECT word FROM forms)
+)
+SELECT v.word, f.form, coalesce(r.root, v.word) AS root, v.n, coalesce(b.n_near, 0) AS n_near, f.form_n
+FROM vocabulary v LEFT JOIN best b ON v.word = b.word LEFT JOIN forms f ON v.word = f.word LEFT JOIN roots r ON v.word = r.word
+"""
+
+
+def _tree_sql(name: str, levels: int) -> str:
+    """CTEs {name}1.. (grp, i, h, n) over {name}0, and the runs {name}_run0.. (grp, run, hs, n) of siblings."""
+    out = []
+    for k in range(levels):
+        out.append(f"""{name}_run{k} AS (
+    SELECT grp, i // 16 AS run, list(h ORDER BY i) AS hs, max(n) AS n FROM {name}{k} GROUP BY ALL
+), {name}{k + 1} AS (
+    SELECT grp, run AS i, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h, (n + 15) // 16 AS n FROM {name}_run{k}
+)""")
+    return ", ".join(out)
+
+
+def _climb_sql(source: str, tree: str, levels: int, grp: str, at: str) -> str:
+    """CTEs that take rows (grp, rank, proof, folded) of ``source`` up a tree, one level each."""
+    out, before = [], source
+    for k in range(levels):
+        place = f"({at} // {16**k}) % 16"
+        left, right = f"array_to_string(r.hs[1:{place}], '')", f"array_to_string(r.hs[{place} + 2:], '')"
+        out.append(f"""{source}_{k} AS (
+    SELECT d.* REPLACE (
+        CASE WHEN r.n = 1 THEN proof ELSE proof || {left} || {right} END AS proof,
+        CASE WHEN r.n = 1 THEN folded ELSE sha256({left} || folded || {right}) END AS folded)
+    FROM {before} d JOIN {tree}_run{k} r ON r.grp = {grp} AND r.run = {at} // {16 ** (k + 1)}
+)""")
+        before = f"{source}_{k}"
+    return ", ".join(out)
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(CAST(strlen({f}) AS VARCHAR) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+#: Levels of the SQL's trees: 16 ** 6 leaves a source, 16 ** 4 sources.
+_LEVELS, _TOP = 6, 4
+SQL["op13_merkle_manifest"] = f"""
+WITH digests AS (
+    SELECT doc_id, coalesce('=' || source, '') AS grp, {_leaf_sql("text")} AS leaf,
+        CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {_leaf_sql(f"translate(text, '{_UPPER}', '{_LOWER}')")} END AS tampered
+    FROM documents
+), leaves AS (
+    SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, count(*) OVER (PARTITION BY grp) AS n FROM digests
+), t0 AS (SELECT grp, rank AS i, leaf AS h, n FROM leaves), {_tree_sql("t", _LEVELS)},
+subroots AS (
+    SELECT grp AS name, h AS subroot, row_number() OVER (ORDER BY grp) - 1 AS place, count(*) OVER () AS n FROM t{_LEVELS}
+), s0 AS (SELECT '' AS grp, place AS i, subroot AS h, n FROM subroots), {_tree_sql("s", _TOP)},
+low AS (
+    SELECT l.doc_id, l.leaf, l.grp, l.rank, s.place, s.subroot, (SELECT h FROM s{_TOP}) AS root, '' AS proof, coalesce(l.tampered, l.leaf) AS folded
+    FROM leaves l JOIN subroots s ON l.grp = s.name
+), {_climb_sql("low", "t", _LEVELS, "d.grp", "d.rank")},
+high AS (SELECT * FROM low_{_LEVELS - 1}), {_climb_sql("high", "s", _TOP, "''", "d.place")}
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM high_{_TOP - 1}
+"""

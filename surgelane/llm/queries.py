@@ -108,3 +108,24 @@ def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "word-counts")
     return mix(rows).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op11_spelling_variants")
+def op11(spark, sf_dir):
+    from surgelane.llm.variants import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_document_fingerprints")
+def op12(spark, sf_dir):
+    from surgelane.llm.winnowing import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op13_merkle_manifest")
+def op13(spark, sf_dir):
+    from surgelane.llm.merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents")).proofs()
