@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRAM, WINDOW = 24, 16
+GRAM, WINDOW = 16, 16
 #: Code points hashed at once: bounds memory for very long texts.
 STEP = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
