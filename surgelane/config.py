@@ -137,7 +137,7 @@ TARGET = "surge_multiplier"
 
 WEATHER_CONDITIONS = ("Clear", "Rain", "Snow", "Fog")
 
-# Value used for an hour without weather (NYC annual averages).
+# Defaults for an hour without weather.
 WEATHER_DEFAULTS = {
     "temperature_f": 55.0,
     "precipitation_in": 0.0,

@@ -9,7 +9,6 @@ from surgelane.operators.dimensions import (  # noqa: F401
     enrich_zones,
     join_dimension,
     join_zones,
-    profile_dimension,
 )
 from surgelane.operators.evaluate import asymmetric_wmse, evaluate_predictions, top_k  # noqa: F401
 from surgelane.operators.prep import prepare_features, train_val_split  # noqa: F401

@@ -1,23 +1,23 @@
 """Distributed gradient boosting with the asymmetric loss (M4, M5, M7, M8).
 
-With grad = -2 w r and hess = 2 w (w = penalty if r > 0 else 1), the Newton
-direction -g/h equals the residual r, so one boosting round is a weighted
-least-squares regression tree on the residual. Each round:
-
-1. fits one Spark ML tree (``RandomForestRegressor`` with one tree) on label r
-   and weight w over a hashed row subsample and a column sample of its own;
-   a child needs ``min_child_weight`` of hessian;
-2. sums gradients and hessians per leaf, which gives those of all nodes, prunes
-   splits that gain less than ``gamma`` and sets leaf values with L1/L2
-   regularisation: v = -sign(G) max(|G| - alpha, 0) / (H + lambda). The same
-   aggregation measures the losses of the predictions so far, so a round has
-   one pass besides the tree's own;
-3. adds ``learning_rate * v(leaf)`` to the prediction column, over Arrow batches.
-
-Only per-leaf sums (at most 2^depth rows) and metric scalars reach the driver.
-The prediction state is written as a Parquet table in the shared checkpoint
-folder every few rounds (truncating the lineage); the superseded version is
-deleted, so storage holds one copy of the state, not one per round.
+Each round grows one depth-wise tree on gradients and hessians of the loss:
+
+1. features are binned once, by quantile cuts, into a narrow matrix of blocks
+   (``operators.histogram``) that all rounds read, with labels and predictions;
+2. a level of the tree is one job: every task sums gradients per (node, feature,
+   bin), reducers add them up per feature and return the best split of each node.
+   A node whose loss is below ``gamma`` cannot hold a split that gains as much
+   and is not searched, so late rounds have few levels;
+3. splits that gain less than ``gamma`` are pruned bottom-up, and leaves get
+   v = -sign(G) max(|G| - alpha, 0) / (H + lambda), times the learning rate.
+
+The first job of a round also measures the losses of the predictions so far.
+Only best splits and loss sums reach the driver: a row per node and reducer.
+Sums are whole numbers, so the same input grows the same trees again.
+
+Predictions are written every few rounds (trees since then are added on the
+fly); this cuts the lineage. With a run folder, the written state, the nodes
+and a manifest stay there, and a run that lost its driver goes on from them.
 """
 
 from __future__ import annotations
@@ -26,27 +26,23 @@ import json
 import logging
 import math
 import random
-import re
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surgelane.config import BOOST, TARGET, BoostParams
-from surgelane.functions.loss import gradient, hessian, loss_weight, weighted_sq_error
-from surgelane.session import StateTables, materialise
+from surgelane.operators.histogram import LOSS, NODE_LOSS, SPLIT, BinTree, Pass, Scale, advance, measure, quantile_cuts, run_pass, to_blocks
+from surgelane.session import StateTables, delete_path, list_folders, materialise
 
 log = logging.getLogger(__name__)
 
 _Y, _P, _VAL, _RK = "_y", "_p", "_val", "_rk"
-NODE_SCHEMA = "tree int, node int, feature string, threshold double, left int, right int, value double, gain double"
+NODE_SCHEMA = "tree int, node int, feature string, threshold double, left int, right int, value double, gain double, cover double"
 
 
 def shrunk(g: float, alpha: float) -> float:
@@ -65,7 +61,10 @@ def structure_score(g: float, h: float, alpha: float, lam: float) -> float:
 
 @dataclass
 class Node:
-    """A split (feature, threshold: left if value <= threshold) or a leaf (value, learning rate applied)."""
+    """A split (feature, threshold: left if value <= threshold) or a leaf (value, learning rate applied).
+
+    ``cover`` is the hessian sum of the training rows that reach the node.
+    """
 
     feature: str | None = None
     threshold: float | None = None
@@ -73,6 +72,7 @@ class Node:
     right: int | None = None
     value: float = 0.0
     gain: float = 0.0
+    cover: float = 0.0
 
 
 @dataclass
@@ -114,17 +114,15 @@ class BoostedTrees:
     # --- importance --------------------------------------------------------
     def importance(self, spark: SparkSession) -> DataFrame:
         """(feature, importance_gain): average gain of the feature's splits."""
-        gains: dict[str, list[float]] = {}
-        for tree in self.trees:
-            for n in tree:
-                if n.feature is not None:
-                    gains.setdefault(n.feature, []).append(n.gain)
-        rows = [(f, math.fsum(g) / len(g)) for f, g in sorted(gains.items())]
-        return spark.createDataFrame(rows, "feature string, importance_gain double")
+        return self.importances(spark).select("feature", F.col("gain").alias("importance_gain"))
+
+    def importances(self, spark: SparkSession) -> DataFrame:
+        """Per feature of any split: how many (``weight``), their average and total ``gain`` and ``cover``."""
+        return node_importances(self.nodes(spark))
 
     # --- persistence -------------------------------------------------------
     def nodes(self, spark: SparkSession) -> DataFrame:
-        rows = [(t, k, n.feature, n.threshold, n.left, n.right, n.value, n.gain) for t, tree in enumerate(self.trees) for k, n in enumerate(tree)]
+        rows = [(t, k, n.feature, n.threshold, n.left, n.right, n.value, n.gain, n.cover) for t, tree in enumerate(self.trees) for k, n in enumerate(tree)]
         return spark.createDataFrame(rows, NODE_SCHEMA)
 
     def save(self, spark: SparkSession, path: str) -> str:
@@ -137,10 +135,22 @@ class BoostedTrees:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "BoostedTrees":
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-        trees: dict[int, list[Node]] = {}
-        for r in sorted(spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes").collect(), key=lambda r: (r["tree"], r["node"])):
-            trees.setdefault(r["tree"], []).append(Node(r["feature"], r["threshold"], r["left"], r["right"], r["value"], r["gain"]))
-        return cls(trees=[trees[t] for t in sorted(trees)], **meta)
+        return cls(trees=read_trees(spark, f"{path}/nodes"), **meta)
+
+
+def read_trees(spark: SparkSession, path: str) -> list[list[Node]]:
+    trees: dict[int, list[Node]] = {}
+    for r in sorted(spark.read.schema(NODE_SCHEMA).parquet(path).collect(), key=lambda r: (r["tree"], r["node"])):
+        trees.setdefault(r["tree"], []).append(Node(r["feature"], r["threshold"], r["left"], r["right"], r["value"], r["gain"], r["cover"]))
+    return [trees[t] for t in sorted(trees)]
+
+
+def node_importances(nodes: DataFrame) -> DataFrame:
+    """Weight, average and total gain and cover per feature of a table of nodes."""
+    return nodes.where("feature is not null").groupBy("feature").agg(
+        F.count(F.lit(1)).alias("weight"), F.avg("gain").alias("gain"), F.avg("cover").alias("cover"),
+        F.sum("gain").alias("total_gain"), F.sum("cover").alias("total_cover"),
+    )
 
 
 def _arrays(tree: Sequence[Node], features: Sequence[str]) -> tuple[np.ndarray, ...]:
@@ -163,29 +173,6 @@ def _descend(tree: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
     return value[node]
 
 
-_IF = re.compile(r"\s*(If|Else) \(feature (\d+) (?:<=|>) (\S+)\)")
-
-
-def parse_tree(text: str, features: Sequence[str]) -> list[Node]:
-    """Nodes in depth-first order from a Spark ML tree's debug string (root first, leaves left to right)."""
-    lines = iter(text.splitlines()[1:])
-    nodes: list[Node] = []
-
-    def read(line: str) -> int:
-        at = len(nodes)
-        nodes.append(Node())
-        found = _IF.match(line)
-        if found:
-            nodes[at].feature, nodes[at].threshold = features[int(found[2])], float(found[3])
-            nodes[at].left = read(next(lines))
-            next(lines)  # the Else of this split
-            nodes[at].right = read(next(lines))
-        return at
-
-    read(next(lines))
-    return nodes
-
-
 def regularise(nodes: list[Node], sums: dict[int, tuple[float, float]], params: BoostParams) -> list[Node]:
     """Leaf values, split gains and pruning from the (G, H) of each leaf, numbered left to right.
 
@@ -194,25 +181,24 @@ def regularise(nodes: list[Node], sums: dict[int, tuple[float, float]], params:
     """
     alpha, lam = params.reg_alpha, params.reg_lambda
     leaf = iter(range(len(nodes)))
-    out: list[Node] = []
+
+    def cut(g: float, h: float) -> tuple[float, float, list[Node]]:
+        return g, h, [Node(value=params.learning_rate * leaf_value(g, h, alpha, lam), cover=h)]
 
     def grow(at: int) -> tuple[float, float, list[Node]]:
         n = nodes[at]
         if n.feature is None:
-            g, h = sums.get(next(leaf), (0.0, 0.0))
-            return g, h, [Node(value=params.learning_rate * leaf_value(g, h, alpha, lam))]
+            return cut(*sums.get(next(leaf), (0.0, 0.0)))
         gl, hl, left = grow(n.left)
         gr, hr, right = grow(n.right)
         g, h = gl + gr, hl + hr
         gain = 0.5 * (structure_score(gl, hl, alpha, lam) + structure_score(gr, hr, alpha, lam) - structure_score(g, h, alpha, lam))
         if len(left) == len(right) == 1 and gain < params.gamma:
-            return g, h, [Node(value=params.learning_rate * leaf_value(g, h, alpha, lam))]
-        head = Node(n.feature, n.threshold, 1, 1 + len(left), 0.0, gain)
-        shift = lambda part, by: [Node(x.feature, x.threshold, x.left and x.left + by, x.right and x.right + by, x.value, x.gain) for x in part]
-        return g, h, [head, *shift(left, 1), *shift(right, 1 + len(left))]
+            return cut(g, h)
+        shift = lambda part, by: [Node(x.feature, x.threshold, x.left and x.left + by, x.right and x.right + by, x.value, x.gain, x.cover) for x in part]
+        return g, h, [Node(n.feature, n.threshold, 1, 1 + len(left), 0.0, gain, h), *shift(left, 1), *shift(right, 1 + len(left))]
 
-    out = grow(0)[2]
-    return out
+    return grow(0)[2]
 
 
 def expectile(df: DataFrame, label: str, penalty: float) -> float:
@@ -241,16 +227,6 @@ def expectile(df: DataFrame, label: str, penalty: float) -> float:
         seen.add(got["nh"])
 
 
-def _subsample(rate: float, seed: int) -> Column:
-    if rate >= 1.0:
-        return F.lit(True)
-    return F.pmod(F.xxhash64(F.col(_RK), F.lit(seed)), F.lit(1_000_000)) < round(rate * 1_000_000)
-
-
-def _leaf_number(leaf_col: str) -> Column:
-    return vector_to_array(F.col(leaf_col))[0].cast("int")
-
-
 def _prepared(df: DataFrame, features: Sequence[str], label: str, valid_col: str | None, keep: Sequence[str] = ()) -> DataFrame:
     rk = F.xxhash64(*[F.col(c) for c in list(features) + [label]])
     val = F.col(valid_col).cast("boolean") if valid_col else F.lit(False)
@@ -259,112 +235,204 @@ def _prepared(df: DataFrame, features: Sequence[str], label: str, valid_col: str
     )
 
 
-def _round(state: DataFrame, features: list[str], params: BoostParams, rnd: int, total_weight: float):
-    """Fit the round's tree on the state's predictions: (its pruned nodes, the losses before it, the training weight)."""
+def bin_tree(tree: Sequence[Node], features: Sequence[str], cuts: Sequence[np.ndarray]) -> BinTree:
+    """A tree whose thresholds are among ``cuts``, on bins."""
+    feature, threshold, left, right, value = _arrays(tree, features)
+    split = np.array([0 if f < 0 else np.searchsorted(cuts[f], t) for f, t in zip(feature, threshold)])
+    return BinTree(feature, split, left, right, value)
+
+
+#: A split must gain more than this.
+LEAST_GAIN = 1e-6
+
+
+def _grow(blocks: DataFrame, fresh: list[BinTree], features: list[str], cuts: list[np.ndarray], params: BoostParams, rnd: int, scale: Scale, losses: bool):
+    """Grow the round's tree on the predictions of ``blocks`` and ``fresh``: (its pruned nodes, losses and largest residual before it)."""
     penalty = params.underestimation_penalty
-    y, p = F.col(_Y), F.col(_P)
     chosen = sorted(random.Random(params.seed + rnd).sample(range(len(features)), max(1, round(params.colsample * len(features)))))
-    names = [features[i] for i in chosen]
-    assembler = VectorAssembler(inputCols=names, outputCol="_features")
-    picked = _subsample(params.subsample, params.seed + rnd) & ~F.col(_VAL)
-    train = assembler.transform(state.where(picked)).select("_features", (y - p).alias("_r"), loss_weight(y - p, penalty).alias("_w"))
-    # A weight w is half a hessian; the fraction is of the subsample's weight.
-    fraction = min(0.499999, params.min_child_weight / 2.0 / max(total_weight * params.subsample, 1e-12))
-    rf = RandomForestRegressor(
-        featuresCol="_features", labelCol="_r", weightCol="_w", predictionCol="_tp", leafCol="_leaf", numTrees=1,
-        bootstrap=False, subsamplingRate=1.0, featureSubsetStrategy="all", maxDepth=params.max_depth,
-        maxBins=params.max_bins, minInstancesPerNode=1, minWeightFractionPerNode=fraction, seed=params.seed + rnd,
-    )
-    tree = rf.fit(train)
-    loss = weighted_sq_error(y, p, penalty)
-    sums = (
-        tree.transform(assembler.transform(state))
-        .groupBy(_leaf_number("_leaf").alias("leaf"))
-        .agg(
-            F.sum(F.when(picked, gradient(y, p, penalty))).alias("G"), F.sum(F.when(picked, hessian(y, p, penalty))).alias("H"),
-            F.sum(F.when(~F.col(_VAL), loss)).alias("lt"), F.count(F.when(~F.col(_VAL), 1)).alias("nt"),
-            F.sum(F.when(F.col(_VAL), loss)).alias("lv"), F.count(F.when(F.col(_VAL), 1)).alias("nv"),
-            F.sum(F.when(~F.col(_VAL), loss_weight(y - p, penalty))).alias("w"),
+    context = blocks.sparkSession
+    reducers = max(1, min(int(context.conf.get("spark.sql.shuffle.partitions")), context.sparkContext.defaultParallelism))
+    hess = lambda n, pos: 2.0 * (n - pos) + 2.0 * penalty * pos
+    nodes, sums, splits, before = [Node()], [(0.0, 0.0)], [-1], None
+    level, depth = [0], 0
+    while level and (depth < params.max_depth or depth == 0):
+        slots = np.full(len(nodes), -1)
+        slots[level] = np.arange(len(level))
+        own = np.arange(len(nodes))
+        at = {f: i for i, f in enumerate(features)}
+        tree = BinTree(
+            np.array([-1 if n.feature is None else at[n.feature] for n in nodes]), np.array(splits),
+            np.array([k if n.left is None else n.left for k, n in zip(own, nodes)]), np.array([k if n.right is None else n.right for k, n in zip(own, nodes)]), np.zeros(len(nodes)),
         )
-        .collect()
-    )
-    pruned = regularise(parse_tree(tree.trees[0].toDebugString, names), {r["leaf"]: (r["G"] or 0.0, r["H"] or 0.0) for r in sums}, params)
-    return pruned, _losses(sums), math.fsum(r["w"] or 0.0 for r in sums)
+        task = Pass(fresh, tree, slots, len(level), chosen, params.subsample, params.seed + rnd, penalty, scale, losses and depth == 0, params.max_bins, min(reducers, len(chosen) * -(-len(level) // 32)))
+        found = run_pass(blocks, task, params.reg_alpha, params.reg_lambda, params.min_child_weight)
+        loss = {r["slot"]: r["gl"] / scale.loss for r in found if r["kind"] == NODE_LOSS}
+        before = before or next((r for r in found if r["kind"] == LOSS), None)
+        best: dict[int, dict] = {}
+        for r in found:
+            if r["kind"] == SPLIT:
+                best.setdefault(r["slot"], r)
+        following = []
+        for k, node in enumerate(level):
+            r = best.get(k)
+            if r is None:
+                continue
+            if depth == 0:
+                sums[node] = (r["g"] / scale.gradient, hess(r["n"], r["pos"]))
+            # No split below this node can gain more than the node's loss.
+            if not r["gain"] > LEAST_GAIN or loss.get(k, 0.0) < params.gamma or depth >= params.max_depth:
+                continue
+            f = chosen[r["feature"]]
+            nodes[node].feature, nodes[node].threshold, splits[node] = features[f], float(cuts[f][r["bin"]]), r["bin"]
+            nodes[node].left, nodes[node].right = len(nodes), len(nodes) + 1
+            sides = ((r["gl"], r["nl"], r["pl"]), (r["g"] - r["gl"], r["n"] - r["nl"], r["pos"] - r["pl"]))
+            for g, n, pos in sides:
+                if hess(n, pos) >= 2.0 * params.min_child_weight and n > 1:
+                    following.append(len(nodes))
+                nodes.append(Node())
+                sums.append((g / scale.gradient, hess(n, pos)))
+                splits.append(-1)
+        level, depth = following, depth + 1
+    leaves: list[tuple[float, float]] = []
+
+    def visit(at: int) -> None:
+        if nodes[at].feature is None:
+            leaves.append(sums[at])
+        else:
+            visit(nodes[at].left)
+            visit(nodes[at].right)
+
+    visit(0)
+    return regularise(nodes, dict(enumerate(leaves)), params), before
 
 
-def _losses(sums) -> dict:
-    out = {}
-    for side, total, count in (("train", "lt", "nt"), ("validation", "lv", "nv")):
-        n = sum(r[count] for r in sums)
-        out[side] = math.fsum(r[total] or 0.0 for r in sums) / n if n else None
-    return out
+def _losses(row: dict | None, scale: Scale) -> dict:
+    """Mean losses of both sides from a pass's sums."""
+    sides = {"train": ("gl", "nl"), "validation": ("g", "n")}
+    return {side: row[total] / scale.loss / row[count] if row and row[count] else None for side, (total, count) in sides.items()}
 
 
-def _measure(state: DataFrame, penalty: float) -> tuple[dict, float]:
-    """Losses of the state's predictions, and the training rows' loss weight."""
-    y, p = F.col(_Y), F.col(_P)
-    loss, train = weighted_sq_error(y, p, penalty), ~F.col(_VAL)
-    row = state.agg(
-        F.sum(F.when(train, loss)).alias("lt"), F.count(F.when(train, 1)).alias("nt"),
-        F.sum(F.when(~train, loss)).alias("lv"), F.count(F.when(~train, 1)).alias("nv"),
-        F.sum(F.when(train, loss_weight(y - p, penalty))).alias("w"),
-    ).first()
-    return _losses([row]), row["w"] or 0.0
+@dataclass
+class RunFolder:
+    """Checkpoints of a training run in a shared folder: written state, nodes and manifest of the last one."""
+
+    spark: SparkSession
+    path: str
+    settings: dict
+
+    def save(self, state: DataFrame | None, model: BoostedTrees, progress: dict) -> DataFrame | None:
+        """Write a checkpoint, then delete the ones before; a checkpoint counts once its manifest is there.
+
+        Without ``state`` the model has no tree that the last one lacks, and only the manifest is new.
+        """
+        name = f"{self.path}/trees-{model.n_trees:06d}"
+        if state is not None:
+            state.write.mode("overwrite").parquet(f"{name}/state")
+            model.nodes(self.spark).coalesce(1).write.mode("overwrite").parquet(f"{name}/nodes")
+        manifest = {"settings": self.settings, "progress": progress, "features": model.features, "base_score": model.base_score, "history": model.history}
+        line = self.spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1)
+        line.write.mode("overwrite").text(f"{name}/manifest-{len(model.history):06d}")
+        for old in list_folders(self.spark, self.path):
+            if old < name.rsplit("/", 1)[1]:
+                delete_path(self.spark, f"{self.path}/{old}")
+        return None if state is None else self.spark.read.schema(state.schema).parquet(f"{name}/state")
+
+    def latest(self) -> tuple[DataFrame, BoostedTrees, dict] | None:
+        """State, model and progress of the last whole checkpoint, if any."""
+        for name in sorted(list_folders(self.spark, self.path), reverse=True):
+            at = f"{self.path}/{name}"
+            written = [f for f in list_folders(self.spark, at) if f.startswith("manifest")]
+            # A manifest whose write was cut short has no line.
+            lines = (line[0] for f in sorted(written, reverse=True) for line in self.spark.read.schema("value string").text(f"{at}/{f}").collect())
+            line = next(lines, None)
+            if line is None:
+                continue
+            manifest = json.loads(line)
+            if manifest["settings"] != self.settings:
+                raise ValueError(f"{self.path} holds a run of other settings")
+            model = BoostedTrees(manifest["features"], manifest["base_score"], read_trees(self.spark, f"{at}/nodes"), -1, manifest["history"])
+            return self.spark.read.parquet(f"{at}/state"), model, manifest["progress"]
+        return None
+
+
+def _settings(params: BoostParams, label: str, features: list[str], **more) -> dict:
+    """What a run folder must have been written with; the number of rounds may change."""
+    kept = {k: v for k, v in asdict(params).items() if k not in ("n_rounds", "checkpoint_every")}
+    return json.loads(json.dumps({**kept, "label": label, "features": features, **more}))
 
 
 def boost_state(
-    state: DataFrame,
+    blocks: DataFrame,
     model: BoostedTrees,
+    cuts: list[np.ndarray],
     params: BoostParams,
     n_rounds: int,
     early_stopping: bool,
-    tables: StateTables,
-) -> BoostedTrees:
-    """Add up to ``n_rounds`` trees to ``model`` from a written state with its predictions in ``_p``."""
-    start = model.n_trees
-    best, best_round, stopped = math.inf, None, False
-    # Predictions of the current state; a state is let go once the next one is filled.
-    state = state.persist()
-    held = [state]
+    write,
+    progress: dict | None = None,
+) -> tuple[BoostedTrees, DataFrame]:
+    """Add trees to ``model`` up to ``n_rounds`` more on written blocks that hold its predictions.
+
+    ``write(blocks, model, progress)`` writes a state and returns it read back;
+    without blocks only the progress is new. Returns the model and the last written state.
+    """
+    penalty = params.underestimation_penalty
+    end = model.n_trees + n_rounds
+    n, top = measure(blocks)
+    # Trees of the resumed run whose losses no pass has measured yet.
+    pending = bool(progress) and model.n_trees > len(model.history)
+    progress = dict(progress or {"top": top, "best": None, "best_round": None, "stopped": False})
+    fresh: list[BinTree] = []
+    blocks = blocks.persist()
+
+    def close(rnd: int, losses: dict) -> bool:
+        """Record the losses after round ``rnd``; whether to stop there."""
+        model.history.append({"round": rnd, **losses})
+        log.info("round %d train=%s validation=%s", rnd, losses["train"], losses["validation"])
+        if losses["validation"] is None:
+            return False
+        if progress["best"] is None or losses["validation"] < progress["best"] - 1e-12:
+            progress["best"], progress["best_round"] = losses["validation"], rnd
+        return early_stopping and rnd - progress["best_round"] >= params.early_stopping_rounds
+
+    def settle() -> None:
+        """Write the state with the trees since the last one."""
+        nonlocal blocks, fresh
+        if not fresh:
+            write(None, model, progress)
+            return
+        new = write(advance(blocks, fresh), model, progress)
+        blocks.unpersist()
+        blocks, fresh = new.persist(), []
+
     try:
-        _, weight = _measure(state, params.underestimation_penalty)
-
-        def close(rnd: int, losses: dict) -> bool:
-            """Record the losses after round ``rnd``; whether to stop there."""
-            nonlocal best, best_round
-            model.history.append({"round": rnd, **losses})
-            log.info("round %d train=%s validation=%s", rnd, losses["train"], losses["validation"])
-            if losses["validation"] is None:
-                return False
-            if losses["validation"] < best - 1e-12:
-                best, best_round = losses["validation"], rnd
-            return early_stopping and rnd - best_round >= params.early_stopping_rounds
-
-        for t in range(n_rounds):
-            rnd = start + t
-            pruned, before, weight = _round(state, model.features, params, rnd, weight)
-            while len(held) > 1:
-                held.pop(0).unpersist()
-            # This round's sums also tell how the round before ended.
-            if t and close(rnd - 1, before):
-                stopped = True
+        while model.n_trees < end and not progress["stopped"]:
+            rnd = model.n_trees
+            scale = Scale.of(n, progress["top"], penalty)
+            pruned, before = _grow(blocks, fresh, model.features, cuts, params, rnd, scale, True)
+            # This round's first pass also tells how the round before ended.
+            if pending and close(rnd - 1, _losses(before, scale)):
+                progress["stopped"], pending = True, False
                 break
             model.trees.append(pruned)
-            columns = state.columns
-            state = model.predict(state, _P, start=len(model.trees) - 1, base=_P).select(*columns)
-            if (t + 1) % max(1, params.checkpoint_every) == 0:
-                state = tables.write(state)
-            state = state.persist()
-            held.append(state)
-        if n_rounds and not stopped:
-            close(start + n_rounds - 1, _measure(state, params.underestimation_penalty)[0])
+            fresh.append(bin_tree(pruned, model.features, cuts))
+            progress["top"] = (before["gain"] if before else 0.0) + max(abs(x.value) for x in pruned)
+            pending = True
+            if len(fresh) >= max(1, params.checkpoint_every):
+                settle()
+        if pending:
+            scale = Scale.of(n, progress["top"], penalty)
+            task = Pass(fresh, None, np.empty(0, int), 0, [], 1.0, 0, penalty, scale, True, params.max_bins, 1)
+            found = run_pass(blocks, task, 0.0, 0.0, 0.0)
+            progress["stopped"] = close(model.n_trees - 1, _losses(found[0] if found else None, scale))
+        if fresh or pending:
+            settle()
     finally:
-        for old in held:
-            old.unpersist()
-    if early_stopping and best_round is not None:
-        model.trees = model.trees[: best_round + 1]
+        blocks.unpersist()
+    if early_stopping and progress["best_round"] is not None:
+        model.trees = model.trees[: progress["best_round"] + 1]
     model.best_iteration = model.n_trees - 1
-    return model
+    return model, blocks
 
 
 def train_boosted(
@@ -377,25 +445,47 @@ def train_boosted(
     init_model: BoostedTrees | None = None,
     base_score: float | None = None,
     early_stopping: bool = True,
+    folder: str | None = None,
 ) -> BoostedTrees:
     """Boost ``n_rounds`` trees (default ``params.n_rounds``) on the rows with
     ``valid_col`` false, tracking the asymmetric weighted MSE on both sides and
     stopping after ``early_stopping_rounds`` rounds without validation gain;
     without validation rows all trees stay. With ``init_model`` boosting
     continues from its predictions, whatever learning rate it was trained with.
+
+    With ``folder`` (shared storage, one run's own) the run checkpoints there and
+    resumes from the last checkpoint: ``n_rounds`` then counts the run's trees in
+    all, and ``df`` is not read again. Other settings must be the same.
     """
     features = list(features)
     n_rounds = params.n_rounds if n_rounds is None else n_rounds
-    with StateTables(df.sparkSession, "boost_state") as tables:
-        state = tables.write(_prepared(df, features, label, valid_col))
-        model = BoostedTrees(features, 0.0)
-        if init_model is not None:
-            model = BoostedTrees(features, init_model.base_score, list(init_model.trees), -1, list(init_model.history))
-            state = tables.write(init_model.predict(state, _P))
+    spark = df.sparkSession
+    run = RunFolder(spark, folder.rstrip("/"), _settings(params, label, features, early_stopping=early_stopping)) if folder else None
+    found = run.latest() if run else None
+    with StateTables(spark, "boost_state") as tables:
+        if found:
+            blocks, model, progress = found
+            cuts = [np.array(c) for c in progress["cuts"]]
+            n_rounds = max(0, n_rounds - (model.n_trees - progress["start"]))
         else:
-            model.base_score = expectile(state.where(~F.col(_VAL)), _Y, params.underestimation_penalty) if base_score is None else float(base_score)
-            state = state.withColumn(_P, F.lit(model.base_score))
-        return boost_state(state, model, params, n_rounds, early_stopping, tables)
+            rows = tables.write(_prepared(df, features, label, valid_col))
+            cuts, progress = quantile_cuts(rows.where(~F.col(_VAL)), features, params.max_bins), None
+            if init_model is not None:
+                model = BoostedTrees(features, init_model.base_score, list(init_model.trees), -1, list(init_model.history))
+                rows = init_model.predict(rows, _P)
+            else:
+                base = expectile(rows.where(~F.col(_VAL)), _Y, params.underestimation_penalty) if base_score is None else float(base_score)
+                model = BoostedTrees(features, base)
+                rows = rows.withColumn(_P, F.lit(model.base_score))
+            blocks = tables.write(to_blocks(rows, features, cuts))
+        start = progress["start"] if found else model.n_trees
+
+        def write(state: DataFrame, model: BoostedTrees, progress: dict) -> DataFrame:
+            if run is None:
+                return None if state is None else tables.write(state)
+            return run.save(state, model, {**progress, "start": start, "cuts": [c.tolist() for c in cuts]})
+
+        return boost_state(blocks, model, cuts, params, n_rounds, early_stopping, write, progress)[0]
 
 
 def warm_start_batches(df: DataFrame, features: Sequence[str], label: str, n_batches: int, key: str | None = None) -> DataFrame:
@@ -417,31 +507,52 @@ def train_warm_start(
     n_batches: int = 10,
     init_model: BoostedTrees | None = None,
     key: str | None = None,
+    folder: str | None = None,
 ) -> BoostedTrees:
     """Incremental training: ``n_batches`` hash batches of the training rows, each
     adding ``rounds_per_batch`` trees to the model so far (no early stopping).
 
     The batches are a table partitioned by batch, so each reads its own folder.
     Validation rows keep a running prediction that only new trees are added to;
-    a batch's rows meet each earlier tree once, when their turn comes.
+    a batch's rows meet each earlier tree once, when their turn comes. With
+    ``folder``, the batches and a checkpoint after each one stay there and a
+    repeated call goes on with the next batch.
     """
     features = list(features)
     spark = df.sparkSession
+    run = RunFolder(spark, f"{folder.rstrip('/')}/run", _settings(params, label, features, batches=n_batches)) if folder else None
+    found = run.latest() if run else None
     with StateTables(spark, "warm_start") as tables, StateTables(spark, "warm_start_validation") as kept, StateTables(spark, "boost_state") as steps:
-        dealt = warm_start_batches(df, features, label, n_batches, key)
-        rows = _prepared(dealt, features, label, valid_col, keep=("_batch",))
-        # Validation rows are a folder of their own, -1.
-        tagged = tables.write(rows.withColumn("_batch", F.when(F.col(_VAL), -1).otherwise(F.col("_batch"))), partition_by="_batch")
-        if init_model is None:
-            base = expectile(tagged.where("_batch >= 0"), _Y, params.underestimation_penalty)
-            model = BoostedTrees(features, base)
+        if found:
+            validation, model, progress = found
+            cuts, start, done = [np.array(c) for c in progress["cuts"]], progress["start"], progress["batches"]
+            tagged = spark.read.parquet(f"{folder.rstrip('/')}/batches")
         else:
-            model = BoostedTrees(features, init_model.base_score, list(init_model.trees), -1, list(init_model.history))
-        validation = kept.write(model.predict(tagged.where("_batch = -1").drop("_batch"), _P))
-        for b in range(n_batches):
+            dealt = warm_start_batches(df, features, label, n_batches, key)
+            rows = _prepared(dealt, features, label, valid_col, keep=("_batch",))
+            # Validation rows are a folder of their own, -1.
+            rows = rows.withColumn("_batch", F.when(F.col(_VAL), -1).otherwise(F.col("_batch")))
+            if run:
+                rows.write.mode("overwrite").partitionBy("_batch").parquet(f"{folder.rstrip('/')}/batches")
+                tagged = spark.read.schema(rows.schema).parquet(f"{folder.rstrip('/')}/batches")
+            else:
+                tagged = tables.write(rows, partition_by="_batch")
+            training = tagged.where("_batch >= 0")
+            cuts = quantile_cuts(training, features, params.max_bins)
+            if init_model is None:
+                model = BoostedTrees(features, expectile(training, _Y, params.underestimation_penalty))
+            else:
+                model = BoostedTrees(features, init_model.base_score, list(init_model.trees), -1, list(init_model.history))
+            start, done = model.n_trees, 0
+            validation = kept.write(to_blocks(model.predict(tagged.where("_batch = -1").drop("_batch"), _P), features, cuts))
+        for b in range(done, n_batches):
             scored = model.predict(tagged.where(F.col("_batch") == b).drop("_batch"), _P)
-            before = model.n_trees
-            state = steps.write(scored.unionByName(validation))
-            model = boost_state(state, model, params, params.rounds_per_batch, False, steps)
-            validation = kept.write(model.predict(validation, _P, start=before, base=_P))
+            state = steps.write(to_blocks(scored, features, cuts).unionByName(validation))
+            model, state = boost_state(state, model, cuts, params, params.rounds_per_batch, False, lambda new, *_: None if new is None else steps.write(new))
+            # Blocks hold rows of one side only.
+            validation = advance(state, [], only_validation=True)
+            if run:
+                validation = run.save(validation, model, {"cuts": [c.tolist() for c in cuts], "start": start, "batches": b + 1})
+            else:
+                validation = kept.write(validation)
     return model

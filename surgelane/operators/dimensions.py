@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,64 +12,11 @@ from surgelane.config import DO_LOC, PU_LOC
 
 log = logging.getLogger(__name__)
 
+
 class DuplicateDimensionKey(ValueError):
     """A lookup key occurs twice: a left join would silently multiply rows."""
 
 
-@dataclass(frozen=True)
-class DimensionProfile:
-    rows: int
-    max_dup: int
-    bytes: int = 0
-
-    @property
-    def unique(self) -> bool:
-        return self.max_dup <= 1
-
-
-def profile_dimension(dim: DataFrame, keys: Sequence[str]) -> DimensionProfile:
-    """One distributed job: row count and the largest key multiplicity.
-
-    Keys with a NULL part are ignored for the duplicate check (they can never
-    match an equi-join).
-    """
-    not_null = F.lit(True)
-    for k in keys:
-        not_null = not_null & F.col(k).isNotNull()
-    row = (
-        dim.groupBy(*[F.col(k) for k in keys])
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.max(not_null.cast("int")).alias("_nn"),
-            F.sum(_row_bytes(dim)).alias("_b"),
-        )
-        .agg(
-            F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
-            F.coalesce(F.max(F.when(F.col("_nn") == 1, F.col("_n"))), F.lit(0)).alias("max_dup"),
-            F.coalesce(F.sum("_b"), F.lit(0)).alias("bytes"),
-        )
-        .first()
-    )
-    return DimensionProfile(int(row["rows"]), int(row["max_dup"]), int(row["bytes"]))
-
-
-def _row_bytes(df: DataFrame):
-    """Approximate in-memory row size: fixed widths plus actual string lengths."""
-    size = F.lit(16)  # row header
-    for f in df.schema.fields:
-        if f.dataType.typeName() in ("string", "binary"):
-            size = size + F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) + F.lit(8)
-        else:
-            size = size + F.lit(_FIXED_WIDTH.get(f.dataType.typeName(), 16))
-    return size
-
-
-_FIXED_WIDTH = {
-    "boolean": 1, "byte": 1, "short": 2, "integer": 4, "float": 4, "date": 4,
-    "long": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8, "decimal": 16,
-}
-
-
 def unique_side(dim: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``dim`` with the promise, checked while the query runs, that no key repeats.
 
@@ -132,11 +78,12 @@ def _zone_side(zones: DataFrame, prefix: str, key: str) -> DataFrame:
     )
 
 
-def join_zones(trips: DataFrame, zones: DataFrame) -> DataFrame:
+def join_zones(trips: DataFrame, zones: DataFrame, dropoff_zones: DataFrame | None = None) -> DataFrame:
     """Add pickup_/dropoff_ borough, zone and service_zone (left joins)."""
+    sides = (zones, zones if dropoff_zones is None else dropoff_zones)
     out = trips
-    for prefix, loc, key in (("pickup", PU_LOC, "_pu_zone_id"), ("dropoff", DO_LOC, "_do_zone_id")):
-        out = join_dimension(out, _zone_side(zones, prefix, key), left_on=[loc], right_on=[key], how="left")
+    for prefix, loc, key, side in (("pickup", PU_LOC, "_pu_zone_id", sides[0]), ("dropoff", DO_LOC, "_do_zone_id", sides[1])):
+        out = join_dimension(out, _zone_side(side, prefix, key), left_on=[loc], right_on=[key], how="left")
     return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,13 +63,15 @@ def prepare_features(
     target: str = TARGET,
     exclude: Sequence[str] = (),
     keep: Sequence[str] = (),
+    medians: Callable[[Sequence[str]], dict[str, float | None]] | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Model-ready columns: available features as double, NULL/NaN filled with
     the column median, remaining NaN/+-inf set to 0; target NULL/NaN/+-inf set
     to the target median. Returns (DataFrame[keep..., features..., target], names).
 
     The needed columns are written once; a NULL/NaN/inf count, the medians of
-    the columns that need one, and the result all read that table.
+    the columns that need one, and the result all read that table. ``medians``
+    gives those of some columns from elsewhere (sketches) instead of exactly.
     """
     if target not in df.columns:
         raise ValueError(f"no target {target!r} among {sorted(df.columns)}")
@@ -84,7 +86,8 @@ def prepare_features(
     ).first()
     need = [c for c in names if (counts[c] or 0) > 0]
     target_bad = (counts["__target__"] or 0) > 0
-    medians = column_medians(df, need + ([target] if target_bad else []))
+    wanted = need + ([target] if target_bad else [])
+    medians = medians(wanted) if medians else column_medians(df, wanted)
 
     cols = []
     for c in names:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surgelane.config import DROPOFF_TS, PICKUP_TS, QUALITY, QualityRules
@@ -29,6 +29,22 @@ def quality_condition(df: DataFrame, rules: QualityRules = QUALITY):
     )
 
 
+def rule_violations(df: DataFrame, rules: QualityRules = QUALITY) -> dict[str, Column]:
+    """Per rule, whether a raw row breaks it; a row may break several."""
+    year = [ts_literal(df, PICKUP_TS, f"{y}-01-01 00:00:00") for y in (rules.year, rules.year + 1)]
+    pickup, pax = F.col(PICKUP_TS), F.col("passenger_count")
+    unless = lambda kept: ~F.coalesce(kept, F.lit(False))
+    return {
+        "null_pickup": pickup.isNull(),
+        "null_dropoff": F.col(DROPOFF_TS).isNull(),
+        "other_year": unless((pickup >= year[0]) & (pickup < year[1])),
+        "bad_distance": unless(F.col("trip_distance").between(rules.min_distance, rules.max_distance)),
+        "bad_fare": unless(F.col("fare_amount").between(rules.min_fare, rules.max_fare)),
+        "bad_passengers": unless(pax.isNull() | pax.between(rules.min_passengers, rules.max_passengers)),
+        "bad_total": unless(F.col("total_amount") > 0),
+    }
+
+
 def apply_quality_filters(df: DataFrame, rules: QualityRules = QUALITY) -> DataFrame:
     """Keep plausible trips: 2024 pickups, bounded distance/fare/passengers, total > 0.
 

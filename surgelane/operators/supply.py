@@ -18,14 +18,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surgelane.config import FEATURES, PICKUP_TS, PU_LOC, FeatureRules
+from surgelane.functions.common import epoch_seconds
 from surgelane.operators.demand import (
     TRIPS_AT_SECOND,
+    UNIX_TS,
     attach_by_second,
     demand_col,
     demand_profile,
 )
+from surgelane.sinks.tables import write_bucketed
 
 SUPPLY_KEYS = (PU_LOC, "hour", "day_of_week")
+#: Stands for a missing location in the keys of bucketed tables; ids are never negative.
+NO_LOCATION = -1
 SUPPLY_COLUMNS = ("supply_baseline", "supply_stddev", "sample_count")
 
 
@@ -190,6 +195,18 @@ def supply_from_profile(prof: DataFrame, keys: Sequence[str] = SUPPLY_KEYS) -> D
     )
 
 
+def baseline_state(prof: DataFrame, keys: Sequence[str] = SUPPLY_KEYS, date_col: str = "pickup_date") -> DataFrame:
+    """Mergeable baseline: count, sum and square sum of demand_60min per key and pickup date, from collapsed rows."""
+    terms = weighted_stats(F.col(demand_col(60)), F.col(TRIPS_AT_SECOND))
+    return prof.groupBy(*keys, date_col).agg(*aliased(terms))
+
+
+def supply_from_state(state: DataFrame, keys: Sequence[str] = SUPPLY_KEYS) -> DataFrame:
+    """Baseline table from the sums of all dates in the state; equal to ``supply_from_profile`` over their trips."""
+    sums = state.where("_n > 0").groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("_n", "_sx", "_sxx")])
+    return sums.select(*keys, *aliased(finish_stats()))
+
+
 def _weighted_terms() -> dict[str, Column]:
     """Row terms whose sums give count, sum and square sum of demand_60min."""
     n = F.col(TRIPS_AT_SECOND)
@@ -201,6 +218,19 @@ def _weighted_terms() -> dict[str, Column]:
     }
 
 
+def attach_bucketed(trips: DataFrame, profile: DataFrame, columns: Sequence[str], table: str, path: str, buckets: int | None = None) -> DataFrame:
+    """``attach_by_second`` over a table of trips kept in buckets of (location, second).
+
+    The trips are written once by that key; the join reads them bucket by bucket
+    in order, and only the collapsed profile is shuffled, whichever features are
+    attached, as often as wanted. A missing location is a key of its own.
+    """
+    key = F.coalesce(F.col(PU_LOC).cast("long"), F.lit(NO_LOCATION)).alias("_loc_key")
+    stored = write_bucketed(trips.select("*", key, epoch_seconds(PICKUP_TS).alias(UNIX_TS)), table, ["_loc_key", UNIX_TS], path, buckets)
+    right = profile.select(key, F.col(UNIX_TS), *columns).hint("merge")
+    return stored.join(right, ["_loc_key", UNIX_TS]).select(*trips.columns, UNIX_TS, *columns)
+
+
 def surge_features(
     trips: DataFrame,
     rules: FeatureRules = FEATURES,

@@ -10,14 +10,8 @@ from surgelane.config import PICKUP_TS, WEATHER_CONDITIONS, WEATHER_DEFAULTS
 from surgelane.functions.common import flag
 from surgelane.functions.weather import classify_condition
 from surgelane.operators.dimensions import join_dimension
+from surgelane.sources.files import WEATHER_COLUMNS
 
-WEATHER_COLUMNS = (
-    "temperature_f",
-    "precipitation_in",
-    "wind_speed_mph",
-    "visibility_miles",
-    "weather_condition",
-)
 
 
 def _spine_columns(hour_ts):
@@ -80,14 +74,14 @@ def integrate_weather(
     """Left join hourly weather on (pickup_date = date, hour = hour), one-hot the
     condition, then fill hours without weather with the defaults.
 
-    The weather table is a dimension keyed by (date, hour): its key uniqueness
-    and size are checked before it is broadcast. ``date`` is cast to DATE so a
+    The weather table is a dimension keyed by (date, hour), unique in the plan;
+    Spark broadcasts it by its own threshold. ``date`` is cast to DATE so a
     timestamp-typed weather file still joins.
     """
     dim = weather.select(
         F.col("date").cast("date").alias("_w_date"),
         F.col("hour").cast("int").alias("_w_hour"),
-        *[F.col(c) for c in WEATHER_COLUMNS],
+        *[F.col(c) for c in WEATHER_COLUMNS if c not in ("date", "hour")],
     )
     joined = join_dimension(trips, dim, left_on=[date_col, hour_col], right_on=["_w_date", "_w_hour"])
     return weather_onehot(joined).fillna(WEATHER_DEFAULTS)

@@ -14,6 +14,7 @@ from dataclasses import replace
 from pyspark.sql import SparkSession
 
 from surgelane.config import BOOST
+from surgelane.operators.boost import BoostedTrees
 from surgelane.plans.etl import run_etl
 from surgelane.plans.features import run_features
 from surgelane.plans.model import save_artifacts, train_surge_model
@@ -55,6 +56,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, str]:
             result = train_surge_model(
                 feats, key=args.key, params=params, incremental=args.incremental,
                 exclude=tuple(args.exclude.split(",")) if args.exclude else (),
+                init_model=BoostedTrees.load(spark, f"{args.init_model}/model") if args.init_model else None,
+                folder=args.run_dir,
             )
             done[phase] = save_artifacts(spark, result, args.model_dir)
         log.info("phase %s -> %s", phase, done[phase])
@@ -79,8 +82,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--date-from", dest="date_from", default=None,
                    help="features for pickups from this date (partition-pruned; other dates of the table stay)")
     p.add_argument("--date-to", dest="date_to", default=None, help="features for pickups up to this date")
-    p.add_argument("--baseline", default=None, help="supply baseline table of the whole input, for a date range (computed if absent)")
+    p.add_argument("--baseline", default=None, help="supply baseline state by date: kept up to date by each run, read by date ranges instead of the whole table")
     p.add_argument("--rounds", type=int, default=None, help="boosting rounds (default from config)")
+    p.add_argument("--init-model", dest="init_model", default=None, help="model folder of an earlier run, boosted further")
+    p.add_argument("--run-dir", dest="run_dir", default=None, help="shared folder of this training run's checkpoints; a repeated run goes on from the last one")
     p.add_argument("--learning-rate", dest="learning_rate", type=float, default=None)
     return p
 

@@ -12,6 +12,7 @@ from surgelane.config import BOOST, MODEL_FEATURES, TARGET, BoostParams
 from surgelane.operators.boost import BoostedTrees, train_boosted, train_warm_start
 from surgelane.operators.evaluate import evaluate_predictions, top_k
 from surgelane.operators.prep import prepare_features, train_val_split
+from surgelane.session import materialise
 
 
 @dataclass
@@ -44,14 +45,19 @@ def train_surge_model(
     exclude=(),
     incremental: bool = False,
     n_batches: int = 10,
+    init_model: BoostedTrees | None = None,
+    folder: str | None = None,
 ) -> TrainingResult:
+    """Prepare, split, train and evaluate; ``init_model`` is boosted further, ``folder`` makes the run resumable."""
     keep = [key] if key else []
     prepared, names = prepare_features(features_df, MODEL_FEATURES, TARGET, exclude=exclude, keep=keep)
     split = train_val_split(prepared, key=key, fraction=params.validation_fraction, seed=params.seed)
+    # Written: a filter on the hash of all columns would make the optimizer derive constraints for each of them.
+    split = materialise(split, "split")
     if incremental:
-        model = train_warm_start(split, names, TARGET, "is_validation", params, n_batches)
+        model = train_warm_start(split, names, TARGET, "is_validation", params, n_batches, init_model, key, folder)
     else:
-        model = train_boosted(split, names, TARGET, "is_validation", params)
+        model = train_boosted(split, names, TARGET, "is_validation", params, init_model=init_model, folder=folder)
     return evaluate_model(model, split.filter("is_validation"))
 
 

@@ -581,3 +581,145 @@ from means order by score desc, feature limit 20"""
 SQL["warm_start_batches"] = MODEL_CTE + """
 select trip_id, cast(cast(('0x' || substr(md5('batch:' || cast(trip_id as varchar)), 1, 8)) as bigint) % 4 as integer) as batch
 from prepared"""
+
+
+# --- several rounds over features of two values ------------------------------------
+
+BINARY = ("is_weekend", "is_rush_hour", "congestion_indicator", "weather_is_rain")
+
+
+def rounds_sql(conditions) -> str:
+    """CTEs best0.. (f, gain, cover, left_value, ...) and pred0.. (predictions before each round) for one split a round.
+
+    ``conditions`` are the training rows of each round.
+    """
+    out = [f"""pred0 as (
+  select trip_id, is_validation, surge_multiplier, {", ".join(f'"{c}" as f{i}' for i, c in enumerate(BINARY))}, m as p from prepared, base
+)"""]
+    for k, rows in enumerate(conditions):
+        long = " union all ".join(f"select {i} as f, f{i} as v, r from (select *, surge_multiplier - p as r from pred{k} where {rows})" for i in range(len(BINARY)))
+        picked = "case b.f " + " ".join(f"when {i} then f{i}" for i in range(len(BINARY))) + " end"
+        out.append(f"""sides{k} as (
+  select f, sum(case when v = 0 then (case when r > 0 then -4.0 * r else -2.0 * r end) end) as gl, sum(case when v = 0 then (case when r > 0 then 4.0::double else 2.0::double end) end) as hl,
+         sum(case when v = 1 then (case when r > 0 then -4.0 * r else -2.0 * r end) end) as gr, sum(case when v = 1 then (case when r > 0 then 4.0::double else 2.0::double end) end) as hr
+  from ({long}) group by f
+),
+best{k} as (
+  select f, hl, hl + hr as cover, 0.3 * -sign(gl) * greatest(abs(gl) - 0.1, 0) / (hl + 1.0) as left_value,
+         0.3 * -sign(gr) * greatest(abs(gr) - 0.1, 0) / (hr + 1.0) as right_value,
+         0.5 * (pow(greatest(abs(gl) - 0.1, 0), 2) / (hl + 1.0) + pow(greatest(abs(gr) - 0.1, 0), 2) / (hr + 1.0)
+                - pow(greatest(abs(gl + gr) - 0.1, 0), 2) / (hl + hr + 1.0)) as gain
+  from sides{k} where gl is not null and gr is not null order by gain desc, f limit 1
+),
+pred{k + 1} as (
+  select pred{k}.* replace (p + case when {picked} = 0 then b.left_value else b.right_value end as p) from pred{k}, best{k} b
+)""")
+    names = "case f " + " ".join(f"when {i} then '{c}'" for i, c in enumerate(BINARY)) + " end"
+    out.append("splits as (" + " union all ".join(f"select {k} as tree, {names} as feature, gain, cover, left_value, right_value, hl as left_cover from best{k}" for k in range(len(conditions))) + ")")
+    return ",\n" + ",\n".join(out)
+
+
+ROUNDS = MODEL_CTE.rstrip() + EXPECTILE + rounds_sql(["not is_validation"] * 4)
+SPLITS = f"""
+select tree, feature, 0.5::double as threshold, {r('gain')} as gain, {r('cover')} as cover, {r('left_value')} as left_value,
+       {r('right_value')} as right_value, {r('left_cover')} as left_cover
+from splits"""
+
+SQL["boost_rounds"] = SQL["train_resume"] = ROUNDS + SPLITS
+
+BATCH = "cast(('0x' || substr(md5('batch:' || cast(trip_id as varchar)), 1, 8)) as bigint) % 2"
+
+SQL["warm_start_rounds"] = MODEL_CTE.rstrip() + EXPECTILE + rounds_sql([f"not is_validation and {BATCH} = {k // 2}" for k in range(4)]) + SPLITS
+
+SQL["model_importance"] = ROUNDS + f"""
+select feature, count(*) as weight, {r('avg(gain)')} as gain, {r('avg(cover)')} as cover, {r('sum(gain)')} as total_gain, {r('sum(cover)')} as total_cover
+from splits group by feature"""
+
+SQL["model_metrics"] = ROUNDS + f""",
+scored4 as (select surge_multiplier, p as prediction, is_validation from pred4)
+select {SQL["eval_metrics"].split("select ")[-1].split("from scored")[0].rstrip()},
+       4 as n_trees, {len(BINARY)} as n_features, (select feature from splits group by feature order by round(avg(gain), 4) desc, feature limit 1) as top_feature,
+       (select count(distinct feature) from splits) as n_top
+from scored4 where is_validation"""
+
+SQL["importance_file"] = ROUNDS + f"""
+select cast(n.i as integer) as ordinal, n.name as feature, {r('avg(s.gain)')} as importance_gain
+from (values {", ".join(f"({i}, '{c}')" for i, c in enumerate(BINARY))}) n(i, name) left join splits s on s.feature = n.name
+group by n.i, n.name"""
+
+SQL["scan_drift"] = with_(TRIPS) + f"""
+select trip_id, {r('cast(passenger_count as double)')} as passenger_count, cast("PULocationID" as bigint) as "PULocationID",
+       {r('trip_distance')} as trip_distance, case when trip_id % 3 > 0 then {r('total_amount / 4.0::double')} end as airport_fee
+from trips"""
+
+SQL["stream_demand"] = SQL["rolling_demand"]
+
+SQL["stream_zones"] = with_(TRIPS, CLEAN, TEMPORAL, ZONES) + """,
+versions as (
+  select "LocationID", "Borough", "Zone", timestamp '2024-01-01 00:00:00' as valid_from,
+         case when "LocationID" % 2 = 0 then timestamp '2024-01-15 12:00:00' end as valid_to from zones
+  union all
+  select "LocationID", upper("Borough"), 'New ' || "Zone", timestamp '2024-01-15 12:00:00', null from zones where "LocationID" % 2 = 0
+)
+select t.trip_id, t.pickup_date, t.hour, p."Borough" as pickup_borough, p."Zone" as pickup_zone, d."Borough" as dropoff_borough, d."Zone" as dropoff_zone
+from temporal t
+left join versions p on t."PULocationID" = p."LocationID" and t.tpep_pickup_datetime >= p.valid_from
+  and (p.valid_to is null or t.tpep_pickup_datetime < p.valid_to)
+left join versions d on t."DOLocationID" = d."LocationID" and t.tpep_pickup_datetime >= d.valid_from
+  and (d.valid_to is null or t.tpep_pickup_datetime < d.valid_to)"""
+
+
+# --- counts of the running write, buckets, cells, sketches ---------------------------
+
+SQL["joinback_bucketed"] = with_(TRIPS, CLEAN, TEMPORAL, DEMAND, SUPPLY, SURGED) + f"""
+select trip_id, demand_60min, {r('supply_baseline')} as supply_baseline, {r('surge_multiplier')} as surge_multiplier from surged"""
+
+SQL["etl_counts"] = with_(TRIPS, CLEAN, TEMPORAL, ZONES) + """
+select count(*) as n_raw,
+       count(*) filter (tpep_pickup_datetime is null) as null_pickup, count(*) filter (tpep_dropoff_datetime is null) as null_dropoff,
+       count(*) filter (coalesce(year(tpep_pickup_datetime), 0) <> 2024) as other_year,
+       count(*) filter (not coalesce(trip_distance between 0.1 and 200.0, false)) as bad_distance,
+       count(*) filter (not coalesce(fare_amount between 1.0 and 5000.0, false)) as bad_fare,
+       count(*) filter (not (passenger_count is null or passenger_count between 1 and 9)) as bad_passengers,
+       count(*) filter (not coalesce(total_amount > 0, false)) as bad_total,
+       (select count(*) from zones) as n_zones, (select count(*) from temporal) as n_kept,
+       (select count(*) from temporal where passenger_count is null) as null_passenger_count,
+       (select count(*) from temporal t left join zones z on t."PULocationID" = z."LocationID" where z."Borough" is null) as null_pickup_borough,
+       (select count(*) from temporal t left join zones z on t."DOLocationID" = z."LocationID" where z."Borough" is null) as null_dropoff_borough,
+       true as bytes_agree
+from trips"""
+
+SQL["quantile_ranks"] = with_(TRIPS, CLEAN, TEMPORAL) + """,
+days as (select * from temporal where pickup_date between date '2024-01-08' and date '2024-01-14'),
+counted as (
+  select 'trip_distance' as "column", count(trip_distance) as n from days union all
+  select 'fare_amount', count(fare_amount) from days union all
+  select 'trip_duration_minutes', count(trip_duration_minutes) from days
+)
+select "column", p, n, true as within_bound from counted, (select unnest([0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]::double[]) as p)
+where n > 0"""
+
+
+def path_sql(x: str, y: str, levels: int) -> str:
+    return f"array_to_string(list_transform(range({levels} - 1, -1, -1), lambda b: ((({y}) >> b) & 1) * 2 + ((({x}) >> b) & 1)), '')"
+
+
+SQL["coordinate_cells"] = with_(TRIPS, CLEAN, TEMPORAL) + f""",
+placed as (
+  select trip_id, {plat('"PULocationID"')} + trip_id % 1000 / 20000.0::double as plat, {plon('"PULocationID"')} as plon,
+         {plat('"DOLocationID"')} + trip_id % 1000 / 20000.0::double as dlat, {plon('"DOLocationID"')} as dlon
+  from temporal
+),
+cells as (
+  select *, cast(floor((plon + 180.0::double) / 360.0::double * 65536.0::double) as bigint) as x,
+         cast(floor((plat + 90.0::double) / 180.0::double * 65536.0::double) as bigint) as y
+  from placed
+),
+around as (
+  select trip_id, string_agg({path_sql('x + i', 'y + j', 16)}, ',' order by {path_sql('x + i', 'y + j', 16)}) as around
+  from cells, (select unnest([-1, 0, 1]) as i), (select unnest([-1, 0, 1]) as j) where i <> 0 or j <> 0
+  group by trip_id
+)
+select trip_id, {hexcell('plat', 'plon')} as h3_pickup_index, {hexcell('dlat', 'dlon')} as h3_dropoff_index,
+       {path_sql('x', 'y', 16)} as fine_path, {path_sql('x >> 4', 'y >> 4', 12)} as coarse_path, true as contained, around
+from cells join around using (trip_id)"""

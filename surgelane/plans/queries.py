@@ -5,6 +5,8 @@ Inputs are always the driver's tables (through the test-data adapter), whole.
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -12,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surgelane.config import BOOST, FEATURE_TABLE_COLUMNS, FEATURES, MODEL_FEATURES, RAW_COLUMNS, TARGET
+from surgelane.functions.cells import cell, cell_contains, cell_neighbours, cell_parent, cell_path
 from surgelane.functions.common import round_doubles, round_half_up
 from surgelane.functions.loss import gradient, hessian
-from surgelane.operators.boost import BoostedTrees, expectile, train_boosted, train_warm_start, warm_start_batches
+from surgelane.operators.boost import BoostedTrees, expectile, node_importances, train_boosted, train_warm_start, warm_start_batches
 from surgelane.operators.demand import rolling_demand
 from surgelane.operators.derived import add_derived_features
 from surgelane.operators.dimensions import add_placeholder_zones, join_zones
@@ -23,16 +26,19 @@ from surgelane.operators.prep import prepare_features, train_val_split
 from surgelane.operators.quality import apply_quality_filters, contract_report
 from surgelane.operators.scoring import add_bands, linear_surge, scenario_report, score_scenarios
 from surgelane.operators.spatial import add_pseudo_coordinates, add_spatial_index
-from surgelane.operators.supply import supply_from_profile, surge_features, surge_profile
+from surgelane.operators.quantiles import RANK_ERROR, daily_sketches, merged_quantiles
+from surgelane.operators.supply import attach_bucketed, supply_from_profile, surge_features, surge_profile
 from surgelane.operators.weather import hour_spine, integrate_weather
-from surgelane.plans.etl import etl_transform
-from surgelane.plans.features import feature_table, feature_transform, run_features
+from surgelane.plans.etl import etl_counts, etl_transform, observed_etl
+from surgelane.plans.features import feature_table, feature_transform, run_features, write_baseline_state
 from surgelane.plans.flagship import clean_trips, saturation_zones, surge_by_borough_hour
-from surgelane.plans.model import evaluate_model, load_importance, save_artifacts
+from surgelane.plans.model import evaluate_model, load_feature_names, load_importance, save_artifacts
 from surgelane.session import delete_on_exit, scratch_path
-from surgelane.sinks.tables import output_directories, read_feature_table, write_feature_table, write_partitioned, write_weather_table
-from surgelane.sources.files import read_partitioned, read_weather, read_zone_csv, tolerant_select
+from surgelane.sinks.tables import output_directories, output_size, read_feature_table, stored_bytes, write_feature_table, write_partitioned, write_weather_table
+from surgelane.sources.files import read_parquet, read_partitioned, read_weather, read_zone_csv, tolerant_select
 from surgelane.sources.testdata import events_to_trips, trips_from_events, weather_from_events, zones_from_tables
+from surgelane.streaming.demand import start_demand_stream, stream_rolling_demand
+from surgelane.streaming.dimensions import add_zone_version, start_versioned_stream
 from surgelane.streaming.etl import start_etl_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +74,26 @@ def q_scan_prune(spark, sf_dir):
     return tolerant_select(_trips(spark, sf_dir), RAW_COLUMNS)
 
 
+@query("scan_drift")
+def q_scan_drift(spark, sf_dir):
+    """Three files whose types and columns drift, read as one table.
+
+    Passenger counts are int, long and double; location ids int and long; the
+    last two files have a fee, under two spellings.
+    """
+    trips = _trips(spark, sf_dir).withColumn("airport_fee", F.col("total_amount") / 4.0)
+    path = _scratch(spark, "drift")
+    kinds = (("int", "int", None), ("long", "long", "airport_fee"), ("double", "int", "Airport_fee"))
+    for k, (passengers, location, fee) in enumerate(kinds):
+        part = trips.where(F.col("trip_id") % 3 == k).withColumns(
+            {"passenger_count": F.col("passenger_count").cast(passengers), "PULocationID": F.col("PULocationID").cast(location)}
+        )
+        part = part.withColumnRenamed("airport_fee", fee) if fee else part.drop("airport_fee")
+        part.coalesce(1).write.parquet(f"{path}/month{k}")
+    columns = ("trip_id", "passenger_count", "PULocationID", "trip_distance", "airport_fee")
+    return round_doubles(read_parquet(spark, [f"{path}/month{k}/*.parquet" for k in range(3)], columns))
+
+
 @query("quality_filter")
 def q_quality_filter(spark, sf_dir):
     return apply_quality_filters(_trips(spark, sf_dir))
@@ -110,6 +136,17 @@ def q_zone_placeholder(spark, sf_dir):
     )
 
 
+@query("etl_counts")
+def q_etl_counts(spark, sf_dir):
+    """What the ETL write counted while it ran, and the bytes that it left."""
+    out, seen = observed_etl(_trips(spark, sf_dir), zones_from_tables(spark, sf_dir))
+    path = write_partitioned(out, _scratch(spark, "observed"))
+    counts = etl_counts(seen)
+    files = output_size(spark.read.parquet(path)).first()
+    row = {**counts, "bytes_agree": stored_bytes(spark, path) >= files["bytes"] > 0}
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} {'boolean' if c == 'bytes_agree' else 'long'}" for c in row))
+
+
 # --- demand / supply / surge -------------------------------------------------
 
 @query("rolling_demand")
@@ -141,6 +178,16 @@ def q_surge(spark, sf_dir):
     )
 
 
+@query("joinback_bucketed")
+def q_joinback_bucketed(spark, sf_dir):
+    """Surge joined to trips kept in buckets of (location, second)."""
+    trips = _clean(spark, sf_dir)
+    table = f"trips_by_second_{uuid.uuid4().hex[:12]}"
+    columns = ["demand_60min", "supply_baseline", "surge_multiplier"]
+    out = attach_bucketed(trips, surge_profile(trips), columns, table, _scratch(spark, "trips_by_second"))
+    return round_doubles(out.select("trip_id", *columns))
+
+
 @query("demand_zscore")
 def q_demand_zscore(spark, sf_dir):
     out = surge_features(_clean(spark, sf_dir))
@@ -232,6 +279,26 @@ def q_hex_bin(spark, sf_dir):
     )
 
 
+def _with_coordinates(spark, sf_dir):
+    """Trips with coordinates: the pseudo coordinates of their zones, moved a little by trip."""
+    trips = add_pseudo_coordinates(_clean(spark, sf_dir))
+    moved = F.col("trip_id") % 1000 / 20_000.0
+    return trips.withColumns({c: F.col(c) + moved for c in ("pickup_latitude", "dropoff_latitude")})
+
+
+@query("coordinate_cells")
+def q_coordinate_cells(spark, sf_dir):
+    """Hexagons and hierarchical cells of trips that carry coordinates."""
+    out = add_spatial_index(_with_coordinates(spark, sf_dir))
+    fine = cell(F.col("pickup_latitude"), F.col("pickup_longitude"), 16)
+    out = out.withColumn("fine", fine).withColumn("coarse", cell_parent(F.col("fine"), 4))
+    return out.select(
+        "trip_id", "h3_pickup_index", "h3_dropoff_index", cell_path(F.col("fine")).alias("fine_path"), cell_path(F.col("coarse")).alias("coarse_path"),
+        cell_contains(F.col("coarse"), F.col("fine")).alias("contained"),
+        F.array_join(F.transform(cell_neighbours(F.col("fine"), 16), cell_path), ",").alias("around"),
+    )
+
+
 @query("feature_table")
 def q_feature_table(spark, sf_dir):
     return round_doubles(feature_table(_clean(spark, sf_dir), _weather(spark, sf_dir)))
@@ -269,8 +336,10 @@ RANGE = ("2024-01-08", "2024-01-14")
 
 @query("features_range")
 def q_features_range(spark, sf_dir):
-    """A date range run from the written processed table; equals a full run's rows of those dates."""
-    path = run_features(spark, _processed_table(spark, sf_dir), _weather(spark, sf_dir), _scratch(spark, "features_range"), *RANGE)
+    """A date range run from the written processed table and the baseline state of an earlier run; equals a full run's rows of those dates."""
+    processed = _processed_table(spark, sf_dir)
+    state = write_baseline_state(spark, processed, _scratch(spark, "baseline_state"))
+    path = run_features(spark, processed, _weather(spark, sf_dir), _scratch(spark, "features_range"), *RANGE, baseline_path=state)
     return round_doubles(read_feature_table(spark, path))
 
 
@@ -308,6 +377,27 @@ def q_median_fill(spark, sf_dir):
     return round_doubles(prepared.select("trip_id", "passenger_count"))
 
 
+QUANTILES = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
+
+
+@query("quantile_ranks")
+def q_quantile_ranks(spark, sf_dir):
+    """Quantiles of a range of days from written daily sketches, held against the exact ranks of the values."""
+    columns = ["trip_distance", "fare_amount", "trip_duration_minutes"]
+    trips = _clean(spark, sf_dir)
+    path = _scratch(spark, "daily_sketches")
+    daily_sketches(trips, columns).write.partitionBy("date").parquet(path)
+    found = merged_quantiles(spark.read.parquet(path), QUANTILES, *RANGE)
+    days = trips.where(F.col("pickup_date").between(*(F.lit(d).cast("date") for d in RANGE)))
+    values = days.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in columns])))
+    ranks = values.join(F.broadcast(found), "column").groupBy("column", "p", "n").agg(
+        F.count(F.when(F.col("v") < F.col("value"), 1)).alias("below"), F.count(F.when(F.col("v") <= F.col("value"), 1)).alias("upto")
+    )
+    slack = F.col("n") * RANK_ERROR + 1
+    good = (F.col("below") - slack <= F.col("p") * F.col("n")) & (F.col("p") * F.col("n") <= F.col("upto") + slack)
+    return ranks.select("column", "p", "n", good.alias("within_bound"))
+
+
 @query("feature_matrix")
 def q_feature_matrix(spark, sf_dir):
     prepared, names = _prepared(spark, sf_dir)
@@ -420,6 +510,77 @@ def q_warm_start_batches(spark, sf_dir):
     return warm_start_batches(prepared, names, TARGET, WARM_BATCHES, key="trip_id").select("trip_id", F.col("_batch").alias("batch"))
 
 
+# Features of two values each, so that SQL can follow every split.
+BINARY = ("is_weekend", "is_rush_hour", "congestion_indicator", "weather_is_rain")
+BINARY_PARAMS = replace(BOOST, n_rounds=4, learning_rate=0.3, max_depth=1, subsample=1.0, colsample=1.0, gamma=0.0, min_child_weight=0.0, rounds_per_batch=2, checkpoint_every=2)
+
+
+def _binary_model(spark, sf_dir, folder: str | None = None, stop: int | None = None) -> BoostedTrees:
+    """Four rounds of one split each over the binary features; with ``stop``, left after so many and resumed."""
+    prepared, _ = _prepared(spark, sf_dir)
+    for rounds in [stop, None] if stop else [None]:
+        model = train_boosted(prepared, BINARY, TARGET, "is_validation", BINARY_PARAMS, n_rounds=rounds, early_stopping=False, folder=folder)
+    return model
+
+
+def _splits(nodes: DataFrame) -> DataFrame:
+    """One row per tree of one split: feature, threshold, gain, cover and the values of both sides."""
+    at = lambda node, c: F.max(F.when(F.col("node") == node, F.col(c)))
+    return round_doubles(nodes.groupBy("tree").agg(
+        at(0, "feature").alias("feature"), at(0, "threshold").alias("threshold"), at(0, "gain").alias("gain"), at(0, "cover").alias("cover"),
+        at(1, "value").alias("left_value"), at(2, "value").alias("right_value"), at(1, "cover").alias("left_cover"),
+    ))
+
+
+@query("boost_rounds")
+def q_boost_rounds(spark, sf_dir):
+    return _splits(_binary_model(spark, sf_dir).nodes(spark))
+
+
+@query("train_resume")
+def q_train_resume(spark, sf_dir):
+    """The same run stopped after its third round and gone on with from the written state."""
+    return _splits(_binary_model(spark, sf_dir, folder=_scratch(spark, "training_run"), stop=3).nodes(spark))
+
+
+@query("model_importance")
+def q_model_importance(spark, sf_dir):
+    """Weight, average and total gain and cover per feature, from the written nodes."""
+    path = _scratch(spark, "importance_model")
+    _binary_model(spark, sf_dir).save(spark, path)
+    return round_doubles(node_importances(spark.read.parquet(f"{path}/nodes")))
+
+
+def _binary_artifacts(spark, sf_dir) -> str:
+    prepared, _ = _prepared(spark, sf_dir)
+    model = _binary_model(spark, sf_dir)
+    return save_artifacts(spark, evaluate_model(model, prepared.filter("is_validation")), _scratch(spark, "bundle"))
+
+
+@query("model_metrics")
+def q_model_metrics(spark, sf_dir):
+    """The metrics that the artifact bundle of a small model holds."""
+    metrics = spark.read.json(f"{_binary_artifacts(spark, sf_dir)}/metrics")
+    named = ("rmse", "mae", "r2_score", "mape_percent", "directional_accuracy_percent", "under_estimation_rate_percent", "asymmetric_wmse")
+    top = F.col("feature_importance_top20")
+    return round_doubles(metrics.select(*named, "n_rows", "n_trees", "n_features", top[0]["feature"].alias("top_feature"), F.size(top).cast("long").alias("n_top")))
+
+
+@query("importance_file")
+def q_importance_file(spark, sf_dir):
+    """The importance CSV joined to the ordered feature names of the bundle."""
+    path = _binary_artifacts(spark, sf_dir)
+    gains = spark.read.option("header", "true").schema("feature string, importance_gain double").csv(f"{path}/feature_importance")
+    return round_doubles(load_feature_names(spark, path).join(gains, "feature", "left").select("ordinal", "feature", "importance_gain"))
+
+
+@query("warm_start_rounds")
+def q_warm_start_rounds(spark, sf_dir):
+    """Two batches of two rounds each over the binary features."""
+    prepared, _ = _prepared(spark, sf_dir)
+    return _splits(train_warm_start(prepared, BINARY, TARGET, "is_validation", BINARY_PARAMS, 2, key="trip_id").nodes(spark))
+
+
 # Where a session's full training run over a folder was saved: one run serves all queries on its model.
 _SAVED: dict[tuple[str, str], str] = {}
 
@@ -483,6 +644,52 @@ def q_stream_etl(spark, sf_dir):
     )
 
 
+# Days of a file of the replayed stream.
+REPLAY_DAYS = 6
+
+
+@query("stream_demand")
+def q_stream_demand(spark, sf_dir):
+    """Rolling demand of the events replayed as a stream, a file of some days at a time, each with a heartbeat at its end."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    path, beats = _scratch(spark, "stream_events"), _scratch(spark, "stream_beats")
+    first, last = events.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    while first <= last:
+        end = first + dt.timedelta(days=REPLAY_DAYS)
+        events.where((F.to_date("ts") >= F.lit(first)) & (F.to_date("ts") < F.lit(end))).coalesce(1).write.mode("append").parquet(path)
+        # The last heartbeat is a day later: it closes the whole stream.
+        beat = end + dt.timedelta(days=1) if end > last else end
+        spark.createDataFrame([(dt.datetime(beat.year, beat.month, beat.day),)], "ts timestamp_ntz").coalesce(1).write.mode("append").parquet(beats)
+        first = end
+    read = lambda schema, at: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(at)
+    trips = clean_trips(events_to_trips(read(events.schema, path)))
+    demand = stream_rolling_demand(trips, ["trip_id"], heartbeats=read("ts timestamp_ntz", beats))
+    out = _scratch(spark, "stream_demand")
+    start_demand_stream(demand, out, _scratch(spark, "stream_demand_ckpt")).awaitTermination()
+    return spark.read.parquet(out).select("trip_id", "pickup_unix_ts", "demand_15min", "demand_30min", "demand_60min")
+
+
+# When the second version of the zones starts to hold.
+ZONES_CHANGE = "2024-01-15 12:00:00"
+
+
+@query("stream_zones")
+def q_stream_zones(spark, sf_dir):
+    """Trips of a stream named by the zones that held at their pickup; every other zone changes its name once."""
+    zones = zones_from_tables(spark, sf_dir)
+    versions = add_zone_version(zones, "2024-01-01 00:00:00", _scratch(spark, "zone_versions"))
+    changed = zones.where(F.col("LocationID") % 2 == 0).withColumns(
+        {"Zone": F.concat(F.lit("New "), F.col("Zone")), "Borough": F.upper("Borough")}
+    )
+    add_zone_version(changed, ZONES_CHANGE, versions)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    trips = clean_trips(events_to_trips(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)))
+    out = _scratch(spark, "stream_zones")
+    start_versioned_stream(trips, versions, out, _scratch(spark, "stream_zones_ckpt")).awaitTermination()
+    back = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    return back.select("trip_id", "pickup_date", "hour", "pickup_borough", "pickup_zone", "dropoff_borough", "dropoff_zone")
+
+
 @query("scenario_report")
 def q_scenario_report(spark, sf_dir):
     scen = _features_with_id(spark, sf_dir).select(

@@ -134,6 +134,13 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return bool(fs.delete(jpath, True))
 
 
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the sub-folders of a folder on the cluster's file system; none if there is no such folder."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(jpath) if s.isDirectory()) if fs.exists(jpath) else []
+
+
 class StateTables:
     """Versions of an iterative state written as Parquet tables in the shared
     checkpoint folder. Writing a new version truncates the lineage (the new

@@ -23,8 +23,8 @@ from surgelane.plans.etl import etl_transform
 def stream_etl_transform(stream: DataFrame, zones: DataFrame | None) -> DataFrame:
     """Quality filter, calendar features and zone lookup on a streaming frame.
 
-    The zone dimension is static: it is profiled (unique keys, size) once at
-    plan time and broadcast into every micro-batch.
+    The zone dimension is static here; each micro-batch checks its keys in the
+    plan. ``streaming.dimensions`` joins one that changes.
     """
     return etl_transform(stream, zones)
 

@@ -11,7 +11,6 @@ from surgelane.operators.dimensions import (
     add_placeholder_zones,
     enrich_zones,
     join_zones,
-    profile_dimension,
 )
 from surgelane.operators.quality import apply_quality_filters
 from surgelane.operators.temporal import extract_temporal_features
@@ -131,11 +130,6 @@ def test_placeholder_zones(sample_trips):
     ]
 
 
-def test_dimension_profile_measures_size(sample_zones):
-    prof = profile_dimension(sample_zones, ["LocationID"])
-    assert prof.rows == 4 and prof.max_dup == 1 and prof.bytes > 4 * 16
-
-
 def test_contract_report(sample_trips):
     from surgelane.operators.quality import contract_report
 
@@ -144,3 +138,51 @@ def test_contract_report(sample_trips):
     assert (r.min_pickup_year, r.max_pickup_year) == (2024, 2024)
     assert r.min_trip_distance >= 0.1 and r.max_fare_amount <= 5000 and r.min_total_amount > 0
     assert 0 <= r.min_hour and r.max_hour <= 23 and 0.5 < r.min_duration and r.max_duration < 360
+
+
+def drift(spark, path, k, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/f{k}")
+
+
+def test_drifting_files_are_read_whole(spark, tmp_path):
+    """int, long, double; a column that only some files have; two spellings; dates and timestamps."""
+    from surgelane.sources.files import read_parquet
+
+    path = str(tmp_path / "drift files")
+    drift(spark, path, 1, [(1, 2, "2024-01-01")], "id int, n int, day string")
+    drift(spark, path, 2, [(2**40, 3, 0.5)], "id long, n long, Fee double")
+    drift(spark, path, 3, [(3, 2.5, 1.5)], "id int, n double, fee double")
+    drift(spark, path, 4, [(4, None, None)], "id int, n int, fee float")
+    df = read_parquet(spark, f"{path}/*/*.parquet", None)
+    assert dict(df.dtypes) == {"id": "bigint", "n": "double", "day": "string", "Fee": "double"}
+    assert sorted(tuple(r) for r in df.select("id", "n", "day", "Fee").collect()) == [
+        (1, 2.0, "2024-01-01", None), (3, 2.5, None, 1.5), (4, None, None, None), (2**40, 3.0, None, 0.5)
+    ]
+    # Pruned and filtered in each scan.
+    plan = plan_text(df.select("n").where("n > 2"))
+    assert "day" not in "".join(ln for ln in plan.splitlines() if "ReadSchema" in ln) and plan.count("PushedFilters: [IsNotNull(n), GreaterThan(n,2") == 3
+
+
+def test_like_files_are_one_scan(spark, tmp_path):
+    from surgelane.sources.files import read_parquet
+
+    path = str(tmp_path)
+    for k in range(6):
+        drift(spark, path, k, [(k, 1 if k % 2 else 1.5)], "id int, n int" if k % 2 else "id int, n double")
+    df = read_parquet(spark, f"{path}/*", None)
+    assert sorted(r.n for r in df.collect()) == [1.0] * 3 + [1.5] * 3
+    assert plan_text(df, "simple").count("FileScan") == 2
+
+
+def test_widest_types():
+    from pyspark.sql import types as T
+
+    from surgelane.sources.files import reconcile, widest
+
+    assert widest(T.IntegerType(), T.LongType()) == T.LongType() and widest(T.LongType(), T.FloatType()) == T.DoubleType()
+    assert widest(T.DecimalType(10, 2), T.IntegerType()) == T.DecimalType(12, 2)
+    assert widest(T.DecimalType(38, 10), T.LongType()) == T.DecimalType(38, 10)
+    assert widest(T.DateType(), T.TimestampNTZType()) == T.TimestampNTZType() and widest(T.NullType(), T.DateType()) == T.DateType()
+    assert widest(T.TimestampType(), T.DateType()) == T.TimestampType() and widest(T.StringType(), T.IntegerType()) == T.StringType()
+    with pytest.raises(ValueError, match="column a"):
+        reconcile([T.StructType([T.StructField("a", T.ArrayType(T.IntegerType()))]), T.StructType([T.StructField("A", T.StringType())])])

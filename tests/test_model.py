@@ -270,3 +270,162 @@ def test_exclude_leaky_features(feature_df):
     prepared, names = prepare_features(feature_df, exclude=("demand_60min", "supply_baseline"))
     assert "demand_60min" not in names and "supply_baseline" not in names and len(names) == 30
     assert "demand_60min" not in prepared.columns and TARGET in prepared.columns
+
+
+# --- growth against a plain implementation, repeats and resumed runs ---------------
+
+def plain_boosting(x, y, params, rounds, base):
+    """Trees as nested (feature, threshold, left, right, gain) or leaf values, by trying every split."""
+    pen, lam, alpha = params.underestimation_penalty, params.reg_lambda, params.reg_alpha
+    p, trees = np.full(len(y), base), []
+
+    def score(g, h):
+        return max(abs(g) - alpha, 0.0) ** 2 / (h + lam)
+
+    for _ in range(rounds):
+        r = y - p
+        g, h = np.where(r > 0, -2 * pen * r, -2 * r), np.where(r > 0, 2 * pen, 2.0)
+
+        def grow(rows, depth):
+            G, H = g[rows].sum(), h[rows].sum()
+            leaf = params.learning_rate * leaf_value(G, H, alpha, lam)
+            best = (1e-6, None, None)
+            for f in range(x.shape[1]) if depth < params.max_depth else ():
+                values = np.unique(x[:, f])
+                for t in (values[:-1] + values[1:]) / 2:
+                    left = rows[x[rows, f] <= t]
+                    right = rows[x[rows, f] > t]
+                    if min(h[left].sum(), h[right].sum()) < max(params.min_child_weight, 1e-9):
+                        continue
+                    gain = 0.5 * (score(g[left].sum(), h[left].sum()) + score(g[right].sum(), h[right].sum()) - score(G, H))
+                    if gain > best[0] + 1e-9:
+                        best = (gain, f, t)
+            if best[1] is None:
+                return leaf
+            sides = [grow(rows[m], depth + 1) for m in (x[rows, best[1]] <= best[2], x[rows, best[1]] > best[2])]
+            if not any(isinstance(s, tuple) for s in sides) and best[0] < params.gamma:
+                return leaf
+            return (best[1], best[2], *sides, best[0])
+
+        def value(node, row):
+            while isinstance(node, tuple):
+                node = node[2] if row[node[0]] <= node[1] else node[3]
+            return node
+
+        tree = grow(np.arange(len(y)), 0)
+        trees.append(tree)
+        p = p + np.array([value(tree, row) for row in x])
+    return trees
+
+
+def nested(tree, at=0):
+    n = tree[at]
+    if n.feature is None:
+        return pytest.approx(n.value, abs=1e-9)
+    return (int(n.feature[1:]), n.threshold, nested(tree, n.left), nested(tree, n.right), pytest.approx(n.gain, rel=1e-6))
+
+
+@pytest.fixture(scope="module")
+def small_table(spark):
+    rng = np.random.default_rng(5)
+    x = np.stack([rng.integers(0, 2, 700), rng.integers(0, 6, 700) / 2, rng.integers(-3, 9, 700)], axis=1).astype(float)
+    y = np.round(1 + x[:, 0] * (x[:, 1] > 1) + 0.3 * np.abs(x[:, 2]) + rng.normal(scale=0.2, size=700), 3)
+    rows = [(i, *map(float, x[i]), float(y[i])) for i in range(700)]
+    return spark.createDataFrame(rows, "id long, x0 double, x1 double, x2 double, y double").repartition(5), x, y
+
+
+@pytest.mark.parametrize("gamma,least", [(0.0, 0.0), (1.5, 40.0)])
+def test_trees_equal_trying_every_split(small_table, gamma, least):
+    df, x, y = small_table
+    params = replace(BOOST, learning_rate=0.3, max_depth=3, subsample=1.0, colsample=1.0, gamma=gamma, min_child_weight=least, checkpoint_every=2)
+    model = train_boosted(df, ["x0", "x1", "x2"], "y", None, params, n_rounds=3)
+    assert model.n_trees == 3
+    for tree, want in zip(model.trees, plain_boosting(x, y, params, 3, model.base_score)):
+        assert want == nested(tree)
+
+
+def test_repeated_and_resumed_runs_grow_the_same_trees(spark, small_table):
+    df, x, _ = small_table
+    params = replace(BOOST, learning_rate=0.3, max_depth=4, checkpoint_every=2, gamma=0.01)
+    train = lambda rows, rounds, folder=None: train_boosted(rows, ["x0", "x1", "x2"], "y", "v", params, n_rounds=rounds, folder=folder)
+    rows = df.withColumn("v", F.col("id") % 4 == 0)
+    whole = train(rows, 7)
+    assert train(rows.repartition(3), 7).trees == whole.trees
+    folder = scratch_path(spark, "resumable")
+    assert train(rows, 3, folder).trees == whole.trees[:3]
+    # A checkpoint whose manifest was never written doesn't count.
+    spark.range(1).write.parquet(f"{folder}/trees-000005/state")
+    resumed = train(rows.where("false"), 7, folder)
+    assert resumed.trees == whole.trees and resumed.history == whole.history and resumed.base_score == whole.base_score
+    # A finished run has nothing more to do.
+    assert train(rows.where("false"), 7, folder).trees == whole.trees
+    with pytest.raises(ValueError, match="other settings"):
+        train_boosted(rows, ["x0", "x1", "x2"], "y", "v", replace(params, max_depth=2), folder=folder)
+
+
+def test_warm_start_goes_on_with_the_next_batch(spark, small_table):
+    df, _, _ = small_table
+    params = replace(FAST, rounds_per_batch=2, gamma=0.0)
+    rows = df.withColumn("v", F.col("id") % 5 == 0)
+    whole = train_warm_start(rows, ["x0", "x1", "x2"], "y", "v", params, 3, key="id")
+    folder = scratch_path(spark, "warm_resumable")
+
+    class Lost(Exception):
+        pass
+
+    from surgelane.operators import boost
+
+    real, seen = boost.boost_state, []
+
+    def dies(*a, **kw):
+        seen.append(1)
+        if len(seen) == 3:
+            raise Lost
+        return real(*a, **kw)
+
+    boost.boost_state = dies
+    try:
+        with pytest.raises(Lost):
+            train_warm_start(rows, ["x0", "x1", "x2"], "y", "v", params, 3, key="id", folder=folder)
+    finally:
+        boost.boost_state = real
+    again = train_warm_start(rows.where("false"), ["x0", "x1", "x2"], "y", "v", params, 3, key="id", folder=folder)
+    assert again.trees == whole.trees and again.history == whole.history
+
+
+def test_late_rounds_search_no_level_below_gamma(spark, small_table):
+    """Once no node's loss reaches gamma a tree is a leaf, and pruning would have left the same."""
+    df, _, _ = small_table
+    params = replace(BOOST, learning_rate=0.5, max_depth=6, gamma=1e9)
+    assert [len(t) for t in train_boosted(df, ["x0", "x1", "x2"], "y", None, params, n_rounds=2).trees] == [1, 1]
+
+
+def test_importances_from_nodes(spark, small_table):
+    df, _, _ = small_table
+    model = train_boosted(df, ["x0", "x1", "x2"], "y", None, replace(FAST, gamma=0.0), n_rounds=3)
+    got = {r.feature: r for r in model.importances(spark).collect()}
+    nodes = [n for tree in model.trees for n in tree]
+    for f, r in got.items():
+        own = [n for n in nodes if n.feature == f]
+        assert r.weight == len(own) and r.gain == pytest.approx(np.mean([n.gain for n in own])) and r.cover == pytest.approx(np.mean([n.cover for n in own]))
+        assert r.total_gain == pytest.approx(sum(n.gain for n in own)) and r.total_cover == pytest.approx(sum(n.cover for n in own))
+    for tree in model.trees:
+        for n in tree:
+            assert n.feature is None or n.cover == pytest.approx(tree[n.left].cover + tree[n.right].cover)
+
+
+def test_missing_and_infinite_values_go_right(spark):
+    rows = [(float(i % 4), 1.0 + (i % 4 > 1)) for i in range(80)] + [(None, 3.0)] * 9 + [(float("nan"), 3.0)] * 9 + [(float("inf"), 3.0)] * 9
+    df = spark.createDataFrame(rows, "x0 double, y double")
+    model = train_boosted(df, ["x0"], "y", None, replace(FAST, subsample=1.0, colsample=1.0, gamma=0.0), n_rounds=3)
+    scored = model.predict(df.where("x0 is null or isnan(x0) or x0 = double('inf')")).select("prediction").distinct().collect()
+    assert len(scored) == 1 and model.history[-1]["train"] < model.history[0]["train"]
+
+
+def test_split_without_a_key_plans(spark, split):
+    """All features and no row key: the split is written before it is filtered."""
+    from surgelane.plans.model import train_surge_model
+
+    df, names = split
+    result = train_surge_model(df.select(*names, TARGET), params=replace(FAST, n_rounds=1))
+    assert result.metrics.first().n_features == 32
