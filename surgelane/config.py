@@ -193,8 +193,8 @@ class BoostParams:
     seed: int = 42
     # Warm-start (incremental) mode.
     rounds_per_batch: int = 10
-    # Cut lineage of the prediction state every N rounds.
-    checkpoint_every: int = 5
+    # Write the prediction state every N rounds.
+    checkpoint_every: int = 10
 
 
 @dataclass(frozen=True)

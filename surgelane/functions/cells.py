@@ -15,24 +15,10 @@ from pyspark.sql import functions as F
 FINEST = 30
 
 
-def _spread(x: Column) -> Column:
-    """Bits of ``x`` (31 at most) moved to the even places."""
-    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
-    return x
-
-
-def _gather(x: Column) -> Column:
-    """Bits at the even places of ``x``, moved together."""
-    x = x.bitwiseAND(F.lit(0x5555555555555555))
-    for shift, mask in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
-        x = x.bitwiseOR(F.shiftright(x, shift)).bitwiseAND(F.lit(mask))
-    return x
-
-
 def _cell(x: Column, y: Column, resolution: int) -> Column:
-    path = _spread(x).bitwiseOR(F.shiftleft(_spread(y), 1))
-    return path.bitwiseOR(F.lit(1 << (2 * resolution)))
+    """Bits of ``x`` and ``y`` interleaved below the leading 1 bit: binary digits read as digits to the base 4."""
+    spread = lambda v: F.conv(F.bin(v), 4, 10).cast("bigint")
+    return F.lit(1 << (2 * resolution)) + spread(x) + spread(y) * 2
 
 
 def cell(lat: Column, lon: Column, resolution: int) -> Column:
@@ -78,8 +64,12 @@ def cell_contains(outer: Column, inner: Column) -> Column:
 def cell_neighbours(c: Column, resolution: int) -> Column:
     """The (up to eight) cells around a cell of ``resolution``, sorted: longitudes wrap, there is none beyond a pole."""
     n = 1 << resolution
-    path = c.bitwiseXOR(F.lit(1 << (2 * resolution)))
-    x, y = _gather(path), _gather(F.shiftright(path, 1))
-    around = [(i, j) for j in (-1, 0, 1) for i in (-1, 0, 1) if i or j]
-    found = [F.when((y + j >= 0) & (y + j < n), _cell(F.pmod(x + i, F.lit(n)), y + j, resolution)) for i, j in around]
-    return F.when(c.isNotNull(), F.array_sort(F.array_except(F.array_distinct(F.array_compact(F.array(*found))), F.array(c))))
+    bits = lambda digits: F.conv(F.concat(F.lit("0"), F.translate(cell_path(c), "0123", digits)), 2, 10).cast("bigint")
+    around = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in (-1, 0, 1) for i in (-1, 0, 1) if i or j]
+    # Bound by the lambdas, so that the place is worked out once.
+    place = F.array(F.struct(bits("0101").alias("x"), bits("0011").alias("y")))
+    found = F.transform(place, lambda p: F.transform(
+        F.filter(F.array(*around), lambda d: (p["y"] + d["j"] >= 0) & (p["y"] + d["j"] < n)),
+        lambda d: _cell(F.pmod(p["x"] + d["i"], F.lit(n)), p["y"] + d["j"], resolution),
+    ))
+    return F.when(c.isNotNull(), F.array_sort(F.array_except(F.array_distinct(F.flatten(found)), F.array(c))))

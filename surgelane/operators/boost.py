@@ -6,8 +6,9 @@ Each round grows one depth-wise tree on gradients and hessians of the loss:
    (``operators.histogram``) that all rounds read, with labels and predictions;
 2. a level of the tree is one job: every task sums gradients per (node, feature,
    bin), reducers add them up per feature and return the best split of each node.
-   A node whose loss is below ``gamma`` cannot hold a split that gains as much
-   and is not searched, so late rounds have few levels;
+   Nodes of few rows are finished by one reducer each in the same job. A node
+   whose loss is below ``gamma`` cannot hold a split that gains as much and is
+   not searched;
 3. splits that gain less than ``gamma`` are pruned bottom-up, and leaves get
    v = -sign(G) max(|G| - alpha, 0) / (H + lambda), times the learning rate.
 
@@ -36,7 +37,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surgelane.config import BOOST, TARGET, BoostParams
-from surgelane.operators.histogram import LOSS, NODE_LOSS, SPLIT, BinTree, Pass, Scale, advance, measure, quantile_cuts, run_pass, to_blocks
+from surgelane.operators.histogram import (
+    GROWN, LOSS, NODE_LOSS, NODE_ROWS, REDUCER_BYTES, SPLIT, BinTree, Pass, Rule, Scale, advance, few_partitions, measure, quantile_cuts, run_pass, to_blocks,
+)
 from surgelane.session import StateTables, delete_path, list_folders, materialise
 
 log = logging.getLogger(__name__)
@@ -246,61 +249,84 @@ def bin_tree(tree: Sequence[Node], features: Sequence[str], cuts: Sequence[np.nd
 LEAST_GAIN = 1e-6
 
 
-def _grow(blocks: DataFrame, fresh: list[BinTree], features: list[str], cuts: list[np.ndarray], params: BoostParams, rnd: int, scale: Scale, losses: bool):
+def _grow(blocks: DataFrame, fresh: list[BinTree], features: list[str], cuts: list[np.ndarray], params: BoostParams, rnd: int, scale: Scale, n_train: int, reducers: int):
     """Grow the round's tree on the predictions of ``blocks`` and ``fresh``: (its pruned nodes, losses and largest residual before it)."""
-    penalty = params.underestimation_penalty
+    penalty, at = params.underestimation_penalty, {f: i for i, f in enumerate(features)}
     chosen = sorted(random.Random(params.seed + rnd).sample(range(len(features)), max(1, round(params.colsample * len(features)))))
-    context = blocks.sparkSession
-    reducers = max(1, min(int(context.conf.get("spark.sql.shuffle.partitions")), context.sparkContext.defaultParallelism))
+    rule = Rule(params.reg_alpha, params.reg_lambda, params.min_child_weight, params.gamma, LEAST_GAIN)
     hess = lambda n, pos: 2.0 * (n - pos) + 2.0 * penalty * pos
-    nodes, sums, splits, before = [Node()], [(0.0, 0.0)], [-1], None
+    nodes, splits, before = [Node()], [-1], None
+    # Gradient sum (whole), rows and rows under-estimated of each node.
+    sums = [(0, n_train, 0)]
     level, depth = [0], 0
-    while level and (depth < params.max_depth or depth == 0):
+
+    def split(node: int, feature: int, last: int) -> None:
+        f = chosen[feature]
+        nodes[node].feature, nodes[node].threshold, splits[node] = features[f], float(cuts[f][last]), last
+
+    def add(parts: tuple) -> int:
+        nodes.append(Node())
+        sums.append(parts)
+        splits.append(-1)
+        return len(nodes) - 1
+
+    while level:
+        level.sort(key=lambda k: sums[k][1] <= NODE_ROWS)
+        m = sum(sums[k][1] > NODE_ROWS for k in level)
         slots = np.full(len(nodes), -1)
         slots[level] = np.arange(len(level))
-        own = np.arange(len(nodes))
-        at = {f: i for i, f in enumerate(features)}
         tree = BinTree(
             np.array([-1 if n.feature is None else at[n.feature] for n in nodes]), np.array(splits),
-            np.array([k if n.left is None else n.left for k, n in zip(own, nodes)]), np.array([k if n.right is None else n.right for k, n in zip(own, nodes)]), np.zeros(len(nodes)),
+            np.array([-1 if n.left is None else n.left for n in nodes]), np.array([-1 if n.right is None else n.right for n in nodes]), np.zeros(len(nodes)),
         )
-        task = Pass(fresh, tree, slots, len(level), chosen, params.subsample, params.seed + rnd, penalty, scale, losses and depth == 0, params.max_bins, min(reducers, len(chosen) * -(-len(level) // 32)))
-        found = run_pass(blocks, task, params.reg_alpha, params.reg_lambda, params.min_child_weight)
+        cells = min(sum(sums[k][1] for k in level[:m]) * len(chosen), m * len(chosen) * params.max_bins * reducers) * 24
+        rows = sum(sums[k][1] for k in level[m:]) * (len(chosen) + 17)
+        parts = max(1, min(reducers, -(-(cells + rows) // REDUCER_BYTES)))
+        task = Pass(fresh, tree, slots, m, len(level) - m, params.max_depth - depth, chosen, params.subsample, params.seed + rnd, penalty, scale, depth == 0, params.max_bins, parts)
+        found = run_pass(blocks, task, rule)
         loss = {r["slot"]: r["gl"] / scale.loss for r in found if r["kind"] == NODE_LOSS}
         before = before or next((r for r in found if r["kind"] == LOSS), None)
         best: dict[int, dict] = {}
+        grown: dict[int, list[dict]] = {}
         for r in found:
             if r["kind"] == SPLIT:
                 best.setdefault(r["slot"], r)
+            elif r["kind"] == GROWN:
+                grown.setdefault(r["slot"], []).append(r)
         following = []
         for k, node in enumerate(level):
+            if k >= m:
+                # A whole subtree; without rows of the subsample, a leaf.
+                part = sorted(grown.get(k, []), key=lambda r: r["gl"])
+                place = [node if i == 0 else add((0, 0, 0)) for i in range(len(part))]
+                for r, p in zip(part, place):
+                    sums[p] = (r["g"], r["n"], r["pos"])
+                    if r["feature"] >= 0:
+                        split(p, r["feature"], r["bin"])
+                        nodes[p].left, nodes[p].right = place[r["nl"]], place[r["pl"]]
+                continue
             r = best.get(k)
             if r is None:
                 continue
-            if depth == 0:
-                sums[node] = (r["g"] / scale.gradient, hess(r["n"], r["pos"]))
+            sums[node] = (r["g"], r["n"], r["pos"])
             # No split below this node can gain more than the node's loss.
             if not r["gain"] > LEAST_GAIN or loss.get(k, 0.0) < params.gamma or depth >= params.max_depth:
                 continue
-            f = chosen[r["feature"]]
-            nodes[node].feature, nodes[node].threshold, splits[node] = features[f], float(cuts[f][r["bin"]]), r["bin"]
-            nodes[node].left, nodes[node].right = len(nodes), len(nodes) + 1
+            split(node, r["feature"], r["bin"])
             sides = ((r["gl"], r["nl"], r["pl"]), (r["g"] - r["gl"], r["n"] - r["nl"], r["pos"] - r["pl"]))
-            for g, n, pos in sides:
-                if hess(n, pos) >= 2.0 * params.min_child_weight and n > 1:
-                    following.append(len(nodes))
-                nodes.append(Node())
-                sums.append((g / scale.gradient, hess(n, pos)))
-                splits.append(-1)
+            nodes[node].left, nodes[node].right = places = [add(side) for side in sides]
+            if depth + 1 < params.max_depth:
+                following += [p for p, (_, n, pos) in zip(places, sides) if hess(n, pos) >= 2.0 * params.min_child_weight and n > 1]
         level, depth = following, depth + 1
     leaves: list[tuple[float, float]] = []
 
-    def visit(at: int) -> None:
-        if nodes[at].feature is None:
-            leaves.append(sums[at])
+    def visit(node: int) -> None:
+        if nodes[node].feature is None:
+            g, n, pos = sums[node]
+            leaves.append((g / scale.gradient, hess(n, pos)))
         else:
-            visit(nodes[at].left)
-            visit(nodes[at].right)
+            visit(nodes[node].left)
+            visit(nodes[node].right)
 
     visit(0)
     return regularise(nodes, dict(enumerate(leaves)), params), before
@@ -378,12 +404,17 @@ def boost_state(
     """
     penalty = params.underestimation_penalty
     end = model.n_trees + n_rounds
-    n, top = measure(blocks)
+    spark = blocks.sparkSession
+    reducers = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    n, n_train, top = measure(blocks)
     # Trees of the resumed run whose losses no pass has measured yet.
     pending = bool(progress) and model.n_trees > len(model.history)
     progress = dict(progress or {"top": top, "best": None, "best_round": None, "stopped": False})
     fresh: list[BinTree] = []
     blocks = blocks.persist()
+    # Passes fix their number of reducers; planning them again at run time only costs.
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
 
     def close(rnd: int, losses: dict) -> bool:
         """Record the losses after round ``rnd``; whether to stop there."""
@@ -409,7 +440,7 @@ def boost_state(
         while model.n_trees < end and not progress["stopped"]:
             rnd = model.n_trees
             scale = Scale.of(n, progress["top"], penalty)
-            pruned, before = _grow(blocks, fresh, model.features, cuts, params, rnd, scale, True)
+            pruned, before = _grow(blocks, fresh, model.features, cuts, params, rnd, scale, n_train, reducers)
             # This round's first pass also tells how the round before ended.
             if pending and close(rnd - 1, _losses(before, scale)):
                 progress["stopped"], pending = True, False
@@ -422,12 +453,13 @@ def boost_state(
                 settle()
         if pending:
             scale = Scale.of(n, progress["top"], penalty)
-            task = Pass(fresh, None, np.empty(0, int), 0, [], 1.0, 0, penalty, scale, True, params.max_bins, 1)
-            found = run_pass(blocks, task, 0.0, 0.0, 0.0)
+            task = Pass(fresh, None, np.empty(0, int), 0, 0, 0, [], 1.0, 0, penalty, scale, True, params.max_bins, 1)
+            found = run_pass(blocks, task, Rule(0.0, 0.0, 0.0, 0.0, 0.0))
             progress["stopped"] = close(model.n_trees - 1, _losses(found[0] if found else None, scale))
         if fresh or pending:
             settle()
     finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
         blocks.unpersist()
     if early_stopping and progress["best_round"] is not None:
         model.trees = model.trees[: progress["best_round"] + 1]
@@ -477,7 +509,7 @@ def train_boosted(
                 base = expectile(rows.where(~F.col(_VAL)), _Y, params.underestimation_penalty) if base_score is None else float(base_score)
                 model = BoostedTrees(features, base)
                 rows = rows.withColumn(_P, F.lit(model.base_score))
-            blocks = tables.write(to_blocks(rows, features, cuts))
+            blocks = tables.write(to_blocks(few_partitions(rows), features, cuts))
         start = progress["start"] if found else model.n_trees
 
         def write(state: DataFrame, model: BoostedTrees, progress: dict) -> DataFrame:
@@ -544,9 +576,10 @@ def train_warm_start(
             else:
                 model = BoostedTrees(features, init_model.base_score, list(init_model.trees), -1, list(init_model.history))
             start, done = model.n_trees, 0
-            validation = kept.write(to_blocks(model.predict(tagged.where("_batch = -1").drop("_batch"), _P), features, cuts))
+            validation = few_partitions(model.predict(tagged.where("_batch = -1").drop("_batch"), _P))
+            validation = kept.write(to_blocks(validation, features, cuts))
         for b in range(done, n_batches):
-            scored = model.predict(tagged.where(F.col("_batch") == b).drop("_batch"), _P)
+            scored = few_partitions(model.predict(tagged.where(F.col("_batch") == b).drop("_batch"), _P))
             state = steps.write(to_blocks(scored, features, cuts).unionByName(validation))
             model, state = boost_state(state, model, cuts, params, params.rounds_per_batch, False, lambda new, *_: None if new is None else steps.write(new))
             # Blocks hold rows of one side only.

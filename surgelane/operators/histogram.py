@@ -5,6 +5,9 @@ one row of binary columns for some thousands of training rows, a byte a feature.
 Every pass of the boosting loop reads this narrow matrix. A pass goes through the
 blocks, sums gradients per (node, feature, bin) inside each task, sends the
 non-empty cells to a reducer of that feature, and returns the best split per node.
+The rows of a node that has no more than ``NODE_ROWS`` go to one reducer instead,
+which grows the rest of its subtree by the same rule, so small nodes cost no
+further passes; larger ones, whatever their number, are never gathered.
 
 Gradients and losses are summed as whole numbers (fixed point, scaled by what the
 largest residual and the number of rows allow), so sums do not depend on the
@@ -21,15 +24,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Training rows of a block.
 BLOCK_ROWS = 1 << 14
+#: Sampled rows of a node up to which one task finishes its subtree.
+NODE_ROWS = 1 << 16
+#: Bytes that a reducer is given, about.
+REDUCER_BYTES = 1 << 26
 #: Nodes whose cells of a feature go to a reducer together.
 NODE_GROUP = 32
 BLOCKS = "n int, bins binary, y binary, p binary, val binary, rk binary"
-_CELLS = "part int, feature int, slots int, first int, cells binary, g binary, n binary, pos binary, top double"
-_BEST = "kind int, slot int, feature int, bin int, gain double, gl long, nl long, pl long, g long, n long, pos long"
-SPLIT, NODE_LOSS, LOSS = 0, 1, 2
+_CELLS = T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("part", "feature", "slots", "first")),
+                       *(T.StructField(c, T.BinaryType()) for c in ("cells", "g", "n", "pos")), T.StructField("top", T.DoubleType())])
+_BEST = T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("kind", "slot", "feature", "bin")), T.StructField("gain", T.DoubleType()),
+                      *(T.StructField(c, T.LongType()) for c in ("gl", "nl", "pl", "g", "n", "pos"))])
+SPLIT, NODE_LOSS, LOSS, GROWN = 0, 1, 2, 3
+# What a row of cells holds beside the cells of a feature.
+_LOSSES, _NODE_LOSSES, _ROWS = -2, -1, -3
 
 
 # --- binning ---------------------------------------------------------------------
@@ -45,7 +57,8 @@ def quantile_cuts(df: DataFrame, features: Sequence[str], max_bins: int) -> list
     if not features:
         return []
     finite = [F.when(~F.isnan(f), F.col(f)) for f in features]
-    quantiles = [F.percentile_approx(c, probabilities, 10_000) if probabilities else F.array(F.min(c)) for c in finite]
+    listed = F.expr(f"array({', '.join(map(repr, probabilities))})") if probabilities else None
+    quantiles = [F.percentile_approx(c, listed, F.lit(10_000)) if probabilities else F.array(F.min(c)) for c in finite]
     row = df.agg(*[F.array_union(F.array(F.min(c), F.max(c)), q) for c, q in zip(finite, quantiles)]).first()
     cuts = []
     for values in row:
@@ -173,8 +186,10 @@ class Pass:
 
     fresh: list[BinTree]  # trees that the written predictions lack
     tree: BinTree | None  # the tree grown so far
-    slots: np.ndarray  # node -> place among the nodes to split, -1: none
-    m: int  # nodes to split
+    slots: np.ndarray  # node -> place among the nodes to split (small ones follow), -1: none
+    m: int  # nodes to split by their cells
+    small: int  # nodes to finish from their rows
+    depth: int  # levels left
     chosen: list[int]  # features of the round
     rate: float
     seed: int
@@ -200,14 +215,28 @@ class Pass:
             if self.losses:
                 total += (loss[~val].sum(), (~val).sum(), loss[val].sum(), val.sum())
                 top = max(top, float(np.abs(r).max(initial=0.0)))
-            if not m:
+            if not m and not self.small:
                 continue
             at = np.flatnonzero(~val & picked_rows(rk, self.rate, self.seed))
             slot = self.slots[self.tree.leaf(bins[:, at])]
             at, slot = at[slot >= 0], slot[slot >= 0]
+            if self.small:
+                order = np.argsort(slot, kind="stable")
+                at, slot = at[order], slot[order]
             r = r[at]
             pos = r > 0
             g = np.rint(-2.0 * w[at] * r * self.scale.gradient)
+            if self.small:
+                ends = np.searchsorted(slot, np.arange(m, m + self.small + 1))
+                sent = [
+                    (k % self.reducers, _ROWS, 0, m + k, bins[self.chosen][:, at[a:b]].tobytes(), g[a:b].astype(np.int64).tobytes(), loss[at[a:b]].tobytes(), pos[a:b].tobytes(), 0.0)
+                    for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a
+                ]
+                if sent:
+                    yield _cells(sent)
+                at, slot, r, pos, g = (v[: ends[0]] for v in (at, slot, r, pos, g))
+            if not m:
+                continue
             np.add.at(node_loss, slot, loss[at])
             start = slot * self.bins
             for i, f in enumerate(self.chosen):
@@ -219,9 +248,9 @@ class Pass:
             return
         out = []
         if self.losses:
-            out.append((0, -2, 0, 0, b"", total.tobytes(), b"", b"", top))
+            out.append((0, _LOSSES, 0, 0, b"", total.tobytes(), b"", b"", top))
         if m:
-            out.append((0, -1, m, 0, b"", node_loss.tobytes(), b"", b"", 0.0))
+            out.append((0, _NODE_LOSSES, m, 0, b"", node_loss.tobytes(), b"", b"", 0.0))
         for i in range(len(self.chosen)):
             for group, first in enumerate(range(0, m, NODE_GROUP)):
                 slots = min(NODE_GROUP, m - first)
@@ -230,8 +259,12 @@ class Pass:
                 values = [a[i, span][cells].tobytes() for a in (g_sum, n_sum, pos_sum)]
                 out.append((self.part(i, group), i, slots, first, cells.astype(np.int32).tobytes(), *values, 0.0))
         if out:
-            types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["part", "feature", "slots", "first", "cells", "g", "n", "pos", "top"])
+            yield _cells(out)
+
+
+def _cells(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32()] * 4 + [pa.binary()] * 4 + [pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], _CELLS.names)
 
 
 def split_gains(g: np.ndarray, n: np.ndarray, pos: np.ndarray, scale: float, penalty: float, alpha: float, lam: float, least: float):
@@ -245,17 +278,69 @@ def split_gains(g: np.ndarray, n: np.ndarray, pos: np.ndarray, scale: float, pen
     return np.where((nl > 0) & (nl < nt) & (hl >= least) & (hr >= least), gain, -np.inf), gl, nl, pl
 
 
-def _reduce(task: Pass, alpha: float, lam: float, least: float):
+@dataclass
+class Rule:
+    """When a node is split: gain above ``least_gain``, sides of ``least`` hessian, loss of ``gamma`` or more."""
+
+    alpha: float
+    lam: float
+    least: float
+    gamma: float
+    least_gain: float
+
+
+def finish_node(bins: np.ndarray, g: np.ndarray, loss: np.ndarray, pos: np.ndarray, task: Pass, rule: Rule) -> list[tuple]:
+    """Subtree of a node from its rows (chosen features x rows): (feature, bin, left, right, g, n, pos) per node, the root first."""
+    hess = lambda n, p: 2.0 * (n - p) + 2.0 * task.penalty * p
+    width = len(bins) * task.bins
+    offset = (np.arange(len(bins)) * task.bins)[:, None]
+    out: list[list] = []
+
+    def visit(rows: np.ndarray, depth: int) -> int:
+        at = len(out)
+        out.append([-1, 0, -1, -1, int(g[rows].sum()), len(rows), int(pos[rows].sum())])
+        n, p = out[at][5:]
+        # No split below this node can gain more than the node's loss.
+        if not depth or n < 2 or hess(n, p) < 2.0 * rule.least or loss[rows].sum() / task.scale.loss < rule.gamma:
+            return at
+        sums = [np.zeros(width, np.int64) for _ in range(3)]
+        for start in range(0, n, BLOCK_ROWS):  # sums of a block are exact in doubles
+            some = rows[start : start + BLOCK_ROWS]
+            cell = (bins[:, some] + offset).ravel()
+            sums[0] += np.bincount(cell, np.tile(g[some], len(bins)), width).astype(np.int64)
+            sums[1] += np.bincount(cell, minlength=width)
+            high = some[pos[some]]
+            sums[2] += np.bincount((bins[:, high] + offset).ravel(), minlength=width)
+        gain = split_gains(*(a.reshape(len(bins), -1) for a in sums), task.scale.gradient, task.penalty, rule.alpha, rule.lam, rule.least)[0]
+        best = int(gain.argmax())
+        f, b = divmod(best, task.bins)
+        if not gain[f, b] > rule.least_gain:
+            return at
+        left = bins[f, rows] <= b
+        out[at][:2] = f, b
+        out[at][2] = visit(rows[left], depth - 1)
+        out[at][3] = visit(rows[~left], depth - 1)
+        return at
+
+    visit(np.arange(len(g)), task.depth)
+    return [tuple(n) for n in out]
+
+
+def _reduce(task: Pass, rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list[np.ndarray]] = {}
+        whole: dict[int, list[tuple]] = {}
         total, node_loss, top = np.zeros(4, np.int64), np.zeros(task.m, np.int64), 0.0
         losses = False
         for batch in batches:
             for r in batch.to_pylist():
+                if r["feature"] == _ROWS:
+                    whole.setdefault(r["first"], []).append((r["cells"], r["g"], r["n"], r["pos"]))
+                    continue
                 values = [np.frombuffer(r[c], np.int64) for c in ("g", "n", "pos")]
-                if r["feature"] == -2:
+                if r["feature"] == _LOSSES:
                     total, top, losses = total + values[0], max(top, r["top"]), True
-                elif r["feature"] == -1:
+                elif r["feature"] == _NODE_LOSSES:
                     node_loss = node_loss + values[0]
                 else:
                     key = (r["feature"], r["first"], r["slots"])
@@ -266,12 +351,15 @@ def _reduce(task: Pass, alpha: float, lam: float, least: float):
         out = []
         if losses:
             out.append((LOSS, 0, 0, 0, top, int(total[0]), int(total[1]), 0, int(total[2]), int(total[3]), 0))
-            out += [(NODE_LOSS, k, 0, 0, 0.0, int(v), 0, 0, 0, 0, 0) for k, v in enumerate(node_loss)]
-        elif node_loss.any():
-            out += [(NODE_LOSS, k, 0, 0, 0.0, int(v), 0, 0, 0, 0, 0) for k, v in enumerate(node_loss)]
+        out += [(NODE_LOSS, k, 0, 0, 0.0, int(v), 0, 0, 0, 0, 0) for k, v in enumerate(node_loss) if v]
+        for slot, parts in whole.items():
+            bins = np.concatenate([np.frombuffer(p[0], np.uint8).reshape(len(task.chosen), -1) for p in parts], axis=1)
+            g, loss, pos = (np.concatenate([np.frombuffer(p[k], t) for p in parts]) for k, t in ((1, np.int64), (2, np.int64), (3, bool)))
+            grown = finish_node(bins, g, loss, pos, task, rule)
+            out += [(GROWN, slot, f, b, 0.0, k, left, right, gs, n, ps) for k, (f, b, left, right, gs, n, ps) in enumerate(grown)]
         best: dict[int, tuple] = {}
         for (i, first, slots), sums in sorted(held.items()):
-            gain, gl, nl, pl = split_gains(*(a.reshape(slots, -1) for a in sums), task.scale.gradient, task.penalty, alpha, lam, least)
+            gain, gl, nl, pl = split_gains(*(a.reshape(slots, -1) for a in sums), task.scale.gradient, task.penalty, rule.alpha, rule.lam, rule.least)
             at = gain.argmax(1)
             for k in range(slots):
                 b = int(at[k])
@@ -281,27 +369,32 @@ def _reduce(task: Pass, alpha: float, lam: float, least: float):
         out += best.values()
         if out:
             types = [pa.int32()] * 4 + [pa.float64()] + [pa.int64()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["kind", "slot", "feature", "bin", "gain", "gl", "nl", "pl", "g", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], _BEST.names)
 
     return run
 
 
-def run_pass(blocks: DataFrame, task: Pass, alpha: float, lam: float, least: float) -> list[dict]:
-    """Rows of ``_BEST``: the best split per node (ties: the first feature, then the least bin), losses per node and in all."""
+def run_pass(blocks: DataFrame, task: Pass, rule: Rule) -> list[dict]:
+    """Rows of ``_BEST``: the best split per node (ties: the first feature, then the least bin), losses per node and in all, finished subtrees."""
     mapped = blocks.mapInArrow(task.map, _CELLS).repartitionById(task.reducers, "part")
-    found = mapped.mapInArrow(_reduce(task, alpha, lam, least), _BEST).toArrow().to_pylist()
+    found = mapped.mapInArrow(_reduce(task, rule), _BEST).toArrow().to_pylist()
     return sorted(found, key=lambda r: (r["kind"], r["slot"], -r["gain"], r["feature"]))
 
 
-def measure(blocks: DataFrame) -> tuple[int, float]:
-    """Rows of the blocks and the largest residual of their predictions."""
+def measure(blocks: DataFrame) -> tuple[int, int, float]:
+    """Rows of the blocks, those for training, and the largest residual of their predictions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, top = 0, 0.0
+        n, train, top = 0, 0, 0.0
         for row in _rows(batches):
-            _, y, p, _, _ = _block(row, [])
-            n, top = n + row["n"], max(top, float(np.abs(y - p).max(initial=0.0)))
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([top], pa.float64())], ["n", "top"])
+            _, y, p, val, _ = _block(row, [])
+            n, train, top = n + row["n"], train + int((~val).sum()), max(top, float(np.abs(y - p).max(initial=0.0)))
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([train], pa.int64()), pa.array([top], pa.float64())], ["n", "train", "top"])
+
+    row = blocks.mapInArrow(run, "n long, train long, top double").agg(F.sum("n"), F.sum("train"), F.max("top")).first()
+    return row[0] or 0, row[1] or 0, row[2] or 0.0
+
 
-    row = blocks.mapInArrow(run, "n long, top double").agg(F.sum("n"), F.max("top")).first()
-    return row[0] or 0, row[1] or 0.0
+def few_partitions(rows: DataFrame) -> DataFrame:
+    """Rows in no more partitions than full blocks would need four of each: tiny tasks cost more than they do."""
+    return rows.coalesce(max(1, -(-rows.count() // (4 * BLOCK_ROWS))))

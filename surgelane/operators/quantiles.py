@@ -30,8 +30,10 @@ def merged_quantiles(sketches: DataFrame, probabilities: Sequence[float], date_f
     if date_to:
         days = days.where(F.col("date") <= F.lit(date_to).cast("date"))
     merged = days.groupBy("column").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
-    wanted = merged.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-    return wanted.select("column", "p", "n", F.kll_sketch_get_quantile_double("sketch", "p").alias("value"))
+    values = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(float(p)) for p in probabilities]))
+    found = merged.select("column", "n", F.posexplode(values).alias("_at", "value"))
+    p = F.get(F.array(*[F.lit(float(p)) for p in probabilities]), F.col("_at"))
+    return found.select("column", p.alias("p"), "n", "value")
 
 
 def sketch_medians(sketches: DataFrame, columns: Sequence[str], date_from: str | None = None, date_to: str | None = None) -> dict[str, float | None]:

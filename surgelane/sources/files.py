@@ -6,6 +6,7 @@ import logging
 from collections.abc import Iterable, Sequence
 from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,8 +96,8 @@ def schema_groups(spark: SparkSession, files: Sequence[str]) -> list[tuple[Struc
     try:
         schema = spark.read.option("mergeSchema", "true").parquet(*files).schema
         return [(schema, list(files))]
-    except PySparkException as e:
-        if len(files) == 1 or "MERGE" not in (e.getCondition() or str(e)).upper():
+    except (Py4JJavaError, PySparkException) as e:
+        if len(files) == 1 or "CANNOT_MERGE_SCHEMAS" not in str(e):
             raise
     middle = len(files) // 2
     return schema_groups(spark, files[:middle]) + schema_groups(spark, files[middle:])

@@ -78,6 +78,8 @@ def stream_rolling_demand(
         seconds = list(seconds)
         w_second, *w_kept = (list(c) for c in columns)
         for part in parts:
+            if part.empty:  # a timer has no rows
+                continue
             part = part[~part["_beat"]]
             seconds += part[UNIX_TS].tolist()
             own = part[~part[_CONTEXT]]
@@ -96,7 +98,7 @@ def stream_rolling_demand(
             yield pd.DataFrame(found)
         left = np.flatnonzero(~closed)
         # Trips that a window of an open second of this chunk can reach.
-        end = (key[1] + 1) * chunk
+        end = (int(key[1]) + 1) * chunk
         reach = min(mark // 1000, end) - longest
         known = known[known >= reach]
         if not len(known) or (not len(left) and mark >= end * 1000):

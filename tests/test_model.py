@@ -429,3 +429,18 @@ def test_split_without_a_key_plans(spark, split):
     df, names = split
     result = train_surge_model(df.select(*names, TARGET), params=replace(FAST, n_rounds=1))
     assert result.metrics.first().n_features == 32
+
+
+@pytest.mark.parametrize("rows", [0, 40, 200])
+def test_large_nodes_split_by_cells_like_small_ones(small_table, monkeypatch, rows):
+    """Whatever number of rows one task may finish, the trees are the same."""
+    from surgelane.operators import boost
+
+    df, _, _ = small_table
+    params = replace(BOOST, learning_rate=0.3, max_depth=4, gamma=0.01)
+    train = lambda: train_boosted(df.withColumn("v", F.col("id") % 4 == 0), ["x0", "x1", "x2"], "y", "v", params, n_rounds=2)
+    want = train()
+    monkeypatch.setattr(boost, "NODE_ROWS", rows)
+    monkeypatch.setattr(boost, "REDUCER_BYTES", 1 << 10)
+    got = train()
+    assert got.trees == want.trees and got.history == want.history and len(want.trees[0]) > 7
