@@ -32,7 +32,8 @@ def observed_etl(
 ) -> tuple[DataFrame, dict[str, Observation]]:
     """``etl_transform`` that counts while it is written: raw rows and breaches of each rule, zones, kept rows.
 
-    The counts are there once the action on the result ends; they cost no job of their own.
+    The counts are there once the action on the result ends; trips are read once.
+    The zone table, small, is read once more, since its count belongs to one of its two joins.
     """
     seen = {name: Observation(name) for name in ("raw", "zones", "kept")}
     one = F.lit(1)

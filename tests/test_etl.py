@@ -184,5 +184,5 @@ def test_widest_types():
     assert widest(T.DecimalType(38, 10), T.LongType()) == T.DecimalType(38, 10)
     assert widest(T.DateType(), T.TimestampNTZType()) == T.TimestampNTZType() and widest(T.NullType(), T.DateType()) == T.DateType()
     assert widest(T.TimestampType(), T.DateType()) == T.TimestampType() and widest(T.StringType(), T.IntegerType()) == T.StringType()
-    with pytest.raises(ValueError, match="column a"):
+    with pytest.raises(ValueError, match="column A"):
         reconcile([T.StructType([T.StructField("a", T.ArrayType(T.IntegerType()))]), T.StructType([T.StructField("A", T.StringType())])])
