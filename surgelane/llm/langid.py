@@ -29,6 +29,10 @@ from surgelane.session import materialise
 # Documents the trigram model is fitted on at most (one of each language at least), and hashed trigrams it has.
 SAMPLE = 4000
 TRIGRAMS = 1 << 15
+# Codes that fewer labelled rows than this share carry are one class, OTHER: at most
+# 1 / LEAST_SHARE classes and one more, whatever strings the column holds.
+LEAST_SHARE = 1 / 256
+OTHER = "other"
 # Overlapping trigrams are not independent: their log likelihoods count a third.
 TEMPER = 1 / 3
 # Pseudo counts of the level above in a host's, a suffix's and a declaration's sums.
@@ -81,11 +85,21 @@ class Model(NamedTuple):
 def chosen_rows(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(lang, text) that the model is fitted on: of every language the rows with the least id hashes.
 
-    Languages are counted over all rows; each gets an equal part of ``sample``, one
-    row at least. Rows without id, text or language teach nothing.
+    Languages are counted over all rows; rare ones are taken together as ``OTHER``.
+    Each class gets an equal part of ``sample``, one row at least, and a repeated id
+    gives its least text. Rows without id, text or language teach nothing.
     """
     usable = labelled.where("doc_id is not null and lang is not null and text is not null").withColumn("lang", F.lower("lang"))
-    sizes = usable.groupBy("lang").count().collect()  # a row a language
+    total = usable.count()
+    sizes = usable.groupBy("lang").count().where(F.col("count") >= F.lit(LEAST_SHARE * total)).collect()  # 1 / LEAST_SHARE rows at most
+    rest = total - sum(r["count"] for r in sizes)
+    if rest:
+        known = labelled.sparkSession.createDataFrame([(r["lang"],) for r in sizes], "_known string")
+        usable = usable.join(F.broadcast(known), F.col("lang") == F.col("_known"), "left")
+        usable = usable.withColumn("lang", F.coalesce("_known", F.lit(OTHER))).drop("_known")
+        sizes = [{"lang": r["lang"], "count": r["count"]} for r in sizes if r["lang"] != OTHER] + [
+            {"lang": OTHER, "count": rest + sum(r["count"] for r in sizes if r["lang"] == OTHER)}
+        ]
     part = max(1, sample // max(1, len(sizes)))
     # Twice the part and some are expected under the limit, so that only these few are ranked.
     limits = [(r["lang"], 1.0 if r["count"] <= 4 * part + 100 else (2 * part + 50) / r["count"]) for r in sizes]
@@ -95,7 +109,8 @@ def chosen_rows(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
     order = Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 32)), "_h", "doc_id")
     ranked = few.dropDuplicates(["lang", "doc_id"]).withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= part)
     ids = ranked.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    return usable.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")
+    found = usable.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    return found.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
@@ -287,7 +302,8 @@ def identify_documents(docs: DataFrame) -> DataFrame:
 
     Their ``lang`` is the declaration, their ``source`` the host. Null and empty
     texts, texts without letters and texts in none of the languages declared are
-    rejected; repeated rows are each judged;
+    rejected; texts like those of rare codes are in the language ``OTHER``;
+    repeated rows are each judged;
     columns named like the three are replaced.
     """
     docs = docs.drop("language", "posterior", "accepted")

@@ -72,16 +72,20 @@ def mix(
     All other columns pass through (names starting with ``_mix_`` are reserved).
     ``taken`` is whole epochs of the row plus its part of the cut epoch; the row
     at the cut is taken in part, so a source's sum is its target rounded down.
-    Null ids share a key; null sources are one source; empty rows take 0;
-    repeated rows count each. An empty table gives an empty table. Columns named
+    Rows that tie in id and size are ordered by a hash of all their columns, which
+    also is the key of rows without an id; null sources are one source; empty rows
+    take 0; repeated rows count each. An empty table gives an empty table. Columns named
     like the three are replaced.
     """
     rows = rows.drop("source_size", "target", "taken")
+    row_hash = F.xxhash64(*[f"`{c}`" for c, kind in rows.dtypes if "map<" not in kind])
     # Names compare by code point; "~" puts the null source behind all "=" names.
     keyed = rows.withColumns(
         {
             "_mix_source": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~")),
-            "_mix_key": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))),
+            # Rows without an id are spread by their other columns.
+            "_mix_key": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), row_hash.cast("string")))),
+            "_mix_row": row_hash,
         }
     ).withColumn("_mix_range", F.substring("_mix_key", 1, RANGE_DIGITS))
     ranges = keyed.groupBy("_mix_source", "_mix_range").agg(F.sum("size").alias("_mix_total"))
@@ -96,7 +100,7 @@ def mix(
         .drop("_mix_total")
     )
     placed = keyed.join(offsets, ["_mix_source", "_mix_range"])
-    inside = Window.partitionBy("_mix_source", "_mix_range").orderBy("_mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_mix_source", "_mix_range").orderBy("_mix_key", "doc_id", "size", "_mix_row").rowsBetween(Window.unboundedPreceding, -1)
     budget = F.floor("_mix_target").cast("long")
     epochs = F.when(F.col("_mix_size") > 0, F.floor(budget / F.col("_mix_size"))).otherwise(0).cast("long")
     start = F.col("_mix_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))

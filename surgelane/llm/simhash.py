@@ -86,15 +86,16 @@ def fingerprint(text: str | None, shingle: int, both: bool = False) -> tuple[int
     return int.from_bytes(first.tobytes(), "big"), int.from_bytes(second.tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, both: bool = False) -> DataFrame:
-    """(doc_id, fp, fp2): the signed 64-bit fingerprints of every whole text."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, both: bool = False, keep: str | None = None) -> DataFrame:
+    """(doc_id, fp, fp2): the signed 64-bit fingerprints of every whole text; with a long column ``keep``, that too."""
+    names = ["doc_id", *([keep] if keep else []), "fp", "fp2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle, both) for t in batch["text"]], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps[:, 0]), pa.array(fps[:, 1])], ["doc_id", "fp", "fp2"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names[:-2]), pa.array(fps[:, 0]), pa.array(fps[:, 1])], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, fp2 long")
+    return docs.select(F.col("doc_id").cast("long"), *names[1:-2], "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 @cache
@@ -340,6 +341,29 @@ def index_links(distinct: DataFrame, max_bits: int, max_total: int | None = None
     return found.where("a is not null").select("a", "b").union(met)
 
 
+def fingerprint_classes(distinct: DataFrame, max_bits: int = 4, max_total: int | None = None) -> DataFrame:
+    """(fp, fp2, component) of distinct fingerprints (``id``, ``fp``, ``fp2``): the least id reachable by links."""
+    distinct = materialise(distinct, "distinct-fingerprints")
+    linked = materialise(components(index_links(distinct, max_bits, max_total)), "components")
+    return distinct.join(linked, F.col("id") == F.col("node"), "left").select("fp", "fp2", F.coalesce("label", "id").alias("component"))
+
+
+def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = 4) -> DataFrame:
+    """(doc_id, text_key) of the one document that stays of each group: the least id, then the least text key.
+
+    A document is an id with a text (``text_key`` is the text's xxhash64): rows that
+    repeat both are one, and an id that comes with several texts is a document
+    for each, linked by its own fingerprint. Rows without an id are left out.
+    """
+    keyed = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    fps = materialise(fingerprints(keyed, shingle, keep="text_key"), "fingerprints")
+    # The fingerprint itself is the node, so that an id of two texts doesn't join their groups.
+    groups = fingerprint_classes(fps.select("fp", "fp2").distinct().withColumn("id", F.col("fp")), max_bits)
+    groups = groups.select(F.col("fp").alias("_fp"), F.col("component").alias("_group"))
+    grouped = fps.join(groups, F.col("fp") == F.col("_fp"))
+    return grouped.groupBy("_group").agg(F.min(F.struct("doc_id", "text_key")).alias("_kept")).select("_kept.*")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = 4, max_total: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs`` (``doc_id``, ``text``).
 
@@ -354,10 +378,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = 4,
     both = max_total is not None
     fps = materialise(fingerprints(docs, shingle, both), "fingerprints")
     distinct = fps.where("doc_id is not null").groupBy("fp", "fp2").agg(F.min("doc_id").alias("id"))
-    distinct = materialise(distinct, "distinct-fingerprints")
-    linked = materialise(components(index_links(distinct, max_bits, max_total)), "components")
-    classes = distinct.join(linked, F.col("id") == F.col("node"), "left").select(
-        F.col("fp").alias("_fp"), F.col("fp2").alias("_fp2"), F.coalesce("label", "id").alias("_component")
-    )
+    classes = fingerprint_classes(distinct, max_bits, max_total).withColumnsRenamed({"fp": "_fp", "fp2": "_fp2", "component": "_component"})
     joined = fps.join(classes, (F.col("fp") == F.col("_fp")) & (F.col("fp2") == F.col("_fp2")), "left")
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("_component")).alias("component_id"))

@@ -215,7 +215,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     Documents whose ``crc32(doc_id as text) % 3`` is 1 are held out: their labels
     are never read. Null and empty texts and texts without a vocabulary term get
     the toxic rate of training documents without one; with no labels at all,
-    everything scores 0. A null id is not held out; repeated rows are each scored.
+    everything scores 0. A null id is not held out; repeated rows are each scored,
+    and of the texts of a labelled id the one with the least terms is the example.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     train = training_labels(labels, held)
@@ -229,14 +230,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         df[r[0]] = r[1]
     idf = np.log((1.0 + n_docs) / (1.0 + df)) + 1.0
 
-    known = counted.dropDuplicates(["doc_id"]).join(train, "doc_id")
+    # Of rows that repeat an id, the least; whatever their order.
+    single = counted.groupBy("doc_id").agg(F.min(F.struct("terms", "counts")).alias("r")).select("doc_id", "r.*")
+    known = single.join(train, "doc_id")
     empty = F.size("terms") == 0
     by_class = {(r["toxic"], r["empty"]): r["count"] for r in known.groupBy("toxic", empty.alias("empty")).count().collect()}
     n_empty = by_class.get((0, True), 0) + by_class.get((1, True), 0)
     base = (by_class.get((1, True), 0) + 0.5) / (n_empty + 1.0) if by_class else 0.0
 
     # The examples: bounded by the sample, texts reduced to their vocabulary terms.
-    examples = counted.where(~empty).dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id").collect()
+    examples = single.where(~empty).join(F.broadcast(chosen), "doc_id").collect()
     chosen.unpersist()
     share = {c: by_class.get((c, False), 0) / max(1, sum(r["toxic"] == c for r in examples)) for c in (0, 1)}
     entries: dict[tuple, list] = {}

@@ -6,7 +6,7 @@ import random
 
 import corpus_pipeline
 from llm_helpers import documents, least_reachable
-from surgelane.llm.jaccard import near_groups
+from surgelane.llm.simhash import fingerprint
 
 
 def words(rng, n=80):
@@ -31,47 +31,29 @@ def test_an_id_with_several_texts_keeps_each(spark):
     assert kept(spark, rows) == sorted([(1, a), (1, b), (4, c)], key=str)
 
 
-def shingles(text):
-    w = text.split()
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-
-
-def jaccard(a, b):
-    a, b = shingles(a), shingles(b)
-    return len(a & b) / len(a | b)
-
-
-def test_pairs_link_by_their_similarity(spark):
+def test_groups_by_fingerprint_distance(spark):
+    """One row of each group of fingerprints that are 4 bits apart or fewer, chains included, by all pairs."""
     rng = random.Random(3)
-    rows, expected = [], {}
-    while sum(expected.values()) < 60 or len(expected) < 120:
-        a = words(rng, 200)
-        w = a.split()
-        for at in rng.sample(range(200), rng.randrange(2, 14)):
-            w[at] = f"v{rng.randrange(10**6)}"
-        j = jaccard(a, " ".join(w))
-        wanted = 0.8 <= j < 0.86
-        if wanted and sum(expected.values()) < 60 or 0.6 <= j < 0.8 and len(expected) - sum(expected.values()) < 60:
-            expected[len(rows)] = wanted
-            rows += [(len(rows), a), (len(rows) + 1, " ".join(w))]
-    left = {i for i, _ in kept(spark, rows)}
-    assert {i: i + 1 not in left for i in expected} == expected
-
-
-def test_groups_match_all_pairs_whatever_the_chunks(spark):
-    rng = random.Random(4)
-    texts = []
-    for _ in range(4):
-        base = words(rng, 60).split()
-        for _ in range(25):
+    rows = []
+    for k in range(40):
+        base = words(rng, 250).split()
+        for _ in range(8):
             w = list(base)
-            for at in rng.sample(range(60), rng.randrange(0, 4)):
-                w[at] = f"v{rng.randrange(5)}"
-            texts.append(" ".join(w))
-    texts = sorted({*texts, "one", "one two", ""})
-    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
-    want = least_reachable(range(len(texts)), pairs)
-    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
-    for chunk in (512, 7):
-        got = {r.key: r.group for r in near_groups(df, chunk=chunk).collect()}
-        assert {i: min(k for k in got if got[k] == got[i]) for i in got} == want
+            for at in rng.sample(range(250), rng.randrange(0, 3)):
+                w[at] = f"v{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows), rows[5][1]), (len(rows) + 1, "one"), (len(rows) + 2, "one")]
+    fps = {i: fingerprint(t, 4)[0] for i, t in rows}
+    ids = sorted(fps)
+    pairs = [(a, b) for a in ids for b in ids if b < a and (fps[a] ^ fps[b]).bit_count() <= 4]
+    want = least_reachable(ids, pairs)
+    assert len(set(want.values())) < len(ids) - 30 and any((fps[i] ^ fps[want[i]]).bit_count() > 4 for i in ids)
+    assert sorted(i for i, _ in kept(spark, rows)) == sorted(set(want.values()))
+
+
+def test_a_hot_group_and_long_texts(spark):
+    rng = random.Random(4)
+    long = words(rng, 400_000)
+    copies = words(rng)
+    rows = [(i, copies) for i in range(500)] + [(1000, long), (1001, long + " tail")] + [(2000 + i, words(rng)) for i in range(20)]
+    assert sorted(i for i, _ in kept(spark, rows)) == [0, 1000, *range(2000, 2020)]

@@ -80,6 +80,54 @@ def test_texts_of_no_known_language_are_rejected(spark, corpus):
     assert sum(got.values()) == len(got) - len(odd)
 
 
+def test_classes_are_bounded_whatever_the_codes(spark, corpus):
+    """Tens of thousands of distinct codes: the common ones and one class for the rest."""
+    texts = [r.text for r in corpus.where("lang = 'en'").select("text").limit(60).collect()]
+    rows = [(i, texts[i % 60][:300], f"x{i}", "s") for i in range(20_000)] + [(30_000 + i, texts[i % 60][:300], "en", "s") for i in range(20_000)]
+    rows += [(60_000, texts[0], "en", "s")] * 300  # a repeated id teaches once
+    docs = documents(spark, rows)
+    sample = langid.chosen_rows(docs.select("doc_id", "text", "lang"), 100).collect()
+    assert {r.lang for r in sample} == {"en", langid.OTHER} and len(sample) == 100
+    assert langid.fit(docs.select("doc_id", "text", "lang"), 100).languages == ["en", langid.OTHER]
+
+
+def test_fusion_by_plain_python(spark):
+    """Likelihoods, declarations and smoothed priors fused row by row without Spark."""
+    rng = random.Random(7)
+    names, spreads, floors = ["aa", "bb", "cc"], [2.0, 1.5, 1.8], [-6.0, -6.5, -6.2]
+    rows = []
+    for i in range(60):
+        n = rng.choice([0, 3, 40, 200])
+        ll = [langid.TEMPER * n * rng.uniform(-7.5, -5.5) if n else 0.0 for _ in names]
+        host = rng.choice([None, "h1.x", "h2.x", "h3.y"])
+        rows.append((i, host, host and host[-1], rng.choice([None, "aa", "bb", "zz"]), n, ll))
+    evidence = spark.createDataFrame(rows, "id long, host string, suffix string, declared string, grams long, ll array<double>")
+    got = {r.id: r for r in langid.fuse(evidence, langid.Model(names, np.zeros((1, 3)), floors, spreads)).collect()}
+
+    def normal(logs):
+        raised = [math.exp(x - max(logs)) for x in logs]
+        return [x / sum(raised) for x in raised]
+
+    p = {r[0]: normal(r[5]) if r[4] else [0.0] * 3 for r in rows}
+    overall = [sum(p[i][k] for i in p) for k in range(3)]
+    n, smooth = sum(overall), langid.SMOOTH
+    base = [(x + 1) / (n + 3) for x in overall]
+    for i, host, suffix, declared, grams, ll in rows:
+        rest = lambda same: [sum(p[r[0]][k] for r in rows if same(r) and r[0] != i) for k in range(3)]
+        level = lambda sums, above: [(s + smooth * q) / (sum(sums) + smooth) for s, q in zip(sums, above)]
+        prior = level(rest(lambda r: r[2] == suffix and r[1] == host), level(rest(lambda r: r[2] == suffix), base))
+        said = rest(lambda r: r[3] == declared)
+        others = [o - x for o, x in zip(overall, p[i])]
+        share = (sum(said) + 1) / (n + 1)
+        says = [(s + smooth * share) / (o + smooth) for s, o in zip(said, others)]
+        q = normal([x + math.log(a * b) for x, a, b in zip(ll, prior, says)])
+        best = max(range(3), key=lambda k: (q[k], -k))
+        assert got[i].language == names[best] and got[i].posterior == pytest.approx(q[best], abs=2e-6)
+        known = grams and max(x / (langid.TEMPER * grams) + s * langid.KNOWN_ERRORS / math.sqrt(grams) - f for x, s, f in zip(ll, spreads, floors)) >= 0
+        assert got[i].accepted == bool(known and q[best] >= langid.MIN_POSTERIOR)
+        assert got[i].text_language == (names[p[i].index(max(p[i]))] if grams else None)
+
+
 def test_rare_languages_are_classes(spark, corpus):
     known = corpus.where("lang = 'en'").limit(300).select("doc_id", "text", "lang", "source", "n_chars")
     docs = known.union(documents(spark, [(10**6 + i, RUSSIAN * 2, "RU", "src0") for i in range(2)]))
@@ -162,6 +210,17 @@ def test_toxicity_awkward_documents(spark):
     assert toxicity.score_documents(documents(spark, []), table).count() == 0
 
 
+def test_toxicity_of_repeated_ids_does_not_depend_on_their_order(spark):
+    rng = random.Random(2)
+    word = lambda: rng.choice(["nice", "plain", "table", "river", "vile", "scum", "filth", "stone"])
+    rows = [(i % 150, " ".join(word() for _ in range(30))) for i in range(450)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(150)], "doc_id long, toxic int")
+    score = lambda docs: sorted((r.doc_id, r.score, tuple(r.nearest_ids)) for r in toxicity.score_documents(docs, labels).collect())
+    first = score(documents(spark, rows).repartition(3))
+    rng.shuffle(rows)
+    assert score(documents(spark, rows).repartition(5)) == first
+
+
 def test_toxic_words_of_no_clean_example_count(spark):
     rng = random.Random(8)
     rows, labels = [], []
