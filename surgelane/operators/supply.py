@@ -116,11 +116,12 @@ def compute_supply_and_surge(
     """Trip-level form: baseline per key joined back (USING keys: NULL keys get
     no baseline, then 1.0), then surge and z-score.
 
-    The baseline table has no proven size bound (one row per location, hour
-    and weekday seen), so it is never broadcast on an estimate. ``surge_profile``
-    avoids this join and the second evaluation of the trip lineage altogether.
+    The baseline table (one row per location, hour and weekday seen) is broadcast
+    only if it turns out to be below Spark's threshold: its estimate is that of
+    the trips, which is never less. ``surge_profile`` avoids this join and the
+    second evaluation of the trip lineage altogether.
     """
-    joined = df.join(supply_baseline(df, keys).hint("merge"), on=list(keys), how="left")
+    joined = df.join(supply_baseline(df, keys), on=list(keys), how="left")
     return joined.withColumn("supply_baseline", repaired_baseline(F.col("supply_baseline"))).withColumns(
         _surge_columns(rules)
     )
