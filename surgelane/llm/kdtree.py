@@ -1,16 +1,18 @@
 """Exact top-k by inner product with a KD-tree per shard.
 
-Vectors are dealt to shards by a hash of their id. A task builds its shard's
-tree: median splits along the widest side, a tight bounding box on every node.
-A query walks it best first by the largest inner product that a box allows and
-stops when no box can reach the k-th score found so far.
-
-The first pass searches each query's own shard, which needs no copy of queries,
-and gives every query a k-th score that holds for all shards. That bound goes
-with the query to the other shards in the second pass, where most boxes fall
-below it at once. Queries travel in packed blocks, one copy for every shard;
-a shard's vectors are one packed row that its task joins with the blocks one
-after the other, so a task holds one shard and one block.
+A KD-tree over a bounded sample deals the vectors: its leaves are cells, and a
+cell of many rows (copies that no split parts) is dealt over shards by a hash of
+the id. A task builds its shard's tree: median splits along the widest side, a
+tight bounding box on every node. A query walks it best first by the largest
+inner product that a box allows and stops when no box can reach the k-th score
+found so far.
+
+The k-th score travels in three hops: a query searches its own shard, which lies
+around it; then the shards whose boxes promise it most; then, with the k-th
+score found by then, the shards whose boxes still reach it. Boxes are met in
+groups before any vector moves, so shards that cannot answer get no copy of the
+query. Queries travel in blocks, sorted behind the packed shard that they visit,
+and a task holds one shard and one block.
 """
 
 from __future__ import annotations
@@ -20,15 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surgelane.session import materialise
 
 LEAF = 256
-# Vectors of a shard at most, on average, and queries of a block.
+# Vectors of a shard at most, on average, and queries whose box bounds are held at once.
 SHARD_ROWS = 4096
 BLOCK = 512
+# Rows that the cells are fitted on, at most and on average, and the fewest of a cell.
+SAMPLE, CELL_SAMPLE = 16_384, 16
+# Boxes of a group, and blocks that one copy of a shard answers.
+BOXES, VISITS = 1024, 64
 #: Lowest score; stands for "no bound yet".
 NONE = float("-inf")
 
@@ -107,20 +113,93 @@ def _answers(tree: Tree, ids: np.ndarray, q: np.ndarray, kth: np.ndarray, k: int
         yield _found(rows)
 
 
-_PACKED = pa.schema([("dim", pa.int32()), ("part", pa.int32()), ("ids", pa.binary()), ("x", pa.binary()), ("more", pa.binary())])
+class Cells:
+    """Leaves of KD splits: rows up to ``cut`` along ``side`` go left."""
+
+    def __init__(self, sample: np.ndarray, leaf_rows: float):
+        self.side, self.cut, self.kids, self.cell, self.n = [], [], [], [], 0
+        self._split(sample, max(leaf_rows, CELL_SAMPLE))
+
+    def _split(self, x: np.ndarray, leaf_rows: float) -> int:
+        node = len(self.side)
+        for held, value in ((self.side, -1), (self.cut, 0.0), (self.kids, None), (self.cell, -1)):
+            held.append(value)
+        spread = x.max(axis=0) - x.min(axis=0) if x.size else np.zeros(1)
+        if len(x) <= leaf_rows or not spread.any():
+            self.cell[node], self.n = self.n, self.n + 1
+            return node
+        side = int(np.argmax(spread))
+        line = x[:, side]
+        cut = np.partition(line, (len(x) - 1) // 2)[(len(x) - 1) // 2]
+        if cut == line.max():  # more than half of the rows tie at the top
+            cut = line[line < cut].max()
+        self.side[node], self.cut[node] = side, float(cut)
+        self.kids[node] = (self._split(x[line <= cut], leaf_rows), self._split(x[line > cut], leaf_rows))
+        return node
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        out = np.empty(len(x), np.int64)
+        todo = [(0, np.arange(len(x)))]
+        while todo:
+            node, rows = todo.pop()
+            if self.kids[node] is None:
+                out[rows] = self.cell[node]
+            elif len(rows):
+                left = x[rows, self.side[node]] <= self.cut[node]
+                todo += [(self.kids[node][0], rows[left]), (self.kids[node][1], rows[~left])]
+        return out
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of equal length as a matrix of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def fit_cells(vectors: DataFrame, n_vectors: int, shard_rows: int) -> dict[int, Cells]:
+    """Cells by dimension, fitted on about ``SAMPLE`` rows that a hash of the id picks; a dimension outside the sample is one cell."""
+    share = min(1.0, SAMPLE / max(1, n_vectors))
+    picked = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit("cells")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    by_dim: dict[int, list] = {}
+    for row in picked.limit(2 * SAMPLE).select("x").collect():
+        by_dim.setdefault(len(row[0]), []).append(row[0])
+    return {dim: Cells(np.array(rows, np.float64), shard_rows * share) for dim, rows in by_dim.items()}
+
+
+def dealt(vectors: DataFrame, cells: dict[int, Cells], shard_rows: int) -> DataFrame:
+    """``vectors`` with ``dim`` and ``part`` (long): its shard, a cell or a piece of one."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = np.array(batch["x"].value_lengths())
+            cell = np.zeros(len(dims), np.int64)
+            for dim in np.unique(dims).tolist():
+                if dim in cells and dim:
+                    rows = np.flatnonzero(dims == dim)
+                    cell[rows] = cells[dim].of(_matrix(batch["x"].take(pa.array(rows))))
+            columns = [batch["vec_id"], batch["x"], batch["asked"], pa.array(dims.astype(np.int32)), pa.array(cell)]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "x", "asked", "dim", "cell"])
+
+    rows = vectors.select("vec_id", "x", "asked").mapInArrow(place, "vec_id long, x array<long>, asked boolean, dim int, cell long")
+    rows = materialise(rows, "kd-cells")
+    pieces = rows.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / (2 * shard_rows)).alias("pieces"))
+    part = F.shiftleft("cell", 32) + F.pmod(F.xxhash64("vec_id"), F.col("pieces"))
+    return rows.join(pieces, ["dim", "cell"]).select("dim", part.alias("part"), "vec_id", "x", "asked")
+
+
+_PACKED = "dim int, part long, ids binary, x binary, more binary, low binary, high binary"
 
 
-def packed(rows: DataFrame, parts: int) -> DataFrame:
-    """(dim, part, ids, x, more): rows of ``vec_id``, ``x``, ``more`` (double) dealt by id hash, one packed row a part."""
-    dealt = rows.select(F.size("x").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), "vec_id", "x", "more")
+def packed(rows: DataFrame) -> DataFrame:
+    """One packed row for each (``dim``, ``part``) of rows of ``vec_id``, ``x``, ``more`` (double), with its bounding box."""
 
     def pack(tab: pa.Table) -> pa.Table:
-        flat = tab["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        columns = {"ids": tab["vec_id"].to_numpy(), "x": flat, "more": tab["more"].to_numpy()}
+        x = tab["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        box = x.reshape(tab.num_rows, -1).astype(np.float64)
+        columns = {"ids": tab["vec_id"].to_numpy(), "x": x, "more": tab["more"].to_numpy(), "low": box.min(axis=0), "high": box.max(axis=0)}
         row = {c: [tab[c][0].as_py()] for c in ("dim", "part")} | {c: [np.ascontiguousarray(v).tobytes()] for c, v in columns.items()}
-        return pa.Table.from_pydict(row, _PACKED)
+        return pa.Table.from_pydict(row, pa.schema([("dim", pa.int32()), ("part", pa.int64()), *((c, pa.binary()) for c in columns)]))
 
-    return dealt.groupBy("dim", "part").applyInArrow(pack, "dim int, part int, ids binary, x binary, more binary")
+    return rows.select("dim", "part", "vec_id", "x", "more").groupBy("dim", "part").applyInArrow(pack, _PACKED)
 
 
 def _unpack(ids, x, more) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,19 +207,82 @@ def _unpack(ids, x, more) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, np.frombuffer(x.as_buffer(), np.int64).reshape(len(ids), -1).astype(np.float64), np.frombuffer(more.as_buffer(), np.float64)
 
 
-def top_k(vectors: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS, is_query: str = "vec_id % 20 = 0") -> DataFrame:
+def visits(blocks: DataFrame, boxes: DataFrame, first: bool) -> DataFrame:
+    """(dim, part, ids, x, more): the queries of a block that a shard's box can still answer.
+
+    ``first`` takes the most promising foreign shard of each box group, else all
+    others. Products of whole numbers are exact, so both passes choose alike.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                dim, home = batch["dim"][n].as_py(), batch["home"][n].as_py()
+                ids, x, kth = _unpack(batch["ids"][n], batch["x"][n], batch["more"][n])
+                group = batch["boxes"][n].as_py()
+                parts = np.array([b["part"] for b in group])
+                low, high = (np.array([np.frombuffer(b[c], np.float64) for b in group]) for c in ("low", "high"))
+                for at in range(0, len(ids), BLOCK):
+                    rows = slice(at, at + BLOCK)
+                    reach = np.maximum(x[rows], 0) @ high.T + np.minimum(x[rows], 0) @ low.T
+                    reach[:, parts == home] = -np.inf
+                    best = reach.argmax(axis=1)
+                    is_best = np.arange(len(parts)) == best[:, None]
+                    go = (reach >= kth[rows][:, None]) & (is_best if first else ~is_best) & (parts != home)
+                    for p in np.flatnonzero(go.any(axis=0)).tolist():
+                        pick = np.flatnonzero(go[:, p]) + at
+                        yield pa.RecordBatch.from_pydict({
+                            "dim": pa.array([dim], pa.int32()), "part": pa.array([parts[p]], pa.int64()),
+                            "ids": [ids[pick].tobytes()], "x": [x[pick].astype(np.int64).tobytes()], "more": [kth[pick].tobytes()],
+                        })
+
+    met = blocks.select("dim", F.col("part").alias("home"), "ids", "x", "more").join(boxes, "dim")
+    return met.mapInArrow(meet, "dim int, part long, ids binary, x binary, more binary")
+
+
+def answers(shards: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of the visits ``asked``: each shard is followed by the blocks that visit it."""
+    spread = asked.withColumn("block", F.xxhash64("ids"))
+    copies = asked.groupBy("dim", "part").agg(F.ceil(F.count(F.lit(1)) / VISITS).alias("copies"))
+    # A shard that very many blocks visit is answered by several copies of it.
+    held = shards.join(copies, ["dim", "part"]).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    held = held.select("dim", "part", "copy", F.lit(False).alias("asks"), "ids", "x", "more")
+    spread = spread.join(copies, ["dim", "part"]).select("dim", "part", F.pmod("block", "copies").alias("copy"), F.lit(True).alias("asks"), "ids", "x", "more")
+    rows = held.union(spread).repartition("dim", "part", "copy").sortWithinPartitions("dim", "part", "copy", "asks")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
+        for batch in batches:
+            for asks, *row in zip(*(batch[c] for c in ("asks", "ids", "x", "more"))):
+                ids, x, kth = _unpack(*row)
+                if not asks.as_py():
+                    tree = Tree(ids, x)
+                else:
+                    yield from _answers(tree, ids, x, kth, k)
+
+    return rows.mapInArrow(search, "query_id long, vec_id long, score long")
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
+    """``found`` with ``rank``, up to ``k``; Spark keeps k rows a query before it shuffles them, too."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def top_k(vectors: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS, is_query: str | Column = "vec_id % 20 = 0") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products with other rows.
 
     ``vectors`` has unique ``vec_id`` and ``x``, arrays of longs; rows whose
     ``is_query`` holds are queries. Vectors of different dimensions don't meet.
     Ties go to the smaller id; fewer candidates give fewer rows; no query or no
-    candidate gives none.
+    candidate gives none. Cells are fitted on a bounded sample (``SAMPLE``); they
+    decide where a vector lies, never whether it is found.
     """
-    n_vectors, n_queries = vectors.agg(F.count(F.lit(1)), F.count_if(F.expr(is_query))).first()
-    n_shards = max(1, -(-n_vectors // shard_rows))
-    n_blocks = max(1, -(-n_queries // BLOCK))
-    asked = F.expr(is_query).cast("double")
-    shards = materialise(packed(vectors.withColumn("more", asked), n_shards), "kd-shards")
+    asked = F.expr(is_query) if isinstance(is_query, str) else is_query
+    vectors = vectors.where(F.size("x") > 0).withColumn("asked", asked)
+    n_vectors = vectors.count()
+    placed = materialise(dealt(vectors, fit_cells(vectors, n_vectors, shard_rows), shard_rows), "kd-dealt")
+    shards = materialise(packed(placed.withColumn("more", F.col("asked").cast("double"))), "kd-shards")
 
     def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,43 +292,20 @@ def top_k(vectors: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS, is_quer
                 if own.any():
                     yield from _answers(Tree(ids, x), ids[own], x[own], np.full(int(own.sum()), NONE), k)
 
-    spread = shards.repartition(n_shards, "dim", "part")
-    home = materialise(spread.mapInArrow(at_home, "query_id long, vec_id long, score long"), "kd-home")
-    # The k-th score in the home shard, where that has k others, holds everywhere.
-    kth = home.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
-    bounded = vectors.where(F.expr(is_query)).join(kth, F.col("vec_id") == F.col("query_id"), "left")
-    blocks = packed(bounded.withColumn("more", F.coalesce(F.col("kth").cast("double"), F.lit(NONE))), n_blocks)
-    # Every block goes to every shard: a stated query set against all rows, in blocks.
-    copies = blocks.select(
-        F.col("dim").alias("q_dim"), F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("q_part"),
-        F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.col("more").alias("q_kth"),
-    )
-    met = copies.join(shards.drop("more").hint("merge"), (F.col("dim") == F.col("q_dim")) & (F.col("part") == F.col("q_part")))
-
-    def elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, tree, here = None, None, None
-        for batch in batches:
-            for n in range(batch.num_rows):
-                dim, part, ids, x, q_ids, q_x, q_kth = (batch[c][n] for c in ("dim", "part", "ids", "x", "q_ids", "q_x", "q_kth"))
-                if held != (dim.as_py(), part.as_py()):
-                    held = (dim.as_py(), part.as_py())
-                    here = np.frombuffer(ids.as_buffer(), np.int64)
-                    tree = Tree(here, np.frombuffer(x.as_buffer(), np.int64).reshape(len(here), -1).astype(np.float64))
-                query_ids, q, bound = _unpack(q_ids, q_x, q_kth)
-                away = ~np.isin(query_ids, here)
-                if away.any():
-                    yield from _answers(tree, query_ids[away], q[away], bound[away], k)
-
-    away = met.mapInArrow(elsewhere, "query_id long, vec_id long, score long")
-    every = home.union(away)
-    # At most k rows of a shard for a query; the best k of them all.
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("low"), "vec_id"))), 1, k)
-    return (
-        every.groupBy("query_id")
-        .agg(best.alias("best"))
-        .select("query_id", F.posexplode("best").alias("pos", "hit"))
-        .select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "hit.vec_id", (-F.col("hit.low")).alias("score"))
-    )
+    found = materialise(shards.repartition("dim", "part").mapInArrow(at_home, "query_id long, vec_id long, score long"), "kd-home")
+    n_shards = shards.count()
+    box = F.sort_array(F.collect_list(F.struct("part", "low", "high"))).alias("boxes")
+    # About BOXES boxes of neighbouring cells a group.
+    group = F.pmod(F.xxhash64("part"), F.lit(-(-n_shards // BOXES) or 1))
+    boxes = materialise(shards.groupBy("dim", group.alias("_group")).agg(box).drop("_group"), "kd-boxes")
+    for first in (True, False):
+        # The k-th score so far, where a query has k others, holds everywhere.
+        kth = best(found, k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
+        bounded = placed.where("asked").join(kth, F.col("vec_id") == F.col("query_id"), "left")
+        blocks = packed(bounded.withColumn("more", F.coalesce(F.col("kth").cast("double"), F.lit(NONE))))
+        asks = materialise(visits(blocks, boxes, first), "kd-visits")
+        found = materialise(best(found.union(answers(shards, asks, k)), k).drop("rank"), "kd-found")
+    return best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def scaled(vectors: DataFrame, scale: int = 64) -> DataFrame:
