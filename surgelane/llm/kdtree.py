@@ -300,12 +300,13 @@ def top_k(vectors: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS, is_quer
     boxes = materialise(shards.groupBy("dim", group.alias("_group")).agg(box).drop("_group"), "kd-boxes")
     for first in (True, False):
         # The k-th score so far, where a query has k others, holds everywhere.
-        kth = best(found, k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
+        kth = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
         bounded = placed.where("asked").join(kth, F.col("vec_id") == F.col("query_id"), "left")
         blocks = packed(bounded.withColumn("more", F.coalesce(F.col("kth").cast("double"), F.lit(NONE))))
         asks = materialise(visits(blocks, boxes, first), "kd-visits")
-        found = materialise(best(found.union(answers(shards, asks, k)), k).drop("rank"), "kd-found")
-    return best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        every = found.select("query_id", "vec_id", "score").union(answers(shards, asks, k))
+        found = materialise(best(every, k), "kd-found")
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def scaled(vectors: DataFrame, scale: int = 64) -> DataFrame:
