@@ -6,6 +6,10 @@ hashes name a bucket of one of ``TABLES`` tables. A vector is a member of its
 own bucket and visits the ``PROBES`` - 1 next best ones; pairs that meet are
 compared by cosine in double precision, so no false link comes out.
 
+Bucket numbers move first, without vectors. Buckets that hold one row, or none
+that is at home there, drop out; only the rows of the others fetch their vectors
+(in the precision they came in) and meet.
+
 Counting happens in the tasks: a pair that meets in several buckets is counted
 in the first only, which both rows can tell from the bucket numbers they carry,
 and leaves a task as degrees and spanning stars, never as a row per pair. Equal
@@ -62,7 +66,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def bucket_numbers(x: np.ndarray) -> np.ndarray:
     """Rows x tables x probes of bucket numbers; probe 0 is the row's own bucket."""
-    dim = 1 << max(0, x.shape[1] - 1).bit_length()
+    dim = _padded(x.shape[1])
     padded = np.zeros((len(x), dim))
     padded[:, : x.shape[1]] = x
     near = min(NEAREST, dim)
@@ -87,34 +91,50 @@ def bucket_numbers(x: np.ndarray) -> np.ndarray:
     return out
 
 
-_ROW = "space long, dim int, t int, bucket int, own boolean, id long, copies long, numbers binary, vector binary"
+def _padded(dim: int) -> int:
+    return 1 << max(0, dim - 1).bit_length()
+
+
+def _number_type(dim: int) -> type:
+    """The narrowest type that holds every bucket number of a dimension."""
+    return np.int16 if (2 * _padded(dim)) ** HASHES <= 1 << 15 else np.int32
+
+
+def pack_vector(row: np.ndarray) -> bytes:
+    """Components as floats if that loses nothing, else as doubles."""
+    with np.errstate(over="ignore"):
+        short = row.astype(np.float32)
+    return short.tobytes() if np.array_equal(short.astype(np.float64), row) else row.tobytes()
 
 
-def bucket_rows(vectors: DataFrame) -> DataFrame:
-    """A row for every bucket that a vector (id, space, copies, embedding) is in or visits."""
+def unpack_vector(data: pa.Scalar, dim: int) -> np.ndarray:
+    data = data.as_buffer()
+    return np.frombuffer(data, np.float32 if data.size == 4 * dim else np.float64).astype(np.float64)
+
+
+_CODES = "space long, id long, code long, copies long, dim int, buckets array<int>, numbers binary, vector binary"
+
+
+def vector_codes(vectors: DataFrame) -> DataFrame:
+    """A row for every vector (space, id, code, copies, embedding): its buckets by table and probe, and both packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sizes = np.array([len(v) for v in part["embedding"]])
+                sizes = np.array(part["embedding"].value_lengths())
                 for dim in np.unique(sizes).tolist():
                     pick = part.take(pa.array(np.flatnonzero(sizes == dim)))
-                    x = unit(np.array(pick["embedding"].to_pylist(), dtype=np.float64))
-                    numbers = bucket_numbers(x)
-                    rows, n = len(x), TABLES * numbers.shape[2]
-                    each = np.repeat(np.arange(rows), n)
-                    probe = np.tile(np.arange(numbers.shape[2]), rows * TABLES)
-                    table = np.tile(np.repeat(np.arange(TABLES), numbers.shape[2]), rows)
-                    packed = pa.array([v.tobytes() for v in numbers]).take(pa.array(each))
-                    vector = pa.array([v.tobytes() for v in x]).take(pa.array(each))
-                    take = pick.take(pa.array(each))
-                    yield pa.RecordBatch.from_arrays(
-                        [take["space"], pa.array(np.full(len(each), dim, np.int32)), pa.array(table.astype(np.int32)), pa.array(numbers.reshape(-1)), pa.array(probe == 0), take["id"], take["copies"], packed, vector],
-                        ["space", "dim", "t", "bucket", "own", "id", "copies", "numbers", "vector"],
-                    )
-
-    return vectors.select("id", "space", "copies", "embedding").mapInArrow(run, _ROW)
+                    raw = pick["embedding"].flatten().to_numpy().reshape(-1, dim)
+                    numbers = bucket_numbers(unit(raw)).reshape(len(raw), -1)
+                    columns = {c: pick[c] for c in ("space", "id", "code", "copies")}
+                    columns["dim"] = pa.array(np.full(len(raw), dim, np.int32))
+                    columns["buckets"] = pa.array(list(numbers), pa.list_(pa.int32()))
+                    columns["numbers"] = pa.array([n.tobytes() for n in numbers.astype(_number_type(dim))], pa.binary())
+                    columns["vector"] = pa.array([pack_vector(v) for v in raw], pa.binary())
+                    yield pa.RecordBatch.from_pydict(columns)
+
+    return vectors.select("space", "id", "code", "copies", "embedding").mapInArrow(run, _CODES)
 
 
 def meets(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,8 +212,9 @@ def cell_links(cells: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 if e - s < 2 or not own[s:e].any():
                     continue
                 part = tab.slice(s, e - s)
-                x = np.stack([np.frombuffer(v.as_buffer(), np.float64) for v in part["vector"]])
-                numbers = np.stack([np.frombuffer(v.as_buffer(), np.int32) for v in part["numbers"]]).reshape(e - s, TABLES, -1)
+                dim = int(keys[s][1])
+                x = unit(np.stack([unpack_vector(v, dim) for v in part["vector"]]))
+                numbers = np.stack([np.frombuffer(v.as_buffer(), _number_type(dim)) for v in part["numbers"]]).reshape(e - s, TABLES, -1)
                 found = links(tuple(keys[s].tolist()), chunk[s:e], own[s:e].astype(bool), ids[s:e], copies[s:e], numbers, x)
                 if found:
                     yield emit(found)
@@ -233,16 +254,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     fit = vectors.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull())
     fit = fit.where(~bad & F.exists("embedding", lambda x: x != 0))
     classes = fit.groupBy(F.col("label").alias("space"), "embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    classes = materialise(classes, "distinct-vectors")
-    rows = materialise(bucket_rows(classes), "buckets")
+    # The hash tells apart the vectors of an id that comes with several.
+    classes = materialise(classes.withColumn("code", F.xxhash64("embedding")), "distinct-vectors")
+    coded = materialise(vector_codes(classes), "vector-codes")
     keys = ["space", "dim", "t", "bucket"]
-    big = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > CHUNK)
-    big = big.select(*keys, F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks"))
-    dealt = rows.join(big, keys, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    probes = F.floor(F.size("buckets") / TABLES).cast("int")
+    rows = coded.select("space", "dim", "id", "code", probes.alias("probes"), F.posexplode("buckets").alias("at", "bucket"))
+    rows = rows.select(*keys[:2], F.floor(F.col("at") / F.col("probes")).cast("int").alias("t"), "bucket", (F.col("at") % F.col("probes") == 0).alias("own"), "id", "code")
+    met = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.max("own").alias("home")).where("home and rows > 1")
+    met = met.select(*keys, F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks"))
+    useful = rows.join(met, keys)
+    dealt = useful.join(coded.select("space", "id", "code", "copies", "numbers", "vector"), ["space", "id", "code"])
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     dealt = dealt.withColumn("other", other).withColumns({"left": F.least("chunk", "other"), "right": F.greatest("chunk", "other")})
-    cells = dealt.drop("chunks", "other").repartition(*keys, "left", "right").sortWithinPartitions(*keys, "left", "right")
+    cells = dealt.drop("chunks", "other", "code").repartition(*keys, "left", "right").sortWithinPartitions(*keys, "left", "right")
     found = materialise(cell_links(cells, threshold), "vector-links")
     degrees = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("others"))
     linked = components(found.where("b is not null").select("a", "b"))
