@@ -313,7 +313,8 @@ def scaled(vectors: DataFrame, scale: int = 64) -> DataFrame:
     """(vec_id, x): components times ``scale``, rounded down, of rows whose components are all finite numbers.
 
     Null ids, null vectors, and vectors with a null, NaN or infinite component
-    take no part; a repeated id keeps one of its rows, the least vector.
+    take no part (nor do empty ones in ``top_k``); a repeated id keeps one of its
+    rows, the least vector.
     """
     e = F.col("embedding").cast("array<double>")
     bad = F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,14 @@ def test_a_large_bucket_is_split_into_cells(spark, monkeypatch):
     assert result(spark, rows) == brute(rows)
 
 
+def test_packed_vectors_keep_their_precision():
+    rng = np.random.default_rng(9)
+    for row in (rng.normal(size=7).astype(np.float32).astype(float), rng.normal(size=7), np.array([1e300, 0.0])):
+        data = crosspolytope.pack_vector(row)
+        assert np.array_equal(crosspolytope.unpack_vector(pa.scalar(data, pa.binary()), len(row)), row)
+    assert len(crosspolytope.pack_vector(np.array([0.5, 1.0]))) == 8
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 64))
     y = crosspolytope.hadamard(x)
