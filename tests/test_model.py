@@ -444,3 +444,49 @@ def test_large_nodes_split_by_cells_like_small_ones(small_table, monkeypatch, ro
     monkeypatch.setattr(boost, "REDUCER_BYTES", 1 << 10)
     got = train()
     assert got.trees == want.trees and got.history == want.history and len(want.trees[0]) > 7
+
+
+@pytest.fixture(scope="module")
+def long_table(spark):
+    rows = spark.range(0, 100_000, 1, 5).withColumns({"x0": F.col("id") % 7 * 1.0, "x1": F.col("id") % 31 * 1.0, "v": F.col("id") % 4 == 0})
+    return materialise(rows.withColumn("y", 1.0 + F.col("x0") * (F.col("x1") > 9.0).cast("double") + F.col("id") % 5 / 10.0), "long_table")
+
+
+def passes(monkeypatch):
+    """The passes of the runs that follow: (trees that each adds itself, most bytes of a batch that a Python worker gets of its blocks)."""
+    from surgelane.operators import boost
+
+    seen, real = [], boost.run_pass
+
+    def counted(blocks, task, rule):
+        import pyarrow as pa
+
+        sizes = blocks.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["size"]) for b in batches), "size long")
+        seen.append((len(task.fresh), max(r.size for r in sizes.collect())))
+        return real(blocks, task, rule)
+
+    monkeypatch.setattr(boost, "run_pass", counted)
+    return seen
+
+
+def test_a_round_over_some_hundred_thousand_rows_is_one_pass(long_table, monkeypatch):
+    """Each pass is a job, whose fixed cost is more than such a node's work."""
+    seen = passes(monkeypatch)
+    params = replace(BOOST, learning_rate=0.3, max_depth=4, subsample=1.0, colsample=1.0, gamma=0.0)
+    model = train_boosted(long_table, ["x0", "x1"], "y", "v", params, n_rounds=3)
+    assert model.n_trees == 3 and len(model.trees[0]) > 7
+    assert len(seen) == 4  # the last one measures the losses
+
+
+def test_a_row_meets_a_tree_once_where_a_round_has_many_passes(small_table, monkeypatch):
+    from surgelane.operators import boost
+
+    df, _, _ = small_table
+    params = replace(BOOST, learning_rate=0.3, max_depth=4, gamma=0.01, checkpoint_every=4)
+    train = lambda: train_boosted(df.withColumn("v", F.col("id") % 4 == 0), ["x0", "x1", "x2"], "y", "v", params, n_rounds=6)
+    want = train()
+    monkeypatch.setattr(boost, "NODE_ROWS", 40)
+    seen = passes(monkeypatch)
+    got = train()
+    assert got.trees == want.trees and got.history == want.history
+    assert len(seen) > 13 and not any(trees for trees, _ in seen[:-1])
