@@ -247,6 +247,8 @@ def bin_tree(tree: Sequence[Node], features: Sequence[str], cuts: Sequence[np.nd
 
 #: A split must gain more than this.
 LEAST_GAIN = 1e-6
+#: A block holds a thousand times a row's bytes: batches of so many bytes go to a Python worker, not whole partitions.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 22)}
 
 
 def _grow(blocks: DataFrame, fresh: list[BinTree], features: list[str], cuts: list[np.ndarray], params: BoostParams, rnd: int, scale: Scale, n_train: int, reducers: int):
@@ -511,7 +513,7 @@ def train_boosted(
     spark = df.sparkSession
     run = RunFolder(spark, folder.rstrip("/"), _settings(params, label, features, early_stopping=early_stopping)) if folder else None
     found = run.latest() if run else None
-    with StateTables(spark, "boost_state") as tables:
+    with settings(spark, SMALL_BATCHES), StateTables(spark, "boost_state") as tables:
         if found:
             blocks, model, progress = found
             cuts = [np.array(c) for c in progress["cuts"]]
@@ -571,7 +573,7 @@ def train_warm_start(
     spark = df.sparkSession
     run = RunFolder(spark, f"{folder.rstrip('/')}/run", _settings(params, label, features, batches=n_batches)) if folder else None
     found = run.latest() if run else None
-    with StateTables(spark, "warm_start") as tables, StateTables(spark, "warm_start_validation") as kept, StateTables(spark, "boost_state") as steps:
+    with settings(spark, SMALL_BATCHES), StateTables(spark, "warm_start") as tables, StateTables(spark, "warm_start_validation") as kept, StateTables(spark, "boost_state") as steps:
         if found:
             validation, model, progress = found
             cuts, start, done = [np.array(c) for c in progress["cuts"]], progress["start"], progress["batches"]

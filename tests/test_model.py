@@ -490,3 +490,19 @@ def test_a_row_meets_a_tree_once_where_a_round_has_many_passes(small_table, monk
     got = train()
     assert got.trees == want.trees and got.history == want.history
     assert len(seen) > 13 and not any(trees for trees, _ in seen[:-1])
+
+
+def test_blocks_reach_a_worker_some_at_a_time(long_table, monkeypatch):
+    """A worker holds a few blocks, however many a partition has."""
+    from surgelane.operators import boost
+
+    spark = long_table.sparkSession
+    features = [c for i in range(40) for c in (f"a{i}", f"b{i}")]
+    wide = long_table.select("id", "y", "v", *[F.col(c).alias(f"{k}{i}") for i in range(40) for k, c in (("a", "x0"), ("b", "x1"))])
+    monkeypatch.setattr(boost, "few_partitions", lambda rows: rows.coalesce(1))
+    seen = passes(monkeypatch)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    params = replace(FAST, rounds_per_batch=1, max_depth=1)
+    model = train_warm_start(wide, features, "y", "v", params, 1, key="id")
+    assert model.n_trees == 1 and max(size for _, size in seen) < 6 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
