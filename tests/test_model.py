@@ -506,3 +506,81 @@ def test_blocks_reach_a_worker_some_at_a_time(long_table, monkeypatch):
     model = train_warm_start(wide, features, "y", "v", params, 1, key="id")
     assert model.n_trees == 1 and max(size for _, size in seen) < 6 << 20
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_small_nodes_are_gathered_by_one_pass(small_table, monkeypatch):
+    """Nodes that fall small at several levels wait until the large ones are split: rows move once a round."""
+    from surgelane.operators import boost
+
+    df, _, _ = small_table
+    params = replace(BOOST, learning_rate=0.3, max_depth=6, subsample=1.0, gamma=0.0, min_child_weight=0.0)
+    steps = [F.col("id") >= 700 - 60 * i for i in range(1, 6)]
+    rows = df.select("id", *[s.cast("double").alias(f"x{i}") for i, s in enumerate(steps)], sum(s.cast("double") for s in steps).alias("y"))
+    train = lambda: train_boosted(rows, [f"x{i}" for i in range(5)], "y", None, params, n_rounds=2)
+    want, gathers, real = train(), [], boost.run_pass
+
+    def counted(blocks, task, rule):
+        gathers.append(bool(getattr(task, "depths", None) or getattr(task, "small", 0)))
+        return real(blocks, task, rule)
+
+    monkeypatch.setattr(boost, "NODE_ROWS", 350)
+    monkeypatch.setattr(boost, "run_pass", counted)
+    got = train()
+    assert got.trees == want.trees and max(len(t) for t in want.trees) >= 9
+    assert sum(gathers) == 2 and len(gathers) > 5
+
+
+def test_a_round_over_a_million_rows_is_one_pass(spark, monkeypatch):
+    rows = spark.range(0, 800_000, 1, 8).withColumns({"x0": F.col("id") % 7 * 1.0, "x1": F.col("id") % 31 * 1.0})
+    rows = materialise(rows.withColumn("y", 1.0 + F.col("x0") * (F.col("x1") > 9.0).cast("double") + F.col("id") % 5 / 10.0), "million")
+    seen = passes(monkeypatch)
+    params = replace(BOOST, learning_rate=0.3, max_depth=3, subsample=1.0, colsample=1.0, gamma=0.0)
+    model = train_boosted(rows, ["x0", "x1"], "y", None, params, n_rounds=2)
+    assert model.n_trees == 2 and len(model.trees[0]) > 5
+    assert len(seen) == 3  # the last one measures the losses
+
+
+def test_a_split_gains_no_more_than_the_bound():
+    from surgelane.operators.histogram import Rule, may_gain, split_gains
+
+    rng = np.random.default_rng(3)
+    for alpha, lam, penalty in ((0.0, 0.0, 1.0), (0.1, 1.0, 2.0), (3.0, 0.5, 5.0)):
+        for shift in (0.0, 2.0, -2.0):
+            r, bins = rng.normal(shift, 0.3, 400), rng.integers(0, 16, 400)
+            pos = r > 0
+            w = np.where(pos, penalty, 1.0)
+            g, h = -2.0 * w * r, 2.0 * w
+            cells = [np.bincount(bins, v, 16)[None] for v in (g, np.ones(400), pos)]
+            best = split_gains(*cells, 1.0, penalty, alpha, lam, 0.0)[0].max()
+            loss = float((w * r * r).sum())
+            rule = lambda gamma: Rule(alpha, lam, 0.0, gamma, 1e-6)
+            assert may_gain(loss, g.sum(), h.sum(), rule(best))
+            # Rows of one residual can be told apart by no split, whatever their loss.
+            assert not may_gain(400 * 4.0, -2 * 400 * 2.0, 2 * 400, Rule(0.0, 0.0, 0.0, 0.1, 1e-6))
+
+
+def test_features_counted_together_have_their_own_sums():
+    from surgelane.operators.histogram import Bundles
+
+    rng = np.random.default_rng(4)
+    widths = [2, 256, 7, 1, 24, 256, 100, 3, 60]
+    columns = [rng.integers(0, w, 3000).astype(np.uint8) for w in widths]
+    pos, node, weight = rng.random(3000) < 0.3, rng.integers(0, 3, 3000), rng.integers(-99, 99, 3000)
+    bundles = Bundles(widths)
+    assert len(bundles.groups) < len(widths)
+    sums = [np.bincount(node * size + code, weight, 3 * size).reshape(3, -1) for size, code in zip(bundles.sizes(), bundles.codes(columns, pos))]
+    got = bundles.spread(sums, 256)
+    for i, column in enumerate(columns):
+        want = np.zeros((3, 256, 2), np.int64)
+        np.add.at(want, (node, column, pos.astype(int)), weight)
+        assert (got[:, i] == want).all()
+
+
+def test_rows_descend_a_bin_tree():
+    from surgelane.operators.histogram import BinTree
+
+    tree = BinTree(*(np.array(a) for a in ([1, -1, 0, -1, 1, -1, -1], [9, -1, 3, -1, 200, -1, -1], [1, -1, 3, -1, 5, -1, -1], [2, -1, 4, -1, 6, -1, -1], [0.0] * 7)))
+    bins = np.random.default_rng(2).integers(0, 256, (2, 500)).astype(np.uint8)
+    want = np.array([1 if b <= 9 else 3 if a <= 3 else 5 if b <= 200 else 6 for a, b in bins.T])
+    assert (tree.leaf(bins) == want).all() and (tree.leaf(bins, np.arange(7, 90)) == want[7:90]).all()
+    assert (BinTree(*(np.array([v]) for v in (-1, -1, -1, -1, 0.0))).leaf(bins) == 0).all()
